@@ -1,16 +1,55 @@
-"""The training-data pipeline: stages over documents."""
+"""The training-data pipeline: language ID, near duplicates, decontamination, mixing and sharding of documents.
+
+A stage takes (spark, docs, sf_dir); each result is written as Parquet and read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomcut.llm import common, decontam, langid, mixture, ngram_join, shard
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels teach; texts that are null or have no letters, and those where no language is likelier than not, go."""
+    model = langid.fit(docs)
+    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.5)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that links of five-word shingles at a similarity of 0.8 or more hold together: that with the smallest doc_id."""
+    return ngram_join.keep_one(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.mark_contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix of sources by weight takes."""
+    return mixture.materialize(mixture.mix(docs)).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every row."""
+    return shard.assign_shards(docs).select(*docs.columns, "shard_depth", "shard", "shard_bytes", "shard_docs")
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mixture", source_mixture), ("sharding", sharding)]
 
-STAGES = []
+#: Language ID and near duplicates have no form in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents; what lies between them is written in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if i == len(STAGES) - 1 else common.stored(out, name)
     return docs
