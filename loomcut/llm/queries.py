@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, common, decontam, embed_dedup, html_extract, langid, mixture, ngram_join, shard, tokenbin
+from . import chatfmt, common, decontam, embed_dedup, html_extract, langid, lm_score, mixture, ngram_join, shard, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard.assign_shards(docs).select("doc_id", "shard_depth", "shard", "shard_bytes", "shard_docs")
@@ -72,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination)
+    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_lm_score, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination)
 }
 
 _HASH = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)"
@@ -95,6 +99,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(n + length(role) + 24) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
-    "op7_source_mixture": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
