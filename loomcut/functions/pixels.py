@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def frame(h: int, w: int, data: bytes) -> np.ndarray:
@@ -34,19 +35,19 @@ def laplacian_variance(rgb: np.ndarray) -> float:
     return float(lap.var())
 
 
-@F.pandas_udf("top int, bottom int, left int, right int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("top", "bottom", "left", "right")]))
 def black_border(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([borders(frame(*x), 15) for x in zip(h, w, data)], columns=["top", "bottom", "left", "right"])
 
 
-@F.pandas_udf("over double, under double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("over", "under")]))
 def exposure(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.DataFrame:
     """Shares of pixels whose mean over channels is above 250 and below 5."""
     means = [frame(*x).mean(2) for x in zip(h, w, data)]
     return pd.DataFrame([((m > 250).mean(), (m < 5).mean()) for m in means], columns=["over", "under"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def blur(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([laplacian_variance(frame(*x)) for x in zip(h, w, data)])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,6 @@ def nearest_in(df: DataFrame, x: str, grid: DataFrame, value: str, idx: str) ->
     for v, i in points:
         if not best or best[-1][0] != v:
             best.append((v, i))
-    import numpy as np
-    import pandas as pd
-
     values, ids = np.array([v for v, _ in best]), np.array([i for _, i in best])
 
     @F.pandas_udf("long")
