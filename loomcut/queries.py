@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import frames, judge, schedule, text, vector
+from .functions import frames, judge, records, regions, schedule, text, vector
 from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
 from .streaming import state
@@ -572,12 +572,12 @@ s AS (SELECT gid, count(*) AS n FROM g GROUP BY gid), t AS (SELECT gid, row_numb
 SELECT doc_id, gid AS group_id, turn * 8 + place AS pos FROM g JOIN t USING (gid)""")
 def tk3_length_grouped_order(spark, sf):
     """TK3, TK4: a permutation in groups of like length."""
-    return order.length_grouped(table(spark, sf, "documents"), "doc_id", "n_chars", 8, 4).select("doc_id", "group_id", "pos")
+    return order.length_grouped(table(spark, sf, "documents"), "doc_id", "n_chars", 8, 4).select("doc_id", "group_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("""
 WITH p AS (SELECT n_chars, (row_number() OVER (ORDER BY md5(doc_id || ':0'), doc_id) - 1) // 8 AS g FROM documents)
-SELECT sum(m) AS cost, sum(s) / 8 AS ideal, sum(m) / (sum(s) / 8) AS over_ideal FROM (SELECT max(n_chars) AS m, sum(n_chars) AS s FROM p GROUP BY g)""")
+SELECT CAST(sum(m) AS BIGINT) AS cost, sum(s) / 8 AS ideal, sum(m) / (sum(s) / 8) AS over_ideal FROM (SELECT max(n_chars) AS m, sum(n_chars) AS s FROM p GROUP BY g)""")
 def ag17_straggler_cost(spark, sf):
     """AG17: what waiting for the longest of each group costs."""
     w = Window.orderBy(order.random_key(F.col("doc_id"), 0), "doc_id")
@@ -633,13 +633,14 @@ def st_event_windows(spark, sf):
 def st1_bounded_buffer(spark, sf):
     """ST1, ST2: a stream of events into bounded buffers by user."""
     import tempfile
+    import uuid
 
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
     out = state.bounded_buffer(stream, "event_type", "event_id", "value", 8)
     name = "buffers"
     place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{place.rstrip('/')}/stream-{id(out)}").trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("key", "seen", F.size("slots").alias("kept"))
 
@@ -660,3 +661,146 @@ def snk4_resample_plan(spark, sf):
     """SNK4, PRJ14, O5: which clips are copied and which encoded."""
     df = table(spark, sf, "orders").select("o_orderkey", F.format_string("/v/%d.mp4", "o_orderkey").alias("path"), (F.col("o_orderkey") % 3 * 8.0 + 8).alias("fps"))
     return steps.resample_plan(df, 16.0).select("o_orderkey", "action", "upsampled")
+
+
+# Records, boxes, tiles -------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, k, v, part FROM (SELECT o_orderkey, unnest(['image', 'scale', 'prompt']) AS k, unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR)]) AS v, unnest(['blockwise', 'controlnet', 'shared']) AS part FROM orders)""")
+def prj18_prefix_routing(spark, sf):
+    """PRJ18: parameters routed by prefix, the first that fits."""
+    m = F.create_map(F.lit("blockwise_controlnet_image"), F.col("o_orderstatus"), F.lit("controlnet_scale"), F.col("o_orderpriority"), F.lit("prompt"), F.col("o_custkey").cast("string"))
+    parts = records.route_prefixes(m, [("blockwise_controlnet_", "blockwise"), ("controlnet_", "controlnet")])
+    rows = F.flatten(F.array(*[F.transform(F.map_entries(c), _tag(n)) for n, c in parts.items()]))
+    return table(spark, sf, "orders").select("o_orderkey", F.inline(rows))
+
+
+def _tag(name):
+    return lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.lit(name).alias("part"))
+
+
+@query("SELECT c_custkey, unnest(['a.w', 'y.b']) AS k, unnest([c_name, c_mktsegment]) AS v FROM customer")
+def prj20_key_rename(spark, sf):
+    """PRJ20: keys without a prefix."""
+    m = records.strip_prefix(F.create_map(F.lit("pipe.a.w"), F.col("c_name"), F.lit("y.b"), F.col("c_mktsegment")), "pipe.")
+    return table(spark, sf, "customer").select("c_custkey", F.explode(m).alias("k", "v"))
+
+
+@query("SELECT o_custkey, flatten(list([o_orderkey, o_orderkey + 1] ORDER BY o_orderkey)) AS vals FROM orders GROUP BY o_custkey")
+def set6_concat_by_key(spark, sf):
+    """SET6: arrays of a key joined in order."""
+    df = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.array("o_orderkey", F.col("o_orderkey") + 1).alias("vals"))
+    return records.concat_by_key(df, "o_custkey", "o_orderkey", "vals")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size * 7 + 40 AS h, p_size * 5 + 40 AS w FROM part WHERE p_partkey < 500),
+y AS (SELECT p_partkey, h, unnest(range(0, h, 24)) AS t FROM p), x AS (SELECT p_partkey, w, unnest(range(0, w, 24)) AS t FROM p)
+SELECT y.p_partkey, CASE WHEN y.t + 32 > h THEN h - 32 ELSE y.t END AS top, CASE WHEN x.t + 32 > w THEN w - 32 ELSE x.t END AS "left", least(y.t + 32, h) AS bottom, least(x.t + 32, w) AS "right"
+FROM y JOIN x USING (p_partkey) WHERE (y.t < 24 OR y.t - 24 + 32 < h) AND (x.t < 24 OR x.t - 24 + 32 < w)""")
+def wn8_tiles(spark, sf):
+    """WN8: tiles of two axes, the last ones moved back to the edge."""
+    df = table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", (F.col("p_size") * 7 + 40).cast("long").alias("h"), (F.col("p_size") * 5 + 40).cast("long").alias("w"))
+    df = df.withColumn("y", F.explode(regions.axis_tiles(F.col("h"), 32, 24))).withColumn("x", F.explode(regions.axis_tiles(F.col("w"), 32, 24)))
+    return df.select("p_partkey", F.col("y.begin").alias("top"), F.col("x.begin").alias("left"), F.col("y.end").alias("bottom"), F.col("x.end").alias("right"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN a OR b OR c OR d THEN [CASE WHEN a OR c THEN 192 ELSE 0 END, CASE WHEN a OR b THEN 108 ELSE 0 END, CASE WHEN b OR d THEN 1728 ELSE 1920 END, CASE WHEN c OR d THEN 972 ELSE 1080 END]::BIGINT[] END AS box
+FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 > 0.5 AS a, l_tax * 10 > 0.5 AS b, l_quantity / 50 > 0.5 AS c, l_linenumber / 7.0 > 0.5 AS d FROM lineitem)""")
+def mth20_corner_crop(spark, sf):
+    """MTH20, FLT9: the box that leaves out marked corners."""
+    probs = F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50, F.col("l_linenumber") / 7)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", regions.corner_crop(F.lit(1920), F.lit(1080), probs, 0.1, 0.5).alias("box"))
+
+
+@query("SELECT event_id, round(value * 0.75 + 50 * 0.25, 9) AS blended, round(value * 2 / 255 - 1, 9) AS norm, CAST(greatest(0, least(255, floor((value / 50 - 1 + 1) * 255 / 2))) AS INTEGER) AS pixel, round((value - 3) / 2, 9) AS z FROM events")
+def mth19_pixels(spark, sf):
+    """MTH18, MTH19: blending, pixel ranges, z-scores."""
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", F.round(regions.blend(v, F.lit(50.0), F.lit(0.25)), 9).alias("blended"), F.round(regions.normalize_pixel(v), 9).alias("norm"), regions.to_pixel(v / 50 - 1).alias("pixel"), F.round(regions.zscore(v, 3.0, 2.0), 9).alias("z"))
+
+
+@query("SELECT p_partkey, b AS bytes, CAST(floor(p_retailprice / (50 * b / 1e9)) AS BIGINT) AS slots, CAST((p_size + 15) // 16 * 16 AS BIGINT) AS aligned, CAST(pow(2, ceil(log2(p_size) - 1e-12)) AS BIGINT) AS pow2 FROM (SELECT *, CAST(48 * 14 * p_size * 80 * 2 + 48 * 3 * p_size * 80 * 2 + 8 AS BIGINT) AS b FROM part)")
+def mth22_byte_budget(spark, sf):
+    """MTH21, MTH22: bytes of slots, and how many fit."""
+    b = regions.slot_bytes(F.lit(48), F.lit(14), F.col("p_size").cast("long"), F.lit(80))
+    return table(spark, sf, "part").select("p_partkey", b.alias("bytes"), regions.most_slots(F.col("p_retailprice"), 50, b).alias("slots"), regions.align_up(F.col("p_size").cast("long"), 16).alias("aligned"), regions.power_of_two(F.col("p_size")).alias("pow2"))
+
+
+@query("SELECT event_id, 500::BIGINT AS \"left\", greatest(0, CAST(floor((event_id % 9) * 1000 - 4000) AS BIGINT)) AS \"right\", CAST(event_id % 9 + 0.5 AS DOUBLE) AS last_end FROM events")
+def mth23_repaint(spark, sf):
+    """MTH23: ranges moved and padded to fit."""
+    r = lambda a, b: F.struct(F.lit(a).cast("double").alias("start"), b.cast("double").alias("end"))
+    out = regions.repaint(F.array(r(-0.5, F.lit(0)), r(0, F.col("event_id") % 9)), F.lit(4000), 1000)
+    return table(spark, sf, "events").select("event_id", out["left"].alias("left"), out["right"].alias("right"), out["ranges"][1]["end"].alias("last_end"))
+
+
+@query("SELECT l_orderkey, trunc(median(l_linenumber)) AS border, avg(l_quantity) AS mean_score, max(l_quantity) AS max_score FROM lineitem GROUP BY 1")
+def ag7_frame_reducers(spark, sf):
+    """AG7, AG9, FLT8: mean, largest and cut median over a clip's frames."""
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.median("l_linenumber").cast("int").cast("double").alias("border"), F.avg("l_quantity").alias("mean_score"), F.max("l_quantity").alias("max_score"))
+
+
+@query("SELECT o_orderkey, least(1.0, (o_custkey % 50 * 20 + 5 * (o_orderkey % 20)) / 10000.0::DOUBLE) AS coverage FROM orders")
+def flt6_text_coverage(spark, sf):
+    """FLT6: area of text boxes over the frame's."""
+    box = lambda x2, y2: F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"))
+    boxes = F.array(box(F.col("o_custkey") % 50, F.lit(20)), box(F.lit(5), F.col("o_orderkey") % 20))
+    return table(spark, sf, "orders").select("o_orderkey", cascade.text_coverage(boxes, F.lit(100), F.lit(100)).alias("coverage"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 40 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 60 ELSE CAST(round_even((o_orderkey % 10) * 30000 / 1001.0::DOUBLE, 0) AS BIGINT) END AS frames FROM orders")
+def src4_frame_count(spark, sf):
+    """SRC3, SRC4, MTH7: frames counted, by packets, or by duration and rate."""
+    from .sources import files
+
+    k = F.col("o_orderkey")
+    n = files.frame_count(F.when(k % 3 == 1, k % 60), F.when(k % 3 == 0, k % 40), (k % 10).cast("double"), F.lit("30000/1001"))
+    return table(spark, sf, "orders").select("o_orderkey", n.alias("frames"))
+
+
+@query("SELECT p_partkey, 'blocks.' || p_size || '.attn.q' AS target, CASE WHEN p_size % 3 = 0 THEN '*' WHEN p_size % 3 = 1 THEN 'vae/*' ELSE 'm.safetensors' END AS pattern FROM part")
+def str22_adapter_keys(spark, sf):
+    """STR19, STR22: layers of adapter keys, globs of files."""
+    key = F.concat(F.lit("diffusion_model.blocks."), F.col("p_size"), F.lit(".attn.q."), F.when(F.col("p_size") % 2 == 0, "lora_B.default.weight").otherwise("lora_up.weight"))
+    pattern = F.element_at(F.array(F.lit("./"), F.lit("vae/"), F.lit("m.safetensors")), F.col("p_size") % 3 + 1)
+    return table(spark, sf, "part").select("p_partkey", records.adapter_target(key).alias("target"), records.file_pattern(pattern).alias("pattern"))
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':5'), event_id) AS rn FROM events WHERE event_id % 10 <> 3 AND event_id >= 100) WHERE rn = 1")
+def st2_sample_excluding(spark, sf):
+    """ST2, ST3: a hashed draw by key after a warm-up, some excluded."""
+    df = table(spark, sf, "events").where((F.col("event_id") % 10 != 3) & (F.col("event_id") >= 100))
+    draw = F.struct(order.random_key(F.col("event_id"), 5), "event_id")
+    return df.groupBy("event_type").agg(F.min_by("event_id", draw).alias("event_id"))
+
+
+@query("SELECT event_id, CASE WHEN k = 1 THEN 1 ELSE 4 * (k + 1) + 1 END AS overlap FROM (SELECT event_id, event_id % 6 + 1 AS k FROM events)")
+def wn5_overlap_frames(spark, sf):
+    """WN5: frames that chunks share."""
+    return table(spark, sf, "events").select("event_id", frames.overlap_frames(F.col("event_id") % 6 + 1, 2).alias("overlap"))
+
+
+@query("SELECT c_custkey, i AS pos, CASE i WHEN 0 THEN 'a' ELSE 'b' END AS prompt, c_name AS image FROM customer, (SELECT unnest([0, 1]) AS i)")
+def prj22_broadcast_pairs(spark, sf):
+    """PRJ22, JN9: pairs of prompts and images, a single one repeated."""
+    pairs = combine.broadcast_pairs(F.array(F.lit("a"), F.lit("b")), F.array("c_name"))
+    return table(spark, sf, "customer").select("c_custkey", F.posexplode(pairs).alias("pos", "x")).select("c_custkey", "pos", "x.prompt", "x.image")
+
+
+@query("SELECT DISTINCT source AS param FROM documents UNION SELECT DISTINCT lang FROM documents")
+def ag28_distinct_union(spark, sf):
+    """AG28, SET4: parameters of all units."""
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("source").alias("param")).union(docs.select("lang")).distinct()
+
+
+@query("SELECT doc_id, CASE WHEN (SELECT count(*) FROM documents x WHERE x.source = d.source AND x.n_chars = d.n_chars) > 1 THEN true ELSE false END AS collides FROM documents d")
+def snk3_collisions(spark, sf):
+    """SNK3, SNK1: files whose base names collide."""
+    from .sources import files
+
+    df = table(spark, sf, "documents").withColumn("path", F.format_string("/r/%d/%s_%d.mp4", "doc_id", "source", "n_chars"))
+    return files.collisions(df).select("doc_id", "collides")
