@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import share_before
+
 
 def random_key(key: Column, seed: int) -> Column:
     """A hash to order by that other engines have too."""
@@ -15,14 +17,14 @@ def length_grouped(df: DataFrame, key: str, length: str, group_size: int, mult:
     """df with megabatch, group_id and pos: a permutation by hash, cut into megabatches of group_size * mult rows, each sorted by length descending and
     cut into groups; whole groups in the order of another hash, a short last group at the end.
     """
-    shuffled = Window.orderBy(random_key(F.col(key), seed), key)
-    out = df.withColumn("_rn", F.row_number().over(shuffled) - 1).withColumn("megabatch", F.floor(F.col("_rn") / (group_size * mult)))
+    out = share_before(df.withColumn("_h", random_key(F.col(key), seed)).withColumn("_one", F.lit(1)), ["_h", key], "_one")
+    out = out.withColumnRenamed("row", "_rn").drop("before", "_h", "_one").withColumn("megabatch", F.floor(F.col("_rn") / (group_size * mult)))
     out = out.withColumn("_in", F.row_number().over(Window.partitionBy("megabatch").orderBy(F.desc(length), "_rn")) - 1)
     out = out.withColumn("group_id", F.col("megabatch") * mult + F.floor(F.col("_in") / group_size)).withColumn("_at", F.col("_in") % group_size)
     groups = out.groupBy("group_id").agg(F.count("*").alias("_size"))
-    turn = Window.orderBy(F.col("_size") < group_size, random_key(F.col("group_id"), seed + 1), "group_id")
-    groups = groups.withColumn("_turn", F.row_number().over(turn) - 1)
-    return out.join(groups, "group_id").withColumn("pos", F.col("_turn") * group_size + F.col("_at")).drop("_rn", "_in", "_at", "_size", "_turn")
+    groups = groups.withColumn("_short", (F.col("_size") < group_size).cast("int")).withColumn("_h", random_key(F.col("group_id"), seed + 1))
+    groups = share_before(groups, ["_short", "_h", "group_id"], "_size").select("group_id", F.col("row").alias("_turn"))
+    return out.join(groups, "group_id").withColumn("pos", F.col("_turn") * group_size + F.col("_at")).drop("_rn", "_in", "_at", "_turn")
 
 
 def straggler_cost(df: DataFrame, group: str, work: str, group_size: int) -> DataFrame:

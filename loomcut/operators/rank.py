@@ -29,10 +29,28 @@ def top_n(df: DataFrame, group: str, by: Column, ties: list[str], n: int, rank:
     return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def place_in_group(df: DataFrame, group: str, order: list[Column], out: str, parts: int | None = None) -> DataFrame:
+    """df with out: the row's place from 1 within its group. Rows are dealt by ranges of (group, order), and places within a part are moved
+    by the rows of the group in earlier parts, so a group that holds most rows is no single task.
+    """
+    keys = [F.col(group).asc_nulls_first(), *order]
+    dealt = df.repartitionByRange(parts or _parts(df), *keys).withColumn("_part", F.spark_partition_id())
+    counts = dealt.groupBy("_part", F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_part").alias("_p"), "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
+    out_ = dealt.withColumn(out, own).join(counts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return out_.withColumn(out, F.col(out) + F.col("_n")).drop("_part", "_p", "_g", "_n")
+
+
 def keep_share(df: DataFrame, group: str, by: Column, ties: list[str], share: float, rank: str = "rank") -> DataFrame:
     """The first round(n * share) rows of each group of n, halves to even."""
     sizes = df.groupBy(F.col(group).alias("_group")).agg(F.bround(F.count("*") * share).alias("_keep"))
-    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(by.desc(), *ties)))
+    ranked = place_in_group(df, group, [by.desc(), *[F.col(t).asc() for t in ties]], rank)
     return ranked.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).where(F.col(rank) <= F.col("_keep")).drop("_group", "_keep")
 
 
@@ -41,13 +59,13 @@ def file_name(prefix: str, group: Column, rows: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), group.cast("string"), F.lit("_"), (F.floor(rows / 1000) + 1).cast("string"), F.lit("k.csv"))
 
 
-def share_before(df: DataFrame, order: list[str], value: str, parts: int = 64) -> DataFrame:
+def share_before(df: DataFrame, order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """df with `before`: the sum of value over all rows before, and `row`: the place from 0, both in this order over the whole table.
 
     Rows are dealt by ranges of the order; each part's sums are added up first, so no task gets all rows.
     """
     key = [F.col(c) for c in order]
-    dealt = df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
+    dealt = df.repartitionByRange(parts or _parts(df), *key).withColumn("_part", F.spark_partition_id())
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("_v").over(earlier), F.lit(0)).alias("_v"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))

@@ -54,7 +54,7 @@ WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT source, doc_id, CAST(rk AS INTEGER) AS rank FROM n WHERE rk <= round_even(n * 0.25, 0)""")
 def tk1_keep_share(spark, sf):
     """TK1: a share of each group, halves to even."""
-    return rank.keep_share(table(spark, sf, "documents"), "source", F.col("n_chars"), ["doc_id"], 0.25).select("source", "doc_id", "rank")
+    return rank.keep_share(table(spark, sf, "documents"), "source", F.col("n_chars"), ["doc_id"], 0.25).select("source", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT lang, 'clips_' || lang || '_' || CAST(floor(count(*) / 1000) + 1 AS BIGINT) || 'k.csv' AS name FROM documents GROUP BY lang")
@@ -580,8 +580,8 @@ WITH p AS (SELECT n_chars, (row_number() OVER (ORDER BY md5(doc_id || ':0'), doc
 SELECT CAST(sum(m) AS BIGINT) AS cost, sum(s) / 8 AS ideal, sum(m) / (sum(s) / 8) AS over_ideal FROM (SELECT max(n_chars) AS m, sum(n_chars) AS s FROM p GROUP BY g)""")
 def ag17_straggler_cost(spark, sf):
     """AG17: what waiting for the longest of each group costs."""
-    w = Window.orderBy(order.random_key(F.col("doc_id"), 0), "doc_id")
-    df = table(spark, sf, "documents").withColumn("g", F.floor((F.row_number().over(w) - 1) / 8))
+    df = table(spark, sf, "documents").select("doc_id", "n_chars", order.random_key(F.col("doc_id"), 0).alias("h"), F.lit(1).alias("one"))
+    df = rank.share_before(df, ["h", "doc_id"], "one").withColumn("g", F.floor(F.col("row") / 8))
     return order.straggler_cost(df, "g", "n_chars", 8)
 
 

@@ -83,7 +83,7 @@ def test_cascade_stages(spark, tmp_path):
         cascade.run(spark.range(1), ["nope"])
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60), st.integers(1, 6), st.integers(1, 4))
 def test_length_grouped(spark, lengths, size, mult):
     df = spark.createDataFrame([*enumerate(lengths)], "k long, n long")
