@@ -112,7 +112,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     added = ("size", "source_size", "target", "placements")
     base = docs.select(*[c for c in docs.columns if c.lower() not in added])
-    size, h, idx, block, info = fresh(base, "size", "h", "idx", "block", "info")
+    size, h, idx, block, info, p_idx, p_block = fresh(base, "size", "h", "idx", "block", "info", "p_idx", "p_block")
     hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.octet_length(F.col(text).cast("string")))
     rows = stored(base.select(F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"), hashed.alias("h")), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -148,8 +148,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     keyed = base.withColumn(h, hashed)
     of = targets.select(F.col("source").alias(idx), F.struct("idx", "n_blocks").alias(info))
     keyed = keyed.join(of, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(idx))).withColumn(idx, F.col(info)["idx"]).withColumn(block, F.pmod(F.col(h), F.col(info)["n_blocks"])).drop(info)
-    draws = per.select(F.col("idx").alias("p_idx"), F.col("block").alias("p_block"), F.struct("source_size", "target", "short", "whole", "draws").alias(info))
-    keyed = keyed.join(draws, (F.col(idx) == F.col("p_idx")) & (F.col(block) == F.col("p_block"))).drop("p_idx", "p_block")
+    draws = per.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("source_size", "target", "short", "whole", "draws").alias(info))
+    keyed = keyed.join(draws, (F.col(idx) == F.col(p_idx)) & (F.col(block) == F.col(p_block))).drop(p_idx, p_block)
     words, fact = n_words(F.col(f"`{text}`").cast("string")), F.col(info)
     # Of a short block the first documents in the order of their hashes are taken; around the place where the words run out,
     # within NEAR documents on either side, they are chosen by size instead, each that still fits from the largest down.
@@ -162,12 +162,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     near = F.array_sort(F.collect_list(F.when(F.col("nr") > F.col("low"), F.struct((-F.col("size")).alias("o"), F.col("nr").alias("nr")))))
     chosen = lean.groupBy("idx", "block", "short", "low").agg(F.coalesce(F.max(F.when(F.col("nr") <= F.col("low"), F.col("sum"))), F.lit(0)).alias("base"), near.alias("near"))
     greedy = "aggregate(near, named_struct('left', short - base, 'nrs', cast(array() as array<int>)), (s, x) -> if(-x.o <= s.left, named_struct('left', s.left + x.o, 'nrs', concat(s.nrs, array(x.nr))), s)).nrs"
-    chosen = stored(chosen.select(F.col("idx").alias("p_idx"), F.col("block").alias("p_block"), F.struct("low", F.expr(greedy).alias("nrs")).alias("chosen")), "chosen")
+    chosen = stored(chosen.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("low", F.expr(greedy).alias("nrs")).alias("chosen")), "chosen")
     nr, total, pick = fresh(keyed, "nr", "total", "pick")
     short = keyed.where(fact["short"] > 0).withColumn(size, words)
     short = short.withColumn(nr, F.row_number().over(Window.partitionBy(idx, block).orderBy(h, size, F.xxhash64(f"`{text}`"))))
     picks = chosen.withColumnRenamed("chosen", pick)
-    short = short.join(picks, (F.col(idx) == F.col("p_idx")) & (F.col(block) == F.col("p_block"))).drop("p_idx", "p_block")
+    short = short.join(picks, (F.col(idx) == F.col(p_idx)) & (F.col(block) == F.col(p_block))).drop(p_idx, p_block)
     taken = (F.col(nr) <= F.col(pick)["low"]) | F.array_contains(F.col(pick)["nrs"], F.col(nr))
     short = short.withColumn(total, fact["whole"] + taken.cast("long")).drop(nr, pick)
     rest = keyed.where(fact["short"] == 0).withColumn(size, words).withColumn(total, fact["whole"])

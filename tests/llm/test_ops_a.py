@@ -154,7 +154,7 @@ def test_mixture(spark):
 
 
 def test_mixture_edges(spark):
-    df = spark.createDataFrame([(1, "a", "x y z", 9), (2, None, "p q", 9), (2, None, "p q", 9), (3, "b", None, 9), (None, "a", "", 9), (4, "é", "w " * 5000, 9)], "doc_id long, source string, text string, h int")
+    df = spark.createDataFrame([(1, "a", "x y z", 9), (2, None, "p q", 9), (2, None, "p q", 9), (3, "b", None, 9), (None, "a", "", 9), (4, "é", "w " * 5000, 9)], "doc_id long, source string, text string, h int").withColumn("p_idx", F.lit(1)).withColumn("target", F.lit("x")).withColumn("pick", F.lit(2))
     got = mixture.mix(df, shards=3).collect()
     assert len(got) == 6
     check_mix(spark, df, got, 3)
