@@ -7,7 +7,7 @@ score is the mean of ln S over its words.
 Everything is counted and joined by hash bucket. Table 1 holds the counts of words. For pairs, a bucket gets the pairs of
 all documents with their owners, counts them and looks the counts up for each owner: table and join in one exchange. What then needs
 a word's count, c(v) or c(w), goes to that word's bucket and meets table 1 there. Sums are added by document.
-Rows travel packed: a block of a few million words gives one binary row for each bucket, with its words and documents as small dictionaries.
+Rows travel packed: a block of a million words gives one binary row for each bucket, with its words and documents as small dictionaries.
 Pairs and words that are so common that one bucket would grow with them are counted first (a few thousand at most); their counts are
 broadcast and their rows need no exchange.
 """
@@ -27,7 +27,7 @@ from .decontam import Lookup
 
 BACKOFF = 0.4
 _U = np.uint64
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 #: A pair or word is common from this share of all words on, so there are at most as many as its inverse.
 COMMON = 1 / 2000
 _PAIR = _U(0x9FB21C651E98DF25)
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, frequent = _word_counts(docs, parts)
     total = table.agg(F.sum("total")).first()[0] or 0
-    buckets = max(parts, total >> 21)
+    buckets = max(parts, total >> 20)
     words = spark.sparkContext.broadcast([(r.key, r.n) for r in _unpack(table, max(8, COMMON * total)).collect()])
     asked = [r.key for r in _unpack(frequent, 0).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(int(4 / COMMON)).collect()]
     common = spark.sparkContext.broadcast(_exact(docs, asked) if asked else [])
