@@ -257,3 +257,21 @@ def test_state(spark):
     a = F.array(*[F.lit(x) for x in (9.0, 1.0, 1.0, 3.0, 0.5)])
     assert one(spark, state.threshold_reset(a, 2.0)) == [True, False, True, True, True]
     assert math.isclose(one(spark, cascade.jitter(F.array(F.lit(1.0), F.lit(3.0)))), 1 / (2 + 1e-8))
+
+
+def test_scoring(spark, tmp_path):
+    from loomcut import __main__ as cli
+    from loomcut.operators import scoring
+
+    def score(model, pdf):
+        if (pdf["id"] == 3).any():
+            raise ValueError("bad")
+        return pdf["id"] * model
+
+    m = scoring.Metric("m", lambda: 2.0, score)
+    assert m.compute(spark.range(5)).first().value == pytest.approx((0 + 2 + 4 + 8) / 4)
+    videos = spark.createDataFrame([("a",), ("bad",)], "video_path string")
+    got = {r.video_path: r.caption for r in scoring.caption(videos, lambda p: {"a": "A"}[p]).collect()}
+    assert got == {"a": "A", "bad": None}
+    (tmp_path / "r.json").write_text('{"x": ["/r", "/d"]}')
+    assert [t.step for t in cli.main([str(tmp_path / "r.json"), "--steps", "csv", "locate"])] == ["locate", "csv"]
