@@ -44,6 +44,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    n = len(data)
+    up, down = _powers(max(CHUNK_BYTES, 1 << max(n - 1, 0).bit_length()))
+    sums = np.zeros(n + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(_U) * _U(_STEP))
+
+
 @dataclass
 class Words:
     """Words of some texts. first: for each text the index of its first word, and the end; hashes: one for each word."""
@@ -70,10 +79,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(max(CHUNK_BYTES, 1 << (n - 1).bit_length()))
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(_U) * _U(_STEP))
+    hashes = hash_spans(data, begins, ends)
     return Words(np.searchsorted(begins, offsets), hashes, begins, ends)
 
 

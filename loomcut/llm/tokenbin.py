@@ -17,60 +17,168 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import chunks
+from .textvec import CHUNK_BYTES, chunks, hash_spans
 
-#: A text of these characters alone is split into units as the byte-level pre-tokenizer would split it at white space.
-_PLAIN = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
-_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_CACHE = 300_000
+#: Bytes of tab, line breaks, printable ASCII, and Latin letters and signs of two UTF-8 bytes.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[9, 10, 13]] = _PLAIN[32:127] = _PLAIN[0x80:0xC0] = _PLAIN[0xC2:0xCA] = True
+#: What of the signs after byte 0xC2 isn't plain: controls, no-break space, soft hyphen, superscript digits, fractions.
+_ODD = np.zeros(256, bool)
+_ODD[0x80:0xA1] = _ODD[[0xAD, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]] = True
+#: The byte-level pre-tokenizer's words, for plain text.
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SLOTS, _MOST_UNITS, _MOST_WORDS = 1 << 21, 900_000, 150_000
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
-    Such a tokenizer treats each word with the space before it on its own. So a unit between white spaces
-    is encoded once by the library and then kept; kept units are forgotten when they become too many. A text with
-    characters beyond Latin, or with a special token's string, is encoded whole.
+    Such a tokenizer treats each word with the space before it on its own, and no word crosses white space. So texts are cut into
+    units at white space as the pre-tokenizer would; a unit's ids are found once, by the library's model word by word, and kept
+    in a hash table that numpy looks up for a whole piece of texts. The table is emptied when it is full. A
+    text with characters beyond Latin, or with a special token's string, is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(special)) if special else None
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _PLAIN.search(t) or (self.whole and self.whole.search(t)) else _UNIT.findall(t) for t in texts]
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        new = [*{u for units in split if units for u in units if u not in known}]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            known.update(zip(part, (x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        out = []
-        for text, units in zip(texts, split):
-            if units is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = []
-                for u in units:
-                    ids += known[u]
-            out.append(np.array(ids, np.int32))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # The byte-level alphabet, learned from the pre-tokenizer itself: a plain word's bytes are mapped to its characters.
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {b: byte_level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        for b in range(0x80, 0xC0):
+            shown[b] = byte_level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1]
+        for b in range(0xC2, 0xCA):
+            shown[b] = byte_level.pre_tokenize_str(bytes([b, 0xA1]).decode())[0][0][0]
+        self.alphabet = {b: c for b, c in shown.items()}
+        self.words: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 1
+        self.pool[0] = self.end_id
+        self.begin, self.length, self.n = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int32), 1
+
+    def _add(self, lists: list[list[int]]) -> np.ndarray:
+        """Puts ids into the pool; the numbers of their entries."""
+        size, many = sum(map(len, lists)), len(lists)
+        while self.used + size > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + many > len(self.begin):
+            self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
+        lengths = np.array([len(x) for x in lists], np.int32)
+        self.pool[self.used : self.used + size] = np.fromiter((i for x in lists for i in x), np.int32, size)
+        self.begin[self.n : self.n + many] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : self.n + many] = lengths
+        self.used, self.n = self.used + size, self.n + many
+        return np.arange(self.n - many, self.n, dtype=np.int32)
+
+    def _unit(self, unit: bytes) -> list[int]:
+        out: list[int] = []
+        for word in _WORD.findall(unit.decode()):
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= _MOST_WORDS:
+                    self.words.clear()
+                ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+            out += ids
         return out
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of units; 0 where there is none."""
+        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == hashes, self.values[slot], 0)
+        left = np.flatnonzero((key != hashes) & (key != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (_SLOTS - 1)
+            key = self.keys[slot[left]]
+            same = key == hashes[left]
+            out[left[same]] = self.values[slot[left[same]]]
+            left = left[~same & (key != 0)]
+        return out
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        """Adds units, all new and distinct."""
+        entries = self._add([self._unit(u) for u in units])
+        slot, left = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = hashes[put], entries[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (_SLOTS - 1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id after each, number of ids of each)."""
+        data, offsets = data[int(offsets[0]) : int(offsets[-1])], (offsets - offsets[0]).astype(np.int64)
+        n, many = len(data), len(offsets) - 1
+        if self.n > _MOST_UNITS:
+            self.clear()
+        odd = ~_PLAIN[data]
+        if n > 1:
+            odd[:-1] |= (data[:-1] == 0xC2) & _ODD[data[1:]]
+        whole = np.diff(np.searchsorted(np.flatnonzero(odd), offsets)) > 0
+        raw = data.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(s, at + 1)
+        space = _SPACE[data]
+        before = np.append(False, space[:-1]) if n else space
+        after = np.append(~space[1:], False) if n else space
+        begin = offsets[:-1][offsets[:-1] < offsets[1:]]
+        after[offsets[1:][offsets[1:] > 0] - 1] = False
+        blank = np.append(False, data[:-1] == 32) if n else space
+        start = np.where(space, ~before | after, before & ~blank)
+        start[begin] = True
+        if whole.any():
+            inside = np.repeat(whole, np.diff(offsets))
+            start[inside] = False
+            start[begin[whole[np.searchsorted(offsets, begin, side="right") - 1]]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], n)
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        plain = ~whole[doc]
+        hashes = hash_spans(data, starts, ends)
+        hashes[hashes == 0] = 1
+        entry = self._find(hashes)
+        entry[~plain] = 0
+        new = np.flatnonzero((entry == 0) & plain)
+        if len(new):
+            _, first = np.unique(hashes[new], return_index=True)
+            at = new[first]
+            self._learn(hashes[at], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            entry[new] = self._find(hashes[new])
+        mark = self.used, self.n
+        if not plain.all():
+            at = np.flatnonzero(~plain)
+            entry[at] = self._add([self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+        stop = np.searchsorted(doc, np.arange(many), side="right")
+        entry = np.insert(entry, stop, 0)  # entry 0 is the end id
+        lengths = self.length[entry]
+        ends = np.cumsum(lengths)
+        flat = self.pool[np.repeat(self.begin[entry] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.used, self.n = mark
+        per = np.append(0, ends)[stop + np.arange(1, many + 1)]
+        return flat, np.diff(np.append(0, per))
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc: str = "doc_id", end_id: int = 0, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 1000) -> None:
@@ -86,14 +194,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, end_id)
         for batch in batches:
-            column = batch.column(1)
-            for a, b, _, _ in chunks(column):
-                ids = [np.append(x, np.int32(end_id)) for x in coder.encode(column.slice(a, b - a).to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
+            for a, b, data, ends in chunks(batch.column(1), CHUNK_BYTES // 2):
+                ids, n = coder.encode(data, ends)
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(n), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))], ["doc_id", "part", "n_tokens", "local_start", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(n.astype(np.int64)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "n_tokens", "local_start", "ids"])
                 at += int(offsets[-1])
 
     out = rows.mapInArrow(encode, "doc_id long, part int, n_tokens long, local_start long, ids array<int>")
@@ -127,6 +233,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
 
     def check(batches):
+        _encoders.clear()  # a worker that wrote tokens holds one that it needs no more
         for batch in batches:
             lists = batch.column(3)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4").view(np.uint8)
