@@ -5,13 +5,14 @@ A text's set are the 64-bit hashes of its distinct word shingles. Texts with the
 
 1. One pass gives each text its node (a hash of the set), size, bitmap signature and a few least hashes (sketch keys), and
    counts shingles that are frequent.
-2. Stars: nodes that share a sketch key are compared with the one among them whose keys are most common, so large groups of near copies
-   fall together after one comparison for each member and key.
-3. Tiles: two nodes that link share one of the first |x| - ceil(percent% |x|) + 1 shingles of each in any common order; here rare ones come
-   first, frequent ones last. Nodes meet in a tile by such a shingle and a band of sizes, only where the shingle occurs in two
-   components of step 2. In a tile the bits that differ between two bitmaps bound the overlap from above; pairs that could still
-   link are compared exactly.
-4. Components over the links of both steps. Pairs within a component of step 2 need no comparison: their links cannot change it.
+2. Shingles meet by hash bucket, which tells in how many nodes each occurs. In the order of that number two nodes that link share one of the
+   first |x| - ceil(percent% |x|) + 1 shingles of each. A node with as many shingles of its own links with nothing and is done.
+3. Stars: of the others, those that share a sketch key are compared with the one among them whose shingles are most common, so large groups
+   of near copies fall together after one comparison for each member and key.
+4. Tiles: nodes meet in a tile by one of their first shingles and a band of sizes, only where the shingle occurs in two
+   components of step 3. The first shingle that two nodes share leaves only what follows it in either to be shared, and the bits that differ
+   between two bitmaps bound the overlap from above too; pairs that could still link are compared exactly.
+5. Components over the links of both steps. Pairs within a component of step 3 need no comparison: their links cannot change it.
 
 So no link between components is missed, and a group of g copies gives g rows, not g * g.
 """
@@ -22,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -35,10 +36,6 @@ KEYS = 8
 _FLUSH = 1 << 21
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
-
-
 def set_hash(s: np.ndarray) -> int:
     """A 64-bit hash of a set."""
     x = textvec.mix(s * _U(0xD1342543DE82EF95) + _U(1))
@@ -145,86 +142,97 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
 
 
 def _stars(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v): each node with the centre of every sketch key it shares, where sizes and bitmaps allow a link."""
-    keyed = stored(nodes.select("node", F.explode("keys").alias("key")), "keys")
-    common = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    fame = keyed.join(common, "key").groupBy("node").agg(F.sum("times").alias("fame"))
-    famed = keyed.join(fame, "node")
-    centre = famed.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("centre"), F.count("*").alias("times")).where("times > 1").select("key", "centre")
+    """Pairs (u, v): each node with the centre of every sketch key it shares, where sizes and bitmaps allow a link.
+
+    The centre is the node whose shingles are the most common on average: in a group of near copies the one nearest to what all have.
+    """
+    keyed = stored(nodes.select("node", "fame", F.explode("keys").alias("key")), "keys")
+    centre = keyed.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("centre"), F.count("*").alias("times")).where("times > 1").select("key", "centre")
     pairs = keyed.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "uv")
     return stored(pairs.join(left, "u").join(right, "v").where(_may_link("n_u", "n_v", "bits_u", "bits_v", percent)).select("u", "v"), "stars")
 
 
-def _shared_prefixes(docs: DataFrame, frequent: DataFrame, total: int, k: int, percent: int, most_frequent: int) -> DataFrame:
-    """(token, node): the first shingles of each text, rare ones first, without those that only one node has.
+def _shared(docs: DataFrame, frequent: DataFrame, total: int, k: int, most_frequent: int) -> DataFrame:
+    """(token, node, df): the shingles of each node that occur in other nodes too, and in how many.
 
-    Shingles travel packed by hash bucket; a bucket holds about 4 million. Frequent ones, which would fill one, are known to be shared and
-    are dealt out evenly.
+    Shingles travel packed by hash bucket; a bucket holds about 4 million. Frequent ones, which would fill one, are known to be shared; they
+    are dealt out evenly, their counts so far standing for df.
     """
     spark = docs.sparkSession
     rows = frequent.orderBy(F.desc("times"), "token").limit(most_frequent).toPandas()  # bounded by most_frequent
     order = np.argsort(rows["token"].to_numpy(np.int64).view(_U))
     table = spark.sparkContext.broadcast((rows["token"].to_numpy(np.int64).view(_U)[order], rows["times"].to_numpy(np.int64)[order]))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 >> 22, 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 22, 1)
 
     def pack(batches):
-        keys, times = table.value
-        look = Lookup(keys)
-        tokens, owners, size = [], [], 0
+        look = Lookup(table.value[0])
+        tokens, owners, size, known = [], [], 0, set()
 
         def flush():
             if not tokens:
                 return
-            t, o = np.concatenate(tokens), np.concatenate(owners)
+            t = np.concatenate(tokens)
+            o = np.repeat(np.array(owners, np.int64), [len(x) for x in tokens])
             tokens.clear(), owners.clear()
             hot = np.zeros(len(t), bool)
             hot[look.find(t)[0]] = True
-            bucket = np.where(hot, o.view(_U), textvec.mix(t)) % _U(buckets)
-            for sort in (np.lexsort((t, hot, bucket)),):
-                t, o, hot, bucket = t[sort], o[sort], hot[sort], bucket[sort]
-            edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1])]))
-            ends = np.append(edge[1:], len(t))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(hot[edge]), pa.array([t[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()), pa.array([o[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary())], ["bucket", "hot", "tokens", "nodes"])
+            bucket = (np.where(hot, o.view(_U), textvec.mix(t)) % _U(buckets)).astype(np.int64) * 2 + hot
+            sort = np.argsort(bucket, kind="stable")
+            t, o, bucket = t[sort], o[sort], bucket[sort]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(edge, np.append(edge[1:], len(t))):
+                own = o[a:b]
+                new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                runs = np.diff(np.append(new, len(own))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a] // 2], pa.int32()), pa.array([bool(bucket[a] % 2)]), pa.array([t[a:b].tobytes()], pa.binary()), pa.array([own[new].tobytes()], pa.binary()), pa.array([runs.tobytes()], pa.binary())], ["bucket", "hot", "tokens", "nodes", "runs"])
 
         for batch in batches:
             for _, _, sets in _sets(batch.column(1), k):
-                ends = np.cumsum([0, *map(len, sets)])
-                flat = np.concatenate(sets) if sets else np.zeros(0, _U)
-                often = np.zeros(len(flat), np.int64)
-                at, key = look.find(flat)
-                often[at] = times[key]
-                busy = np.add.reduceat(np.append(often, 0), ends[:-1]) if len(flat) else np.zeros(len(sets))
-                for i, s in enumerate(sets):
-                    if not len(s):
+                for s in sets:
+                    node = set_hash(s)
+                    if not len(s) or node in known:  # copies of a text in this task add nothing
                         continue
-                    p = prefix_length(len(s), percent)
-                    if busy[i]:
-                        s = s[np.argsort(often[ends[i] : ends[i + 1]], kind="stable")[:p]]
-                    tokens.append(s[:p])
-                    owners.append(np.full(p, set_hash(sets[i]), np.int64))
-                    size += p
-            if size > _FLUSH:
-                size = 0
-                yield from flush()
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    known.add(node)
+                    tokens.append(s)
+                    owners.append(node)
+                    size += len(s)
+                if size > _FLUSH:
+                    size = 0
+                    yield from flush()
         yield from flush()
 
-    packed = docs.mapInArrow(pack, "bucket int, hot boolean, tokens binary, nodes binary")
+    packed = docs.mapInArrow(pack, "bucket int, hot boolean, tokens binary, nodes binary, runs binary")
 
     def unpack(group: pa.Table) -> pa.Table:
-        hot = np.repeat(group["hot"].to_numpy(zero_copy_only=False), [len(x) // 8 for x in group["tokens"].to_pylist()])
-        t = np.frombuffer(b"".join(group["tokens"].to_pylist()), _U)
-        o = np.frombuffer(b"".join(group["nodes"].to_pylist()), np.int64)
-        sort = np.lexsort((o, t))
-        t, o, hot = t[sort], o[sort], hot[sort]
-        same = t[1:] == t[:-1]
-        new = np.append(True, ~same | (o[1:] != o[:-1]))  # the first of each (token, node)
-        t, o, hot = t[new], o[new], hot[new]
-        twin = t[1:] == t[:-1]
-        keep = np.append(twin, False) | np.append(False, twin) | hot
-        return pa.table({"token": t[keep].view(np.int64), "node": o[keep]})
-
-    return stored(packed.groupBy("bucket").applyInArrow(unpack, "token long, node long"), "prefixes")
+        keys, times = table.value
+        parts = []
+        for hot in (False, True):
+            own = group.filter(pa.array(group["hot"].to_numpy(zero_copy_only=False) == hot))
+            load = lambda c, kind, own=own: np.frombuffer(b"".join(own[c].to_pylist()), kind)
+            t, o = load("tokens", _U), np.repeat(load("nodes", np.int64), load("runs", np.int32))
+            sort = np.argsort(t)
+            t, o = t[sort], o[sort]
+            if not hot and len(t):  # most shingles are alone and leave first
+                twin = t[1:] == t[:-1]
+                keep = np.append(twin, False) | np.append(False, twin)
+                t, o = t[keep], o[keep]
+            sort = np.lexsort((o, t))
+            t, o = t[sort], o[sort]
+            new = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))[: len(t)]
+            t, o = t[new], o[new]
+            if hot:
+                df = times[np.searchsorted(keys, t)] if len(t) else np.zeros(0, np.int64)
+            else:
+                _, at, n = np.unique(t, return_inverse=True, return_counts=True)
+                df = n[at]
+                t, o, df = t[df > 1], o[df > 1], df[df > 1]
+            parts.append(pa.table({"token": t.view(np.int64), "node": o, "df": df.astype(np.int64)}))
+        return pa.concat_tables(parts)
+
+    return stored(packed.groupBy("bucket").applyInArrow(unpack, "token long, node long, df long"), "shared")
 
 
 def _tiles(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +240,15 @@ def _tiles(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     base = 100 / percent
     placed = shared.join(nodes.select("node", "root"), "node")
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rows = placed.join(mixed, "token").distinct().join(nodes.select("node", "n", "bits"), "node")
+    rows = placed.join(mixed, "token").join(nodes.select("node", "n", "bits"), "node")
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(base) + 1e-9).cast("int")), "tiles")
-    left = rows.select("token", "band", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "bits")])
+    left = rows.select("token", "band", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "bits", "pos")])
     right = rows.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    right = right.select("token", "band", "own", *[F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "bits")])
+    right = right.select("token", "band", "own", *[F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "bits", "pos")])
     apart = (F.col("root_u") != F.col("root_v")) & ((F.col("own") > F.col("band")) | (F.col("node_u") < F.col("node_v")))
+    # Were this the first shingle they share, at most it and what follows could be shared; at the first one the bound holds.
+    rest = 1 + F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
+    apart = apart & (rest * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v")))
     pairs = left.join(right, ["token", "band"]).where(apart & _may_link("n_u", "n_v", "bits_u", "bits_v", percent))
     out = stored(pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct(), "pairs")
     drop_stored(rows)
@@ -257,12 +268,18 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     texts = seen.where("keys is not null")
     frequent = seen.where("keys is null").groupBy(F.col("node").alias("token")).agg(F.sum("n").alias("times"))
     nodes = stored(texts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
-    near = _verify(_stars(nodes, percent), docs, nodes, k, percent)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    shared = _shared(docs, frequent, total, k, most_frequent)
+    # How many of a node's shared shingles are among its first ones; nodes with none are done.
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    open_ = shared.groupBy("node").agg(F.count("*").alias("shared"), F.sum("df").alias("df")).join(nodes, "node").withColumn("fame", F.col("df") / F.col("n")).withColumn("alone", F.col("n") - F.col("shared")).withColumn("first", prefix - F.col("alone"))
+    open_ = stored(open_.where("first > 0").drop("shared", "df"), "open")
+    near = _verify(_stars(open_, percent), docs, open_, k, percent)
     first = components(near)
-    rooted = stored(nodes.drop("keys").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    total = texts.agg(F.sum("n")).first()[0] or 0
-    shared = _shared_prefixes(docs, frequent, total, k, percent, most_frequent)
-    more = _verify(_tiles(shared, rooted, percent), docs, nodes, k, percent)
+    rooted = stored(open_.drop("keys", "fame").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    prefixes = shared.join(rooted.select("node", "first", "alone"), "node").withColumn("place", place).where("place <= first").select("token", "node", (F.col("alone") + F.col("place")).alias("pos"))
+    more = _verify(_tiles(stored(prefixes, "prefixes"), rooted, percent), docs, open_, k, percent)
     last = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     named = texts.select("doc_id", "n", "node").where("n > 0").join(last, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
