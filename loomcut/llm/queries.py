@@ -53,6 +53,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows are whole texts, and lists of their ids
     path = common.new_path(spark, "tokens")
     tokenbin.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer)
     return tokenbin.with_checksum(tokenbin.read_tokens(spark, path))

@@ -29,7 +29,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 #: The byte-level pre-tokenizer's words, for plain text.
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_SLOTS, _MOST_UNITS, _MOST_WORDS = 1 << 21, 900_000, 150_000
+_SLOTS, _MOST_UNITS, _MOST_WORDS = 1 << 21, 700_000, 80_000
 
 
 class Encoder:
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         part, at = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer, end_id)
         for batch in batches:
-            for a, b, data, ends in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for a, b, data, ends in chunks(batch.column(1), CHUNK_BYTES // 4):
                 ids, n = coder.encode(data, ends)
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(n.astype(np.int64)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "n_tokens", "local_start", "ids"])
@@ -234,6 +234,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
 
     def check(batches):
         _encoders.clear()  # a worker that wrote tokens holds one that it needs no more
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             lists = batch.column(3)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4").view(np.uint8)
