@@ -8,7 +8,7 @@ Everything is counted and joined by hash bucket. Table 1 holds the counts of wor
 all documents with their owners, counts them and looks the counts up for each owner: table and join in one exchange. What then needs
 a word's count, c(v) or c(w), goes to that word's bucket and meets table 1 there. Sums are added by document.
 Rows travel packed: a block of a million words gives one binary row for each bucket, with its words and documents as small dictionaries.
-Pairs and words that are so common that one bucket would grow with them are counted first (a few thousand at most); their counts are
+Common pairs and words are counted first (a hundred thousand of each at most), so that no bucket grows with one of them; their counts are
 broadcast and their rows need no exchange.
 """
 
@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,10 @@ from .decontam import Lookup
 BACKOFF = 0.4
 _U = np.uint64
 _FLUSH = 1 << 20
-#: A pair or word is common from this share of all words on, so there are at most as many as its inverse.
-COMMON = 1 / 2000
+#: A pair or word is common from this share of all words on, so there are at most as many as its inverse; its count is broadcast.
+COMMON = 1 / 100_000
+#: Pairs after a word with this share are dealt out by pair, so that no bucket grows with one word.
+SPREAD = 1 / 2000
 _PAIR = _U(0x9FB21C651E98DF25)
 
 
@@ -64,6 +67,17 @@ def _large(blob: bytes, kind: type) -> np.ndarray:
     return values[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, -1, 8 + 8 * n)]
 
 
+def _runs(x: np.ndarray) -> bytes:
+    """Values in runs, and the runs' lengths."""
+    new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return np.int64(len(new)).tobytes() + np.diff(x[new], prepend=0).astype(np.int64).tobytes() + np.diff(np.append(new, len(x))).astype(np.int32).tobytes()
+
+
+def _unrun(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.repeat(np.cumsum(np.frombuffer(blob, np.int64, n, 8)), np.frombuffer(blob, np.int32, n, 8 + 8 * n))
+
+
 def _counts(x: np.ndarray) -> bytes:
     kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.int64
     return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
@@ -74,12 +88,16 @@ def _uncount(blob: bytes) -> np.ndarray:
 
 
 class _Table:
-    """Counts of common keys, broadcast."""
+    """Counts of common keys, broadcast as what pack() returns."""
+
+    def __init__(self, packed: tuple[np.ndarray, np.ndarray]):
+        self.look, self.n = Lookup(packed[0]), packed[1]
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        rows = sorted((k & (1 << 64) - 1, n) for k, n in rows)
-        self.look = Lookup(np.array([k for k, _ in rows], _U))
-        self.n = np.array([n for _, n in rows], np.int64)
+    @staticmethod
+    def pack(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.array([k for k, _ in rows], np.int64).view(_U), np.array([n for _, n in rows], np.int64)
+        order = np.argsort(keys)
+        return keys[order], n[order]
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
@@ -198,7 +216,7 @@ class _Lookups:
             order = np.lexsort((own[i], kind[i], word[i], doc[i]))
             i = i[order]
             new = np.flatnonzero(np.append(True, (np.diff(doc[i]) != 0) | (word[i][1:] != word[i][:-1]) | (np.diff(kind[i]) != 0) | (np.diff(own[i]) != 0)))
-            yield _row("word", b, [], [], [_small(doc[i][new]), _small(word[i][new]), _counts(np.add.reduceat(times[i], new)), _counts(own[i][new]), kind[i][new].astype(np.uint8).tobytes()])
+            yield _row("word", b, [], [], [_runs(doc[i][new]), _small(word[i][new]), _counts(np.add.reduceat(times[i], new)), _counts(own[i][new]), kind[i][new].astype(np.uint8).tobytes()])
         yield from self.flush_sums()
         self.rows = []
 
@@ -206,7 +224,7 @@ class _Lookups:
         doc = np.concatenate([x for x, _ in self.sums]) if self.sums else np.zeros(0, np.int64)
         if len(doc):
             found, at = np.unique(doc, return_inverse=True)
-            yield _row("sum", 0, found, np.bincount(at, weights=np.concatenate([y for _, y in self.sums]), minlength=len(found)), [])
+            yield _row("sum", int(found[0] % self.buckets), found, np.bincount(at, weights=np.concatenate([y for _, y in self.sums]), minlength=len(found)), [])
         self.sums = []
 
 
@@ -228,9 +246,9 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     table, frequent = _word_counts(docs, parts)
     total = table.agg(F.sum("total")).first()[0] or 0
     buckets = max(parts, total >> 20)
-    words = spark.sparkContext.broadcast([(r.key, r.n) for r in _unpack(table, max(8, COMMON * total)).collect()])
+    words = spark.sparkContext.broadcast(_Table.pack([(r.key, r.n) for r in _unpack(table, max(8, COMMON * total)).collect()]))
     asked = [r.key for r in _unpack(frequent, 0).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(int(4 / COMMON)).collect()]
-    common = spark.sparkContext.broadcast(_exact(docs, asked) if asked else [])
+    common = spark.sparkContext.broadcast(_Table.pack(_exact(docs, asked) if asked else []))
 
     def explode(batches):
         hot, out = _Table(common.value), _Lookups(_Table(words.value), total, parts)
@@ -243,9 +261,11 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
                 n = hot.get(pair)
                 known = n > 0
                 resolve(out, d[known], v[known], w[known], times[known], own[known], n[known])
-                for b, i in _split(pair[~known], buckets):
+                # Pairs of one first word meet in one bucket, so that blocks need few first words; those of a common word are spread.
+                where = np.where(out.words.get(v) >= SPREAD * total, pair, v)
+                for b, i in _split(where[~known], buckets):
                     i = np.flatnonzero(~known)[i]
-                    yield _row("pair", b, [], [], [_small(d[i]), _small(v[i]), _small(w[i]), _counts(times[i]), _counts(own[i])])
+                    yield _row("pair", b, [], [], [_runs(d[i]), _small(v[i]), _small(w[i]), _counts(times[i]), _counts(own[i])])
                 held.clear()
             yield from out.flush()
 
@@ -281,29 +301,32 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         out.less(d[seen], v[seen], times[seen])
         out.backoff(d[~seen], w[~seen], times[~seen], own[~seen], True)
 
-    first = stored(docs.mapInArrow(explode, _SCHEMA), "exploded")
-
     def join_pairs(group: pa.Table) -> pa.Table:
+        done = group.filter(pc.not_equal(group["kind"], "pair"))
+        group = group.filter(pc.equal(group["kind"], "pair"))
         out = _Lookups(_Table(words.value), total, parts)
         cols = [[], [], [], [], []]
         for blobs in group["blobs"].to_pylist():
-            for k, x in enumerate((_large(blobs[0], np.int64), _large(blobs[1], _U), _large(blobs[2], _U), _uncount(blobs[3]), _uncount(blobs[4]))):
+            for k, x in enumerate((_unrun(blobs[0]), _large(blobs[1], _U), _large(blobs[2], _U), _uncount(blobs[3]), _uncount(blobs[4]))):
                 cols[k].append(x)
-        d, v, w, times, own = map(np.concatenate, cols)
-        found, at = np.unique(pair_hash(v, w), return_inverse=True)
-        n = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)[at]
-        resolve(out, d, v, w, times, own, n)
-        rows = [*out.flush()]
-        return pa.Table.from_batches(rows) if rows else pa.table({f: group[f].slice(0, 0) for f in group.column_names})
-
-    second = stored(first.where("kind = 'pair'").groupBy("bucket").applyInArrow(join_pairs, _SCHEMA), "joined")
+        rows = []
+        if cols[0]:
+            d, v, w, times, own = map(np.concatenate, cols)
+            found, at = np.unique(pair_hash(v, w), return_inverse=True)
+            n = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)[at]
+            resolve(out, d, v, w, times, own, n)
+            rows = [pa.Table.from_batches([r]).cast(done.schema) for r in out.flush()]
+        return pa.concat_tables([done, *rows])
+
+    # Rows that are no pairs pass through the exchange as they are.
+    joined = stored(docs.mapInArrow(explode, _SCHEMA).groupBy("bucket").applyInArrow(join_pairs, _SCHEMA), "joined")
 
     def join_words(group: pa.Table, counts: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(counts["keys"].to_pylist()), _U)
         n = np.frombuffer(b"".join(counts["counts"].to_pylist()), np.int64)
         docs_, sums = [], []
         for blobs in group["blobs"].to_pylist():
-            d, word = _large(blobs[0], np.int64), _large(blobs[1], _U)
+            d, word = _unrun(blobs[0]), _large(blobs[1], _U)
             found = n[np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))]
             value = answer(found, _uncount(blobs[2]), _uncount(blobs[3]), np.frombuffer(blobs[4], np.uint8), total)
             docs_.append(d), sums.append(value)
@@ -312,10 +335,10 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         found, at = np.unique(np.concatenate(docs_), return_inverse=True)
         return pa.table({"doc": found, "value": np.bincount(at, weights=np.concatenate(sums), minlength=len(found))})
 
-    asked_words = first.where("kind = 'word'").union(second.where("kind = 'word'")).select("bucket", "blobs")
+    asked_words = joined.where("kind = 'word'").select("bucket", "blobs")
     third = asked_words.groupBy("bucket").cogroup(table.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(join_words, "doc long, value double")
     pairs = F.explode(F.arrays_zip("doc", "value")).alias("x")
-    sums = first.where("kind = 'sum'").union(second.where("kind = 'sum'")).select(pairs).select("x.doc", "x.value").union(third)
+    sums = joined.where("kind = 'sum'").select(pairs).select("x.doc", "x.value").union(third)
     sums = sums.groupBy("doc").agg(F.sum("value").alias("log_score"))
 
     def count_words(batches):
