@@ -8,7 +8,7 @@ Everything is counted and joined by hash bucket. Table 1 holds the counts of wor
 all documents with their owners, counts them and looks the counts up for each owner: table and join in one exchange. What then needs
 a word's count, c(v) or c(w), goes to that word's bucket and meets table 1 there. Sums are added by document.
 Rows travel packed: a block of a million words gives one binary row for each bucket, with its words and documents as small dictionaries.
-Common pairs and words are counted first (a hundred thousand of each at most), so that no bucket grows with one of them; their counts are
+Common pairs and words are counted first (twenty thousand of each at most), so that no bucket grows with one of them; their counts are
 broadcast and their rows need no exchange.
 """
 
@@ -28,9 +28,9 @@ from .decontam import Lookup
 
 BACKOFF = 0.4
 _U = np.uint64
-_FLUSH = 1 << 20
+_FLUSH = 3 << 19
 #: A pair or word is common from this share of all words on, so there are at most as many as its inverse; its count is broadcast.
-COMMON = 1 / 100_000
+COMMON = 1 / 20_000
 #: Pairs after a word with this share are dealt out by pair, so that no bucket grows with one word.
 SPREAD = 1 / 2000
 _PAIR = _U(0x9FB21C651E98DF25)
@@ -176,7 +176,8 @@ def _exact(docs: DataFrame, keys: list[int]) -> list[tuple[int, int]]:
         for batch in batches:
             for _, _, data, offsets in textvec.chunks(batch.column(1)):
                 n += np.bincount(look.find(_pairs(textvec.words(data, offsets, textvec.NOT_SPACE))[0])[1], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(n)], ["key", "n"])
+        there = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)[there]), pa.array(n[there])], ["key", "n"])
 
     return [(r.key, r.n) for r in docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()]
 
