@@ -96,23 +96,52 @@ def tk2_union_limit_overshoot(spark, sf):
     return combine.union_limit(parts, 90, ["doc_id"]).select("doc_id", F.col("_source").alias("source_no"))
 
 
+@query("""
+WITH s AS (SELECT doc_id, dense_rank() OVER (ORDER BY length(source), source) - 1 AS src FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) rn FROM s),
+n AS (SELECT src, least(count(*), 90) n FROM s GROUP BY src), b AS (SELECT src, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM n)
+SELECT doc_id, CAST(src AS INTEGER) AS source_no FROM r JOIN b USING (src) WHERE rn <= 90 AND (before + rn <= 90 OR (rn = 1 AND before >= 90))""")
+def tk2_union_limit_overshoot_all(spark, sf):
+    """SET1, TK2: the same over every source there is, in natural order."""
+    docs = table(spark, sf, "documents")
+    names = [r.source for r in docs.select("source").distinct().orderBy(F.length("source"), "source").collect()]
+    parts = [docs.where(F.col("source").eqNullSafe(n)).select("doc_id") for n in names]
+    return combine.union_limit(parts, 90, ["doc_id"]).select("doc_id", F.col("_source").alias("source_no"))
+
+
 @query("""
 SELECT doc_id, quality, max(conf) AS conflicts FROM (
   SELECT doc_id, first_value(quality) OVER w AS quality, min(quality) OVER (PARTITION BY doc_id) <> max(quality) OVER (PARTITION BY doc_id) AS conf
   FROM (SELECT doc_id, quality, 0 AS i FROM labels UNION ALL SELECT doc_id, 1, 1 FROM documents WHERE doc_id % 3 = 0) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY ALL""")
 def set5_first_wins(spark, sf):
     """SET5: union by key, the first table's row wins, conflicts flagged."""
-    one = table(spark, sf, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    two = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("quality"))
-    return combine.first_wins([one, two], "doc_id")
+    return combine.first_wins(_labelled(spark, sf, table(spark, sf, "documents").where("doc_id % 3 = 0")), "doc_id")
+
+
+@query("""
+SELECT doc_id, quality, max(conf) AS conflicts FROM (
+  SELECT doc_id, first_value(quality) OVER w AS quality, min(quality) OVER (PARTITION BY doc_id) <> max(quality) OVER (PARTITION BY doc_id) AS conf
+  FROM (SELECT doc_id, quality, 0 AS i FROM labels UNION ALL SELECT doc_id, 1, 1 FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY ALL""")
+def set5_first_wins_all(spark, sf):
+    """SET5: the same for every document."""
+    return combine.first_wins(_labelled(spark, sf, table(spark, sf, "documents")), "doc_id")
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE l.quality END AS quality FROM (SELECT DISTINCT doc_id, quality FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d USING (doc_id)")
 def set5_later_wins(spark, sf):
     """SET5, SRC30: union by key, the last table's row wins."""
-    one = table(spark, sf, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    two = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("quality"))
-    return combine.later_wins([one, two], "doc_id")
+    return combine.later_wins(_labelled(spark, sf, table(spark, sf, "documents").where("doc_id % 3 = 0")), "doc_id")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE l.quality END AS quality FROM (SELECT DISTINCT doc_id, quality FROM labels) l FULL JOIN documents d USING (doc_id)")
+def set5_later_wins_all(spark, sf):
+    """SET5, SRC30: the same for every document."""
+    return combine.later_wins(_labelled(spark, sf, table(spark, sf, "documents")), "doc_id")
+
+
+def _labelled(spark: SparkSession, sf: str, docs: DataFrame) -> list[DataFrame]:
+    """Labels by document, and a label of 1 for each of docs."""
+    return [table(spark, sf, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"]), docs.select("doc_id", F.lit(1).alias("quality"))]
 
 
 @query("SELECT o_orderpriority AS stem, min(o_orderkey) AS left_path, min(c_custkey) AS right_path FROM orders JOIN (SELECT DISTINCT c_mktsegment, c_custkey FROM customer) c ON substr(o_orderpriority, 1, 1) = CAST(c_custkey % 5 + 1 AS VARCHAR) GROUP BY 1")
@@ -319,7 +348,17 @@ def src20_natural_sort(spark, sf):
 @query("SELECT o_orderkey, i AS idx, 42 + i AS seed, o_orderpriority || '-' || i || '.mp4' AS name FROM (SELECT * FROM orders WHERE o_orderkey % 7 = 0), (SELECT unnest(range(0, 5)) AS i)")
 def prj24_task_seeds(spark, sf):
     """PRJ12, PRJ23, PRJ24: each prompt a few times, with seeds and names."""
-    df = table(spark, sf, "orders").where("o_orderkey % 7 = 0").withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    return _task_seeds(table(spark, sf, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query("SELECT o_orderkey, i AS idx, 42 + i AS seed, o_orderpriority || '-' || i || '.mp4' AS name FROM orders, (SELECT unnest(range(0, 5)) AS i)")
+def prj24_task_seeds_all(spark, sf):
+    """PRJ12, PRJ23, PRJ24: the same for every prompt."""
+    return _task_seeds(table(spark, sf, "orders"))
+
+
+def _task_seeds(orders: DataFrame) -> DataFrame:
+    df = orders.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     return df.select("o_orderkey", "idx", (42 + F.col("idx")).alias("seed"), F.concat("o_orderpriority", F.lit("-"), F.col("idx"), F.lit(".mp4")).alias("name"))
 
 
@@ -480,6 +519,15 @@ def jn6_overwrite_nearest(spark, sf):
     return table(spark, sf, "events").where("value < 90 and value > 1").select("event_id", lookup.overwrite_nearest(a, [500.0]).alias("moved"))
 
 
+@query("""
+WITH a AS (SELECT event_id, [value * 10, 450.0, value + 400] AS a FROM events), n AS (SELECT event_id, arg_min(i, (abs(a[i] - 500), i)) AS near FROM a, (SELECT unnest(range(1, 4)) AS i) GROUP BY event_id)
+SELECT event_id, [CASE WHEN near = 1 THEN 500.0 ELSE a[1] END, CASE WHEN near = 2 THEN 500.0 ELSE a[2] END, CASE WHEN near = 3 THEN 500.0 ELSE a[3] END] AS moved FROM a JOIN n USING (event_id)""")
+def jn6_overwrite_nearest_all(spark, sf):
+    """JN6: the same for every event, over entries of which each is the nearest of some."""
+    a = F.array(F.col("value") * 10, F.lit(450.0), F.col("value") + 400)
+    return table(spark, sf, "events").select("event_id", lookup.overwrite_nearest(a, [500.0]).alias("moved"))
+
+
 # Vectors and metrics -----------------------------------------------------------------------------------------------------
 
 
@@ -701,7 +749,21 @@ SELECT y.p_partkey, CASE WHEN y.t + 32 > h THEN h - 32 ELSE y.t END AS top, CASE
 FROM y JOIN x USING (p_partkey) WHERE (y.t < 24 OR y.t - 24 + 32 < h) AND (x.t < 24 OR x.t - 24 + 32 < w)""")
 def wn8_tiles(spark, sf):
     """WN8: tiles of two axes, the last ones moved back to the edge."""
-    df = table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", (F.col("p_size") * 7 + 40).cast("long").alias("h"), (F.col("p_size") * 5 + 40).cast("long").alias("w"))
+    return _tiles(table(spark, sf, "part").where("p_partkey < 500"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size * 7 + 40 AS h, p_size * 5 + 40 AS w FROM part),
+y AS (SELECT p_partkey, h, unnest(range(0, h, 24)) AS t FROM p), x AS (SELECT p_partkey, w, unnest(range(0, w, 24)) AS t FROM p)
+SELECT y.p_partkey, CASE WHEN y.t + 32 > h THEN h - 32 ELSE y.t END AS top, CASE WHEN x.t + 32 > w THEN w - 32 ELSE x.t END AS "left", least(y.t + 32, h) AS bottom, least(x.t + 32, w) AS "right"
+FROM y JOIN x USING (p_partkey) WHERE (y.t < 24 OR y.t - 24 + 32 < h) AND (x.t < 24 OR x.t - 24 + 32 < w)""")
+def wn8_tiles_all(spark, sf):
+    """WN8: the same for every part."""
+    return _tiles(table(spark, sf, "part"))
+
+
+def _tiles(parts: DataFrame) -> DataFrame:
+    df = parts.select("p_partkey", (F.col("p_size") * 7 + 40).cast("long").alias("h"), (F.col("p_size") * 5 + 40).cast("long").alias("w"))
     df = df.withColumn("y", F.explode(regions.axis_tiles(F.col("h"), 32, 24))).withColumn("x", F.explode(regions.axis_tiles(F.col("w"), 32, 24)))
     return df.select("p_partkey", F.col("y.begin").alias("top"), F.col("x.begin").alias("left"), F.col("y.end").alias("bottom"), F.col("x.end").alias("right"))
 
