@@ -541,6 +541,16 @@ def jn8_cosine_matrix(spark, sf):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""
+SELECT a.vec_id AS left_key, b.vec_id AS right_key, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity
+FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, embeddings b""")
+def jn8_cosine_matrix_all(spark, sf):
+    """JN8, AG14: every twentieth vector against all, a query set that grows with the table."""
+    df = table(spark, sf, "embeddings")
+    out = metrics.similarity_blocks(df.where("vec_id % 20 = 0"), df, "vec_id", "embedding")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""
 SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def jn9_clip_score(spark, sf):

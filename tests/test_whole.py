@@ -24,3 +24,19 @@ def test_every_row_takes_part(spark):
 def test_each_entry_is_nearest_of_some(spark):
     at = rows(spark, "jn6_overwrite_nearest_all").select(F.array_position("moved", F.lit(500.0)).alias("at")).distinct()
     assert {r["at"] for r in at.collect()} == {1, 2, 3}
+
+
+def test_every_twentieth_vector_is_a_query(spark):
+    n = queries.table(spark, SF, "embeddings").count()
+    assert {r.left_key for r in rows(spark, "jn8_cosine_matrix_all").select("left_key").distinct().collect()} == set(range(0, n, 20))
+
+
+def test_similarity_blocks_edges(spark):
+    from loomcut.operators import metrics
+
+    vectors = [(1, [1.0, 2.0]), (2, [0.0, 0.0]), (2, [3.0, -1.0]), (None, [2.0, 4.0]), (5, None), (6, [1.0]), (7, [1.0, None]), (8, [])]
+    df = spark.createDataFrame(vectors, "k long, v array<double>").repartition(2)
+    want = metrics.similarity_matrix(df, df, "k", "v").collect()
+    plain = lambda rs: sorted(((r[0], r[1], None if r[2] is None else round(r[2], 12)) for r in rs), key=repr)
+    for block in (2, 512):
+        assert plain(metrics.similarity_blocks(df, df, "k", "v", block).collect()) == plain(want)
