@@ -9,6 +9,7 @@ Everything is made of built-in functions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +53,16 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: the fields that a record of this layout has; turns: an SQL expression of TURNS over those fields, v being a VARIANT or struct."""
+    """paths: the fields that a record of this layout has; turns: an SQL expression of TURNS over those fields, v being a VARIANT.
+
+    Where a record is a part of a conversation, conv and turn are expressions of the conversation's id and of the part's place.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    conv: str = ""
+    turn: str = ""
 
 
 def _pair(*turns: tuple[str, str]) -> str:
@@ -88,6 +94,7 @@ MAPPINGS = (
     Mapping("messages", ("messages[].content", "messages[].role"), _list("messages", "role", "content")),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value", _NAMES)),
     Mapping("turn-list", ("[].content", "[].role"), _list("", "role", "content")),
+    Mapping("rows-by-turn", ("conv_id", "role", "text", "turn"), f"array(named_struct('role', {_get('role')}, 'text', {_get('text')}))", _get("conv_id", "bigint"), _get("turn", "bigint")),
 )
 
 
@@ -95,39 +102,85 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
+#: What the schema of a VARIANT is made of: names of fields, types that open and close, other types.
+_SCHEMA = r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]*\))?"
+
+
 def json_paths(v: Column) -> Column:
-    """Nested field paths of a VARIANT: objects within arrays and within objects, to two levels below the top.
+    """Nested field paths of a VARIANT at any depth, as field_paths() has them; names with other than letters, digits and _ stand in backquotes.
 
     The type of every value is left out, so a null in a field doesn't change the fingerprint.
     """
-    schema = F.schema_of_variant(v)
-    array = schema.startswith("ARRAY<")
-    inner = F.when(array, F.regexp_extract(schema, r"^ARRAY<OBJECT<(.*)>>$", 1)).otherwise(F.regexp_extract(schema, r"^OBJECT<(.*)>$", 1))
-    lists = F.regexp_extract_all(inner, F.lit(r"(\w+): ARRAY<OBJECT<[^<>]*>>"), F.lit(1))
-    below = F.flatten(F.transform(F.regexp_extract_all(inner, F.lit(r"(\w+: ARRAY<OBJECT<[^<>]*)>>"), F.lit(1)), lambda x: F.transform(F.regexp_extract_all(F.regexp_replace(x, r"^\w+: ARRAY<OBJECT<", ""), F.lit(r"(\w+): "), F.lit(1)), lambda f: F.concat(F.regexp_extract(x, r"^(\w+):", 1), F.lit("[]."), f))))
-    top = F.regexp_extract_all(F.regexp_replace(inner, r"<[^<>]*(<[^<>]*>)?[^<>]*>", ""), F.lit(r"(\w+): "), F.lit(1))
-    top = F.transform(F.array_except(top, lists), lambda f: F.when(array, F.concat(F.lit("[]."), f)).otherwise(f))
-    return F.concat(top, below)
+    def step(s: Column, x: Column) -> Column:
+        top = F.element_at(s["open"], -1)
+        name = F.regexp_replace(x, ": $", "")
+        opens = x.isin("OBJECT<", "ARRAY<")
+        ends = x == ">"
+        named = x.endswith(": ")
+        stack = F.when(opens, F.concat(s["open"], F.array(s["at"]))).when(ends, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        at = F.when(named, F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))).when(x == "ARRAY<", F.concat(s["at"], F.lit("[]"))).otherwise(s["at"])
+        out = F.when(opens | ends | named, s["out"]).otherwise(F.concat(s["out"], F.array(s["at"])))
+        return F.struct(stack.alias("open"), at.alias("at"), out.alias("out"))
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.regexp_extract_all(F.schema_of_variant(v), F.lit(_SCHEMA), F.lit(0)), F.struct(none.alias("open"), F.lit("").alias("at"), none.alias("out")), step)["out"]
+
+
+def _has(paths: Column, path: str) -> Column:
+    """Whether a field is there, with a value of its own or with fields and elements below it."""
+    return F.exists(paths, lambda x: (x == path) | x.startswith(path + ".") | x.startswith(path + "["))
+
+
+def _select(paths: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """Place of the mapping for a record of these paths: that of the same fingerprint, else the one with the most paths that are all there."""
+    mark, which = fingerprint(paths), F.lit(None).cast("int")
+    for i, m in sorted(enumerate(mappings), key=lambda x: (len(x[1].paths), -x[0])):
+        which = F.when(reduce(Column.__and__, [_has(paths, p) for p in m.paths]), i).otherwise(which)
+    for i, m in enumerate(mappings):
+        which = F.when(mark == fingerprint(F.array(*[F.lit(p) for p in m.paths])), i).otherwise(which)
+    return which
+
+
+def _mapped(records: DataFrame, record: str, mappings: tuple[Mapping, ...], **outs: tuple[str, str]) -> DataFrame:
+    """records with a column for each of outs (an attribute of Mapping, a type), by the mapping of each record; null where there is none."""
+    base = records.select(*[c for c in records.columns if c.lower() not in outs or c == record])
+    v, found = "v", fresh(base, "found")[0]
+    if v in base.columns:
+        keep = fresh(base, "kept")[0]
+        return _mapped(base.withColumnRenamed(v, keep), keep if record == v else record, mappings, **outs).withColumnRenamed(keep, v)
+
+    def read(which: Column) -> Column:
+        values = []
+        for c, (part, kind) in outs.items():
+            value = F.lit(None).cast(kind)
+            for i, m in enumerate(mappings):
+                if getattr(m, part):
+                    value = F.when(which == i, (F.lit(m.name) if part == "name" else F.expr(getattr(m, part))).cast(kind)).otherwise(value)
+            values.append(value.alias(c))
+        return F.struct(*values)
+
+    # One expression, whose lambdas hold what is used often: as columns, paths would be found again for each use.
+    parsed = F.col(record) if isinstance(base.schema[record].dataType, T.VariantType) else F.try_parse_json(F.col(record))
+    which = F.transform(F.array(json_paths(F.col(v))), lambda paths: _select(paths, mappings))
+    out = base.withColumn(v, parsed).withColumn(found, F.transform(which, read)[0])
+    return out.withColumns({c: F.col(found)[c] for c in outs}).drop(v, found)
 
 
 def normalize(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """records (a JSON string column) with layout string and turns array<struct<role, text>>.
+    """records (a JSON string or VARIANT column) with layout string and turns array<struct<role, text>>.
 
-    The fingerprint of a record's field paths selects its mapping. Null and invalid JSON and unknown layouts have a null
-    layout and no turns. Columns named layout or turns are replaced.
+    The fingerprint of a record's field paths selects its mapping; a record with further fields gets the mapping with the most paths
+    among those whose paths are all there, the first of these on ties. Null and invalid JSON and unknown layouts have a null layout and no
+    turns. Columns named layout or turns are replaced.
     """
-    base = records.select(*[c for c in records.columns if c.lower() not in ("layout", "turns")])
-    v, mark = "v", fresh(base, "mark")[0]
-    if v in base.columns:
-        keep = fresh(base, "kept")[0]
-        return normalize(base.withColumnRenamed(v, keep), keep if record == v else record, mappings).withColumnRenamed(keep, v)
-    out = base.withColumn(v, F.try_parse_json(F.col(record))).withColumn(mark, fingerprint(json_paths(F.col(v))))
-    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for m in mappings:
-        same = F.col(mark) == fingerprint(F.array(*[F.lit(p) for p in m.paths]))
-        layout = F.when(same, m.name).otherwise(layout)
-        turns = F.when(same, F.coalesce(F.expr(m.turns).cast(TURNS), F.array().cast(TURNS))).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns).drop(v, mark)
+    out = _mapped(records, record, mappings, layout=("name", "string"), turns=("turns", TURNS))
+    return out.withColumn("turns", F.coalesce("turns", F.array().cast(TURNS)))
+
+
+def record_rows(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(conv_id long, turn long, role, text) of records that are parts of conversations, for from_rows(); others are for normalize()."""
+    out = _mapped(records.select(F.col(record).alias("record")), "record", mappings, part=("name", "string"), turns=("turns", TURNS), conv_id=("conv", "long"), turn=("turn", "long"))
+    return out.where(F.col("part").isin([m.name for m in mappings if m.conv])).select("conv_id", "turn", F.inline("turns"))
 
 
 def from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
