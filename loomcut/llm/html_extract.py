@@ -32,6 +32,10 @@ _CUT_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail widget widgets related recommended recommendations recirc share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation "
     "topbar toolbar footer foot masthead pagination pager comment comments commentlist disqus respond reply replies discussion skip search rss disclaimer paywall outbrain taboola hidden".split()
 )
+#: Those of them that an article's own parts may have as an id, and those that they may have as a class.
+_AMBIGUOUS = frozenset("discussion related search notice notices notification notifications alert alerts share sharing disclaimer widget widgets login navigation comment comments respond reply replies subscription promotion skip foot menu menus social consent cookie cookies banner banners overlay sponsor sponsors".split())
+_MILD = frozenset("discussion notice notices alert alerts disclaimer".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Headers are cut unless they are an article's own.
 _HEADER_WORDS = frozenset("header head".split())
 #: A class such as "with-sidebar" says what lies inside or is missing.
@@ -129,6 +133,27 @@ def _walk(root: Node):
             stack.extend((c, False) for c in reversed(node.children))
 
 
+def _words(n: Node, name: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in _PART.findall(n.attrs.get(name, "")))
+
+
+def _second_sign(n: Node) -> bool:
+    """Whether more than an ambiguous word says that an element within an article is not its text: a widget's class, links, or little prose."""
+    text = n.tag in _HEADINGS or n.tag in ("p", "section")
+    if _words(n, "class") & (_CUT_WORDS - _MILD) or not text and _words(n, "id") & (_CUT_WORDS - _AMBIGUOUS):
+        return True
+    length = linked = 0
+    stack: list[tuple[Node | str, bool]] = [(n, False)]
+    while stack:
+        x, link = stack.pop()
+        if isinstance(x, str):
+            size = len(" ".join(x.split()))
+            length, linked = length + size, linked + size * link
+        else:
+            stack.extend((c, link or x.tag == "a") for c in x.children)
+    return linked > 0.5 * length or length - linked < (1 if text else 80)
+
+
 def _mark_cuts(root: Node) -> None:
     """Cuts what is never an article's text; an element around the page's article or main part is left whatever its class."""
     nodes = [n for n, ends in _walk(root) if isinstance(n, Node) and not ends]
@@ -140,17 +165,23 @@ def _mark_cuts(root: Node) -> None:
                 holds.add(id(up))
                 up = up.parent
     within: dict[int, bool] = {}
+    article: dict[int, bool] = {}
     for n in nodes:
         inside = bool(n.parent) and within.get(id(n.parent), False)
         own = n.tag in ("article", "main") or n.attrs.get("role") in ("main", "article")
         within[id(n)] = inside or own
+        # A main part around an article holds other things too.
+        article[id(n)] = bool(n.parent) and article.get(id(n.parent), False) or own and (n.tag == "article" or not any(id(c) in holds for c in n.children))
         style = n.attrs.get("style", "").replace(" ", "").lower()
         if "display:none" in style or "visibility:hidden" in style or "hidden" in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true":
             n.cut = n.tag not in ("html", "body")
             continue
         if n.tag in ("html", "body"):
             continue
-        bad = bool(n.words & _CUT_WORDS) and not n.words & _LAYOUT_WORDS or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
+        worded = bool(n.words & _CUT_WORDS) and not n.words & _LAYOUT_WORDS
+        if worded and article[id(n)] and not own:
+            worded = _second_sign(n)
+        bad = worded or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
         header = n.tag == "header" or bool(n.words & _HEADER_WORDS)
         if own:  # a comment may be an article too
             n.cut = bool(n.words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"})
