@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|canvas|object|select|button|audio|video|noframes|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|noscript|textarea|title|iframe|noframes|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
@@ -25,6 +25,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head".split())
 _CUT_TAGS = frozenset("nav aside footer form fieldset menu dialog head input label".split())
+#: Cut where they have an end tag; without one they end with their parents, and what lies between is not theirs.
+_EMBEDDED = frozenset("svg canvas object select button audio video template annotation annotation-xml".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 #: Words in a class or id that mark what is not an article's text.
 _CUT_WORDS = frozenset(
@@ -84,6 +86,7 @@ def parse(page: str) -> Node:
                 while up is not root and up.tag != tag and not (up.tag in _SCOPE and tag not in _BLOCK):
                     up = up.parent
                 if up is not root and up.tag == tag:
+                    up.whole = True
                     at = up.parent
             continue
         attrs = {a.lower(): (v or "").strip("\"'") or a for a, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
@@ -108,6 +111,8 @@ def parse(page: str) -> Node:
         if tag == "body":
             while at is not root:
                 at = at.parent
+        if tag in _EMBEDDED:
+            at.children.append(" ")
         node = Node(tag, at, attrs)
         at.children.append(node)
         if tag not in _VOID and not m["attrs"].endswith("/"):
@@ -181,7 +186,7 @@ def _mark_cuts(root: Node) -> None:
         worded = bool(n.words & _CUT_WORDS) and not n.words & _LAYOUT_WORDS
         if worded and article[id(n)] and not own:
             worded = _second_sign(n)
-        bad = worded or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
+        bad = worded or n.tag in _EMBEDDED and n.whole or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
         header = n.tag == "header" or bool(n.words & _HEADER_WORDS)
         if own:  # a comment may be an article too
             n.cut = bool(n.words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"})

@@ -14,3 +14,16 @@ def test_ambiguous_words_within_the_article(part):
 @pytest.mark.parametrize("part", ['<div id="share">Share this</div>', '<section id="related"><a href="a">Other page</a> <a href="b">And one</a></section>', f'<p class="ad">{LONG}</p>', f'<div class="comments"><p>{LONG}</p></div>', f'<div id="sidebar"><p>{LONG}</p></div>', f'<aside id="notice">{LONG}</aside>'])
 def test_second_sign_cuts(part):
     assert main_text(f"<article><h1>T</h1><p>{LONG}</p>{part}</article>") == f"T\n\n{LONG}"
+
+
+@pytest.mark.parametrize("tag", ["svg", "canvas", "object", "select", "button", "audio", "video", "template"])
+def test_embedded_elements_cut_no_more_than_themselves(tag):
+    want = f"{LONG}\n\nlost? {LONG}"
+    assert main_text(f'<article><p>{LONG}</p><{tag} class="i"/><p>lost? {LONG}</p></article>') == want
+    assert main_text(f'<article><p>{LONG}<{tag} class="i"></p><p>lost? {LONG}</p></article>') == want
+    assert main_text(f"<article><p>{LONG}</p><{tag}><p>lost? {LONG}</p></article>") == want
+    assert main_text(f"<article><p>{LONG}</p><{tag}>Press here</{tag}><p>lost? {LONG}</p></article>") == want
+
+
+def test_formulas_stay():
+    assert main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> holds.</p></article>") == f"{LONG} x=1 holds."
