@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,13 @@ def duration_resolution(duration: Column, width: Column, height: Column, least:
     return (duration >= least) & (ratio <= aspect) & (width >= height)
 
 
+def no_border(top: Column, bottom: Column, left: Column, right: Column, width: Column, height: Column, least: float = 0.02) -> Column:
+    """No edge has a border of a share of the frame's shorter side, or of a pixel; an unknown border or size passes nothing."""
+    limit = F.greatest(F.lit(1), F.floor(F.least(width, height) * least))
+    known = [c.isNotNull() for c in (top, bottom, left, right, width, height)]
+    return reduce(Column.__and__, known) & (F.greatest(top, bottom, left, right) < limit)
+
+
 def jitter(magnitudes: Column) -> Column:
     """Population deviation over mean of an array of flow magnitudes."""
     n = F.size(magnitudes)
@@ -44,6 +52,7 @@ def text_coverage(boxes: Column, width: Column, height: Column) -> Column:
 
 REGISTRY: dict[str, Filter] = {
     "duration_resolution": Filter("duration_resolution", lambda p: duration_resolution(F.col("duration"), F.col("width"), F.col("height"), p["min_duration"], p["max_aspect"]), {"min_duration": 10.0, "max_aspect": 2.5}, lambda p: {"duration_sec": F.col("duration"), "aspect_ratio": F.try_divide(F.col("width").cast("double"), F.col("height").cast("double"))}),
+    "black_border": Filter("black_border", lambda p: no_border(*[F.col(f"border_{s}") for s in ("top", "bottom", "left", "right")], F.col("width"), F.col("height"), p["min_border_fraction"]), {"min_border_fraction": 0.02}),
     "overexposure": Filter("overexposure", lambda p: (F.col("overexposed_fraction") <= p["max_over"]) & (F.col("underexposed_fraction") <= p["max_under"]), {"max_over": 0.05, "max_under": 0.05}),
     "blur": Filter("blur", lambda p: F.col("blur_score") >= p["min_score"], {"min_score": 50.0}),
     "motion_stability": Filter("motion_stability", lambda p: (F.col("jitter_score") <= p["max_jitter"]) & (F.col("flow_coherence") >= p["min_coherence"]), {"max_jitter": 1.2, "min_coherence": 0.2}),
