@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -263,6 +264,11 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     documents of their own that link; a null doc_id doesn't count as smallest unless a component has no other.
     Empty table: no rows. most_frequent bounds the table of frequent shingles, which orders shingles but drops none.
     """
+    return _rooted(docs, doc, text, k, percent, most_frequent).select("doc_id", "n_shingles", "component_id")
+
+
+def _rooted(docs: DataFrame, doc: str, text: str, k: int = 5, percent: int = 80, most_frequent: int = 1 << 16) -> DataFrame:
+    """similar_groups() with node, the hash of a row's set of shingles, and root, the node that stands for its component."""
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = stored(_describe(docs, k), "described")
     texts = seen.where("keys is not null")
@@ -283,12 +289,26 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     last = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     named = texts.select("doc_id", "n", "node").where("n > 0").join(last, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(texts.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id").alias("component_id")))
+    linked = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", F.struct("root", F.lit(None).cast("long").alias("own")).alias("root"))
+    # Texts without shingles link with nothing, so each id has its own component.
+    alone = texts.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id").alias("component_id"), "node", F.struct(F.col("node").alias("root"), F.col("doc_id").alias("own")).alias("root"))
+    return linked.union(alone)
 
 
-def keep_one(docs: DataFrame, doc: str = "doc_id", **options) -> DataFrame:
-    """docs without rows whose component has a smaller id; of rows with the same kept id one stays. Rows with a null id stay."""
-    groups = similar_groups(docs, doc=doc, **options)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc) == F.col("_kept"), "left_semi").dropDuplicates([doc]).union(docs.where(F.col(doc).isNull()))
+def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, **options) -> DataFrame:
+    """docs without rows whose component has a smaller id; of rows with the same kept id in a component one stays. Rows with a null id stay.
+
+    Rows that share an id but not a component each stand for their own.
+    """
+    named = _rooted(docs, doc, text, k, **options)
+    best = Window.partitionBy("root").orderBy("node")
+    kept = named.where("doc_id = component_id").select("root", "node", F.col("doc_id").alias("_kept")).distinct()
+    kept = kept.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("_kept", F.col("node").alias("_node"))
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_hash(x) for _, _, sets in _sets(pa.array(texts, pa.string()), k) for x in sets], dtype="int64")
+
+    known = docs.where(F.col(doc).isNotNull()).withColumn("_set", node(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = known.join(kept, (F.col(doc).cast("long") == F.col("_kept")) & (F.col("_set") == F.col("_node")), "left_semi")
+    return out.dropDuplicates([doc, "_set"]).select(*docs.columns).union(docs.where(F.col(doc).isNull()))
