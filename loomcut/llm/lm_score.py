@@ -1,353 +1,118 @@
-"""LM scoring: stupid-backoff scores of a bigram model that is counted over all documents.
+"""LM scoring: stupid-backoff scores of an n-gram model that is counted over all documents.
 
-For a word w after v: S(w | v) = (c(v w) - own) / c(v) if the pair occurs outside the row itself, else
-BACKOFF * max(c(w) - own, 1) / N; own counts what the row itself has. A row's first word has no v and no factor. A document's
-score is the mean of ln S over its words.
+For a word w after a context v of up to order - 1 words of its text: S(w | v) = (c(v w) - own) / c(v) if the n-gram occurs outside the row itself,
+else BACKOFF * S(w | v without its first word); at last S(w) = max(c(w) - own, 1) / N. own counts what the row itself has: without that every rare n-gram
+would vouch for itself, and nothing would ever back off. A document's score is the mean of ln S over its words.
 
-Everything is counted and joined by hash bucket. Table 1 holds the counts of words. For pairs, a bucket gets the pairs of
-all documents with their owners, counts them and looks the counts up for each owner: table and join in one exchange. What then needs
-a word's count, c(v) or c(w), goes to that word's bucket and meets table 1 there. Sums are added by document.
-Rows travel packed: a block of a million words gives one binary row for each bucket, with its words and documents as small dictionaries.
-Common pairs and words are counted first (twenty thousand of each at most), so that no bucket grows with one of them; their counts are
-broadcast and their rows need no exchange.
+Documents are packed into blocks (see blocks). The n-grams of each order are exploded and counted within a block; the table of counts is partitioned by
+hash range, each block's n-grams are joined to it there, and the counts go back to the block in the order in which its n-grams went. A block then has the count
+of each of its n-grams and adds up its documents' scores; rows of one document are summed in the end.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from . import textvec
-from .common import stored
-from .decontam import Lookup
 
 BACKOFF = 0.4
-_U = np.uint64
-_FLUSH = 3 << 19
-#: A pair or word is common from this share of all words on, so there are at most as many as its inverse; its count is broadcast.
-COMMON = 1 / 20_000
-#: Pairs after a word with this share are dealt out by pair, so that no bucket grows with one word.
-SPREAD = 1 / 2000
-_PAIR = _U(0x9FB21C651E98DF25)
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return textvec.mix(v * _PAIR + w)
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (textvec.mix(h + _U(11)) % _U(buckets)).astype(np.int64)
-
-
-def _split(keys: np.ndarray, buckets: int):
-    """(bucket, the indexes of its rows)."""
-    which = _bucket(keys, buckets)
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1]:
-            yield b, order[ends[b] : ends[b + 1]]
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Dictionary and indexes of an array of 64-bit values."""
-    values, at = np.unique(x, return_inverse=True)
-    kind = np.uint16 if len(values) <= 1 << 16 else np.uint32
-    return np.int64(len(values)).tobytes() + values.tobytes() + at.astype(kind).tobytes()
-
-
-def _large(blob: bytes, kind: type) -> np.ndarray:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    values = np.frombuffer(blob, kind, n, 8)
-    return values[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, -1, 8 + 8 * n)]
-
-
-def _runs(x: np.ndarray) -> bytes:
-    """Values in runs, and the runs' lengths."""
-    new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-    return np.int64(len(new)).tobytes() + np.diff(x[new], prepend=0).astype(np.int64).tobytes() + np.diff(np.append(new, len(x))).astype(np.int32).tobytes()
-
-
-def _unrun(blob: bytes) -> np.ndarray:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    return np.repeat(np.cumsum(np.frombuffer(blob, np.int64, n, 8)), np.frombuffer(blob, np.int32, n, 8 + 8 * n))
-
-
-def _counts(x: np.ndarray) -> bytes:
-    kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.int64
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
-
-
-def _uncount(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint16 if blob[0] == 2 else np.int64, -1, 1).astype(np.int64)
-
-
-class _Table:
-    """Counts of common keys, broadcast as what pack() returns."""
-
-    def __init__(self, packed: tuple[np.ndarray, np.ndarray]):
-        self.look, self.n = Lookup(packed[0]), packed[1]
-
-    @staticmethod
-    def pack(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.array([k for k, _ in rows], np.int64).view(_U), np.array([n for _, n in rows], np.int64)
-        order = np.argsort(keys)
-        return keys[order], n[order]
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        at, key = self.look.find(keys)
-        out[at] = self.n[key]
-        return out
-
-
-def _word_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Table 1 as (bucket, words, counts), packed; and pairs that are common in some block, as (pair, n)."""
-
-    def count(batches):
-        words, pairs, size = [], [], 0
-
-        def flush():
-            if not words:
-                return
-            found, n = np.unique(np.concatenate(words), return_counts=True)
-            for b, i in _split(found, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([found[i].tobytes()], pa.binary()), pa.array([n[i].tobytes()], pa.binary())], ["bucket", "keys", "counts"])
-            found, n = np.unique(np.concatenate(pairs), return_counts=True)
-            at = n >= max(8, COMMON / 2 * size)
-            if at.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([found[at].tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], ["bucket", "keys", "counts"])
-            words.clear(), pairs.clear()
-
-        for batch in batches:
-            for _, _, data, offsets in textvec.chunks(batch.column(1)):
-                w = textvec.words(data, offsets, textvec.NOT_SPACE)
-                words.append(w.hashes)
-                pairs.append(_pairs(w)[0])
-                size += len(w.hashes)
-                if size > _FLUSH:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    raw = stored(docs.mapInArrow(count, "bucket int, keys binary, counts binary"), "counted")
-
-    def merge(group: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), _U)
-        n = np.frombuffer(b"".join(group["counts"].to_pylist()), np.int64)
-        found, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
-        return pa.table({"bucket": group["bucket"][:1], "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "total": pa.array([int(total.sum())])})
-
-    table = stored(raw.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, counts binary, total long"), "words")
-    return table, raw.where("bucket < 0")
-
-
-def _unpack(packed: DataFrame, least: float) -> list[tuple[int, int]]:
-    """(key, count) of packed counts from `least` on."""
-
-    def rows(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, n = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[n >= least]), pa.array(n[n >= least])], ["key", "n"])
-
-    return packed.select("keys", "counts").mapInArrow(rows, "key long, n long")
-
-
-def _pairs(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of adjacent words in one text: the pairs' hashes, the index of the first word, and its text."""
-    owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    at = np.flatnonzero(owner[:-1] == owner[1:]) if len(owner) else np.zeros(0, np.int64)
-    return pair_hash(w.hashes[at], w.hashes[at + 1]), at, owner
-
-
-def _exact(docs: DataFrame, keys: list[int]) -> list[tuple[int, int]]:
-    """How often each of these pairs occurs in all documents."""
-    wanted = np.unique(np.array([k & (1 << 64) - 1 for k in keys], _U))
-
-    def count(batches):
-        look, n = Lookup(wanted), np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in textvec.chunks(batch.column(1)):
-                n += np.bincount(look.find(_pairs(textvec.words(data, offsets, textvec.NOT_SPACE))[0])[1], minlength=len(wanted))
-        there = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)[there]), pa.array(n[there])], ["key", "n"])
-
-    return [(r.key, r.n) for r in docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()]
-
-
-_SCHEMA = "kind string, bucket int, doc array<long>, value array<double>, blobs array<binary>"
-
-
-def _row(kind: str, bucket: int, doc: np.ndarray, value: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([doc], pa.list_(pa.int64())), pa.array([value], pa.list_(pa.float64())), pa.array([blobs], pa.list_(pa.binary()))], ["kind", "bucket", "doc", "value", "blobs"])
-
-
-class _Lookups:
-    """Collects what needs a word's count: ln c(v) to take away, or the backoff of w. Common words are answered at once."""
-
-    def __init__(self, words: _Table, total: int, buckets: int):
-        self.words, self.total, self.buckets = words, total, buckets
-        self.rows, self.sums = [], []
-
-    def less(self, doc, v, times):
-        self.rows.append((doc, v, times, np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)))
-
-    def backoff(self, doc, w, times, own, factor):
-        self.rows.append((doc, w, times, own, np.full(len(w), 2 if factor else 1)))
-
-    def add(self, doc, value):
-        self.sums.append((doc, value))
-
-    def flush(self):
-        doc, word, times, own, kind = (np.concatenate(x) for x in zip(*self.rows)) if self.rows else [np.zeros(0, np.int64)] * 5
-        word = word.astype(_U)
-        n = self.words.get(word)
-        hot = n > 0
-        self.add(doc[hot], answer(n[hot], times[hot], own[hot], kind[hot], self.total))
-        for b, i in _split(word[~hot], self.buckets):
-            i = np.flatnonzero(~hot)[i]
-            # The same lookup by the same document is one row.
-            order = np.lexsort((own[i], kind[i], word[i], doc[i]))
-            i = i[order]
-            new = np.flatnonzero(np.append(True, (np.diff(doc[i]) != 0) | (word[i][1:] != word[i][:-1]) | (np.diff(kind[i]) != 0) | (np.diff(own[i]) != 0)))
-            yield _row("word", b, [], [], [_runs(doc[i][new]), _small(word[i][new]), _counts(np.add.reduceat(times[i], new)), _counts(own[i][new]), kind[i][new].astype(np.uint8).tobytes()])
-        yield from self.flush_sums()
-        self.rows = []
-
-    def flush_sums(self):
-        doc = np.concatenate([x for x, _ in self.sums]) if self.sums else np.zeros(0, np.int64)
-        if len(doc):
-            found, at = np.unique(doc, return_inverse=True)
-            yield _row("sum", int(found[0] % self.buckets), found, np.bincount(at, weights=np.concatenate([y for _, y in self.sums]), minlength=len(found)), [])
-        self.sums = []
-
-
-def answer(n: np.ndarray, times: np.ndarray, own: np.ndarray, kind: np.ndarray, total: int) -> np.ndarray:
-    """What a lookup adds to its document's sum, n being the word's count."""
-    back = np.log(np.maximum(n - own, 1) / total) + np.where(kind == 2, np.log(BACKOFF), 0.0)
-    return times * np.where(kind == 0, -np.log(np.maximum(n, 1)), back)
-
-
-def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+class _Grams:
+    """The n-grams of one order in a block: sorted distinct keys, their counts in the block, and for each place in the texts its key and own count."""
+
+    def __init__(self, w: textvec.Words, owner: np.ndarray, k: int, places: bool):
+        hashes, self.at = bl.grams_within(w, owner, k)
+        keys = bl.keys_of(hashes)
+        if not places:
+            keys = np.sort(keys)
+        else:
+            order = bl.ordered(keys)
+            keys = keys[order]
+        first = bl.starts(keys)
+        self.counts = np.diff(np.append(first, len(keys)))
+        self.keys = keys[first]
+        if places:
+            who = owner[self.at[order]]
+            new = np.zeros(len(keys), bool)
+            new[first] = True
+            self.which = np.empty(len(keys), np.int64)
+            self.which[order] = np.cumsum(new) - 1
+            new[1:] |= who[1:] != who[:-1]
+            runs = np.flatnonzero(new)
+            self.own = np.empty(len(keys), np.int64)
+            self.own[order] = np.repeat(np.diff(np.append(runs, len(keys))), np.diff(np.append(runs, len(keys))))
+
+
+def _words(batch: pa.RecordBatch, text_at: int) -> tuple[textvec.Words, np.ndarray]:
+    w = textvec.words(*textvec.utf8(batch.column(text_at)), textvec.NOT_SPACE)
+    return w, np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+
+
+def _scores(w: textvec.Words, owner: np.ndarray, counts: np.ndarray, order: int, total: int) -> np.ndarray:
+    """The sum of ln S for each text of a block; counts answers its n-grams, order after order."""
+    value = np.zeros(len(owner))
+    known = np.zeros(len(owner), bool)  # words whose score is found, by their place
+    factor = np.zeros(len(owner))
+    tables = []
+    for k in range(1, order + 1):
+        grams = _Grams(w, owner, k, True)
+        c, counts = counts[: len(grams.keys)], counts[len(grams.keys) :]
+        tables.append((grams.at, c[grams.which], grams.own))
+    context = np.zeros(len(owner), np.int64)
+    for k in range(order, 1, -1):
+        at, c, own = tables[k - 1]
+        below, n, _ = tables[k - 2]
+        context[below] = n
+        last = at + k - 1
+        seen = (c > own) & ~known[last]
+        value[last[seen]] += np.log((c - own)[seen] / context[at[seen]])
+        known[last[seen]] = True
+        factor[last] += ~known[last]
+    at, c, own = tables[0]
+    left = ~known[at]
+    value[at[left]] += np.log(np.maximum(c - own, 1)[left] / total)
+    return np.bincount(owner, weights=value + factor * np.log(BACKOFF), minlength=len(w.first) - 1)
+
+
+def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 2, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
     """One row for each doc_id: doc_id, n_words long, log_score double (sum of ln S), mean_log_score double (null without words).
 
-    Words are runs of anything but ASCII white space, A-Z as a-z; whole texts are scored. A null or empty text has no words and sum 0. Rows
-    with the same doc_id (null too) are added up as one document, each having its own words taken out of the counts. Empty table: no rows.
+    Words are runs of anything but ASCII white space, A-Z as a-z; whole texts are scored, by n-grams of up to `order` words. A null or empty text has no words
+    and sum 0. Rows with the same doc_id (null too) are added up as one document, each having its own words taken out of the counts; other
+    columns are not looked at. Empty table: no rows. N-grams are told apart by 56 bits of their hashes.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table, frequent = _word_counts(docs, parts)
-    total = table.agg(F.sum("total")).first()[0] or 0
-    buckets = max(parts, total >> 20)
-    words = spark.sparkContext.broadcast(_Table.pack([(r.key, r.n) for r in _unpack(table, max(8, COMMON * total)).collect()]))
-    asked = [r.key for r in _unpack(frequent, 0).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(int(4 / COMMON)).collect()]
-    common = spark.sparkContext.broadcast(_Table.pack(_exact(docs, asked) if asked else []))
-
-    def explode(batches):
-        hot, out = _Table(common.value), _Lookups(_Table(words.value), total, parts)
-        held, size = defaultdict(list), 0
-
-        def flush():
-            if held:
-                d, v, w, times, own = (np.concatenate(held[k]) for k in range(5))
-                pair = pair_hash(v, w)
-                n = hot.get(pair)
-                known = n > 0
-                resolve(out, d[known], v[known], w[known], times[known], own[known], n[known])
-                # Pairs of one first word meet in one bucket, so that blocks need few first words; those of a common word are spread.
-                where = np.where(out.words.get(v) >= SPREAD * total, pair, v)
-                for b, i in _split(where[~known], buckets):
-                    i = np.flatnonzero(~known)[i]
-                    yield _row("pair", b, [], [], [_runs(d[i]), _small(v[i]), _small(w[i]), _counts(times[i]), _counts(own[i])])
-                held.clear()
-            yield from out.flush()
-
-        for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            for a, b, data, offsets in textvec.chunks(batch.column(1)):
-                w = textvec.words(data, offsets, textvec.NOT_SPACE)
-                if not len(w.hashes):
-                    continue
-                pair, at, owner = _pairs(w)
-                # One row for each pair of a text, with its times and how often the text has the second word.
-                word, which = np.unique(w.hashes, return_inverse=True)
-                m = len(word)
-                _, back, counts = np.unique(owner * m + which, return_inverse=True, return_counts=True)
-                own = counts[back]
-                order = np.lexsort((pair, owner[at]))
-                new = np.flatnonzero(np.append(True, (np.diff(owner[at][order]) != 0) | (pair[order][1:] != pair[order][:-1]))) if len(order) else order
-                i = at[order[new]]
-                for k, x in enumerate((ids[a + owner[i]], w.hashes[i], w.hashes[i + 1], np.diff(np.append(new, len(order))), own[i + 1])):
-                    held[k].append(x)
-                start = w.first[:-1][np.diff(w.first) > 0]
-                out.backoff(ids[a + owner[start]], w.hashes[start], np.ones(len(start), np.int64), own[start], False)
-                size += len(w.hashes)
-                if size > _FLUSH:
-                    size = 0
-                    yield from flush()
-        yield from flush()
+    docs = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
-    def resolve(out, d, v, w, times, own, n):
-        """Scores pairs whose counts n are known."""
-        seen = n > times
-        out.add(d[seen], times[seen] * np.log((n - times)[seen].astype(float)))
-        out.less(d[seen], v[seen], times[seen])
-        out.backoff(d[~seen], w[~seen], times[~seen], own[~seen], True)
+    def size(batch, _, text_at):
+        return {"n_words": pa.array([len(_words(batch, text_at)[1])])}
 
-    def join_pairs(group: pa.Table) -> pa.Table:
-        done = group.filter(pc.not_equal(group["kind"], "pair"))
-        group = group.filter(pc.equal(group["kind"], "pair"))
-        out = _Lookups(_Table(words.value), total, parts)
-        cols = [[], [], [], [], []]
-        for blobs in group["blobs"].to_pylist():
-            for k, x in enumerate((_unrun(blobs[0]), _large(blobs[1], _U), _large(blobs[2], _U), _uncount(blobs[3]), _uncount(blobs[4]))):
-                cols[k].append(x)
-        rows = []
-        if cols[0]:
-            d, v, w, times, own = map(np.concatenate, cols)
-            found, at = np.unique(pair_hash(v, w), return_inverse=True)
-            n = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)[at]
-            resolve(out, d, v, w, times, own, n)
-            rows = [pa.Table.from_batches([r]).cast(done.schema) for r in out.flush()]
-        return pa.concat_tables([done, *rows])
+    blocks, id_at, text_at = bl.pack(docs, "doc_id", "text", "blocks", size, "n_words long", block_bytes)
+    total, largest = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
 
-    # Rows that are no pairs pass through the exchange as they are.
-    joined = stored(docs.mapInArrow(explode, _SCHEMA).groupBy("bucket").applyInArrow(join_pairs, _SCHEMA), "joined")
+    def counted(k: int) -> DataFrame:
+        def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found = _Grams(*_words(batch, text_at), k, False)
+            return found.keys, found.counts
 
-    def join_words(group: pa.Table, counts: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(counts["keys"].to_pylist()), _U)
-        n = np.frombuffer(b"".join(counts["counts"].to_pylist()), np.int64)
-        docs_, sums = [], []
-        for blobs in group["blobs"].to_pylist():
-            d, word = _unrun(blobs[0]), _large(blobs[1], _U)
-            found = n[np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))]
-            value = answer(found, _uncount(blobs[2]), _uncount(blobs[3]), np.frombuffer(blobs[4], np.uint8), total)
-            docs_.append(d), sums.append(value)
-        if not docs_:
-            return pa.table({"doc": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        found, at = np.unique(np.concatenate(docs_), return_inverse=True)
-        return pa.table({"doc": found, "value": np.bincount(at, weights=np.concatenate(sums), minlength=len(found))})
+        return bl.count(blocks, grams, bl.ranges(total, largest), k)
 
-    asked_words = joined.where("kind = 'word'").select("bucket", "blobs")
-    third = asked_words.groupBy("bucket").cogroup(table.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(join_words, "doc long, value double")
-    pairs = F.explode(F.arrays_zip("doc", "value")).alias("x")
-    sums = joined.where("kind = 'sum'").select(pairs).select("x.doc", "x.value").union(third)
-    sums = sums.groupBy("doc").agg(F.sum("value").alias("log_score"))
+    # Order by order, so that what is exchanged at once doesn't grow with the number of orders.
+    answers = reduce(DataFrame.union, [counted(k) for k in range(1, order + 1)])
 
-    def count_words(batches):
-        for batch in batches:
-            n = [m for _, _, data, offsets in textvec.chunks(batch.column(1)) for m in np.diff(textvec.words(data, offsets, textvec.NOT_SPACE).first).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_words"])
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = bl.unpack(block["data"][0].as_buffer())
+        w, owner = _words(batch, text_at)
+        sums = _scores(w, owner, bl.read_counts(answers), order, total) if len(owner) else np.zeros(batch.num_rows)
+        return pa.table({"doc_id": batch.column(id_at), "n_words": np.diff(w.first), "log_score": sums})
 
-    sizes = docs.mapInArrow(count_words, "doc_id long, n_words long").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    out = sizes.join(sums, F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).min)) == F.col("doc"), "left")
-    score = F.coalesce("log_score", F.lit(0.0))
-    return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+    schema = "doc_id long, n_words long, log_score double"
+    rows = blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    out = rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

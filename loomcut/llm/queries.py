@@ -23,7 +23,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

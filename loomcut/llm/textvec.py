@@ -1,14 +1,13 @@
 """Words, word hashes and word n-gram hashes of many texts at once, as numpy arrays.
 
-Texts are handled as UTF-8 bytes. A word is a longest run of bytes of a byte class; A-Z count as a-z. Its 64-bit hash is
-a polynomial over its bytes, taken from running sums, then mixed with its length.
+Texts are handled as UTF-8 bytes. A word is a longest run of bytes of a byte class; A-Z count as a-z. Its 64-bit hash mixes
+blocks of 8 bytes, no linear function of them, so that words of a regular structure do not meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +36,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, _U), np.full(n, pow(_BASE, -1, 1 << 64), _U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: For each length up to 8 the bits of a little-endian block that count.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    n = len(data)
-    up, down = _powers(max(CHUNK_BYTES, 1 << max(n - 1, 0).bit_length()))
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(_U) * _U(_STEP))
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its blocks of 8 bytes are mixed with their places, added up and mixed again with the length.
+
+    Different seeds give independent hashes.
+    """
+    if not len(begins):
+        return np.zeros(0, _U)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    block_at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - begins
+    salt = _U((seed + 1) * _BASE % (1 << 64))
+    out = mix((block_at[begins] & _KEEP[np.minimum(lengths, 8)]) ^ salt)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) >> 3  # blocks after the first
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(begins[long], more) + 8 * place
+        left = np.minimum(np.repeat(ends[long], more) - at, 8)
+        out[long] += np.add.reduceat(mix((block_at[at] & _KEEP[left]) ^ mix(place.astype(_U) * _U(_STEP) + salt)), first)
+    return mix(out + lengths.astype(_U) * _U(_STEP))
 
 
 @dataclass

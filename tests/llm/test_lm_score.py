@@ -13,30 +13,36 @@ from loomcut.llm import lm_score
 SF = "/root/testdata/sf0.001"
 
 
-def scores(docs):
+def scores(docs, order=2):
     words = [(d, brute.SPACE.findall(brute.lower(t))) for d, t in docs]
-    one, two = Counter(w for _, x in words for w in x), Counter(p for _, x in words for p in zip(x, x[1:]))
-    total, out = sum(one.values()), {}
+    grams = lambda x: Counter(tuple(x[i : i + k]) for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    counts, out = Counter(), {}
+    for _, x in words:
+        counts.update(grams(x))
+    total = sum(len(x) for _, x in words)
     for d, x in words:
-        own, mine = Counter(x), Counter(zip(x, x[1:]))
-        s = 0.0
-        for i, w in enumerate(x):
-            pair = (x[i - 1], w) if i else None
-            if pair and two[pair] > mine[pair]:
-                s += math.log((two[pair] - mine[pair]) / one[pair[0]])
-            else:
-                s += math.log((lm_score.BACKOFF if i else 1) * max(one[w] - own[w], 1) / total)
+        own, s = grams(x), 0.0
+        for i in range(len(x)):
+            factor = 1.0
+            for k in range(min(order, i + 1), 0, -1):
+                g = tuple(x[i - k + 1 : i + 1])
+                n = counts[g] - own[g]
+                if k == 1:
+                    s += math.log(factor * max(n, 1) / total)
+                elif n > 0:
+                    s += math.log(factor * n / counts[g[:-1]])
+                    break
+                factor *= lm_score.BACKOFF
         n, t = out.get(d, (0, 0.0))
         out[d] = n + len(x), t + s
     return out
 
 
-@pytest.mark.parametrize("common", [lm_score.COMMON, 1e-9])
-def test_brute(spark, monkeypatch, common):
-    monkeypatch.setattr(lm_score, "COMMON", common if common > 1e-6 else 1 / 500)
+@pytest.mark.parametrize("order, block_bytes", [(2, lm_score.bl.BLOCK_BYTES), (2, 5000), (1, 3000), (3, lm_score.bl.BLOCK_BYTES), (3, 20000), (4, 1)])
+def test_brute(spark, order, block_bytes):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    want = scores([(r.doc_id, r.text) for r in df.collect()])
-    got = lm_score.score_documents(df).collect()
+    want = scores([(r.doc_id, r.text) for r in df.collect()], order)
+    got = lm_score.score_documents(df, order=order, block_bytes=block_bytes).collect()
     assert {r.doc_id: r.n_words for r in got} == {d: n for d, (n, _) in want.items()}
     for r in got:
         assert r.log_score == pytest.approx(want[r.doc_id][1], rel=1e-9, abs=1e-9)

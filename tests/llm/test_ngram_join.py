@@ -38,7 +38,7 @@ def test_planted(spark):
     rows = list(enumerate(docs))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert groups(df) == brute.similar(rows)
-    assert groups(df, most_frequent=1) == brute.similar(rows)
+    assert groups(df, block_bytes=3000) == brute.similar(rows)
 
 
 def test_edges(spark):
