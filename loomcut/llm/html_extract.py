@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|textarea|title|iframe|noframes|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+#: Where markup begins: a comment, a declaration, a processing instruction, a tag.
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: A tag's rest. Quotes count after an equals sign only.
+_REST = re.compile(r"(?:[^>=]|=(?!\s*[\"'])|=\s*\"[^\"]*\"|=\s*'[^']*')*+>")
+_RAW = frozenset("script style noscript textarea title iframe noframes xmp".split())
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|type)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +36,8 @@ _CUT_WORDS = frozenset(
 )
 #: Those of them that an article's own parts may have as an id, and those that they may have as a class.
 _AMBIGUOUS = frozenset("discussion related search notice notices notification notifications alert alerts share sharing disclaimer widget widgets login navigation comment comments respond reply replies subscription promotion skip foot menu menus social consent cookie cookies banner banners overlay sponsor sponsors".split())
+#: As an id of a section or division these mark what readers say.
+_READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _MILD = frozenset("discussion notice notices alert alerts disclaimer".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Headers are cut unless they are an article's own.
@@ -51,80 +53,148 @@ _CLOSES = {
 }
 _ENDS_P = _BLOCK - frozenset("html body head option optgroup td th tr tbody thead tfoot caption legend summary".split())
 _SCOPE = frozenset("article aside body div section td th table main header footer nav form li blockquote figure html button".split())
-_MAX_DEPTH = 500
+
+#: The groups of _CLOSES: which elements end one another, and within what.
+_GROUPS = sorted({x for x in _CLOSES.values()}, key=lambda x: sorted(x[0]))
+_GROUP_OF = {tag: _GROUPS.index(x) for tag, x in _CLOSES.items()}
 
 
 class Node:
-    __slots__ = ("tag", "words", "attrs", "parent", "children", "score", "length", "linked", "commas", "cut", "whole")
+    __slots__ = ("tag", "words", "attrs", "parent", "children", "score", "up", "length", "linked", "commas", "all", "all_linked", "prose", "cut", "soft", "whole")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs = tag, parent, attrs
-        self.words = frozenset(w.lower() for w in _PART.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")) if attrs else frozenset()
+        self.words = _parts(f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else frozenset()
         self.children: list[Node | str] = []
-        self.score = 0.0
-        self.length = self.linked = self.commas = 0
-        self.cut = self.whole = False
+        self.score = self.up = 0.0
+        self.length = self.linked = self.commas = self.all = self.all_linked = self.prose = 0
+        self.cut = self.soft = self.whole = False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; end tags that open nothing are ignored, open elements end with their parents."""
-    root = Node("html", None, {})
-    at, depth, last = root, 0, 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            at.children.append(html.unescape(page[last : m.start()]))
-        last = m.end()
-        tag = m["tag"]
-        if not tag:
-            if m["raw"]:
-                at.children.append(" ")
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag == "p" or tag in _BLOCK or tag not in _VOID:
-                up = at
-                while up is not root and up.tag != tag and not (up.tag in _SCOPE and tag not in _BLOCK):
-                    up = up.parent
-                if up is not root and up.tag == tag:
-                    up.whole = True
-                    at = up.parent
-            continue
-        attrs = {a.lower(): (v or "").strip("\"'") or a for a, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        if tag in ("html", "body") and tag == "html":
-            root.attrs = root.attrs or attrs
+def _parts(names: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in _PART.findall(names))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, '', ''), (start or end, tag, what follows the name in it) and (raw, tag, '') of a page, in one pass.
+
+    A page whose quotes never close is read on as if quotes meant nothing.
+    """
+    at = last = 0
+    quoted, final = True, page.rfind(">")
+    while m := _OPEN.search(page, at):
+        begin, kind = m.start(), m[0]
+        if kind == "<!--":
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif begin > final:
+            break
+        elif m[2] and quoted:
+            rest = _REST.match(page, m.end())
+            quoted = bool(rest)
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+        else:
+            end = page.find(">", m.end()) + 1
+        if begin > last:
+            yield "text", page[last:begin], ""
+        at = last = end
+        if not m[2]:
             continue
-        if tag in _ENDS_P:
-            up = at
-            while up is not root and up.tag != "p" and up.tag not in _SCOPE:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-        if tag in _CLOSES:
-            which, within = _CLOSES[tag]
-            up, found = at, None
-            while up is not root and up.tag not in within:
-                if up.tag in which:
-                    found = up
-                up = up.parent
-            if found:
-                at = found.parent
+        tag = m[2].lower()
+        if not m[1] and tag in _RAW:
+            close = _CLOSE_RAW[tag].search(page, at)
+            at = last = close.end() if close else len(page)
+            yield "raw", tag, ""
+        else:
+            yield "end" if m[1] else "start", tag, page[m.end() : end - 1]
+    if last < len(page):
+        yield "text", page[last:], ""
+
+
+_CLOSE_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+
+
+class _Tree:
+    """The open elements of a page that is being read; each step costs no more than what it closes."""
+
+    def __init__(self):
+        self.root = Node("html", None, {})
+        self.open = [self.root]
+        self.many: dict[str, int] = {}  # open elements of each tag
+        self.scopes: list[dict[str, int]] = [{}]  # the same within each scope
+        self.first: list[list[Node | None]] = [[None] for _ in _GROUPS]  # within each list or table the outermost open part
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.open.append(node)
+        self.many[tag] = self.many.get(tag, 0) + 1
+        if tag in _SCOPE:
+            self.scopes.append({})
+        self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+        for g, (which, within) in enumerate(_GROUPS):
+            if tag in which and self.first[g][-1] is None:
+                self.first[g][-1] = node
+            if tag in within:
+                self.first[g].append(None)
+
+    def pop(self) -> Node:
+        node = self.open.pop()
+        tag = node.tag
+        self.many[tag] -= 1
+        if tag in _SCOPE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        for g, (which, within) in enumerate(_GROUPS):
+            if tag in within:
+                self.first[g].pop()
+            if self.first[g][-1] is node:
+                self.first[g][-1] = None
+        return node
+
+    def end(self, tag: str, anywhere: bool) -> None:
+        """Closes the innermost open element of a tag; within its scope, unless it may be anywhere."""
+        if self.many.get(tag) if anywhere else self.scopes[-1].get(tag):
+            while (node := self.pop()).tag != tag:
+                pass
+            node.whole = True
+
+    def start(self, tag: str, rest: str) -> None:
+        attrs = {a.lower(): (v or "").strip("\"'") or a for a, v in _ATTR.findall(rest)} if rest else {}
+        if tag == "html":
+            self.root.attrs = self.root.attrs or attrs
+            return
+        if tag in _ENDS_P and self.scopes[-1].get("p"):
+            while self.pop().tag != "p":
+                pass
+        if tag in _GROUP_OF and (part := self.first[_GROUP_OF[tag]][-1]):
+            while self.pop() is not part:
+                pass
         if tag == "body":
-            while at is not root:
-                at = at.parent
+            while len(self.open) > 1:
+                self.pop()
+        at = self.open[-1]
         if tag in _EMBEDDED:
             at.children.append(" ")
         node = Node(tag, at, attrs)
         at.children.append(node)
-        if tag not in _VOID and not m["attrs"].endswith("/"):
-            depth = 0
-            up = node
-            while up is not root and depth <= _MAX_DEPTH:
-                up, depth = up.parent, depth + 1
-            if depth <= _MAX_DEPTH:
-                at = node
-    if last < len(page):
-        at.children.append(html.unescape(page[last:]))
-    return root
+        if tag not in _VOID and not rest.endswith("/"):
+            self.push(node)
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; end tags that open nothing are ignored, open elements end with their parents."""
+    tree = _Tree()
+    for kind, what, rest in tokens(page):
+        if kind == "text":
+            tree.open[-1].children.append(html.unescape(what))
+        elif kind == "raw":
+            tree.open[-1].children.append(" ")
+        elif kind == "start":
+            tree.start(what, rest)
+        elif what not in _VOID:
+            tree.end(what, what in _BLOCK)
+    return tree.root
 
 
 def _walk(root: Node):
@@ -138,25 +208,40 @@ def _walk(root: Node):
             stack.extend((c, False) for c in reversed(node.children))
 
 
-def _words(n: Node, name: str) -> frozenset[str]:
-    return frozenset(w.lower() for w in _PART.findall(n.attrs.get(name, "")))
+def _weigh(root: Node) -> None:
+    """How long the text of each element is, cut or not, and how much of it is in links; prose: what stands in blocks that are long and mostly no links."""
+    for n in [n for n, ends in _walk(root) if isinstance(n, Node) and ends]:  # children come before their parents
+        own = linked = 0
+        for c in n.children:
+            if isinstance(c, str):
+                size = len(" ".join(c.split()))
+                n.all, own = n.all + size, own + size
+            else:
+                n.all, n.all_linked, n.prose = n.all + c.all, n.all_linked + c.all_linked, n.prose + c.prose
+                if c.tag not in _BLOCK:
+                    own, linked = own + c.all, linked + c.all_linked
+        if n.tag == "a":
+            n.all_linked = n.all
+        if n.tag in _BLOCK and n.tag not in _HEADINGS and own >= 40 and linked < 0.5 * own:
+            n.prose += own
 
 
 def _second_sign(n: Node) -> bool:
     """Whether more than an ambiguous word says that an element within an article is not its text: a widget's class, links, or little prose."""
     text = n.tag in _HEADINGS or n.tag in ("p", "section")
-    if _words(n, "class") & (_CUT_WORDS - _MILD) or not text and _words(n, "id") & (_CUT_WORDS - _AMBIGUOUS):
+    if _parts(n.attrs.get("class", "")) & (_CUT_WORDS - _MILD) or not text and _parts(n.attrs.get("id", "")) & (_CUT_WORDS - _AMBIGUOUS):
         return True
-    length = linked = 0
-    stack: list[tuple[Node | str, bool]] = [(n, False)]
-    while stack:
-        x, link = stack.pop()
-        if isinstance(x, str):
-            size = len(" ".join(x.split()))
-            length, linked = length + size, linked + size * link
-        else:
-            stack.extend((c, link or x.tag == "a") for c in x.children)
-    return linked > 0.5 * length or length - linked < (1 if text else 80)
+    if n.tag not in _HEADINGS and n.tag != "p" and n.words & _READERS:
+        return True
+    return n.all_linked > 0.5 * n.all or n.all - n.all_linked < (1 if text else 80)
+
+
+def _is_worded(n: Node) -> bool:
+    """Whether a word in the class or id says that the element is not an article's text. One in a longer name, as in "share-enabled", says less than a name such as "story"."""
+    if not n.words & _CUT_WORDS or n.words & _LAYOUT_WORDS:
+        return False
+    names = {x.lower() for x in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split()}
+    return not names & _CONTENT_WORDS or bool(names & _CUT_WORDS)
 
 
 def _mark_cuts(root: Node) -> None:
@@ -183,29 +268,45 @@ def _mark_cuts(root: Node) -> None:
             continue
         if n.tag in ("html", "body"):
             continue
-        worded = bool(n.words & _CUT_WORDS) and not n.words & _LAYOUT_WORDS
+        worded = _is_worded(n)
         if worded and article[id(n)] and not own:
             worded = _second_sign(n)
-        bad = worded or n.tag in _EMBEDDED and n.whole or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
+        bad = n.tag in _EMBEDDED and n.whole or n.attrs.get("role", "").lower() in _CUT_ROLES or n.tag in _CUT_TAGS
         header = n.tag == "header" or bool(n.words & _HEADER_WORDS)
         if own:  # a comment may be an article too
             n.cut = bool(n.words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"})
-        elif id(n) in holds:
-            n.cut = False
-        else:
-            n.cut = bad or (header and not inside and not n.words & _OWN_WORDS)
+        elif id(n) not in holds:
+            n.cut = worded or bad or (header and not inside and not n.words & _OWN_WORDS)
+            n.soft = n.cut and not bad
+
+
+def _undo_cuts(root: Node) -> None:
+    """Where the words of classes and ids cut all prose of a page, the cut that holds the most of it is undone, and what was cut within it is weighed again."""
+    while True:
+        left, soft = 0, []
+        for n, ends in _walk(root):
+            if isinstance(n, Node) and not ends:
+                if n.cut:
+                    soft += [n] * (n.soft and n.prose > 0)
+                elif n.tag in _BLOCK and n.tag not in _HEADINGS:
+                    left += n.prose - sum(c.prose for c in n.children if isinstance(c, Node))
+        if left or not soft:
+            return
+        most = max(soft, key=lambda n: n.prose)  # ties: the first in page order
+        while most:
+            most.cut &= not most.soft
+            most = next((c for c in most.children if isinstance(c, Node) and c.prose == most.prose and (c.soft or not c.cut)), None)
 
 
 def _measure(root: Node) -> None:
-    """Lengths, link text and commas of all elements, and the points that blocks pass upwards."""
+    """Lengths, link text and commas of all elements, and the points that blocks pass upwards: all to the container, of what an element got itself or was passed half to the one above it."""
     order = [n for n, ends in _walk(root) if isinstance(n, Node) and ends]
     for n in order:  # children come before their parents
-        direct = commas = linked = 0
+        direct = commas = linked = own = 0
         for c in n.children:
             if isinstance(c, str):
-                t = " ".join(c.split())
-                direct += len(t)
-                commas += t.count(",") + t.count("，") + t.count("、")
+                size, marks = len(" ".join(c.split())), c.count(",") + c.count("，") + c.count("、")
+                direct, own, commas, n.commas = direct + size, own + size, commas + marks, n.commas + marks
             elif not c.cut:
                 n.length += c.length
                 n.linked += c.linked
@@ -214,20 +315,16 @@ def _measure(root: Node) -> None:
                     direct += c.length
                     commas += c.commas
                     linked += c.linked
-        own = sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
         n.length += own
-        n.commas += sum(c.count(",") + c.count("，") + c.count("、") for c in n.children if isinstance(c, str))
         if n.tag == "a":
             n.linked = n.length
         if n.tag in _BLOCK and direct:
             points = (min(direct / 100, 3) + (commas + 1 if direct >= 25 else 0)) * (1 - min(1.0, linked / direct))
-            up, share = (n.parent, 1) if n.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") and n.parent else (n, 1)
-            level = 0
-            while up is not None:
-                up.score += points / share
-                level += 1
-                share = 2 if level == 1 else 3 * level
-                up = up.parent
+            to = n.parent if n.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") and n.parent else n
+            to.up += points
+        n.score = n.up
+        if n.parent and not n.cut:
+            n.parent.up += n.up / 2
 
 
 def _best(root: Node) -> list[Node]:
@@ -266,7 +363,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _weigh(root)
     _mark_cuts(root)
+    _undo_cuts(root)
     _measure(root)
     kept = _best(root)
     blocks, now = [], []
@@ -292,8 +391,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """pages with text string and n_chars long (code points) instead of the html column.
 
-    A null or empty page and one without an article's text give ''. Whole pages are read; nothing is dropped by length. Nesting
-    deeper than 500 elements is flattened. Columns named text or n_chars are replaced, others are passed through.
+    A null or empty page and one without an article's text give ''. Whole pages are read, in time that grows with their length; nothing is dropped by length or
+    depth. Columns named text or n_chars are replaced, others are passed through. Repeated rows are read each; an empty table gives no rows.
     """
     base = pages.select(*[c for c in pages.columns if c.lower() not in ("text", "n_chars") or c == source])
     at, names = base.columns.index(source), [c for c in base.columns if c != source]
