@@ -40,30 +40,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: its blocks of 8 bytes are mixed with their places, added up and mixed again with the length.
-
-    Different seeds give independent hashes.
-    """
-    if not len(begins):
-        return np.zeros(0, _U)
+def span_blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the blocks of 8 bytes, the last one filled up with zeros, of all spans; the index of each span's first one, and the end). No span is empty."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     block_at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     lengths = ends - begins
+    first = np.append(0, np.cumsum((lengths + 7) >> 3))
+    if first[-1] == len(begins):
+        return block_at[begins] & _KEEP[lengths], first
+    many = np.diff(first)
+    at = np.repeat(begins - 8 * first[:-1], many) + 8 * np.arange(first[-1])
+    return block_at[at] & _KEEP[np.minimum(np.repeat(ends, many) - at, 8)], first
+
+
+def hash_blocks(blocks: np.ndarray, first: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its blocks are mixed with their places, added up and mixed again with the length.
+
+    Different seeds give independent hashes.
+    """
     salt = _U((seed + 1) * _BASE % (1 << 64))
-    out = mix((block_at[begins] & _KEEP[np.minimum(lengths, 8)]) ^ salt)
+    heads = first[:-1]
+    out = mix(blocks[heads] ^ salt)
     long = np.flatnonzero(lengths > 8)
     if len(long):
-        more = (lengths[long] - 1) >> 3  # blocks after the first
-        first = np.cumsum(more) - more
-        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
-        at = np.repeat(begins[long], more) + 8 * place
-        left = np.minimum(np.repeat(ends[long], more) - at, 8)
-        out[long] += np.add.reduceat(mix((block_at[at] & _KEEP[left]) ^ mix(place.astype(_U) * _U(_STEP) + salt)), first)
+        more = np.diff(first)[long] - 1  # blocks after the first
+        ends = np.cumsum(more)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - more, more) + 1
+        out[long] += np.add.reduceat(mix(blocks[np.repeat(heads[long], more) + place] ^ mix(place.astype(_U) * _U(_STEP) + salt)), ends - more)
     return mix(out + lengths.astype(_U) * _U(_STEP))
 
 
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    return hash_blocks(*span_blocks(data, begins, ends), ends - begins, seed) if len(begins) else np.zeros(0, _U)
+
+
 @dataclass
 class Words:
     """Words of some texts. first: for each text the index of its first word, and the end; hashes: one for each word."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import CHUNK_BYTES, chunks, hash_spans
+from . import common, textvec
+from .textvec import CHUNK_BYTES, chunks
 
 #: Bytes of tab, line breaks, printable ASCII, and Latin letters and signs of two UTF-8 bytes.
 _PLAIN = np.zeros(256, bool)
@@ -27,18 +29,33 @@ _ODD = np.zeros(256, bool)
 _ODD[0x80:0xA1] = _ODD[[0xAD, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
+#: What is not an ASCII letter, and which of it is ASCII, but no white space.
+_MARK = np.ones(256, bool)
+_MARK[65:91] = _MARK[97:123] = False
+_SIGN = _MARK & ~_SPACE
+_SIGN[128:] = False
 #: The byte-level pre-tokenizer's words, for plain text.
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _SLOTS, _MOST_UNITS, _MOST_WORDS = 1 << 21, 700_000, 80_000
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    """For each byte, and the end, how many before it are part of no letter; letters are ASCII ones and those that begin with byte 0xC3."""
+    mark = _MARK[data]
+    two = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    mark[:-1] &= ~two
+    mark[1:] &= ~two
+    return np.append(0, np.cumsum(mark))
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
     Such a tokenizer treats each word with the space before it on its own, and no word crosses white space. So texts are cut into
-    units at white space as the pre-tokenizer would; a unit's ids are found once, by the library's model word by word, and kept
-    in a hash table that numpy looks up for a whole piece of texts. The table is emptied when it is full. A
-    text with characters beyond Latin, or with a special token's string, is encoded whole.
+    units at white space, and where signs follow letters, as the pre-tokenizer would; a unit's ids are found once, by the library's model word by word, and kept
+    in a hash table that numpy looks up for a whole piece of texts; what is found is compared byte by byte, and a unit that only has
+    another's hash is encoded by itself. The table is emptied when it is full. A text with characters beyond Latin, or with a special token's
+    string, is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -63,16 +80,20 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 1
         self.pool[0] = self.end_id
         self.begin, self.length, self.n = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int32), 1
+        # The bytes of an entry's unit as blocks: where they begin, how many bytes.
+        self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint64), 0
+        self.bytes_at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _add(self, lists: list[list[int]]) -> np.ndarray:
         """Puts ids into the pool; the numbers of their entries."""
-        size, many = sum(map(len, lists)), len(lists)
+        many = len(lists)
+        lengths = np.fromiter(map(len, lists), np.int32, many)
+        size = int(lengths.sum())
         while self.used + size > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.n + many > len(self.begin):
-            self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
-        lengths = np.array([len(x) for x in lists], np.int32)
-        self.pool[self.used : self.used + size] = np.fromiter((i for x in lists for i in x), np.int32, size)
+            self.begin, self.length, self.bytes_at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.bytes_at, self.size))
+        self.pool[self.used : self.used + size] = np.fromiter(chain.from_iterable(lists), np.int32, size)
         self.begin[self.n : self.n + many] = self.used + np.cumsum(lengths) - lengths
         self.length[self.n : self.n + many] = lengths
         self.used, self.n = self.used + size, self.n + many
@@ -89,6 +110,20 @@ class Encoder:
             out += ids
         return out
 
+    def _units(self, raw: bytes, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """The ids of units; marks: for each byte how many before it are no letters. A unit of letters, after a space or not, is one word."""
+        lead = marks[starts + 1] - marks[starts]
+        word = (marks[ends] - marks[starts] == lead) & (ends - starts > lead)
+        tokenize, alphabet, space, out = self.tokenizer.model.tokenize, self.alphabet, self.alphabet[32], []
+        for s, e, one, first in zip(starts.tolist(), ends.tolist(), word.tolist(), lead.tolist()):
+            if one and (not first or raw[s] == 32):
+                text = raw[s + first : e].decode("latin-1")
+                text = text if text.isascii() else text.translate(alphabet)
+                out.append([t.id for t in tokenize(space + text if first else text)])
+            else:
+                out.append(self._unit(raw[s:e]))
+        return out
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entries of units; 0 where there is none."""
         slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -103,9 +138,14 @@ class Encoder:
             left = left[~same & (key != 0)]
         return out
 
-    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
-        """Adds units, all new and distinct."""
-        entries = self._add([self._unit(u) for u in units])
+    def _learn(self, hashes: np.ndarray, lists: list[list[int]], sizes: np.ndarray, blocks: np.ndarray, first: np.ndarray) -> None:
+        """Adds units with their ids, sizes and bytes as blocks, all new and of distinct hashes."""
+        entries = self._add(lists)
+        while self.bytes_used + len(blocks) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.bytes_used : self.bytes_used + len(blocks)] = blocks
+        self.bytes_at[entries], self.size[entries] = self.bytes_used + first[:-1], sizes
+        self.bytes_used += len(blocks)
         slot, left = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64), np.arange(len(hashes))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -138,6 +178,7 @@ class Encoder:
         after[offsets[1:][offsets[1:] > 0] - 1] = False
         blank = np.append(False, data[:-1] == 32) if n else space
         start = np.where(space, ~before | after, before & ~blank)
+        start[1:] |= ~_MARK[data[:-1]] & _SIGN[data[1:]]  # no word goes on from a letter with a sign or digit
         start[begin] = True
         if whole.any():
             inside = np.repeat(whole, np.diff(offsets))
@@ -147,17 +188,35 @@ class Encoder:
         ends = np.append(starts[1:], n)
         doc = np.searchsorted(offsets, starts, side="right") - 1
         plain = ~whole[doc]
-        hashes = hash_spans(data, starts, ends)
+        sizes = ends - starts
+        blocks, first = textvec.span_blocks(data, starts, ends)
+        hashes = textvec.hash_blocks(blocks, first, sizes)
         hashes[hashes == 0] = 1
         entry = self._find(hashes)
         entry[~plain] = 0
         new = np.flatnonzero((entry == 0) & plain)
+        marks = _marks(data) if len(new) else None
         if len(new):
-            _, first = np.unique(hashes[new], return_index=True)
-            at = new[first]
-            self._learn(hashes[at], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            _, at = np.unique(hashes[new], return_index=True)
+            at = new[at]
+            count, own = np.diff(first)[at], np.append(0, np.cumsum(np.diff(first)[at]))
+            mine = blocks[np.repeat(first[at] - own[:-1], count) + np.arange(own[-1])]
+            self._learn(hashes[at], self._units(raw, marks, starts[at], ends[at]), sizes[at], mine, own)
             entry[new] = self._find(hashes[new])
+        # A unit that only shares its hash with the one found is encoded by itself.
+        same = self.size[entry] == sizes
+        known = np.flatnonzero(same & plain)
+        count = np.diff(first)[known]
+        ahead = np.append(0, np.cumsum(count))
+        place = np.arange(ahead[-1])
+        differ = blocks[np.repeat(first[known] - ahead[:-1], count) + place] != self.bytes[np.repeat(self.bytes_at[entry[known]] - ahead[:-1], count) + place]
+        if differ.any():
+            same[known[np.add.reduceat(differ, ahead[:-1]) > 0]] = False
+        other = np.flatnonzero(plain & ~same)
         mark = self.used, self.n
+        if len(other):
+            marks = _marks(data) if marks is None else marks
+            entry[other] = self._add(self._units(raw, marks, starts[other], ends[other]))
         if not plain.all():
             at = np.flatnonzero(~plain)
             entry[at] = self._add([self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids for s, e in zip(starts[at].tolist(), ends[at].tolist())])
@@ -203,6 +262,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
                 at += int(offsets[-1])
 
     out = rows.mapInArrow(encode, "doc_id long, part int, n_tokens long, local_start long, ids array<int>")
+    with common.setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):  # rows are whole texts
+        _write(out, path, row_group_bytes, page_bytes, page_rows)
+
+
+def _write(out: DataFrame, path: str, row_group_bytes: int, page_bytes: int, page_rows: int) -> None:
     (out.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes)).option("parquet.page.row.count.limit", str(page_rows))
         .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.dictionary.page.size", str(1 << 20))
