@@ -225,5 +225,10 @@ def read_turns(text: Column) -> Column:
 
 
 def read_loss(segments: Column) -> Column:
-    """The texts under the loss mask, unescaped."""
+    """The texts of the marked pieces, unescaped."""
     return F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"]))
+
+
+def read_masked(text: Column, spans: Column) -> Column:
+    """The texts that the spans of loss_spans() mark in a formatted string, unescaped."""
+    return F.transform(spans, lambda s: unescape(F.substr(text, s["begin"] + 1, s["end"] - s["begin"])))

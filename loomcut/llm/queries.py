@@ -53,19 +53,18 @@ def op8_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows are whole texts, and lists of their ids
     path = common.new_path(spark, "tokens")
     tokenbin.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer)
     return tokenbin.with_checksum(tokenbin.read_tokens(spark, path))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = [(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))]
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    own = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
     records = rows.select(F.to_variant_object(F.struct("conv_id", "turn", "role", "text")).alias("record"))
-    out = chatfmt.format_chat(chatfmt.from_rows(chatfmt.record_rows(records))).select("conv_id", "segments", chatfmt.formatted(F.col("segments")).alias("formatted"))
-    out = out.select("conv_id", "formatted", chatfmt.read_turns(F.col("formatted")).alias("turns"), F.array_join(chatfmt.read_loss(F.col("segments")), "").alias("loss"))
+    out = chatfmt.format_chat(chatfmt.from_rows(chatfmt.record_rows(records)))
+    out = out.select("conv_id", chatfmt.formatted(F.col("segments")).alias("formatted"), chatfmt.loss_spans(F.col("segments")).alias("spans"))
+    out = out.select("conv_id", "formatted", chatfmt.read_turns(F.col("formatted")).alias("turns"), F.array_join(chatfmt.read_masked(F.col("formatted"), F.col("spans")), "").alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
