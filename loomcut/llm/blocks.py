@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import fresh, stored
+from .common import fresh, setting, stored
 
 BLOCK_BYTES = 8 << 20
 MOST_ROWS = 1 << 20
@@ -31,6 +31,8 @@ BITS = 56
 #: N-grams of a range: at least so many, and more in very large tables, where a block should still have some for each range.
 RANGE, MOST_RANGE = 1 << 21, 1 << 26
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 Batch = pa.RecordBatch
 
 
@@ -73,7 +75,9 @@ def pack(docs: DataFrame, doc: str, text: str, name: str, extra: Callable[[Batch
         if held:
             yield flush()
 
-    return stored(rows.mapInArrow(blocks, f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}"), name), id_at, text_at
+    packed = rows.mapInArrow(blocks, f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}")
+    with setting(docs.sparkSession, _BATCH, "1000"):  # rows are whole texts
+        return stored(packed, name), id_at, text_at
 
 
 def unpack(data: bytes) -> Batch:
@@ -181,7 +185,8 @@ def count(blocks: DataFrame, grams: Callable[[Batch], tuple[np.ndarray, np.ndarr
                     yield _sent(block, kind, keys, counts, bits)
 
     sent = blocks.select("block", "data").mapInArrow(send, "part int, block long, width int, keys binary, few binary, many binary")
-    return stored(sent.groupBy("part").applyInArrow(_added, "part int, block long, few binary, many binary"), "counts")
+    with setting(blocks.sparkSession, _BATCH, "4"):  # rows are whole blocks
+        return stored(sent.groupBy("part").applyInArrow(_added, "part int, block long, few binary, many binary"), "counts")
 
 
 def read_counts(answers: pa.Table) -> np.ndarray:
@@ -194,10 +199,10 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
     return hashes >> _U(64 - BITS)
 
 
-def grams_within(w: textvec.Words, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the k-grams that lie within one text, the index of their first word)."""
+def grams_within(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the k-grams of words that lie within one text, the index of their first word)."""
     n = len(owner) - k + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     at = np.flatnonzero(owner[:n] == owner[k - 1 :])
-    return textvec.ngrams(w.hashes, k)[at], at
+    return textvec.ngrams(hashes, k)[at], at

@@ -27,9 +27,9 @@ BACKOFF = 0.4
 class _Grams:
     """The n-grams of one order in a block: sorted distinct keys, their counts in the block, and for each place in the texts its key and own count."""
 
-    def __init__(self, w: textvec.Words, owner: np.ndarray, k: int, places: bool):
-        hashes, self.at = bl.grams_within(w, owner, k)
-        keys = bl.keys_of(hashes)
+    def __init__(self, hashes: np.ndarray, owner: np.ndarray, k: int, places: bool):
+        grams, self.at = bl.grams_within(hashes, owner, k)
+        keys = bl.keys_of(grams)
         if not places:
             keys = np.sort(keys)
         else:
@@ -50,35 +50,31 @@ class _Grams:
             self.own[order] = np.repeat(np.diff(np.append(runs, len(keys))), np.diff(np.append(runs, len(keys))))
 
 
-def _words(batch: pa.RecordBatch, text_at: int) -> tuple[textvec.Words, np.ndarray]:
-    w = textvec.words(*textvec.utf8(batch.column(text_at)), textvec.NOT_SPACE)
-    return w, np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+def _words(batch: pa.RecordBatch, text_at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts of a block, the text of each)."""
+    hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for a, b, data, offsets in textvec.chunks(batch.column(text_at)):
+        w = textvec.words(data, offsets, textvec.NOT_SPACE)
+        hashes.append(w.hashes)
+        owner.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(w.first)))
+    return np.concatenate(hashes), np.concatenate(owner)
 
 
-def _scores(w: textvec.Words, owner: np.ndarray, counts: np.ndarray, order: int, total: int) -> np.ndarray:
-    """The sum of ln S for each text of a block; counts answers its n-grams, order after order."""
+def _scores(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, order: int, total: int) -> np.ndarray:
+    """ln S of each word of a block; counts answers its n-grams, order after order."""
     value = np.zeros(len(owner))
-    known = np.zeros(len(owner), bool)  # words whose score is found, by their place
-    factor = np.zeros(len(owner))
-    tables = []
+    context = np.zeros(len(owner), np.int64)  # the count of the n-gram one word shorter that begins at a place
     for k in range(1, order + 1):
-        grams = _Grams(w, owner, k, True)
-        c, counts = counts[: len(grams.keys)], counts[len(grams.keys) :]
-        tables.append((grams.at, c[grams.which], grams.own))
-    context = np.zeros(len(owner), np.int64)
-    for k in range(order, 1, -1):
-        at, c, own = tables[k - 1]
-        below, n, _ = tables[k - 2]
-        context[below] = n
-        last = at + k - 1
-        seen = (c > own) & ~known[last]
-        value[last[seen]] += np.log((c - own)[seen] / context[at[seen]])
-        known[last[seen]] = True
-        factor[last] += ~known[last]
-    at, c, own = tables[0]
-    left = ~known[at]
-    value[at[left]] += np.log(np.maximum(c - own, 1)[left] / total)
-    return np.bincount(owner, weights=value + factor * np.log(BACKOFF), minlength=len(w.first) - 1)
+        grams = _Grams(hashes, owner, k, True)
+        c, counts = counts[: len(grams.keys)][grams.which], counts[len(grams.keys) :]
+        others = c - grams.own
+        if k == 1:
+            value[:] = np.log(np.maximum(others, 1) / total)
+        else:
+            last, seen = grams.at + k - 1, others > 0
+            value[last] = np.where(seen, np.log(np.maximum(others, 1) / np.maximum(context[grams.at], 1)), value[last] + np.log(BACKOFF))
+        context[grams.at] = c
+    return value
 
 
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 2, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
@@ -91,7 +87,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
     docs = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def size(batch, _, text_at):
-        return {"n_words": pa.array([len(_words(batch, text_at)[1])])}
+        return {"n_words": pa.array([len(_words(batch, text_at)[0])])}
 
     blocks, id_at, text_at = bl.pack(docs, "doc_id", "text", "blocks", size, "n_words long", block_bytes)
     total, largest = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
@@ -108,11 +104,13 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         batch = bl.unpack(block["data"][0].as_buffer())
-        w, owner = _words(batch, text_at)
-        sums = _scores(w, owner, bl.read_counts(answers), order, total) if len(owner) else np.zeros(batch.num_rows)
-        return pa.table({"doc_id": batch.column(id_at), "n_words": np.diff(w.first), "log_score": sums})
+        hashes, owner = _words(batch, text_at)
+        values = _scores(hashes, owner, bl.read_counts(answers), order, total) if len(owner) else np.zeros(0)
+        n = batch.num_rows
+        return pa.table({"doc_id": batch.column(id_at), "n_words": np.bincount(owner, minlength=n), "log_score": np.bincount(owner, weights=values, minlength=n)})
 
     schema = "doc_id long, n_words long, log_score double"
+    # A block is a group of its own, so a task holds one at a time.
     rows = blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     out = rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks as bl
 from . import textvec
@@ -268,10 +269,12 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int =
     kept = groups.named.where("low is not null").select(F.col("low.place").alias("place")).distinct().union(empty.select("place")).union(rows.where("ids is null").select("place"))
     kept = kept.groupBy(F.shiftright("place", 24).alias("block")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 24) - 1)).alias("kept"))
 
-    def take(batches):
-        for batch in batches:
-            for data, at in zip(batch.column(0), batch.column(1)):
-                packed = bl.unpack(data.as_buffer()).take(pa.array(np.sort(np.asarray(at.values))))
-                yield pa.RecordBatch.from_arrays(packed.columns[:-2], packed.schema.names[:-2])
+    def take(block: pa.Table, kept: pa.Table) -> pa.Table:
+        if not block.num_rows or not kept.num_rows:
+            return schema.empty_table()
+        at = pa.array(np.sort(np.asarray(kept["kept"].combine_chunks().values)))
+        packed = bl.unpack(block["data"][0].as_buffer()).take(at)
+        return pa.table(packed.columns[:-2], names=packed.schema.names[:-2])
 
-    return groups.blocks.select("block", "data").join(kept, "block").select("data", "kept").mapInArrow(take, docs.schema)
+    schema = to_arrow_schema(docs.schema)
+    return groups.blocks.select("block", "data").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(take, docs.schema)
