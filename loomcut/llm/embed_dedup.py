@@ -1,7 +1,7 @@
 """Embedding near-duplicates: an exact metric range join over cells of pivots.
 
-The metric is the angle between vectors, the radius r the angle whose cosine is the least similarity. Pivots are vectors of the
-table; each vector belongs to the cell of its nearest pivot, and a cell has the radius R of its farthest vector. By the
+The metric is the angle between vectors, the radius r the angle whose cosine is the least similarity. Pivots are vectors of a bounded sample
+of the table, each the farthest from those before; each vector belongs to the cell of its nearest pivot, and a cell has the radius R of its farthest vector. By the
 triangle inequality a vector x can be within r of something in cell b only if angle(x, pivot b) <= R(b) + r, so x is
 replicated to the boundary of those cells alone. A cell with more rows than a block holds is dealt by hash into blocks. Each pair of
 blocks is a tile, which joins independently: single precision finds candidates with a margin, double precision decides.
@@ -72,56 +72,93 @@ def _join_tile(x: np.ndarray, y: np.ndarray | None, times_x: np.ndarray, times_y
     return counts, root(np.arange(n))
 
 
-def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block_rows: int = 8192, max_pivots: int = 1024) -> DataFrame:
+def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block_rows: int = 8192, sample_values: int = 1 << 18, max_pivots: int = 2048) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links long (other rows with cosine >= least), component_id long (smallest vec_id reachable by links, itself included), kept boolean (vec_id = component_id).
 
     A vector that is null, empty, zero or holds a null, NaN or infinite component links with nothing and is kept. Vectors of different
     lengths don't link. Repeated rows are vectors of their own and link with their copies; a null vec_id isn't
-    smallest unless a component has no other. Empty table: no rows.
+    smallest unless a component has no other; other columns are not looked at. Empty table: no rows. sample_values and max_pivots bound what the driver
+    holds to choose pivots from; beyond max_pivots cells are cut into more blocks.
     """
-    rows = vectors.select(F.col(vec).cast("long").alias("vec_id"), F.col(embedding).alias("e"))
+    rows = vectors.select(F.col(f"`{vec}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    rows = rows.withColumn("node", F.when(F.coalesce(finite, F.lit(False)), F.xxhash64(F.size("e"), "e")))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("e").alias("e"), F.count("*").alias("times")), "vectors")
-    links, edges = None, None
+    good = F.coalesce(finite, F.lit(False))
+    # Equal vectors are one node: two hashes of 64 bits tell vectors apart, a number names them.
+    rows = rows.withColumns({f"h{i}": F.when(good, F.xxhash64(F.lit(i), F.size("e"), "e")) for i in (1, 2)})
+    nodes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("e").alias("e"), F.count("*").alias("times"), F.min("vec_id").alias("low"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    links = None
     for dim, n in sorted((r.dim, r.n) for r in nodes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).collect()):
-        got = _join(nodes.where(F.size("e") == dim), dim, n, least, block_rows, max_pivots)
+        got = _join(nodes.where(F.size("e") == dim).select("node", "e", "times"), dim, n, least, block_rows, sample_values, max_pivots)
         links = got if links is None else links.union(got)
-    ids = rows.select("vec_id", "node")
+    ids = rows.select("vec_id", "h1", "h2")
     if links is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     edges = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    per = nodes.select("node", "times").join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(edges, "node", "left")
-    per = stored(per.select("node", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
-    named = ids.where("node is not null").join(per, "node")
-    smallest = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(smallest, "root").select("vec_id", "n_links", "component_id")
-    out = out.union(ids.where("node is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    smallest = edges.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
+    per = nodes.select("h1", "h2", "node", "times", "low").join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(edges.join(smallest, "root").select("node", "least"), "node", "left")
+    per = stored(per.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id")), "linked")
+    out = ids.where("h1 is not null").join(per, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    out = out.union(ids.where("h1 is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _join(nodes: DataFrame, dim: int, n: int, least: float, block_rows: int, max_pivots: int) -> DataFrame:
-    """(node, n, root): linked vectors of each node, counted with their copies, and its local root, tile by tile."""
-    spark, r = nodes.sparkSession, math.acos(max(-1.0, min(1.0, least)))
-    many = max(1, min(max_pivots, -(-n // block_rows)))
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(many).select("e").collect()
-    pivots = _unit(np.array([x for row in chosen for x in row.e], np.float64), dim)
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
-    def angles(batch):
-        e = batch.column(1)
-        e = e.flatten().to_numpy(zero_copy_only=False)
-        x = _unit(e, dim)
-        return np.arccos(np.clip(x @ pivots.T, -1, 1)), e
 
-    def assign(batches):
+def choose_pivots(sample: np.ndarray, blocks: int, r: float, most: int) -> np.ndarray:
+    """Pivots among unit vectors: each the farthest from those before it, as many as leave the least to compare.
+
+    With the first 1, 4, 16, ... times `blocks` of them the share of the sample in cells whose ball comes within r of a vector is found; more
+    pivots are taken only if they lessen it by a fifth.
+    """
+    most = min(most, max(1, len(sample) // 8))  # a cell of few vectors tells nothing about its radius
+    far, chosen, nearest = np.full(len(sample), np.inf), [], np.zeros(len(sample), np.int64)
+    best, taken, size = np.inf, 1, min(blocks, most)
+    while True:
+        while len(chosen) < size:
+            i = int(far.argmax()) if chosen else 0
+            angle = _angles(sample, sample[i : i + 1])[:, 0]
+            nearest[angle < far] = len(chosen)
+            far = np.minimum(far, angle)
+            chosen.append(i)
+        radius = np.zeros(size)
+        np.maximum.at(radius, nearest, far)
+        held = np.bincount(nearest, minlength=size) / len(sample)
+        some = sample[:: max(1, len(sample) // 512)]
+        share = float(((_angles(some, sample[chosen]) <= radius + r) @ held).mean())
+        if share < 0.8 * best:
+            best, taken = share, size
+        if blocks == 1 or size >= most or far.max() <= 0:
+            return sample[chosen[:taken]]
+        size = min(4 * size, most)
+
+
+def _join(nodes: DataFrame, dim: int, n: int, least: float, block_rows: int, sample_values: int, max_pivots: int) -> DataFrame:
+    """(node, n, root): linked vectors of each node, counted with their copies, and its local root, tile by tile."""
+    r = math.acos(max(-1.0, min(1.0, least)))
+    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(max(64, sample_values // dim)).select("e").collect()
+    sample = _unit(np.array([x for row in chosen for x in row.e], np.float64), dim)
+    pivots = choose_pivots(sample, max(1, -(-n // block_rows)), r, max_pivots)
+    many = len(pivots)
+
+    def pieces(batches):
+        """Batches cut so that their angles to all pivots stay few, with those and the values."""
         for batch in batches:
-            if batch.num_rows:
-                angle, _ = angles(batch)
-                cell = angle.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["node", "e", "times", "cell", "angle"])
+            step = max(1, (1 << 21) // many)
+            for a in range(0, batch.num_rows, step):
+                piece = batch.slice(a, step)
+                flat = piece.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield piece, _angles(_unit(flat, dim), pivots), flat
+
+    def assign(batches):
+        for batch, angle, _ in pieces(batches):
+            cell = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["node", "e", "times", "cell", "angle"])
 
     kind = nodes.schema["e"].dataType.simpleString()
-    homes = stored(nodes.select("node", "e", "times").mapInArrow(assign, f"node long, e {kind}, times long, cell int, angle double"), "cells")
+    homes = stored(nodes.mapInArrow(assign, f"node long, e {kind}, times long, cell int, angle double"), "cells")
     cells = {c.cell: (c.radius, c.n) for c in homes.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # at most max_pivots
     radius = np.array([cells.get(c, (-10.0, 0))[0] for c in range(many)])
     blocks = np.array([-(-cells.get(c, (0, 0))[1] // block_rows) for c in range(many)])
@@ -129,28 +166,32 @@ def _join(nodes: DataFrame, dim: int, n: int, least: float, block_rows: int, max
     total = int(first[-1])
 
     def replicate(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            angle, flat = angles(batch)
+        for batch, angle, flat in pieces(batches):
             flat = flat.reshape(-1, dim)
             node, times = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             cell = batch.column(3).to_numpy()
-            own = first[cell] + (node.view(np.uint64) >> np.uint64(7)) % blocks[cell].astype(np.uint64)
-            own = own.astype(np.int64)
+            own = first[cell] + (node.view(np.uint64) % blocks[cell].astype(np.uint64)).astype(np.int64)
             near = angle <= radius + r + 1e-9
             near[np.arange(len(cell)), cell] = True
-            for b in range(many):
-                at = np.flatnonzero(near[:, b])
-                for other in range(int(first[b]), int(first[b + 1])):
-                    low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-                    key = low * total + high
-                    order = np.argsort(key, kind="stable")
-                    cut = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(order) else []
-                    for s, e in zip(cut, [*cut[1:], len(order)]):
-                        i = at[order[s:e]]
-                        side = own[i[0]] == high[order[s]] and low[order[s]] != high[order[s]]
-                        yield pa.RecordBatch.from_arrays([pa.array([int(key[order[s]])]), pa.array([bool(side)]), pa.array([node[i].tobytes()], pa.binary()), pa.array([times[i].tobytes()], pa.binary()), pa.array([flat[i].tobytes()], pa.binary())], ["tile", "side", "nodes", "times", "vectors"])
+            # Every row with each block of the cells near it.
+            at, to = np.nonzero(near)
+            group = np.repeat(np.arange(len(at)), blocks[to])
+            other = first[to][group] + np.arange(len(group)) - np.repeat(np.cumsum(blocks[to]) - blocks[to], blocks[to])
+            at = at[group]
+            low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+            key = low * total + high
+            order = np.argsort(key * 2 + (own[at] > low), kind="stable")
+            at, low, high, key = at[order], low[order], high[order], key[order]
+            side = own[at] > low
+            cut = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (side[1:] != side[:-1])))[: len(at)]
+            ends = np.append(cut[1:], len(at))
+            for a in range(0, len(cut), 256):  # a part of the tiles at a time, each a row of its own
+                s, e = cut[a : a + 256], ends[a : a + 256]
+                parts = list(zip(s.tolist(), e.tolist()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[s]), pa.array(side[s]), pa.array([node[at[i:j]].tobytes() for i, j in parts], pa.binary()),
+                    pa.array([times[at[i:j]].tobytes() for i, j in parts], pa.binary()), pa.array([flat[at[i:j]].tobytes() for i, j in parts], pa.binary()),
+                ], ["tile", "side", "nodes", "times", "vectors"])
 
     real = np.float32 if "float" in kind else np.float64
 

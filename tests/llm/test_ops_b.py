@@ -45,6 +45,27 @@ def test_vectors_clusters_and_edges(spark):
     assert embed_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_many_clusters(spark):
+    """Vectors of tight clusters meet their own cluster alone, once there are pivots for all of them."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[i % 60] + rng.normal(size=24) * 0.08).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = sorted((tuple(r) for r in embed_dedup.link_vectors(df, block_rows=100).collect()), key=repr)
+    assert got == vectors_brute(rows)
+    x = np.array([e for _, e in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = embed_dedup.choose_pivots(x, 15, np.arccos(0.9), 1000)
+    assert len(pivots) >= 60
+    angle = embed_dedup._angles(x, pivots)
+    cell = angle.argmin(1)
+    radius = np.array([angle[cell == c, c].max() for c in range(len(pivots))])
+    assert (angle <= radius + np.arccos(0.9)).sum(1).mean() < 6
+    flat = rng.normal(size=(1500, 128))  # no directions in common: more pivots would leave no less to compare
+    assert len(embed_dedup.choose_pivots(flat / np.linalg.norm(flat, axis=1, keepdims=True), 15, np.arccos(0.9), 1000)) == 15
+
+
 def test_pages(spark):
     from loomcut.llm import queries
     import html
