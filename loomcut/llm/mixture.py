@@ -102,11 +102,17 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return by.withColumn("before", F.coalesce(F.sum("taken").over(earlier), F.lit(0)))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, share: float = 1.0, shards: int = 16, blocks: int = 2048, block_words: int = 20000, seed: int = 7) -> DataFrame:
+def _slice(h: Column, many: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("slice"), h), many)
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, share: float = 1.0, shards: int = 16, blocks: int = 2048, block_words: int = 20000, slice_docs: int = 4000, seed: int = 7) -> DataFrame:
     """docs with size, source_size long, target double and placements array<struct<shard int, place long>>, one for each copy that the mix takes.
 
     size is the number of words (null text: 0). A source stays below its target by less than the smallest
-    document left near the end of its last block. No document is taken more than ceil(most) times. There are at most about `blocks` blocks plus one for each source.
+    document left near the end of its last block. No document is taken more than ceil(most) times. There are at most about `blocks` blocks plus one for each source;
+    where words run out within one, slices of it of about slice_docs documents are looked at. The table of sources is one row of some steps; it is meant for
+    some ten thousand sources.
     A null source is a source of its own, last in order. Documents without words are placed with their blocks. Repeated rows are
     documents of their own; a null key counts as ''. Empty table: no rows. Columns of docs with the names of added ones are replaced.
     """
@@ -120,22 +126,22 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     targets = source_targets(rows, weights, most, share).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / unit)).cast("long"))
     targets = stored(targets, "targets")
     dealt = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("idx", F.pmod("h", "n_blocks").alias("block"), "size", "h")
-    sums = dealt.groupBy("idx", "block").agg(F.sum("size").alias("words"))
+    sums = dealt.groupBy("idx", "block").agg(F.sum("size").alias("words"), F.greatest(F.lit(1), F.ceil(F.count("*") / slice_docs)).cast("long").alias("n_slices"))
     # Per source the bounded list of its blocks in permuted order, with the words before each.
-    listed = sums.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit("order"), F.col("idx"), F.col("block")).alias("o"), "block", "words"))).alias("list"))
+    listed = sums.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit("order"), F.col("idx"), F.col("block")).alias("o"), "block", "words", "n_slices"))).alias("list"))
     listed = listed.join(targets.select("idx", "source_size", "target"), "idx")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(1)).cast("long")
     listed = listed.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<o:int,block:bigint,full:boolean,short:double>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<o:int,block:bigint,n_slices:bigint,full:boolean,short:double>>").alias("out"))
 
     def place(s: Column, x: Column) -> Column:
         after = s["sum"] + x["words"]
-        one = F.struct(F.size(s["out"]).alias("o"), x["block"].alias("block"), ((F.col("rest") > 0) & (after <= F.col("rest"))).alias("full"), F.when((s["sum"] < F.col("rest")) & (after > F.col("rest")), F.col("rest") - s["sum"]).otherwise(F.lit(0.0)).alias("short"))
+        one = F.struct(F.size(s["out"]).alias("o"), x["block"].alias("block"), x["n_slices"].alias("n_slices"), ((F.col("rest") > 0) & (after <= F.col("rest"))).alias("full"), F.when((s["sum"] < F.col("rest")) & (after > F.col("rest")), F.col("rest") - s["sum"]).otherwise(F.lit(0.0)).alias("short"))
         return F.struct(after.alias("sum"), F.concat(s["out"], F.array(one)).alias("out"))
 
     plan = listed.withColumn("out", F.aggregate("list", start, place)["out"]).select("idx", "passes", F.size("list").alias("n"), F.explode("out").alias("x"))
     # The draws of a source: block o in pass p is draw p * n + o; the pass after the last whole one takes the full blocks and the short one.
-    plan = plan.select("idx", "n", F.col("x.o").alias("o"), F.col("x.block").alias("block"), F.col("x.short").alias("short"), "passes", (F.col("passes") + (F.col("x.full") & (F.col("passes") < math.ceil(most))).cast("long")).alias("whole"))
+    plan = plan.select("idx", "n", F.col("x.o").alias("o"), F.col("x.block").alias("block"), F.col("x.n_slices").alias("n_slices"), F.col("x.short").alias("short"), "passes", (F.col("passes") + (F.col("x.full") & (F.col("passes") < math.ceil(most))).cast("long")).alias("whole"))
     plan = stored(plan, "plan")
     draws = plan.groupBy("idx").agg(F.sum(F.col("whole") + (F.col("short") > 0).cast("long")).cast("long").alias("draws"))
     quotas = shard_quotas(draws, shards, seed).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct(F.col("before"), F.col("shard")))).alias("by"))
@@ -143,33 +149,42 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     drawn = plan.where("whole > 0 or short > 0").withColumn("pass", draw).withColumn("nth", F.col("pass") * F.col("n") + F.col("o"))
     drawn = drawn.join(quotas, "idx").withColumn("shard", F.element_at(F.filter("by", lambda q: q["before"] <= F.col("nth")), -1)["shard"])
     per = drawn.groupBy("idx", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
-    per = plan.select("idx", "block", "short", "whole").join(per, ["idx", "block"], "left").join(targets, "idx").select("idx", "block", "n_blocks", "source", "source_size", "target", "short", "whole", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int>>")).alias("draws"))
+    per = plan.select("idx", "block", "n_slices", "short", "whole").join(per, ["idx", "block"], "left").join(targets, "idx").select("idx", "block", "n_blocks", "n_slices", "source", "source_size", "target", "short", "whole", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int>>")).alias("draws"))
     per = stored(per, "draws")
     keyed = base.withColumn(h, hashed)
     of = targets.select(F.col("source").alias(idx), F.struct("idx", "n_blocks").alias(info))
     keyed = keyed.join(of, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(idx))).withColumn(idx, F.col(info)["idx"]).withColumn(block, F.pmod(F.col(h), F.col(info)["n_blocks"])).drop(info)
-    draws = per.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("source_size", "target", "short", "whole", "draws").alias(info))
+    draws = per.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("source_size", "target", "n_slices", "short", "whole", "draws").alias(info))
     keyed = keyed.join(draws, (F.col(idx) == F.col(p_idx)) & (F.col(block) == F.col(p_block))).drop(p_idx, p_block)
     words, fact = n_words(F.col(f"`{text}`").cast("string")), F.col(info)
-    # Of a short block the first documents in the order of their hashes are taken; around the place where the words run out,
-    # within NEAR documents on either side, they are chosen by size instead, each that still fits from the largest down.
+    # A short block is cut into slices of some thousand documents by hash. Slices before the one where the words run out are taken whole; of that one
+    # the first documents in the order of their hashes are taken, and around the place where the words run out, within NEAR documents on either side, they
+    # are chosen by size instead, each that still fits from the largest down. So no task ranks more than a slice, whatever the block's size.
+    lean = dealt.join(per.where("short > 0").select("idx", "block", "short", "n_slices"), ["idx", "block"]).withColumn("slice", _slice(F.col("h"), F.col("n_slices"), seed))
+    before = Window.partitionBy("idx", "block").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = lean.groupBy("idx", "block", "short", "slice").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    last = slices.where("before < short and before + words >= short").groupBy("idx", "block").agg(F.min(F.struct("slice", "before")).alias("at"))
+    last = stored(last.select("idx", "block", F.col("at.slice").alias("last"), F.col("at.before").alias("before")), "slices")
     group = Window.partitionBy("idx", "block")
     inside = group.orderBy("h", "size")
-    lean = dealt.join(per.where("short > 0").select("idx", "block", "short"), ["idx", "block"])
+    lean = lean.join(last, ["idx", "block"]).where("slice = last").withColumn("short", F.col("short") - F.col("before"))
     lean = lean.withColumn("nr", F.row_number().over(inside)).withColumn("sum", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     lean = lean.withColumn("low", F.count(F.when(F.col("sum") <= F.col("short"), 1)).over(group) - NEAR)
     lean = lean.where(F.col("nr").between(F.col("low"), F.col("low") + 2 * NEAR))
     near = F.array_sort(F.collect_list(F.when(F.col("nr") > F.col("low"), F.struct((-F.col("size")).alias("o"), F.col("nr").alias("nr")))))
-    chosen = lean.groupBy("idx", "block", "short", "low").agg(F.coalesce(F.max(F.when(F.col("nr") <= F.col("low"), F.col("sum"))), F.lit(0)).alias("base"), near.alias("near"))
+    chosen = lean.groupBy("idx", "block", "last", "short", "low").agg(F.coalesce(F.max(F.when(F.col("nr") <= F.col("low"), F.col("sum"))), F.lit(0)).alias("base"), near.alias("near"))
     greedy = "aggregate(near, named_struct('left', short - base, 'nrs', cast(array() as array<int>)), (s, x) -> if(-x.o <= s.left, named_struct('left', s.left + x.o, 'nrs', concat(s.nrs, array(x.nr))), s)).nrs"
-    chosen = stored(chosen.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("low", F.expr(greedy).alias("nrs")).alias("chosen")), "chosen")
-    nr, total, pick = fresh(keyed, "nr", "total", "pick")
-    short = keyed.where(fact["short"] > 0).withColumn(size, words)
-    short = short.withColumn(nr, F.row_number().over(Window.partitionBy(idx, block).orderBy(h, size, F.xxhash64(f"`{text}`"))))
+    chosen = stored(chosen.select(F.col("idx").alias(p_idx), F.col("block").alias(p_block), F.struct("last", "low", F.expr(greedy).alias("nrs")).alias("chosen")), "chosen")
+    nr, total, pick, at = fresh(keyed, "nr", "total", "pick", "slice")
+    short = keyed.where(fact["short"] > 0).withColumn(size, words).withColumn(at, _slice(F.col(h), fact["n_slices"], seed))
     picks = chosen.withColumnRenamed("chosen", pick)
     short = short.join(picks, (F.col(idx) == F.col(p_idx)) & (F.col(block) == F.col(p_block))).drop(p_idx, p_block)
+    ranked = short.where(F.col(at) == F.col(pick)["last"])
+    ranked = ranked.withColumn(nr, F.row_number().over(Window.partitionBy(idx, block).orderBy(h, size, F.xxhash64(f"`{text}`"))))
     taken = (F.col(nr) <= F.col(pick)["low"]) | F.array_contains(F.col(pick)["nrs"], F.col(nr))
-    short = short.withColumn(total, fact["whole"] + taken.cast("long")).drop(nr, pick)
+    ranked = ranked.withColumn(total, fact["whole"] + taken.cast("long")).drop(nr)
+    clear = short.where(F.col(at) != F.col(pick)["last"]).withColumn(total, fact["whole"] + (F.col(at) < F.col(pick)["last"]).cast("long"))
+    short = ranked.unionByName(clear).drop(pick, at)
     rest = keyed.where(fact["short"] == 0).withColumn(size, words).withColumn(total, fact["whole"])
     out = rest.unionByName(short)
     place = F.transform(F.slice(fact["draws"], F.lit(1), F.col(total).cast("int")), lambda d: F.struct(d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col(h)).alias("place")))

@@ -200,3 +200,74 @@ def test_chat_layouts(spark):
     assert got[4] == ("turn-list", [("user", "l")])
     assert got[6] == ("question-answer", [("user", None), ("assistant", "a")])
     assert got[5] == got[90] == got[91] == (None, [])
+
+
+def mix_brute(rows, hashes, most=3.0, blocks=2048, block_words=20000, slice_docs=4000, near=500):
+    """How often each row (key, source, size, h) is taken; hashes: the engine's hash of (block order) and (slice)."""
+    from math import ceil
+
+    sizes, groups = {}, {}
+    for _, s, size, _ in rows:
+        sizes[s] = sizes.get(s, 0) + size
+    want, unit = brute.targets(sizes), max(block_words, -(-sum(sizes.values()) // blocks))
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    taken = [0] * len(rows)
+    for i, (_, s, size, h) in enumerate(rows):
+        groups.setdefault((s, h % max(1, ceil(sizes[s] / unit))), []).append(i)
+    for idx, s in enumerate(names):
+        own = sorted((hashes["order"](idx, b), b) for x, b in groups if x == s)
+        passes = int(want[s] / sizes[s] + 1e-12) if sizes[s] else 1
+        left = max(0.0, want[s] - passes * sizes[s])
+        for _, b in own:
+            docs = groups[s, b]
+            words = sum(rows[i][2] for i in docs)
+            for i in docs:
+                taken[i] += passes
+            if left <= 0:
+                continue
+            if words <= left:
+                if passes < ceil(most):
+                    for i in docs:
+                        taken[i] += 1
+                left -= words
+                continue
+            slices = {}
+            for i in docs:
+                slices.setdefault(hashes["slice"](rows[i][3]) % max(1, ceil(len(docs) / slice_docs)), []).append(i)
+            for at in sorted(slices):
+                part = sorted(slices[at], key=lambda i: (rows[i][3], rows[i][2]))
+                words = sum(rows[i][2] for i in part)
+                if words < left:
+                    for i in part:
+                        taken[i] += 1
+                    left -= words
+                    continue
+                total, fits = 0, 0
+                for i in part:
+                    total += rows[i][2]
+                    fits += total <= left
+                low = fits - near
+                for i in part[: max(low, 0)]:
+                    taken[i] += 1
+                    left -= rows[i][2]
+                close = [(j + 1, i) for j, i in enumerate(part) if low < j + 1 <= low + 2 * near]
+                for _, _, i in sorted((-rows[i][2], nr, i) for nr, i in close):
+                    if rows[i][2] <= left:
+                        taken[i] += 1
+                        left -= rows[i][2]
+                break
+            left = 0.0
+    return taken
+
+
+@pytest.mark.parametrize("options, near", [({}, 500), ({"block_words": 900, "slice_docs": 3}, 2), ({"block_words": 10**9, "slice_docs": 7}, 3)])
+def test_mixture_brute(spark, monkeypatch, options, near):
+    monkeypatch.setattr(mixture, "NEAR", near)
+    df = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "source", "text")
+    h = F.xxhash64(F.lit(7), F.col("doc_id").cast("string"), F.octet_length("text"))
+    given = [(r.doc_id, r.source, len(brute.SPACE.findall(r.text or "")), r.h) for r in df.withColumn("h", F.coalesce(h, F.xxhash64(F.lit(7), F.col("doc_id").cast("string")))).collect()]
+    order = {(r.i, r.b): r.o for r in spark.range(30).crossJoin(spark.range(2200).withColumnRenamed("id", "b")).select(F.col("id").cast("int").alias("i"), "b", F.xxhash64(F.lit(7), F.lit("order"), F.col("id").cast("int"), "b").alias("o")).collect()}
+    cut = {r.h: r.x for r in spark.createDataFrame([(h,) for *_, h in given], "h long").select("h", F.xxhash64(F.lit(7), F.lit("slice"), "h").alias("x")).collect()}
+    want = mix_brute(given, {"order": lambda i, b: order[i, b], "slice": cut.get}, near=near, **options)
+    got = {r.doc_id: len(r.placements) for r in mixture.mix(df, **options).collect()}
+    assert got == {r[0]: n for r, n in zip(given, want)}
