@@ -5,10 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -83,7 +83,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def apart(df: DataFrame, added: Iterable[str], operator: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """(operator's result for df, df's own columns in it): those that are named like a column that the operator adds pass through under other names."""
+    clash = [c for c in df.columns if c.lower() in added]
+    names = dict(zip(clash, fresh(df, *[f"own_{c}" for c in clash])))
+    out = operator(df.withColumnsRenamed(names) if names else df)
+    return out, [F.col(f"`{names.get(c, c)}`").alias(c) for c in df.columns]
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, root) per node with an edge, root its smallest reachable node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until the stars stand still. A step is one
@@ -93,7 +101,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen, steps = None, []
-    for _ in range(rounds):
+    while True:
         count, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not count or seen == (count, mark):
             break
@@ -108,6 +116,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for old in steps:
             drop_stored(old)
         steps.clear()
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -37,6 +37,7 @@ from .common import components, drop_stored, stored
 _U = np.uint64
 WORDS = 16  # of 64 bits in a bitmap
 KEYS = 8
+SALTS = 16
 _HASHES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
@@ -180,9 +181,11 @@ def _stars(nodes: DataFrame, percent: int) -> DataFrame:
 
     The centre is the node whose shingles are the most common on average: in a group of near copies the one nearest to what all have.
     """
-    keyed = nodes.select("node", "fame", F.explode("keys").alias("key"))
-    centre = keyed.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("best"), F.count("*").alias("times")).where("times > 1").select("key", F.col("best.node").alias("centre"))
-    pairs = keyed.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    keyed = nodes.select("node", "fame", F.explode("keys").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    centre = keyed.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("best"), F.count("*").alias("times")).where("times > 1")
+    # A key of very many nodes is dealt out; few keys have more than one node, so their centres are cheap to repeat.
+    centre = centre.select("key", F.col("best.node").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    pairs = keyed.join(centre, ["key", "salt"]).where("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "uv")
     return stored(pairs.join(left, "u").join(right, "v").where(_may_link("n_u", "n_v", "bits_u", "bits_v", percent)).select("u", "v"), "stars")
 
