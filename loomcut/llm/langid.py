@@ -29,11 +29,11 @@ def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
 
 
-def features(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram of every text, text after text; where each text's begin, and the end)."""
+def features(texts: list[str | None], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order of n-grams (bucket of every n-gram of every text, text after text; where each text's begin, and the end)."""
     low = [(t or "").lower() for t in texts]
     codes = np.frombuffer("\0".join([*low, ""]).encode("utf-32-le", "replace"), np.uint32)
-    owner = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
+    owner = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
     letter = _letters()[codes]
     codes = np.where(letter, codes, np.uint32(32))
     # a run of other characters counts as one break, and each text has one before its first letter and after its last
@@ -43,27 +43,20 @@ def features(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndar
     before[1:] = letter[:-1]
     keep = letter | (before & ~first) | (~letter & first)
     starts = np.flatnonzero(first & letter)
-    codes, owner = np.insert(codes[keep], np.searchsorted(np.flatnonzero(keep), starts), 32), np.insert(owner[keep], np.searchsorted(np.flatnonzero(keep), starts), owner[starts])
-    grams, owners = [], []
-    wide = codes.astype(np.uint64)
+    at = np.searchsorted(np.flatnonzero(keep), starts)
+    codes, owner = np.insert(codes[keep], at, 32), np.insert(owner[keep], at, owner[starts])
+    out, wide = [], codes.astype(np.uint64)
     for n in ORDERS:
-        m = len(wide) - n + 1
-        if m <= 0:
-            continue
+        m = max(len(wide) - n + 1, 0)
         h = np.full(m, n, np.uint64)
         for i in range(n):
             h = (h + wide[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         within = owner[:m] == owner[n - 1 :]
         if n == 1:
-            within &= wide != 32
-        grams.append((h[within] >> np.uint64(20)) % np.uint64(buckets))
-        owners.append(owner[:m][within])
-    if not grams:
-        return np.zeros(0, np.int64), np.zeros(len(low) + 1, np.int64)
-    who = np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    return np.concatenate(grams)[order].astype(np.int64), np.searchsorted(who[order], np.arange(len(low) + 1))
+            within &= codes != 32
+        out.append((((h[within] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), np.searchsorted(owner[:m][within], np.arange(len(low) + 1))))
+    return out
 
 
 def has_letter(texts: list[str | None]) -> np.ndarray:
@@ -99,10 +92,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         for batch in batches:
             for a, b, _, _ in chunks(batch.column(0)):
                 texts, at = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_numpy()
-                grams, ends = features(texts, buckets)
-                owner = np.repeat(at, np.diff(ends))
-                for i in np.unique(at).tolist():
-                    total[i] = total.get(i, 0) + np.bincount(grams[owner == i], minlength=buckets)
+                for grams, ends in features(texts, buckets):
+                    owner = np.repeat(at, np.diff(ends))
+                    for i in np.unique(at).tolist():
+                        total[i] = total.get(i, 0) + np.bincount(grams[owner == i], minlength=buckets)
         for i, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n[at])], ["at", "bucket", "n"])
@@ -118,7 +111,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred string and score double: the most probable language and its posterior probability.
 
     A text that is null or has no letters, and any text where nothing was learned, is 'und' with score 0. Ties go to the first
-    language in code-point order. Whole texts are scored. Columns of docs named lang_pred or score are replaced.
+    language in code-point order. Whole texts are scored; repeated rows are each scored alike. Columns of docs named lang_pred or score are
+    replaced. Empty table: no rows.
     """
     base = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.prior))
@@ -128,27 +122,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches):
         langs, weights, prior = sent.value
+        columns = [np.ascontiguousarray(weights[:, j]) for j in range(len(langs))]
         for batch in batches:
-            column = batch.column(at).cast(pa.large_string())
-            preds, scores = [], []
-            for a, b, _, _ in chunks(column, 1 << 19):
-                texts = column.slice(a, b - a).to_pylist()
-                known = has_letter(texts) & bool(langs)
-                grams, ends = features(texts, len(weights))
-                if len(langs) and len(grams):
-                    sums = np.zeros((len(texts), len(langs)))
-                    full = np.flatnonzero(np.diff(ends))
-                    for j in range(len(langs)):
-                        sums[full, j] = np.add.reduceat(weights[:, j][grams], ends[full])
-                    sums += prior
-                    best = sums.argmax(1)
-                    top = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                    preds += [langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
-                    scores += np.where(known, top, 0.0).tolist()
-                else:
-                    preds += [UNKNOWN] * len(texts)
-                    scores += [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            for a, b, _, _ in chunks(batch.column(at), 1 << 18):
+                piece = batch.slice(a, b - a)
+                texts = piece.column(at).cast(pa.string()).to_pylist()
+                preds, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                if langs:
+                    known, sums = has_letter(texts), np.tile(prior, (len(texts), 1))
+                    for grams, ends in features(texts, len(weights)):
+                        full = np.flatnonzero(np.diff(ends))
+                        for j, own in enumerate(columns):
+                            if len(full):
+                                sums[full, j] += np.add.reduceat(own[grams], ends[full])
+                    scores = np.where(known, 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1), 0.0)
+                    preds = [langs[i] if k else UNKNOWN for i, k in zip(sums.argmax(1).tolist(), known.tolist())]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     return base.mapInArrow(score, schema)
 
