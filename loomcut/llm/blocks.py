@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import fresh, setting, stored
+from .common import fresh, setting, stored, trim, trimmed
 
 BLOCK_BYTES = 8 << 20
 MOST_ROWS = 1 << 20
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, doc: str, text: str, name: str, extra: Callable[[Batch
         if held:
             yield flush()
 
-    packed = rows.mapInArrow(blocks, f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}")
+    packed = rows.mapInArrow(trimmed(blocks), f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}")
     with setting(docs.sparkSession, _BATCH, "1000"):  # rows are whole texts
         return stored(packed, name), id_at, text_at
 
@@ -171,6 +171,7 @@ def _added(group: pa.Table) -> pa.Table:
     total = np.empty(len(keys), np.int64)
     total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
     few, many = _small(total, np.append(0, ends))
+    trim()
     return pa.table({"part": group["part"], "block": group["block"], "few": few, "many": many})
 
 
@@ -184,7 +185,7 @@ def count(blocks: DataFrame, grams: Callable[[Batch], tuple[np.ndarray, np.ndarr
                 if len(keys):
                     yield _sent(block, kind, keys, counts, bits)
 
-    sent = blocks.select("block", "data").mapInArrow(send, "part int, block long, width int, keys binary, few binary, many binary")
+    sent = blocks.select("block", "data").mapInArrow(trimmed(send), "part int, block long, width int, keys binary, few binary, many binary")
     with setting(blocks.sparkSession, _BATCH, "4"):  # rows are whole blocks
         return stored(sent.groupBy("part").applyInArrow(_added, "part int, block long, few binary, many binary"), "counts")
 

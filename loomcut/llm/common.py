@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,25 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def trim() -> None:
+    """Gives memory back that a Python worker, which the next task will use too, holds without need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # other C libraries have no such function
+        return
+
+
+def trimmed(work: Callable) -> Callable:
+    """A function of batches that trims the worker's memory in the end."""
+
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own, set for the session."""
     place = spark.conf.get("spark.checkpoint.dir", None)

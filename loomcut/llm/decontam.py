@@ -3,7 +3,8 @@
 Both sides are cut into word shingles. For each window of an item its shingles are ordered by rarity (how often they
 occur in all documents); a document that contains the window must contain every one of them, so one necessary prefix
 token, the rarest, is enough to find it. A document's occurrence of that token fixes where the window would begin
-(positional bound), the window must fit between the document's ends (length bound), and then all its words are compared.
+(positional bound), the window must fit between the document's ends (length bound), and then all its words are compared, by two independent
+hashes of 64 bits each.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import fresh, stored
+from .common import fresh, stored, trimmed
 
 _BITS = 22
 
@@ -50,10 +51,11 @@ class Lookup:
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of items: their words' hashes one after another, and which items have them."""
+    """The distinct windows of a block of items: their words' hashes one after another, other hashes of them, and which items have them."""
 
     first: np.ndarray
     hashes: np.ndarray
+    others: np.ndarray
     items: list[list[str]]
 
     def tokens(self, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -68,15 +70,18 @@ def item_windows(rows: Iterable[tuple[str, str | None]], window: int) -> Windows
     """All windows of the items; an item with fewer words, but not none, is one window."""
     rows = list(rows)
     found: dict[bytes, list[str]] = {}
-    for i, (item, text) in enumerate(rows):
+    for item, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        own = textvec.words(data, np.array([0, len(data)]), textvec.ALNUM).hashes
+        offsets = np.array([0, len(data)])
+        w = textvec.words(data, offsets, textvec.ALNUM)
+        own = np.stack([w.hashes, textvec.second(data, offsets, w, np.arange(len(w.hashes)))], 1)
         for a in range(max(1, len(own) - window + 1) if len(own) else 0):
             items = found.setdefault(own[a : a + window].tobytes(), [])
             if not items or items[-1] != item:
                 items.append(item)
-    lengths = np.array([len(x) // 8 for x in found], np.int64)
-    return Windows(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), np.frombuffer(b"".join(found), np.uint64), [sorted(set(x)) for x in found.values()])
+    lengths = np.array([len(x) // 16 for x in found], np.int64)
+    both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+    return Windows(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), both[:, 0].copy(), both[:, 1].copy(), [sorted(set(x)) for x in found.values()])
 
 
 def _grams(w: textvec.Words, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,7 +106,7 @@ def _count_tokens(docs: DataFrame, text: str, keys: np.ndarray, sizes: list[int]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total[at])], ["token", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(trimmed(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r.token: r.n for r in rows}
 
 
@@ -119,19 +124,18 @@ def _mark(docs: DataFrame, text: str, windows: Windows, shingle: int, names: lis
     chosen.sort()
     prefix = np.array([c[0] for c in chosen], np.uint64)
     place, which = np.array([c[1] for c in chosen], np.int64), np.array([c[2] for c in chosen], np.int64)
-    first, hashes, items = windows.first, windows.hashes, windows.items
-    index = docs.sparkSession.sparkContext.broadcast((prefix, place, which, first, hashes, items))
+    index = docs.sparkSession.sparkContext.broadcast((prefix, place, which, windows.first, windows.hashes, windows.others, windows.items))
     base = [c for c in docs.columns if c not in names]
     schema = T.StructType([*(docs.schema[c] for c in base), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
 
     def mark(batches):
-        prefix, place, which, first, hashes, items = index.value
+        prefix, place, which, first, hashes, others, items = index.value
         keys, begin, many = np.unique(prefix, return_index=True, return_counts=True)
         look, length = Lookup(keys), np.diff(first)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
-            n_words, spans, listed = [], [], []
-            for _, _, data, offsets in textvec.chunks(column):
+            for a, b, data, offsets in textvec.chunks(batch.column(batch.schema.get_field_index(text)).cast(pa.string())):
+                piece = batch.slice(a, b - a)
+                n_words, spans, listed = [], [], []
                 w = textvec.words(data, offsets, textvec.ALNUM)
                 n, docs_at, wins_at, from_at = len(w.first) - 1, [], [], []
                 for _, grams, at in _grams(w, sizes):
@@ -142,33 +146,34 @@ def _mark(docs: DataFrame, text: str, windows: Windows, shingle: int, names: lis
                     doc = np.searchsorted(w.first, at[found][group], side="right") - 1
                     fits = (start >= w.first[doc]) & (start + length[win] <= w.first[doc + 1])
                     win, start, doc = win[fits], start[fits], doc[fits]
-                    group, nth = _lengthen(length[win])
-                    differ = np.bincount(group, weights=w.hashes[start[group] + nth] != hashes[first[win][group] + nth], minlength=len(win))
-                    same = differ == 0
-                    docs_at.append(doc[same]), wins_at.append(win[same]), from_at.append(start[same])
+                    for mine, own in ((lambda i: w.hashes[i], hashes), (lambda i: textvec.second(data, offsets, w, i), others)):
+                        group, nth = _lengthen(length[win])
+                        differ = np.bincount(group, weights=mine(start[group] + nth) != own[first[win][group] + nth], minlength=len(win))
+                        win, start, doc = win[differ == 0], start[differ == 0], doc[differ == 0]
+                    docs_at.append(doc), wins_at.append(win), from_at.append(start)
                 doc, win, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_at, wins_at, from_at))
                 order = np.lexsort((start, doc))
                 doc, win, start = doc[order], win[order], start[order]
                 ends = np.searchsorted(doc, np.arange(n + 1))
                 n_words += np.diff(w.first).tolist()
                 for i in range(n):
-                    a, b = ends[i], ends[i + 1]
+                    s, e = ends[i], ends[i + 1]
                     merged: list[int] = []
-                    for s, e in zip((start[a:b] - w.first[i]).tolist(), (start[a:b] + length[win[a:b]] - w.first[i]).tolist()):
-                        if merged and s <= merged[-1]:
-                            merged[-1] = max(merged[-1], e)
+                    for x, y in zip((start[s:e] - w.first[i]).tolist(), (start[s:e] + length[win[s:e]] - w.first[i]).tolist()):
+                        if merged and x <= merged[-1]:
+                            merged[-1] = max(merged[-1], y)
                         else:
-                            merged += [s, e]
+                            merged += [x, y]
                     spans.append(merged)
-                    listed.append(sorted({x for j in set(win[a:b].tolist()) for x in items[j]}))
-            if again:
-                old = batch.column(batch.schema.get_field_index(names[1])).to_pylist(), batch.column(batch.schema.get_field_index(names[2])).to_pylist()
-                spans = [_union(x, y) for x, y in zip(old[0], spans)]
-                listed = [sorted({*x, *y}) for x, y in zip(old[1], listed)]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in base]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.string()))], [*base, *names])
-
-    return docs.mapInArrow(mark, schema)
+                    listed.append(sorted({x for j in set(win[s:e].tolist()) for x in items[j]}))
+                if again:
+                    old = piece.column(piece.schema.get_field_index(names[1])).to_pylist(), piece.column(piece.schema.get_field_index(names[2])).to_pylist()
+                    spans = [_union(x, y) for x, y in zip(old[0], spans)]
+                    listed = [sorted({*x, *y}) for x, y in zip(old[1], listed)]
+                arrays = [piece.column(piece.schema.get_field_index(c)) for c in base]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.string()))], [*base, *names])
+
+    return docs.mapInArrow(trimmed(mark), schema)
 
 
 def _union(x: list[int], y: list[int]) -> list[int]:

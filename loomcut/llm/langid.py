@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
 from .textvec import chunks
 
 UNKNOWN = "und"
@@ -100,7 +101,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n[at])], ["at", "bucket", "n"])
 
-    got = chosen.mapInArrow(count, "at int, bucket long, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = chosen.mapInArrow(trimmed(count), "at int, bucket long, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((buckets, len(langs)), alpha)
     counts[got["bucket"].to_numpy(np.int64), got["at"].to_numpy(np.int64)] += got["n"].to_numpy(float)
     prior = np.log(np.array([have[x] for x in langs], float) / sum(have.values()))
@@ -139,7 +140,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     preds = [langs[i] if k else UNKNOWN for i, k in zip(sums.argmax(1).tolist(), known.tolist())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return base.mapInArrow(score, schema)
+    return base.mapInArrow(trimmed(score), schema)
 
 
 def held_out(key: Column) -> Column:

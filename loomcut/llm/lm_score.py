@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as bl
 from . import textvec
+from .common import trim
 
 BACKOFF = 0.4
 
@@ -107,6 +108,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
         hashes, owner = _words(batch, text_at)
         values = _scores(hashes, owner, bl.read_counts(answers), order, total) if len(owner) else np.zeros(0)
         n = batch.num_rows
+        trim()
         return pa.table({"doc_id": batch.column(id_at), "n_words": np.bincount(owner, minlength=n), "log_score": np.bincount(owner, weights=values, minlength=n)})
 
     schema = "doc_id long, n_words long, log_score double"

@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks as bl
 from . import textvec
-from .common import components, drop_stored, stored
+from .common import components, drop_stored, stored, trim, trimmed
 
 _U = np.uint64
 WORDS = 16  # of 64 bits in a bitmap
@@ -148,6 +148,7 @@ def _open(blocks: DataFrame, nodes: DataFrame, text_at: int, k: int, percent: in
                 for c, x in zip(out, (bl.place(number, first[j]), int(size[j]), int(alone[j]), float(own.mean()), _bitmap(sets[j]), _sketch(sets[j]), sets[j][shared].view(np.int64), sets[j].view(np.int64))):
                     out[c].append(x)
         lists = pa.list_(pa.int64())
+        trim()
         return pa.table({c: pa.array(x, lists if c in ("bits", "keys", "tokens", "own") else pa.float64() if c == "fame" else pa.int64()) for c, x in out.items()})
 
     have = blocks.select("block", "data").join(mine, "block")
@@ -173,7 +174,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             at = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(at), batch.column(1).filter(at)], ["u", "v"])
 
-    return stored(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "links")
+    return stored(both.select("u", "v", "x", "y").mapInArrow(trimmed(compare), "u long, v long"), "links")
 
 
 def _stars(nodes: DataFrame, percent: int) -> DataFrame:

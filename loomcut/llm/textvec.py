@@ -105,6 +105,12 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     return Words(np.searchsorted(begins, offsets), hashes, begins, ends)
 
 
+def second(data: np.ndarray, offsets: np.ndarray, w: Words, at: np.ndarray) -> np.ndarray:
+    """Other hashes, independent of the first ones, of some words of the texts that `w` was made of."""
+    base = int(offsets[0])
+    return hash_spans(_LOWER[data[base : int(offsets[-1])]], w.starts[at], w.ends[at], seed=1)
+
+
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash for each k adjacent words, whatever text they are in."""
     n = len(hashes) - k + 1
