@@ -45,3 +45,20 @@ def lpips_layer(a: Column, b: Column, weights: Column) -> Column:
     """Weighted squared distance of two channel vectors normalised to length one."""
     na, nb = normalize(a, 1e-10), normalize(b, 1e-10)
     return F.aggregate(F.zip_with(F.zip_with(na, nb, lambda x, y: F.pow(x - y, F.lit(2.0))), weights, lambda d, w: d * w), F.lit(0.0), lambda s, x: s + x)
+
+
+def lpips(layers: list[tuple[Column, Column, Column]]) -> Column:
+    """Distance of two images from their layers: (positions of one, of the other, weights), positions being arrays of channel vectors; each layer's mean over positions, added up."""
+    out = F.lit(0.0)
+    for a, b, weights in layers:
+        per = F.zip_with(a, b, lambda x, y: lpips_layer(x, y, weights))
+        out = out + F.aggregate(per, F.lit(0.0), lambda s, d: s + d) / F.size(a)
+    return out
+
+
+def coherence(dx: Column, dy: Column, least: float = 0.5, pixels: int = 100, fallback: float = 1.0) -> Column:
+    """Of a flow field as two arrays: the length of the mean unit vector of the pixels that move over `least`, fallback where at most `pixels` do."""
+    moving = F.filter(F.zip_with(dx, dy, lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.sqrt(x * x + y * y).alias("m"))), lambda p: p["m"] > least)
+    mean = lambda part: F.aggregate(moving, F.lit(0.0), lambda s, p: s + p[part] / p["m"]) / F.size(moving)
+    x, y = mean("x"), mean("y")
+    return F.when(F.size(moving) > pixels, F.sqrt(x * x + y * y)).otherwise(F.lit(float(fallback)))

@@ -876,3 +876,6 @@ def snk3_collisions(spark, sf):
 
     df = table(spark, sf, "documents").withColumn("path", F.format_string("/r/%d/%s_%d.mp4", "doc_id", "source", "n_chars"))
     return files.collisions(df).select("doc_id", "collides")
+
+
+from . import file_queries, record_queries  # noqa: E402, F401  they add theirs to QUERIES and ORACLE

@@ -8,11 +8,13 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import VIDEO
+from .shared import Joined
 
 SUFFIXES = (".tar", ".tar.gz", ".tgz", ".zip")
 MEMBERS = "archive string, member string, size long"
@@ -23,17 +25,17 @@ def safe(name: str) -> bool:
     return not name.startswith(("/", "\\")) and ".." not in re.split(r"[\\/]", name) and not re.match(r"[A-Za-z]:", name)
 
 
-def members(name: str, data: bytes, content: bool) -> Iterator[tuple[str, int, bytes | None]]:
-    """(member, size, bytes) of files in an archive; unsafe names are refused."""
+def members(name: str, file, content: bool) -> Iterator[tuple[str, int, bytes | None]]:
+    """(member, size, bytes) of files in an archive that is open as a seekable file; unsafe names are refused. One member's bytes are held at a time."""
     if name.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(file) as z:
             for i in z.infolist():
                 if not i.is_dir():
                     if not safe(i.filename):
                         raise ValueError(f"unsafe member {i.filename!r}")
                     yield i.filename, i.file_size, z.read(i) if content else None
         return
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+    with tarfile.open(fileobj=file, mode="r:*") as t:
         for i in t:
             if i.isfile():
                 if not safe(i.name):
@@ -49,27 +51,31 @@ def find_archives(spark: SparkSession, root: str, recursive: bool = True) -> Dat
 
 
 def list_members(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(archive, member, size, error[, data]) of all archives below root; an archive that can't be read gives its error, a split zip too."""
-    chunks = find_archives(spark, root).select("archive", F.posexplode("chunks").alias("i", "path"))
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    rows = chunks.join(data, "path")
+    """(archive, member, size, error[, data]) of all archives below root; an archive that can't be read gives its error, a split zip too.
+
+    An archive is read member by member where it lies, its chunks as one file; what has no content asked for is only listed.
+    """
     schema = f"{MEMBERS}, error string" + (", data binary" if content else "")
 
-    def read(key, pdf):
-        import pandas as pd
+    def read(batches):
+        for batch in batches:
+            for name, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    if len(paths) > 1 and name.lower().endswith(".zip"):
+                        raise ValueError("split zip archives are not supported")
+                    with io.BufferedReader(Joined(paths), 1 << 20) as file:
+                        for member, size, data in members(name, file, content):
+                            yield row(name, member, size, None, data)
+                except Exception as e:
+                    yield row(name, None, None, f"{type(e).__name__}: {e}", None)
 
-        name, out = key[0], []
-        parts = pdf.sort_values("i")["content"]
-        try:
-            if len(parts) > 1 and name.lower().endswith(".zip"):
-                raise ValueError("split zip archives are not supported")
-            for m, n, d in members(name, b"".join(parts), content):
-                out.append((name, m, n, None, d))
-        except Exception as e:
-            out = [(name, None, None, f"{type(e).__name__}: {e}", None)]
-        return pd.DataFrame(out, columns=["archive", "member", "size", "error", "data"])[[f.split()[0] for f in schema.split(", ")]]
+    def row(name, member, size, error, data):
+        columns = {"archive": pa.array([name], pa.string()), "member": pa.array([member], pa.string()), "size": pa.array([size], pa.int64()), "error": pa.array([error], pa.string())}
+        if content:
+            columns["data"] = pa.array([data], pa.binary())
+        return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return rows.groupBy("archive").applyInPandas(read, schema)
+    return find_archives(spark, root).repartition("archive").select("archive", "chunks").mapInArrow(read, schema)
 
 
 def count_videos(spark: SparkSession, root: str) -> DataFrame:
@@ -92,14 +98,13 @@ class _Reader(DataSourceReader):
         return [_Part(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-            data = f.read()
-        for member, size, content in members(partition.path, data, self.content):
-            yield (partition.path, member, size, content) if self.content else (partition.path, member, size)
+        with io.BufferedReader(Joined([partition.path]), 1 << 20) as file:
+            for member, size, content in members(partition.path, file, self.content):
+                yield (partition.path, member, size, content) if self.content else (partition.path, member, size)
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("archive").option("paths", "a.tar,b.zip").load(): a partition for each archive on a file system that executors mount; bytes are read only where the schema has data."""
+    """spark.read.format("archive").option("paths", "a.tar,b.zip").load(): a partition for each archive; bytes are read only where the schema has data."""
 
     @classmethod
     def name(cls) -> str:

@@ -24,6 +24,14 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = VIDEO, recu
     return found.where(extension(F.col("path")).isin(*suffixes)).orderBy("path")
 
 
+def images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """Image files by path; raises where there is none."""
+    found = scan(spark, root, IMAGE, recursive)
+    if found.isEmpty():
+        raise ValueError(f"no images below {root}")
+    return found
+
+
 def natural_order(df: DataFrame, path: str = "path") -> DataFrame:
     return df.orderBy(natural_key(F.substring_index(path, "/", -1)), path)
 
@@ -47,6 +55,15 @@ def probe(files: DataFrame, prober: Callable[[str], dict]) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+def probe_counts(files: DataFrame, prober: Callable[[str], dict]) -> DataFrame:
+    """files (path, length, ...) as probe() has them, with num_frames = duration * fps, halves to even, and file_size_mb; zeros where prober raises."""
+    out = probe(files, prober)
+    failed = F.col("error").isNotNull()
+    known = {"num_frames": F.bround(F.col("duration") * F.col("fps")).cast("int"), "file_size_mb": F.col("length") / 1048576}
+    zeros = {c: F.when(failed, 0).otherwise(F.coalesce(c, F.lit(0))) for c in ("width", "height", "fps", "duration")}
+    return out.withColumns({c: F.when(failed, 0).otherwise(v) for c, v in known.items()}).withColumns(zeros)
+
+
 def frame_count(packets: Column, counted: Column, duration: Column, rate: Column) -> Column:
     """The counted frames, else packets, else duration times a rate num/den."""
     num, den = F.split_part(rate, F.lit("/"), F.lit(1)).try_cast("double"), F.split_part(rate, F.lit("/"), F.lit(2)).try_cast("double")
@@ -71,6 +88,25 @@ def read_metadata(spark: SparkSession, path: str, schema: str | None = None, str
     return (reader if schema else reader.option("inferSchema", True)).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of a JSONL file that name a file, by video_path or else by path."""
+    df = read_metadata(spark, path, schema)
+    for c in ("video_path", "path"):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
+    return df.where(record_key() != "")
+
+
+def read_video_paths(spark: SparkSession, path: str) -> DataFrame:
+    """video_path of every row of a JSONL file; a row without it raises."""
+    df = spark.read.schema("video_path string").json(path)
+    return df.select(F.coalesce("video_path", F.raise_error(F.lit("a row has no video_path"))).alias("video_path"))
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """Names of a CSV file's columns; its rows are not read."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("prompt")).where("prompt <> ''")
 
@@ -79,6 +115,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def train_rows(captions: DataFrame, listing: DataFrame, video: str = "video_path", strict: bool = False) -> DataFrame:
+    """captions with missing: whether the file is not in listing (path); raises on one where strict, else the caller leaves them out and reports them."""
+    there = listing.select(F.col("path").alias(video)).distinct().withColumn("missing", F.lit(False))
+    out = captions.join(there, video, "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    return out.withColumn("missing", F.when(F.col("missing"), F.raise_error(F.concat(F.lit("missing file "), F.col(video)))).otherwise(False)) if strict else out
+
+
 def write_survivors(df: DataFrame, path: str, passed: str = "filter_pass", rejects: str | None = None) -> None:
     df.where(F.col(passed)).write.mode("overwrite").json(path)
     if rejects:
