@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Filter:
     """passes: an expression over scored columns and parameters; scores: further columns; scorer: a function of pandas batches for what needs Python."""
@@ -112,6 +116,7 @@ def _score(df: DataFrame, f: Filter, p: dict) -> DataFrame:
                     except Exception as e:
                         rows.append(pd.DataFrame({**{c: [None] for c in added}, f"filter_{f.name}_error": [f"{type(e).__name__}: {e}"]}))
                 out = pd.concat(rows, ignore_index=True)
+                _log.warning("%s: a batch of %d rows failed and was scored row by row; %d rows failed", f.name, len(batch), int(out[f"filter_{f.name}_error"].notna().sum()))
             yield pd.concat([batch.reset_index(drop=True), out.reset_index(drop=True)], axis=1)
 
     return df.mapInPandas(score, schema)

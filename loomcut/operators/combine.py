@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import share_before
+
 
 def lookup(left: DataFrame, right: DataFrame, on: str, key: str, value: str, order: str, out: str) -> DataFrame:
     """left with out: the value of the last row of right (by order) whose key equals on; NaN counts as missing."""
@@ -15,14 +17,33 @@ def lookup(left: DataFrame, right: DataFrame, on: str, key: str, value: str, ord
     return left.join(known, F.col(on).cast("string") == F.col("_key"), "left").drop("_key")
 
 
+def _ordered_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, before): the distinct known values, how often each is there and how many rows come before it in order; ordered by ranges."""
+    return share_before(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), [value], "n")
+
+
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """One row (median): the entry at n // 2 of the sorted known values, without averaging.
 
     Only the counts of distinct values are ordered, not the rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value))).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) / 2))
-    return upto.where(F.col("upto") > F.col("half")).agg(F.min(value).alias("median"))
+    counts = _ordered_counts(df, value)
+    half = counts.agg(F.floor(F.sum("n") / 2).alias("half"))
+    at = counts.crossJoin(F.broadcast(half)).where((F.col("before") <= F.col("half")) & (F.col("half") < F.col("before") + F.col("n")))
+    return at.agg(F.min(value).alias("median"))
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row (p array<double>): exact percentiles of the known values with linear interpolation; nulls where there are none."""
+    counts = _ordered_counts(df, value)
+    places = counts.agg(F.array(*[F.lit(float(s)) * (F.sum("n") - 1) for s in shares]).alias("at"))  # one row
+    with_places = counts.crossJoin(F.broadcast(places))
+
+    def entry(k: Column) -> Column:
+        return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value).cast("double")))
+
+    ends = [(entry(F.floor(F.col("at")[i])), entry(F.ceil(F.col("at")[i])), F.first(F.col("at")[i] - F.floor(F.col("at")[i]))) for i in range(len(shares))]
+    return with_places.agg(F.array(*[low + (high - low) * part for low, high, part in ends]).alias("p"))
 
 
 def fill_upper_median(df: DataFrame, value: str) -> DataFrame:
@@ -49,6 +70,18 @@ def union_limit(sources: list[DataFrame], limit: int, order: list[str], strict:
     return out.where(keep).drop("_rn", "_before")
 
 
+def union_limit_by(df: DataFrame, source: list[str], order: list[str], limit: int) -> DataFrame:
+    """As union_limit(), for sources that are the groups of a table, one after another in their own order: rows with source_no from 0. Null is a source."""
+    first = Window.partitionBy(*source).orderBy(*order)
+    heads = df.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= limit)
+    names = [F.col(c).alias(f"_s{i}") for i, c in enumerate(source)]
+    sizes = df.groupBy(*source).agg(F.least(F.count("*"), F.lit(limit)).alias("_size"))
+    sizes = share_before(sizes, source, "_size").select(*names, F.col("row").cast("int").alias("source_no"), F.col("before").alias("_before"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(source)])
+    keep = (F.col("_before") + F.col("_rn") <= limit) | ((F.col("_rn") == 1) & (F.col("_before") >= limit))
+    return heads.join(sizes, same).where(keep).drop("_rn", "_before", *[f"_s{i}" for i in range(len(source))])
+
+
 def later_wins(frames: list[DataFrame], key: str) -> DataFrame:
     """Union of tables in which the last one that has a key gives its row."""
     every = reduce(DataFrame.unionByName, [df.withColumn("_i", F.lit(i)) for i, df in enumerate(frames)])

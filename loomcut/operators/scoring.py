@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _models: dict[str, object] = {}
+_log = logging.getLogger(__name__)
+
+#: The metrics that are known by name, and what of a row each is given.
+KNOWN = {
+    "pickscore": "prompt and image", "image_reward": "prompt and image", "hpsv2": "prompt and image", "hpsv3": "prompt and image", "clip": "prompt and image", "bioclip": "prompt and image",
+    "aesthetic": "image", "fid": "two sets of images", "lpips": "two images", "qwen_image_bench": "prompt and image", "unified_reward_2": "prompt and image", "unified_reward_edit": "instruction and two images",
+}
 
 
 @dataclass(frozen=True)
@@ -35,6 +43,7 @@ class Metric:
                     values = list(score(_models[name], pdf))
                 except Exception:
                     values = [_one(score, _models[name], pdf.iloc[i : i + 1]) for i in range(len(pdf))]
+                    _log.warning("%s: a batch of %d rows failed and was scored row by row; %d rows have no score", name, len(pdf), sum(v is None for v in values))
                 yield pdf.assign(**{out: values})
 
         return df.mapInPandas(run, schema)
@@ -44,6 +53,15 @@ class Metric:
         return self.scored(df, "_s").agg(self.reduce(F.col("_s")).alias("value")).select(F.lit(self.name).alias("metric"), "value")
 
 
+def named(name: str, make: Callable[[], object], score: Callable[[object, pd.DataFrame], list]) -> Metric:
+    """A metric that is known by name, with the model it needs; its value is the mean of its scores. Distances of sets are metrics.frechet_distances()."""
+    if name not in KNOWN:
+        raise ValueError(f"unknown metric {name!r}; known: {', '.join(KNOWN)}")
+    if name == "fid":
+        raise ValueError("fid has no score for a row; use metrics.activation_stats() and frechet_distances()")
+    return Metric(name, make, score)
+
+
 def _one(score, model, row: pd.DataFrame):
     try:
         return list(score(model, row))[0]

@@ -14,16 +14,15 @@ def edges(reads: DataFrame, writes: DataFrame) -> DataFrame:
     return both.withColumn("source", last).where("w = 0 and source is not null").select("source", F.col("unit").alias("target")).distinct()
 
 
-def reachable(links: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """Units (unit) that follow from start along links, start included. A plan has few units; each step is one join."""
     spark = links.sparkSession
     seen = {r.unit for r in start.collect()}
     step = seen
-    while step and most:
+    while step:
         found = links.join(spark.createDataFrame([(x,) for x in step], "unit long"), F.col("source") == F.col("unit")).select("target").distinct().collect()
         step = {r.target for r in found} - seen
         seen |= step
-        most -= 1
     return spark.createDataFrame([(x,) for x in sorted(seen)], "unit long")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import frames, judge, records, regions, schedule, text, vector
 from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
+from .sources import shared
 from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,21 +80,9 @@ def jn1_length_join_fill(spark, sf):
 @query("SELECT min(n_chars) AS min_len, quantile_cont(n_chars, 0.25) AS p25, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75, quantile_cont(n_chars, 0.95) AS p95, max(n_chars) AS max_len FROM documents")
 def ag4_length_summary(spark, sf):
     """AG4: exact percentiles with linear interpolation."""
-    p = F.percentile("n_chars", [0.25, 0.5, 0.75, 0.95])
-    out = table(spark, sf, "documents").agg(F.min("n_chars").alias("min_len"), p.alias("p"), F.max("n_chars").alias("max_len"))
-    return out.select("min_len", *[F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95"))], "max_len")
-
-
-@query("""
-WITH s AS (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS src FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')),
-r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) rn FROM s),
-n AS (SELECT src, least(count(*), 90) n FROM s GROUP BY src), b AS (SELECT src, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM n)
-SELECT doc_id, src AS source_no FROM r JOIN b USING (src) WHERE rn <= 90 AND (before + rn <= 90 OR (rn = 1 AND before >= 90))""")
-def tk2_union_limit_overshoot(spark, sf):
-    """SET1, TK2: union up to a limit which later sources overshoot by a row each."""
-    docs = table(spark, sf, "documents")
-    parts = [docs.where(F.col("source") == f"src{i}").select("doc_id") for i in range(4)]
-    return combine.union_limit(parts, 90, ["doc_id"]).select("doc_id", F.col("_source").alias("source_no"))
+    out = combine.percentiles(table(spark, sf, "documents"), "n_chars", [0, 0.25, 0.5, 0.75, 0.95, 1])
+    names = ("min_len", "p25", "p50", "p75", "p95", "max_len")
+    return out.select(*[F.col("p")[i].cast("long" if i in (0, 5) else "double").alias(n) for i, n in enumerate(names)])
 
 
 @query("""
@@ -102,20 +91,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) rn FROM s),
 n AS (SELECT src, least(count(*), 90) n FROM s GROUP BY src), b AS (SELECT src, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM n)
 SELECT doc_id, CAST(src AS INTEGER) AS source_no FROM r JOIN b USING (src) WHERE rn <= 90 AND (before + rn <= 90 OR (rn = 1 AND before >= 90))""")
 def tk2_union_limit_overshoot_all(spark, sf):
-    """SET1, TK2: the same over every source there is, in natural order."""
-    docs = table(spark, sf, "documents")
-    names = [r.source for r in docs.select("source").distinct().orderBy(F.length("source"), "source").collect()]
-    parts = [docs.where(F.col("source").eqNullSafe(n)).select("doc_id") for n in names]
-    return combine.union_limit(parts, 90, ["doc_id"]).select("doc_id", F.col("_source").alias("source_no"))
-
-
-@query("""
-SELECT doc_id, quality, max(conf) AS conflicts FROM (
-  SELECT doc_id, first_value(quality) OVER w AS quality, min(quality) OVER (PARTITION BY doc_id) <> max(quality) OVER (PARTITION BY doc_id) AS conf
-  FROM (SELECT doc_id, quality, 0 AS i FROM labels UNION ALL SELECT doc_id, 1, 1 FROM documents WHERE doc_id % 3 = 0) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY ALL""")
-def set5_first_wins(spark, sf):
-    """SET5: union by key, the first table's row wins, conflicts flagged."""
-    return combine.first_wins(_labelled(spark, sf, table(spark, sf, "documents").where("doc_id % 3 = 0")), "doc_id")
+    """SET1, TK2: union of all sources, in natural order, up to a limit which later sources overshoot by a row each."""
+    docs = table(spark, sf, "documents").withColumn("length", F.length("source"))
+    return combine.union_limit_by(docs, ["length", "source"], ["doc_id"], 90).select("doc_id", "source_no")
 
 
 @query("""
@@ -127,12 +105,6 @@ def set5_first_wins_all(spark, sf):
     return combine.first_wins(_labelled(spark, sf, table(spark, sf, "documents")), "doc_id")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE l.quality END AS quality FROM (SELECT DISTINCT doc_id, quality FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d USING (doc_id)")
-def set5_later_wins(spark, sf):
-    """SET5, SRC30: union by key, the last table's row wins."""
-    return combine.later_wins(_labelled(spark, sf, table(spark, sf, "documents").where("doc_id % 3 = 0")), "doc_id")
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE l.quality END AS quality FROM (SELECT DISTINCT doc_id, quality FROM labels) l FULL JOIN documents d USING (doc_id)")
 def set5_later_wins_all(spark, sf):
     """SET5, SRC30: the same for every document."""
@@ -342,13 +314,8 @@ def prj1_conversions(spark, sf):
 def src20_natural_sort(spark, sf):
     """SRC20, TK13: names sorted by the value of their digits."""
     names = table(spark, sf, "documents").select(F.concat("source", F.lit(".jpg")).alias("name")).distinct()
-    return names.withColumn("pos", F.row_number().over(Window.orderBy(text.natural_key(F.col("name")), "name")))
-
-
-@query("SELECT o_orderkey, i AS idx, 42 + i AS seed, o_orderpriority || '-' || i || '.mp4' AS name FROM (SELECT * FROM orders WHERE o_orderkey % 7 = 0), (SELECT unnest(range(0, 5)) AS i)")
-def prj24_task_seeds(spark, sf):
-    """PRJ12, PRJ23, PRJ24: each prompt a few times, with seeds and names."""
-    return _task_seeds(table(spark, sf, "orders").where("o_orderkey % 7 = 0"))
+    names = names.withColumn("key", text.natural_key(F.col("name"))).withColumn("one", F.lit(1))
+    return rank.share_before(names, ["key", "name"], "one").select("name", (F.col("row") + 1).cast("int").alias("pos"))
 
 
 @query("SELECT o_orderkey, i AS idx, 42 + i AS seed, o_orderpriority || '-' || i || '.mp4' AS name FROM orders, (SELECT unnest(range(0, 5)) AS i)")
@@ -512,13 +479,6 @@ def jn5_nearest_grid(spark, sf):
     return table(spark, sf, "events").select("event_id", near["idx"].cast("long").alias("idx"))
 
 
-@query("SELECT event_id, [value, 500.0, value + 1000] AS moved FROM events WHERE value < 90 AND value > 1")
-def jn6_overwrite_nearest(spark, sf):
-    """JN6: targets replace the entries nearest to them."""
-    a = F.array(F.col("value"), F.lit(450.0), F.col("value") + 1000)
-    return table(spark, sf, "events").where("value < 90 and value > 1").select("event_id", lookup.overwrite_nearest(a, [500.0]).alias("moved"))
-
-
 @query("""
 WITH a AS (SELECT event_id, [value * 10, 450.0, value + 400] AS a FROM events), n AS (SELECT event_id, arg_min(i, (abs(a[i] - 500), i)) AS near FROM a, (SELECT unnest(range(1, 4)) AS i) GROUP BY event_id)
 SELECT event_id, [CASE WHEN near = 1 THEN 500.0 ELSE a[1] END, CASE WHEN near = 2 THEN 500.0 ELSE a[2] END, CASE WHEN near = 3 THEN 500.0 ELSE a[3] END] AS moved FROM a JOIN n USING (event_id)""")
@@ -531,16 +491,6 @@ def jn6_overwrite_nearest_all(spark, sf):
 # Vectors and metrics -----------------------------------------------------------------------------------------------------
 
 
-@query("""
-SELECT a.vec_id AS left_key, b.vec_id AS right_key, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity
-FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20) a, embeddings b""")
-def jn8_cosine_matrix(spark, sf):
-    """JN8, AG14: a few texts against all images."""
-    df = table(spark, sf, "embeddings")
-    out = metrics.similarity_matrix(df.orderBy("vec_id").limit(20), df, "vec_id", "embedding")
-    return out.withColumn("similarity", F.round("similarity", 6))
-
-
 @query("""
 SELECT a.vec_id AS left_key, b.vec_id AS right_key, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity
 FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, embeddings b""")
@@ -581,9 +531,9 @@ def ag12_activation_stats(spark, sf):
 
 @query()
 def ag13_frechet(spark, sf):
-    """AG13: distance of the distributions of two groups."""
+    """AG13: distances of the distributions of each group and the next one."""
     stats = metrics.activation_stats(table(spark, sf, "embeddings"), "label", "embedding")
-    return metrics.frechet_distance(stats, "label", 0, 1)
+    return metrics.frechet_distances(stats, "label", stats.select(F.col("label").alias("one"), (F.col("label") + 1).alias("two")))
 
 
 @query("SELECT avg(a) AS total FROM (SELECT event_type, avg(b) AS a FROM (SELECT event_type, user_id, avg(c) AS b FROM (SELECT event_type, user_id, date_trunc('day', ts) AS d, avg(value) AS c FROM events GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)")
@@ -670,9 +620,8 @@ r AS (SELECT user_id, i, n, 0.0::DOUBLE AS acc, true AS go FROM e WHERE i = 1 UN
 SELECT user_id, CAST(i AS INTEGER) AS i, go FROM r""")
 def wn9_threshold_reset(spark, sf):
     """WN9, ST6: a running sum that sets itself back."""
-    c = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
-    go = state.threshold_reset(F.transform("a", lambda x: x["value"]), 120.0)
-    return c.select("user_id", F.posexplode(go).alias("i", "go")).withColumn("i", F.col("i") + 1)
+    out = state.threshold_resets(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 120.0)
+    return out.select("user_id", F.col("i").cast("int").alias("i"), "go")
 
 
 @query("SELECT user_id, window_no, count(*) AS n, sum(value) AS total FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS window_no FROM events) GROUP BY ALL")
@@ -687,25 +636,39 @@ def st_event_windows(spark, sf):
     return state.event_counts(table(spark, sf, "events"), "ts", "event_type", "1 day", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT event_type AS key, count(*) AS seen, CAST(least(8, count(*)) AS INTEGER) AS kept FROM events GROUP BY 1")
 def st1_bounded_buffer(spark, sf):
     """ST1, ST2: a stream of events into bounded buffers by user."""
-    import tempfile
-    import uuid
-
-    events = table(spark, sf, "events")
+    events, path = table(spark, sf, "events"), shared.new_path(spark, "buffers")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
     out = state.bounded_buffer(stream, "event_type", "event_id", "value", 8)
-    name = "buffers"
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("key", "seen", F.size("slots").alias("kept"))
+    write = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    write.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")).start().awaitTermination()
+    last = F.max_by(F.struct("seen", F.size("slots").alias("kept")), "seen").alias("r")
+    return spark.read.parquet(f"{path}/rows").groupBy("key").agg(last).select("key", "r.*")
 
 
 # Plans ---------------------------------------------------------------------------------------------------------------------
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT s_suppkey AS unit FROM supplier WHERE s_suppkey < 3 UNION SELECT s.s_suppkey FROM r JOIN supplier s ON s.s_suppkey IN (2 * r.unit + 3, r.unit + 50)) SELECT unit FROM r""")
+def jn12_reachable(spark, sf):
+    """JN12: everything that follows from some units."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit"))
+    links = s.select(F.col("unit").alias("source"), F.explode(F.array(2 * F.col("unit") + 3, F.col("unit") + 50)).alias("target"))
+    return graph.reachable(links.join(s.withColumnRenamed("unit", "target"), "target", "left_semi"), s.where("unit < 3"))
+
+
+@query("""
+SELECT DISTINCT source, target FROM (SELECT event_id AS target, event_id % 3 = 0 AS reads, max(CASE WHEN event_id % 3 <> 0 THEN event_id END) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM events)
+WHERE reads AND source IS NOT NULL""")
+def jn11_last_producer(spark, sf):
+    """JN11: for each unit that reads a parameter the last earlier one that writes it."""
+    units = table(spark, sf, "events").select(F.col("event_id").alias("unit"), F.col("event_type").alias("param"))
+    return graph.edges(units.where("unit % 3 = 0"), units.where("unit % 3 <> 0"))
+
+
 @query("SELECT * FROM (VALUES (0::BIGINT, false), (1, false), (2, true), (3, true), (4, true), (5, false)) t(unit, related)")
 def o8_unit_graph_split(spark, sf):
     """O8, JN11, JN12, SET4: units that depend on a model, and those that do not."""
@@ -752,16 +715,6 @@ def set6_concat_by_key(spark, sf):
     return records.concat_by_key(df, "o_custkey", "o_orderkey", "vals")
 
 
-@query("""
-WITH p AS (SELECT p_partkey, p_size * 7 + 40 AS h, p_size * 5 + 40 AS w FROM part WHERE p_partkey < 500),
-y AS (SELECT p_partkey, h, unnest(range(0, h, 24)) AS t FROM p), x AS (SELECT p_partkey, w, unnest(range(0, w, 24)) AS t FROM p)
-SELECT y.p_partkey, CASE WHEN y.t + 32 > h THEN h - 32 ELSE y.t END AS top, CASE WHEN x.t + 32 > w THEN w - 32 ELSE x.t END AS "left", least(y.t + 32, h) AS bottom, least(x.t + 32, w) AS "right"
-FROM y JOIN x USING (p_partkey) WHERE (y.t < 24 OR y.t - 24 + 32 < h) AND (x.t < 24 OR x.t - 24 + 32 < w)""")
-def wn8_tiles(spark, sf):
-    """WN8: tiles of two axes, the last ones moved back to the edge."""
-    return _tiles(table(spark, sf, "part").where("p_partkey < 500"))
-
-
 @query("""
 WITH p AS (SELECT p_partkey, p_size * 7 + 40 AS h, p_size * 5 + 40 AS w FROM part),
 y AS (SELECT p_partkey, h, unnest(range(0, h, 24)) AS t FROM p), x AS (SELECT p_partkey, w, unnest(range(0, w, 24)) AS t FROM p)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.rank import place_in_group
+
 BUFFER = "key string, seq long, slots string"
 
 
@@ -31,8 +34,8 @@ def bounded_buffer(stream: DataFrame, key: str, order: str, value: str, k: int,
     def update(name, batches: Iterator[pd.DataFrame], state: GroupState):
         seen, slots = state.get if state.exists else (0, [])
         slots = list(slots)
-        for _, r in pd.concat([*batches]).sort_values("o").iterrows():
-            push(slots, int(seen), float(r["v"]), k, seed)
+        for v in pd.concat([*batches]).sort_values("o")["v"].tolist():
+            push(slots, int(seen), v, k, seed)
             seen += 1
         state.update((seen, slots))
         yield pd.DataFrame({"key": [name[0]], "seen": [seen], "slots": [slots]})
@@ -65,9 +68,30 @@ def threshold_reset(values: Column, limit: float) -> Column:
     return F.aggregate(values, start, step)["out"]
 
 
+def threshold_resets(df: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
+    """(key, i, go) for each row: its place from 1 within its key, and what threshold_reset() says of it. Rows go by in order; no list of a key's rows is made."""
+    w = Window.partitionBy(key).orderBy(*order)
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, F.row_number().over(w).cast("long").alias("i"), F.col(value).cast("double").alias("v"), F.lead(F.lit(True)).over(w).isNull().alias("last"))
+
+    def fold(batches):
+        total = 0.0
+        for batch in batches:
+            out = []
+            for i, v, last in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                total = v or 0.0 if i == 1 else total + (v or 0.0)
+                go = i == 1 or last or total >= limit
+                total = 0.0 if go else total
+                out.append(go)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], [key, "i", "go"])
+
+    return rows.mapInArrow(fold, f"`{key}` {kind}, i long, go boolean")
+
+
 def tumbling(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """df with the number of its count window of `size` rows within its key."""
-    return df.withColumn("window_no", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order.split(","))) - 1) / size))
+    """df with the number of its count window of `size` rows within its key; a key with most rows is split."""
+    placed = place_in_group(df, key, [F.col(c) for c in order.split(",")], "_place")
+    return placed.withColumn("window_no", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def event_counts(events: DataFrame, ts: str, kind: str, window: str, late: str) -> DataFrame:
