@@ -28,6 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(files: list[str]) -> None:
+    """Removes the paths of new_path() under which these files lie."""
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        for entry in [x for x in _written if folder.endswith(x[1].split("://")[-1].lstrip("/").rstrip("/"))]:
+            remove(*entry)
+            _written.remove(entry)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
