@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -13,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..sources.shared import discard, new_path
 
 
 @contextmanager
@@ -46,22 +43,6 @@ def trimmed(work: Callable) -> Callable:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own, set for the session."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='loomcut-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no one uses yet; it is removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/loomcut/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
@@ -73,24 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_stored(*frames: DataFrame) -> None:
     """Removes what stored() wrote for these frames; call it only when nothing reads them any more."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            for entry in [x for x in _written if path.endswith(x[1].split("://")[-1].lstrip("/").rstrip("/"))]:
-                _remove(*entry)
-                _written.remove(entry)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the JVM may have ended before the process does
-            return
+        discard(df.inputFiles())
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
