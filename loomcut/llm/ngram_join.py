@@ -38,6 +38,7 @@ _U = np.uint64
 WORDS = 16  # of 64 bits in a bitmap
 KEYS = 8
 SALTS = 16
+TILE = 2000
 _HASHES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
@@ -199,14 +200,19 @@ def _tiles(nodes: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     rows = placed.join(mixed, "token").join(nodes.select("node", "bits"), "node")
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(base) + 1e-9).cast("int")), "tiles")
-    left = rows.select("token", "band", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "bits", "pos")])
+    # A large tile is dealt out: its left rows into parts of about TILE, each of which meets all right rows.
+    large = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = rows.join(large, ["token", "band"], "left").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    left = left.select("token", "band", "part", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "bits", "pos")])
     right = rows.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    right = right.select("token", "band", "own", *[F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "bits", "pos")])
+    right = right.join(large, ["token", "band"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    right = right.select("token", "band", "part", "own", *[F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "bits", "pos")])
     apart = (F.col("root_u") != F.col("root_v")) & ((F.col("own") > F.col("band")) | (F.col("node_u") < F.col("node_v")))
     # Were this the first shingle they share, at most it and what follows could be shared; at the first one the bound holds.
     rest = 1 + F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
     apart = apart & (rest * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v")))
-    pairs = left.join(right, ["token", "band"]).where(apart & _may_link("n_u", "n_v", "bits_u", "bits_v", percent))
+    pairs = left.join(right, ["token", "band", "part"]).where(apart & _may_link("n_u", "n_v", "bits_u", "bits_v", percent))
     out = stored(pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct(), "pairs")
     drop_stored(rows, placed)
     return out

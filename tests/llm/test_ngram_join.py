@@ -22,7 +22,9 @@ def test_brute(spark):
     assert groups(df) == brute.similar([(r.doc_id, r.text) for r in df.collect()])
 
 
-def test_planted(spark):
+@pytest.mark.parametrize("tile", [ngram_join.TILE, 7])
+def test_planted(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     docs, passage = [], [word() for _ in range(60)]
