@@ -831,4 +831,4 @@ def snk3_collisions(spark, sf):
     return files.collisions(df).select("doc_id", "collides")
 
 
-from . import file_queries, record_queries  # noqa: E402, F401  they add theirs to QUERIES and ORACLE
+from . import file_queries, media_queries, record_queries  # noqa: E402, F401  they add theirs to QUERIES and ORACLE
