@@ -31,7 +31,7 @@ BITS = 56
 #: N-grams of a range: at least so many, and more in very large tables, where a block should still have some for each range.
 RANGE, MOST_RANGE = 1 << 21, 1 << 26
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Batch = pa.RecordBatch
 
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, doc: str, text: str, name: str, extra: Callable[[Batch
             yield flush()
 
     packed = rows.mapInArrow(trimmed(blocks), f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}")
-    with setting(docs.sparkSession, _BATCH, "1000"):  # rows are whole texts
+    with setting(docs.sparkSession, BATCH, "1000"):  # rows are whole texts
         return stored(packed, name), id_at, text_at
 
 
@@ -186,7 +186,7 @@ def count(blocks: DataFrame, grams: Callable[[Batch], tuple[np.ndarray, np.ndarr
                     yield _sent(block, kind, keys, counts, bits)
 
     sent = blocks.select("block", "data").mapInArrow(trimmed(send), "part int, block long, width int, keys binary, few binary, many binary")
-    with setting(blocks.sparkSession, _BATCH, "4"):  # rows are whole blocks
+    with setting(blocks.sparkSession, BATCH, "4"):  # rows are whole blocks
         return stored(sent.groupBy("part").applyInArrow(_added, "part int, block long, few binary, many binary"), "counts")
 
 

@@ -76,29 +76,36 @@ def apart(df: DataFrame, added: Iterable[str], operator: Callable[[DataFrame], D
     return out, [F.col(f"`{names.get(c, c)}`").alias(c) for c in df.columns]
 
 
+#: A node of a graph is a hub from this number of edges on, and this share of all: there are few, so they are broadcast.
+HUB, HUB_SHARE = 1000, 1 / 1000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, root) per node with an edge, root its smallest reachable node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until the stars stand still. A step is one
-    aggregate and one join on the node, both of which AQE can split where a hub holds many edges; each step is
+    aggregate and one join on the node; hubs, of which there are 2000 at most, are joined where their edges lie. Each step is
     written to the shared folder. Null ends and loops are ignored. No edges: no rows.
     """
-    spark = edges.sparkSession
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen, steps = None, []
+    seen = None
     while True:
-        count, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        per = now.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark"))
+        count, mark, most = per.agg(F.sum("n"), F.sum("mark"), F.max("n")).first()
         if not count or seen == (count, mark):
             break
         seen = (count, mark)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        up, limit = both.where("v > u"), max(HUB, int(count * HUB_SHARE))
+        if most >= limit:
+            hubs = F.broadcast(least.where(F.col("n") >= limit).select("u", "m"))
+            large = up.join(hubs, "u").select("u", "v", "m").union(up.join(hubs, "u", "left_anti").join(least, "u").select("u", "v", "m"))
+        else:
+            large = up.join(least, "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        steps.append(now)
-        now = stored(small, "edges")
-        for old in steps:
-            drop_stored(old)
-        steps.clear()
+        before, now = now, stored(small, "edges")
+        drop_stored(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
