@@ -297,7 +297,7 @@ def str14_dims(spark, sf):
 
 @query("SELECT p_partkey, regexp_extract(p_type, '^(.*) ([^ ]*)$', 1) AS head, regexp_extract(p_type, '^(.*) ([^ ]*)$', 2) AS last FROM part")
 def str18_split_last(spark, sf):
-    """STR18, STR20: what stands before and after the last mark."""
+    """STR18: what stands before and after the last mark."""
     head, last = text.split_last(F.col("p_type"), " ")
     return table(spark, sf, "part").select("p_partkey", head.alias("head"), last.alias("last"))
 
@@ -336,7 +336,7 @@ def _task_seeds(orders: DataFrame) -> DataFrame:
 SELECT doc_id, CASE WHEN n_chars >= 53 THEN (n_chars - 53) // 40 + 1 ELSE 0 END AS n_chunks, i AS chunk, i * 40 AS start FROM documents, (SELECT unnest(range(0, 6)) AS i)
 WHERE n_chars >= 93 AND i < least((n_chars - 53) // 40 + 1, 6)""")
 def wn4_chunk_windows(spark, sf):
-    """WN4, FLT16, MTH23: sliding windows of frames, the first six of clips with at least two."""
+    """WN4, FLT16: sliding windows of frames, the first six of clips with at least two."""
     n = F.col("n_chars")
     df = table(spark, sf, "documents").withColumn("n_chunks", frames.n_chunks(n, 53, 40)).where("n_chunks >= 2")
     return df.select("doc_id", "n_chunks", F.posexplode(frames.chunk_starts(n, 53, 40, 6)).alias("chunk", "start")).withColumn("chunk", F.col("chunk").cast("long"))
@@ -824,7 +824,7 @@ def ag28_distinct_union(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN (SELECT count(*) FROM documents x WHERE x.source = d.source AND x.n_chars = d.n_chars) > 1 THEN true ELSE false END AS collides FROM documents d")
 def snk3_collisions(spark, sf):
-    """SNK3, SNK1: files whose base names collide."""
+    """SNK3: files whose base names collide."""
     from .sources import files
 
     df = table(spark, sf, "documents").withColumn("path", F.format_string("/r/%d/%s_%d.mp4", "doc_id", "source", "n_chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import mapping, pixels, text, vector
+from .functions import judge, mapping, pixels, text, vector
 from .operators import metrics
 from .queries import query, table
 
@@ -230,6 +230,22 @@ def str3_basic_clean(spark, sf):
     return table(spark, sf, "documents").where("lang is not null").select("doc_id", text.html_unescape_twice(raw).alias("clean"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 40 <= 23 THEN event_id % 2 + 1 END AS rank FROM events")
+def str12_rank_near(spark, sf):
+    """STR12: which image is called better, if that is said near its name."""
+    k = F.col("event_id")
+    said = F.concat(F.lit("Of "), "event_type", F.lit(": Image "), k % 2 + 1, F.lit(" "), F.repeat(F.lit("x"), (k % 40).cast("int")), F.lit("better"), F.when(k % 7 == 0, ", but a tie").otherwise(""))
+    return table(spark, sf, "events").select("event_id", judge.rank(said).alias("rank"))
+
+
+@query("SELECT p_partkey, p_brand AS l1, p_name AS l2, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS l3 FROM part UNION ALL SELECT p_partkey, p_type, p_brand, p_brand FROM part WHERE p_size % 3 = 0")
+def str14_dims_given(spark, sf):
+    """STR14: dimension lists of two and three levels."""
+    third = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" / "), "p_type")).otherwise("")
+    more = F.when(F.col("p_size") % 3 == 0, F.concat("p_type", F.lit("/"), "p_brand")).otherwise(" ")
+    return table(spark, sf, "part").select("p_partkey", F.inline(judge.dims(F.concat("p_brand", F.lit(" / "), "p_name", third, F.lit("; "), more, F.lit(";")))))
+
+
 @query("SELECT c_custkey, 'Rate \"' || c_name || '\" from 1 to 5: {x} ' || c_mktsegment AS prompt FROM customer")
 def str16_template(spark, sf):
     """STR16: a template's names filled in."""
