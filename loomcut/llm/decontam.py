@@ -51,37 +51,40 @@ class Lookup:
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of items: their words' hashes one after another, other hashes of them, and which items have them."""
+    """The distinct windows of a block of items: where each begins among the hashes of all items' words, how many words it has, and which items have it; others: other hashes of the words."""
 
     first: np.ndarray
+    length: np.ndarray
     hashes: np.ndarray
     others: np.ndarray
     items: list[list[str]]
 
     def tokens(self, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(window, shingle's length, hashes of its shingles)."""
-        for i in range(len(self.items)):
-            own = self.hashes[self.first[i] : self.first[i + 1]]
-            k = min(shingle, len(own))
-            yield i, k, textvec.ngrams(own, k)
+        for i, (a, n) in enumerate(zip(self.first.tolist(), self.length.tolist())):
+            k = min(shingle, n)
+            yield i, k, textvec.ngrams(self.hashes[a : a + n], k)
 
 
 def item_windows(rows: Iterable[tuple[str, str | None]], window: int) -> Windows:
     """All windows of the items; an item with fewer words, but not none, is one window."""
-    rows = list(rows)
-    found: dict[bytes, list[str]] = {}
+    found: dict[bytes, tuple[int, int, list[str]]] = {}
+    words, at = [np.zeros((0, 2), np.uint64)], 0
     for item, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         offsets = np.array([0, len(data)])
         w = textvec.words(data, offsets, textvec.ALNUM)
         own = np.stack([w.hashes, textvec.second(data, offsets, w, np.arange(len(w.hashes)))], 1)
         for a in range(max(1, len(own) - window + 1) if len(own) else 0):
-            items = found.setdefault(own[a : a + window].tobytes(), [])
+            part = own[a : a + window]
+            items = found.setdefault(part.tobytes(), (at + a, len(part), []))[2]
             if not items or items[-1] != item:
                 items.append(item)
-    lengths = np.array([len(x) // 16 for x in found], np.int64)
-    both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
-    return Windows(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), both[:, 0].copy(), both[:, 1].copy(), [sorted(set(x)) for x in found.values()])
+        words.append(own)
+        at += len(own)
+    both = np.concatenate(words)
+    first, length = (np.array([x[k] for x in found.values()], np.int64) for k in (0, 1))
+    return Windows(first, length, both[:, 0].copy(), both[:, 1].copy(), [sorted(set(x)) for _, _, x in found.values()])
 
 
 def _grams(w: textvec.Words, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -124,14 +127,14 @@ def _mark(docs: DataFrame, text: str, windows: Windows, shingle: int, names: lis
     chosen.sort()
     prefix = np.array([c[0] for c in chosen], np.uint64)
     place, which = np.array([c[1] for c in chosen], np.int64), np.array([c[2] for c in chosen], np.int64)
-    index = docs.sparkSession.sparkContext.broadcast((prefix, place, which, windows.first, windows.hashes, windows.others, windows.items))
+    index = docs.sparkSession.sparkContext.broadcast((prefix, place, which, windows.first, windows.length, windows.hashes, windows.others, windows.items))
     base = [c for c in docs.columns if c not in names]
     schema = T.StructType([*(docs.schema[c] for c in base), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
 
     def mark(batches):
-        prefix, place, which, first, hashes, others, items = index.value
+        prefix, place, which, first, length, hashes, others, items = index.value
         keys, begin, many = np.unique(prefix, return_index=True, return_counts=True)
-        look, length = Lookup(keys), np.diff(first)
+        look = Lookup(keys)
         for batch in batches:
             for a, b, data, offsets in textvec.chunks(batch.column(batch.schema.get_field_index(text)).cast(pa.string())):
                 piece = batch.slice(a, b - a)

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import components, fresh, stored
 
-_CHUNK = 512
+_CHUNK = 128
+#: Values in a block of vectors; a tile, two blocks, is what a task holds.
+BLOCK_VALUES = 1 << 21
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -72,13 +74,13 @@ def _join_tile(x: np.ndarray, y: np.ndarray | None, times_x: np.ndarray, times_y
     return counts, root(np.arange(n))
 
 
-def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block_rows: int = 8192, sample_values: int = 1 << 18, max_pivots: int = 2048) -> DataFrame:
+def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block_rows: int | None = None, sample_values: int = 1 << 18, max_pivots: int = 2048) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links long (other rows with cosine >= least), component_id long (smallest vec_id reachable by links, itself included), kept boolean (vec_id = component_id).
 
     A vector that is null, empty, zero or holds a null, NaN or infinite component links with nothing and is kept. Vectors of different
     lengths don't link. Repeated rows are vectors of their own and link with their copies; a null vec_id isn't
     smallest unless a component has no other; other columns are not looked at. Empty table: no rows. sample_values and max_pivots bound what the driver
-    holds to choose pivots from; beyond max_pivots cells are cut into more blocks.
+    holds to choose pivots from; beyond max_pivots cells are cut into more blocks. block_rows: vectors in a block; None: as many as have BLOCK_VALUES values.
     """
     rows = vectors.select(F.col(f"`{vec}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
@@ -89,7 +91,7 @@ def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embe
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     links = None
     for dim, n in sorted((r.dim, r.n) for r in nodes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).collect()):
-        got = _join(nodes.where(F.size("e") == dim).select("node", "e", "times"), dim, n, least, block_rows, sample_values, max_pivots)
+        got = _join(nodes.where(F.size("e") == dim).select("node", "e", "times"), dim, n, least, block_rows or max(256, BLOCK_VALUES // dim), sample_values, max_pivots)
         links = got if links is None else links.union(got)
     ids = rows.select("vec_id", "h1", "h2")
     if links is None:
