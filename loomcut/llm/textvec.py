@@ -107,6 +107,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
 
 def second(data: np.ndarray, offsets: np.ndarray, w: Words, at: np.ndarray) -> np.ndarray:
     """Other hashes, independent of the first ones, of some words of the texts that `w` was made of."""
+    if not len(at):
+        return np.zeros(0, _U)
     base = int(offsets[0])
     return hash_spans(_LOWER[data[base : int(offsets[-1])]], w.starts[at], w.ends[at], seed=1)
 
