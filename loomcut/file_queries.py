@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import options
 from .operators import cascade
-from .queries import query, table
+from .registry import query, table
 from .sources import archive, files, shared, sinks
 
 #: Suffixes of the files that stand for clips; the third is none of a video.

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import matrices
-from .queries import query, table
+from .registry import query, table
 from .record_queries import _PIXELS, _frames
 from .sources import files, media, shared, sinks
 

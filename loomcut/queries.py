@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import file_queries, media_queries, record_queries  # they add theirs to QUERIES and ORACLE
 from .functions import frames, judge, records, regions, schedule, text, vector
 from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
+from .registry import ORACLE, QUERIES, query, table
 from .sources import shared
 from .streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 # Ranking, fills and unions -------------------------------------------------------------------------------------------
 
@@ -830,5 +813,4 @@ def snk3_collisions(spark, sf):
     df = table(spark, sf, "documents").withColumn("path", F.format_string("/r/%d/%s_%d.mp4", "doc_id", "source", "n_chars"))
     return files.collisions(df).select("doc_id", "collides")
 
-
-from . import file_queries, media_queries, record_queries  # noqa: E402, F401  they add theirs to QUERIES and ORACLE
+__all__ = ["ORACLE", "QUERIES", "file_queries", "media_queries", "record_queries"]

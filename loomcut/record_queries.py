@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 from .functions import judge, mapping, pixels, text, vector
 from .operators import metrics
-from .queries import query, table
+from .plans import units
+from .registry import query, table
+from .streaming import state
 
 
 @query("SELECT event_id, [CAST(floor(value) AS BIGINT), CAST(floor(value * 2) AS BIGINT)] AS whole FROM events")
@@ -150,6 +152,34 @@ def flt8_missing_label(spark, sf):
     return df.select("doc_id", nsfw.alias("nsfw"), (nsfw <= 0.2).alias("passed"))
 
 
+@query("SELECT p_partkey, p_name || '!' AS positive_text, 'bad!' AS negative_text, length(p_name || '!') * 2 AS positive_size, 8 AS negative_size, p_size + 1 AS seed FROM part")
+def ux4_units(spark, sf):
+    """UX4, PRJ13: units with declared columns, some run for both sides."""
+    seed = units.Unit("seed", ("p_size",), ("seed",), lambda c: {"seed": c["p_size"] + 1})
+    clean = units.Unit("clean", ("prompt",), ("text",), lambda c: {"text": F.concat(c["prompt"], F.lit("!"))}, ("positive_", "negative_"))
+    size = units.Unit("size", ("text", "factor"), ("size",), lambda c: {"size": F.length(c["text"]) * c["factor"]}, ("positive_", "negative_"))
+    df = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_name").alias("positive_prompt"), F.lit("bad").alias("negative_prompt"), F.lit(2).alias("factor"))
+    out = units.run_units(df, [seed, clean, size])
+    return out.select("p_partkey", "positive_text", "negative_text", F.col("positive_size").cast("long").alias("positive_size"), "negative_size", "seed")
+
+
+def _fade(pdf):
+    total, out = 0.0, []
+    for v in pdf["value"].tolist():
+        total = 0.5 * total + 0.5 * v
+        out.append(total)
+    return pdf.assign(carried=out)[["event_id", "carried"]]
+
+
+@query("""
+WITH l AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events)
+SELECT event_id, round(list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * pow(0.5, len(l) - i + 1))), 6) AS carried FROM l""")
+def st5_carry(spark, sf):
+    """ST5: state that goes from each chunk of a clip to the next, and begins anew for each clip."""
+    df = table(spark, sf, "events").select("event_id", "user_id", "value")
+    return state.carry(df, "user_id", "event_id", _fade, "event_id long, carried double").select("event_id", F.round("carried", 6).alias("carried"))
+
+
 # Measures ------------------------------------------------------------------------------------------------------------------
 
 

@@ -128,3 +128,13 @@ def test_similarity_of_large_query_sets(spark, monkeypatch):
     df = spark.range(30).select("id", F.array(F.col("id") + 1.0, F.lit(2.0)).alias("v"))
     many = spark.range(10_050).select("id", F.array(F.col("id") % 7 + 1.0, F.lit(2.0)).alias("v"))
     assert metrics.similarity_matrix(many, df, "id", "v").count() == 10_050 * 30
+
+
+def test_units_declare_their_columns(spark):
+    from loomcut.plans import units
+
+    unit = units.Unit("u", ("a",), ("b",), lambda c: {"b": c["a"]})
+    with pytest.raises(ValueError, match="u reads a"):
+        units.run_units(spark.range(1), [unit])
+    with pytest.raises(ValueError, match="differ: b, c"):
+        units.run_units(spark.range(1).withColumn("a", F.lit(1)), [units.Unit("u", ("a",), ("b",), lambda c: {"c": c["a"]})])
