@@ -53,7 +53,7 @@ def prj12_repeated(spark, sf):
     return mapping.repeated(df, 3, "p_partkey", most=df.count() * 5 // 2)
 
 
-@query("SELECT lang, NULL AS absent, doc_id FROM documents")
+@query("SELECT lang, CAST(NULL AS INTEGER) AS absent, doc_id FROM documents")
 def prj17_required(spark, sf):
     """PRJ17: the columns that a step asks for."""
     return mapping.required(table(spark, sf, "documents"), ["lang", "absent", "doc_id"]).withColumn("absent", F.col("absent").cast("int"))
@@ -76,7 +76,7 @@ def prj21_nested_cast(spark, sf):
     return out.select("event_id", F.col("x.a").cast("double").alias("a"), F.col("x.b")[0].cast("double").alias("b"), F.col("x.c")["k"][0].cast("double").alias("c"), "x.d")
 
 
-@query("SELECT o_orderkey, i AS chunk, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'p' || i END AS prompt FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 4 + 1)) AS i FROM orders)")
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS chunk, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'p' || i END AS prompt FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 4 + 1)) AS i FROM orders)")
 def prj23_schedule(spark, sf):
     """PRJ23: a prompt for each chunk, from one or from as many."""
     n = (F.col("o_orderkey") % 4 + 1).cast("int")
@@ -260,7 +260,7 @@ def str3_basic_clean(spark, sf):
     return table(spark, sf, "documents").where("lang is not null").select("doc_id", text.html_unescape_twice(raw).alias("clean"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 40 <= 23 THEN event_id % 2 + 1 END AS rank FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 40 <= 23 THEN event_id % 2 + 1 END AS INTEGER) AS rank FROM events")
 def str12_rank_near(spark, sf):
     """STR12: which image is called better, if that is said near its name."""
     k = F.col("event_id")
