@@ -11,6 +11,7 @@ So nothing but counts travels back, a common n-gram is one entry for each block,
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import fresh, setting, stored, trim, trimmed
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MOST_ROWS = 1 << 20
 _U = np.uint64
 #: An n-gram is told apart by this many bits of its hash.
@@ -76,7 +77,7 @@ def pack(docs: DataFrame, doc: str, text: str, name: str, extra: Callable[[Batch
             yield flush()
 
     packed = rows.mapInArrow(trimmed(blocks), f"block long, n_bytes long, data binary{', ' if schema else ''}{schema}")
-    with setting(docs.sparkSession, BATCH, "1000"):  # rows are whole texts
+    with setting(docs.sparkSession, BATCH, "500"):  # rows are whole texts
         return stored(packed, name), id_at, text_at
 
 
@@ -171,12 +172,13 @@ def _added(group: pa.Table) -> pa.Table:
     total = np.empty(len(keys), np.int64)
     total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
     few, many = _small(total, np.append(0, ends))
+    few = pa.array([zlib.compress(x, 1) for x in few.to_pylist()], pa.binary())  # most counts are one
     trim()
     return pa.table({"part": group["part"], "block": group["block"], "few": few, "many": many})
 
 
 def count(blocks: DataFrame, grams: Callable[[Batch], tuple[np.ndarray, np.ndarray]], bits: int, kind: int = 0) -> DataFrame:
-    """(part, block, few, many), stored: for each block the counts over all blocks of the n-grams of one kind that `grams` gives: sorted distinct keys of BITS bits, and their counts in the block."""
+    """(part, block, few, many), stored, few compressed: for each block the counts over all blocks of the n-grams of one kind that `grams` gives: sorted distinct keys of BITS bits, and their counts in the block."""
 
     def send(batches):
         for batch in batches:
@@ -186,14 +188,14 @@ def count(blocks: DataFrame, grams: Callable[[Batch], tuple[np.ndarray, np.ndarr
                     yield _sent(block, kind, keys, counts, bits)
 
     sent = blocks.select("block", "data").mapInArrow(trimmed(send), "part int, block long, width int, keys binary, few binary, many binary")
-    with setting(blocks.sparkSession, BATCH, "4"):  # rows are whole blocks
+    with setting(blocks.sparkSession, BATCH, "1"):  # rows are whole blocks
         return stored(sent.groupBy("part").applyInArrow(_added, "part int, block long, few binary, many binary"), "counts")
 
 
 def read_counts(answers: pa.Table) -> np.ndarray:
     """The counts that answer one block's n-grams, kind after kind."""
     answers = answers.sort_by("part")
-    return _large(_joined(answers["few"]), _joined(answers["many"]))
+    return _large(b"".join(map(zlib.decompress, answers["few"].to_pylist())), _joined(answers["many"]))
 
 
 def keys_of(hashes: np.ndarray) -> np.ndarray:

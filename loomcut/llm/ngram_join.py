@@ -153,7 +153,7 @@ def _open(blocks: DataFrame, nodes: DataFrame, text_at: int, k: int, percent: in
         return pa.table({c: pa.array(x, lists if c in ("bits", "keys", "tokens", "own") else pa.float64() if c == "fame" else pa.int64()) for c, x in out.items()})
 
     have = blocks.select("block", "data").join(mine, "block")
-    with setting(blocks.sparkSession, bl.BATCH, "500"):
+    with setting(blocks.sparkSession, bl.BATCH, "200"):
         out = stored(have.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pick, schema), "open")
     drop_stored(answers)
     return out
@@ -176,7 +176,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             at = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(at), batch.column(1).filter(at)], ["u", "v"])
 
-    with setting(pairs.sparkSession, bl.BATCH, "500"):  # rows are two whole sets
+    with setting(pairs.sparkSession, bl.BATCH, "200"):  # rows are two whole sets
         return stored(both.select("u", "v", "x", "y").mapInArrow(trimmed(compare), "u long, v long"), "links")
 
 
