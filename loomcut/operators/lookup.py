@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import _dealt
+
 
 def nearest(x: Column, grid: list[float], low: float | None = None, high: float | None = None) -> Column:
     """struct<idx, value> of the grid's nearest value, the first on ties, x held within low and high. No join: the grid is a literal."""
@@ -51,7 +53,7 @@ def _nearest_ranges(df: DataFrame, x: str, grid: DataFrame, value: str, idx: str
     points = grid.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.min(idx).cast("long").alias("i"))
     points = points.select("_x", F.struct(F.col("_x").alias("v"), "i").alias("_p"))
     both = df.withColumn("_x", F.col(x).cast("double")).unionByName(points, allowMissingColumns=True)
-    both = both.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id())
+    both = _dealt(both, parts, [F.col("_x")])
     edges = both.groupBy("_part").agg(F.max("_p").alias("_max"), F.min("_p").alias("_min"))
     order = Window.orderBy("_part")  # over the parts
     edges = edges.select("_part", F.last("_max", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_min", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))

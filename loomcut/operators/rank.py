@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def relative_scores(df: DataFrame, group: str, scores: list[str], out: str = "avg_rel") -> DataFrame:
     """df with rel_<score>: (x - min) / (max - min) within the group, 0.5 where all are equal, and their mean, nulls skipped.
@@ -33,12 +35,17 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _dealt(df: DataFrame, parts: int, keys: list[Column]) -> DataFrame:
+    """df dealt by ranges of the keys, with _part, the number of a row's range. Ranges come from a sample, which two readers of the plan would draw differently, so they are written."""
+    return stored(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def place_in_group(df: DataFrame, group: str, order: list[Column], out: str, parts: int | None = None) -> DataFrame:
     """df with out: the row's place from 1 within its group. Rows are dealt by ranges of (group, order), and places within a part are moved
     by the rows of the group in earlier parts, so a group that holds most rows is no single task.
     """
     keys = [F.col(group).asc_nulls_first(), *order]
-    dealt = df.repartitionByRange(parts or _parts(df), *keys).withColumn("_part", F.spark_partition_id())
+    dealt = _dealt(df, parts or _parts(df), keys)
     counts = dealt.groupBy("_part", F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("_part").alias("_p"), "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
@@ -65,7 +72,7 @@ def share_before(df: DataFrame, order: list[str], value: str, parts: int | None
     Rows are dealt by ranges of the order; each part's sums are added up first, so no task gets all rows.
     """
     key = [F.col(c) for c in order]
-    dealt = df.repartitionByRange(parts or _parts(df), *key).withColumn("_part", F.spark_partition_id())
+    dealt = _dealt(df, parts or _parts(df), key)
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("_v").over(earlier), F.lit(0)).alias("_v"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))

@@ -173,11 +173,11 @@ def _fade(pdf):
 
 @query("""
 WITH l AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events)
-SELECT event_id, round(list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * pow(0.5, len(l) - i + 1))), 6) AS carried FROM l""")
+SELECT event_id, round(list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * pow(0.5, len(l) - i + 1))) / 7, 6) AS carried FROM l""")
 def st5_carry(spark, sf):
     """ST5: state that goes from each chunk of a clip to the next, and begins anew for each clip."""
     df = table(spark, sf, "events").select("event_id", "user_id", "value")
-    return state.carry(df, "user_id", "event_id", _fade, "event_id long, carried double").select("event_id", F.round("carried", 6).alias("carried"))
+    return state.carry(df, "user_id", "event_id", _fade, "event_id long, carried double").select("event_id", F.round(F.col("carried") / 7, 6).alias("carried"))
 
 
 # Measures ------------------------------------------------------------------------------------------------------------------
