@@ -1,5 +1,7 @@
 """Queries that stand for an operator over a whole table, without the filters of their namesakes."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomcut import queries
@@ -16,7 +18,8 @@ def test_every_row_takes_part(spark):
     for name, t, k in (("prj24_task_seeds_all", "orders", "o_orderkey"), ("wn8_tiles_all", "part", "p_partkey"), ("set5_first_wins_all", "documents", "doc_id"), ("set5_later_wins_all", "documents", "doc_id"), ("jn6_overwrite_nearest_all", "events", "event_id")):
         assert {r[0] for r in rows(spark, name).select(k).collect()} == keys(t, k), name
     # sf0.001 has fewer than 500 parts, so the cut of wn8 shows only in its plan.
-    assert "500" not in rows(spark, "wn8_tiles_all")._jdf.queryExecution().optimizedPlan().toString()
+    plan = rows(spark, "wn8_tiles_all")._jdf.queryExecution().optimizedPlan().toString()
+    assert "500" not in re.sub(r"#\d+", "", plan)  # numbers of columns may well have those digits
     n = queries.table(spark, SF, "documents").select("source").distinct().count()
     assert {r.source_no for r in rows(spark, "tk2_union_limit_overshoot_all").collect()} == set(range(n))
 
