@@ -203,7 +203,8 @@ def _tiles(nodes: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     rows = placed.join(mixed, "token").join(nodes.select("node", "bits"), "node")
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(base) + 1e-9).cast("int")), "tiles")
     # A large tile is dealt out: its left rows into parts of about TILE, each of which meets all right rows.
-    large = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts > 1")
+    large = stored(rows.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts > 1"), "large")
+    large = F.broadcast(large) if large.count() <= 100_000 else large  # three numbers a row
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     left = rows.join(large, ["token", "band"], "left").withColumn("part", F.pmod(F.xxhash64("node"), parts))
     left = left.select("token", "band", "part", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "bits", "pos")])
