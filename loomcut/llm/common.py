@@ -77,7 +77,7 @@ def apart(df: DataFrame, added: Iterable[str], operator: Callable[[DataFrame], D
 
 
 #: A node of a graph is a hub from this number of edges on, and this share of all: there are few, so they are broadcast.
-HUB, HUB_SHARE = 1000, 1 / 1000
+HUB, HUB_SHARE = 200, 1 / 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
