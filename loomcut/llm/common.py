@@ -43,11 +43,11 @@ def trimmed(work: Callable) -> Callable:
     return run
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage is cut and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: its lineage is cut and lost executors cost nothing. options: of the writer."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # shuffle files of the write go with it
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

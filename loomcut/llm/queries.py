@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, common, decontam, embed_dedup, html_extract, langid, lm_score, mixture, ngram_join, shard, tokenbin
+from . import chatfmt, common, decontam, embed_dedup, html_extract, langid, line_rules, lm_score, mixture, ngram_join, resample, shard, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_rules.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_lm_score, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination)
+    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_lm_score, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination, op12_quality_rules, op13_importance_resampling)
 }
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 _HASH = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)"
 
 ORACLE: dict[str, str] = {
@@ -100,4 +114,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(n + length(role) + 24) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, {_quoted(line_rules.WORD)}) AS w, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+runs AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS gram FROM runs),
+again AS (SELECT doc_id, unnest(range(i, i + 5)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM again GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, line, len(regexp_extract_all(line, {_quoted(line_rules.WORD)})) AS n FROM split WHERE regexp_matches(line, {_quoted(line_rules.WORD)})),
+judged AS (SELECT doc_id, line, n, NOT regexp_matches(line, {_quoted(line_rules.SENTENCE)})
+             OR (len(regexp_extract_all(line, {_quoted(line_rules.SEPARATOR)})) >= {line_rules.LEAST_SEPARATORS} AND 6 * len(regexp_extract_all(line, {_quoted(line_rules.SEPARATOR)})) >= n)
+             OR 10 * len(regexp_extract_all(line, {_quoted(line_rules.NOISY)})) > 3 * n
+             OR (n <= {line_rules.BOILERPLATE_WORDS} AND regexp_matches(line, {_quoted(line_rules.BOILERPLATE)})) AS failed FROM lines),
+by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN failed THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id),
+base AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN by_line USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept FROM base""",
 }

@@ -20,6 +20,8 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes as they are, for words whose case counts.
+AS_IS = np.arange(256, dtype=np.uint8)
 
 #: Words are runs of anything but ASCII white space.
 NOT_SPACE = np.ones(256, bool)
@@ -85,10 +87,10 @@ class Words:
     ends: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
-    """data: bytes of all texts; offsets: where each begins, and the end."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, case: np.ndarray = _LOWER) -> Words:
+    """data: bytes of all texts; offsets: where each begins, and the end; case: what each byte counts as."""
     base = int(offsets[0])
-    data, offsets = _LOWER[data[base : int(offsets[-1])]], offsets - base
+    data, offsets = case[data[base : int(offsets[-1])]], offsets - base
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
