@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, common, decontam, embed_dedup, html_extract, langid, line_rules, lm_score, mixture, ngram_join, resample, shard, tokenbin
+from . import align, chatfmt, common, decontam, embed_dedup, html_extract, langid, line_rules, lm_score, mixture, ngram_join, resample, shard, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    if path_a is None or path_b is None:
+        import public_tokenizers
+
+        path_a, path_b = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
+    return align.align_documents(_table(spark, sf_dir, "documents"), path_a, path_b)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_rules.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
@@ -86,7 +94,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_lm_score, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination, op12_quality_rules, op13_importance_resampling)
+    f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_lm_score, op4_extendible_sharding, op5_ngram_jaccard, op6_language_id, op7_source_mixture, op8_token_output, op9_chat_format, op10_decontamination, op11_token_alignment, op12_quality_rules, op13_importance_resampling)
 }
 
 
