@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import file_queries, media_queries, record_queries  # they add theirs to QUERIES and ORACLE
+from . import container_queries, file_queries, media_queries, record_queries  # they add theirs to QUERIES and ORACLE
 from .functions import frames, judge, records, regions, schedule, text, vector
 from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
@@ -813,4 +813,4 @@ def snk3_collisions(spark, sf):
     df = table(spark, sf, "documents").withColumn("path", F.format_string("/r/%d/%s_%d.mp4", "doc_id", "source", "n_chars"))
     return files.collisions(df).select("doc_id", "collides")
 
-__all__ = ["ORACLE", "QUERIES", "file_queries", "media_queries", "record_queries"]
+__all__ = ["ORACLE", "QUERIES", "container_queries", "file_queries", "media_queries", "record_queries"]

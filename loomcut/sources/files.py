@@ -19,7 +19,7 @@ PROBE = "width int, height int, fps double, duration double, codec string, pix_f
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = VIDEO, recursive: bool = True) -> DataFrame:
-    """(path, length) of files with these suffixes in any case, by path. File contents are not read."""
+    """(path, length) of files with these suffixes in any case, by path. File contents are not read. Spark lists no empty files, so these are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length")
     return found.where(extension(F.col("path")).isin(*suffixes)).orderBy("path")
 
