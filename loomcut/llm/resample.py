@@ -43,7 +43,8 @@ def segments(rows: DataFrame, text: str, segment: int = SEGMENT, order: int = OR
 
 def features(parts: DataFrame, segment: int = SEGMENT, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """(part, packed long) for each word of segments(): the buckets of the n-grams of 1 to `order` words that begin with it, as digits of base buckets + 1; 0 stands for none."""
-    exploded = parts.where("n_words > 0").select("part", F.posexplode(F.split("words", " ")).alias("at", "w0"))
+    dealt = parts.where("n_words > 0").select("part", "words").repartition("part")  # segments are dealt out, not their words
+    exploded = dealt.select("part", F.posexplode(F.split("words", " ")).alias("at", "w0"))
     following = Window.partitionBy("part").orderBy("at")
     ahead = exploded.select("part", "at", "w0", *[F.lead("w0", k).over(following).alias(f"w{k}") for k in range(1, order)]).where(F.col("at") < segment)
     packed = F.lit(0).cast("long")
