@@ -9,6 +9,8 @@ text is no single group. Segments are numbered when they are written, so a numbe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import drop_stored, stored
 #: Words that a segment owns; a window's group holds up to ORDER - 1 more, and a buffer of a window keeps 4096 rows without a sorter.
 SEGMENT = 4000
 ORDER, BUCKETS = 3, 10_000
+#: Features are made in so many goes, each of every GOES-th segment, so that only that share of the words lies in an exchange at a time.
+GOES = 2
 
 #: What separates words, all of it ASCII, and A-Z, which count as a-z.
 _BETWEEN = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -110,7 +114,8 @@ def resample(
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     parts = stored(segments(rows, "text", segment, order), "segments")
     wanted = stored(segments(target.select(F.col(f"`{target_text}`").cast("string").alias("text")), "text", segment, order), "target")
-    found = stored(features(parts, segment, order, buckets), "features", {"parquet.enable.dictionary#packed": "false"})
+    goes = [stored(features(parts.where(F.col("part") % GOES == i), segment, order, buckets), "features", {"parquet.enable.dictionary#packed": "false"}) for i in range(GOES)]
+    found = reduce(DataFrame.union, goes)
     gain = stored(gains(_totals(found, order, buckets, "s"), _totals(features(wanted, segment, order, buckets), order, buckets, "t"), buckets), "gains")
     weights = _each(found, order, buckets, "part").join(F.broadcast(gain), "bucket").groupBy("part").agg(F.sum("gain").alias("weight"))
     weights = parts.select("row", "part").join(weights, "part").groupBy("row").agg(F.sum("weight").alias("weight"))
@@ -118,7 +123,7 @@ def resample(
     n_features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, order)), F.col("n_words"))
     scored = base.join(weights, "row", "left").select("row", "doc_id", "n_words", n_features.cast("long").alias("n_features"), F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
     scored = stored(scored.withColumn("score", F.col("weight") + _noise(F.col("doc_id"), seed)), "scored")
-    drop_stored(parts, found, wanted, gain)
+    drop_stored(parts, *goes, wanted, gain)
     able = scored.where(F.col("n_words") >= least_words)
     drawn = able.count() * percent // 100
     ranks = _ranked(able.select("row", "score", "doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions"))).where(F.col("rank") <= drawn)
