@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query, table
-from .sources import containers, files, media, shared, sinks
+from .sources import archive, containers, files, media, shared, sinks
 
 # A file for each document, a container of every kind; every ninth is cut in its middle.
 _RATES = (10, 12, 15, 20, 24, 25, 30, 50, 60)
@@ -94,3 +98,70 @@ def src21_sample_ranges(spark, sf):
     found = files.scan(spark, root, ("mp4", "mov")).select("path", _doc()).where("doc_id % 9 <> 0")
     asked = found.select("path", "doc_id", F.explode(F.array(F.lit(0), F.lit(7), F.lit(30))).alias("idx"))
     return containers.fetch_samples(asked).select("doc_id", "idx", F.col("data").cast("string").alias("data"))
+
+
+# Archives: those of each source in blocks of 500 documents, in turn tar, zip, compressed tar, and tar in two chunks.
+
+
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    source, block = key
+    kind, out = block % 4, io.BytesIO()
+    names = [f"{d % 3}/{d}{'.md' if d % 2 else '.txt'}" for d in pdf["doc_id"]]
+    if kind == 1:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, (name, text) in enumerate(zip(names, pdf["text"])):
+                z.writestr(name, text, zipfile.ZIP_STORED if i % 3 == 0 else zipfile.ZIP_DEFLATED)
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz" if kind == 2 else "w", format=tarfile.PAX_FORMAT if kind else tarfile.GNU_FORMAT) as t:
+            for name, text in zip(names, pdf["text"]):
+                info, data = tarfile.TarInfo(name if name[0] != "2" else "long/" * 40 + name), text.encode()
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    name, data = f"{source}-{block}" + (".tar", ".zip", ".tar.gz", ".tar")[kind], out.getvalue()
+    parts = [(name, data)] if kind < 3 else [(f"{name}.000", data[: len(data) // 2]), (f"{name}.001", data[len(data) // 2 :])]
+    return pd.DataFrame(parts, columns=["name", "data"])
+
+
+def _packed(spark: SparkSession, sf: str) -> str:
+    root = shared.new_path(spark, "packed")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("none")).alias("source"), F.floor(F.col("doc_id") / 500).alias("block"))
+    made = docs.groupBy("source", "block").applyInPandas(_pack, "name string, data binary")
+    sinks.write_files(made, root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
+    return root
+
+
+_PACKED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') AS source, doc_id // 500 AS block FROM documents),
+m AS (SELECT doc_id, source || '-' || block || CASE block % 4 WHEN 1 THEN '.zip' WHEN 2 THEN '.tar.gz' ELSE '.tar' END AS archive, text, block % 4 AS kind,
+             CASE WHEN doc_id % 3 = 2 AND block % 4 <> 1 THEN repeat('long/', 40) ELSE '' END || doc_id % 3 || '/' || doc_id || CASE WHEN doc_id % 2 = 1 THEN '.md' ELSE '.txt' END AS member FROM d) """
+
+
+def _short() -> Column:
+    return F.substring_index("archive", "/", -1).alias("archive")
+
+
+@query(_PACKED + "SELECT archive, member, strlen(text) AS size, md5(text) AS content FROM m")
+def src15_members_by_ranges(spark, sf):
+    """SRC12, SRC13, SRC15: members of whole, split and compressed archives, each archive read by many tasks by an index from its headers."""
+    out = archive.read_members(archive.index_members(spark, _packed(spark, sf)), split_bytes=64 << 10)
+    return out.where("error is null").select(_short(), "member", "size", F.md5("data").alias("content"))
+
+
+@query(_PACKED + "SELECT archive, count(*) AS members, count(*) FILTER (member LIKE '%.md') AS notes, CAST(sum(strlen(text)) AS BIGINT) AS size FROM m GROUP BY archive")
+def src14_index_counts(spark, sf):
+    """SRC14: what archives hold, from their headers alone."""
+    out = archive.index_members(spark, _packed(spark, sf))
+    return out.groupBy(_short()).agg(F.count("*").alias("members"), F.count_if(F.col("member").endswith(".md")).alias("notes"), F.sum("size").alias("size"))
+
+
+@query(_PACKED + "SELECT archive, member, md5(text) AS content FROM m WHERE kind IN (0, 1) AND member LIKE '%.md' AND strlen(text) > 300")
+def src15_archive_source(spark, sf):
+    """SRC15, SRC17: the data source `archive`, its partitions ranges of members, the filters read by it."""
+    root = _packed(spark, sf)
+    found = archive.find_archives(spark, root).where("size(chunks) = 1 AND archive NOT LIKE '%gz'")
+    spark.dataSource.register(archive.ArchiveSource)
+    paths = ",".join(r.archive for r in found.collect())  # the names of the files, as any file source has them on the driver
+    with shared.setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+        rows = spark.read.format("archive").option("paths", paths).option("content", "true").option("pushFilters", "true").option("splitBytes", 64 << 10).load()
+        out = rows.where(F.col("member").endswith(".md") & (F.col("size") > 300)).select(_short(), "member", F.md5("data").alias("content"))
+        return shared.stored(out, "members")

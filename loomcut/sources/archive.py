@@ -6,12 +6,13 @@ import io
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from .files import VIDEO
 from .shared import Joined
@@ -84,27 +85,214 @@ def count_videos(spark: SparkSession, root: str) -> DataFrame:
     return listed.groupBy("archive").agg(F.count_if(F.lower(F.substring_index("member", ".", -1)).isin(*VIDEO)).alias("videos"))
 
 
+#: Bytes of an archive that one task reads.
+SPLIT_BYTES = 64 << 20
+INDEX = "archive string, chunks array<string>, member string, size long, at long, held long, method string, crc long, error string"
+
+
+def _tar_entries(file, begin: int = 0, end: int | None = None, mode: str = "r:") -> Iterator[tarfile.TarInfo]:
+    """Entries of a tar file whose first header lies from begin on, before end. Only headers are read, and none is kept."""
+    file.seek(begin)
+    with tarfile.open(fileobj=file, mode=mode) as t:
+        while (i := t.next()) is not None and (end is None or i.offset < end):
+            t.members.clear()
+            if t.pax_headers and begin:
+                raise ValueError("headers for all that follows can't be split")
+            yield i
+
+
+def index_file(name: str, file, begin: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int, int, str, int | None]]:
+    """(member, size, place, bytes held, method, CRC) of files in an archive that is open as a seekable file, from its headers alone; of those whose headers lie from begin to end.
+
+    The place is that of a member's data in a tar file, of its local header in a zip file; a compressed tar file has no places, its method is `stream`.
+    """
+    if name.lower().endswith(".zip"):
+        with zipfile.ZipFile(file) as z:
+            for i in z.infolist():
+                if not i.is_dir() and begin <= i.header_offset and (end is None or i.header_offset < end):
+                    yield i.filename, i.file_size, i.header_offset, i.compress_size, f"zip{i.compress_type}", i.CRC
+        return
+    whole = name.lower().endswith(".tar")
+    for i in _tar_entries(file, begin, end, "r:" if whole else "r:*"):
+        if i.isfile():
+            yield i.name, i.size, i.offset_data if whole else -1, i.size, "tar" if whole else "stream", None
+
+
+def splits(name: str, file, split_bytes: int) -> list[tuple[int, int | None]]:
+    """Ranges of about split_bytes of an archive that begin with a member's header; one for a compressed tar file."""
+    if not name.lower().endswith((".tar", ".zip")):
+        return [(0, None)]
+    begins = (i.offset for i in _tar_entries(file)) if name.lower().endswith(".tar") else sorted(x[2] for x in index_file(name, file))
+    out = [0]
+    for at in begins:
+        if at - out[-1] >= split_bytes:
+            out.append(at)
+    return [*zip(out, [*out[1:], None])]
+
+
+def fetch(file, size: int, at: int, held: int, method: str, crc: int | None) -> bytes:
+    """A member's bytes by its entry in the index; nothing else of the archive is read. Raises where the archive ends before, or the bytes have another CRC."""
+
+    def part(begin: int, n: int) -> bytes:
+        file.seek(begin)
+        out = file.read(n)
+        if len(out) < n:
+            raise EOFError("the archive is cut")
+        return out
+
+    if method == "tar":
+        return part(at, size)
+    head = part(at, 30)
+    names, extra = int.from_bytes(head[26:28], "little"), int.from_bytes(head[28:30], "little")
+    raw = part(at + 30 + names + extra, held)
+    if method not in ("zip0", "zip8"):
+        raise ValueError(f"method {method} is not supported")
+    data = raw if method == "zip0" else zlib.decompress(raw, -15, size)
+    if zlib.crc32(data) != crc:
+        raise ValueError("another CRC")
+    return data
+
+
+def index_members(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """The index of all archives below root, a row for each member: archive, chunks, member, size, at, held, method, crc, error. A task reads an archive's headers, no data.
+
+    An archive that can't be read gives what comes before the fault and a row with the error; a member whose name leads out of the folder gives its error.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for name, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                try:
+                    if len(chunks) > 1 and name.lower().endswith(".zip"):
+                        raise ValueError("split zip archives are not supported")
+                    with Joined(chunks) as file:
+                        for member, *entry in index_file(name, file):
+                            rows.append((member, *entry, None) if safe(member) else (member, *entry, f"ValueError: unsafe member {member!r}"))
+                            if len(rows) == 10_000:
+                                yield _index_rows(name, chunks, rows)
+                                rows = []
+                except Exception as e:
+                    rows.append((None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if rows:
+                    yield _index_rows(name, chunks, rows)
+
+    return find_archives(spark, root, recursive).repartition("archive").select("archive", "chunks").mapInArrow(read, INDEX)
+
+
+def _index_rows(name: str, chunks: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([chunks] * len(rows), pa.list_(pa.string())), *columns], ["archive", "chunks", "member", "size", "at", "held", "method", "crc", "error"])
+
+
+def read_members(index: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(archive, member, size, data, error) of the members in an index, which may be filtered: only what it still names is read.
+
+    Members are dealt by the range of split_bytes of the archive in which they lie, so many tasks read one archive; a compressed tar file is one task, as it has no places.
+    """
+    columns = ["chunks", "archive", "member", "size", "at", "held", "method", "crc", "error"]
+    split = F.when(F.col("method") == "stream", 0).otherwise(F.floor(F.col("at") / split_bytes))
+    rows = index.select(*columns).repartition("archive", split).sortWithinPartitions("archive", "at", "member")
+
+    def read(batches):
+        name, file, stream = None, None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                data, error = None, r["error"]
+                try:
+                    if r["archive"] != name:
+                        file, stream, name = io.BufferedReader(Joined(r["chunks"]), 1 << 16), None, r["archive"]
+                    if error is None and r["method"] == "stream":
+                        stream = stream or _wanted(file)
+                        data = stream(r["member"])
+                    elif error is None:
+                        data = fetch(file, r["size"], r["at"], r["held"], r["method"], r["crc"])
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                one = {"archive": pa.array([r["archive"]]), "member": pa.array([r["member"]], pa.string()), "size": pa.array([r["size"]], pa.int64()), "data": pa.array([data], pa.binary()), "error": pa.array([error], pa.string())}
+                yield pa.RecordBatch.from_arrays([*one.values()], [*one])
+
+    return rows.mapInArrow(read, "archive string, member string, size long, data binary, error string")
+
+
+def _wanted(file):
+    """Members of a compressed tar file by name; one that lies further back begins anew."""
+    passed: list = [None, None]
+
+    def get(member: str) -> bytes:
+        for again in (False, True):
+            if passed[0] is None or again:
+                file.seek(0)
+                passed[0] = tarfile.open(fileobj=file, mode="r|*")
+                passed[1] = iter(passed[0])
+            for i in passed[1]:
+                if i.isfile() and i.name == member:
+                    return passed[0].extractfile(i).read()
+        raise KeyError(member)
+
+    return get
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, begin: int, end: int | None):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class _Reader(DataSourceReader):
+    """Partitions by ranges of members, found from the headers."""
+
     def __init__(self, schema, options):
         self.content = "data" in schema.fieldNames()
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
+        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
+        self.kept: list[tuple[str, str, object]] = []
+
+    def _keeps(self, **given) -> bool:
+        tests = {"=": lambda x, v: x == v, "in": lambda x, v: x in v, "starts": str.startswith, "ends": str.endswith, "has": lambda x, v: v in x, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v}
+        return all(tests[how](given[c], value) for c, how, value in self.kept if c in given)
 
     def partitions(self):
-        return [_Part(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            if self._keeps(archive=path):
+                with Joined([path]) as file:
+                    small = file.size() <= self.split
+                    out += [_Part(path, *x) for x in ([(0, None)] if small else splits(path, file, self.split))]
+        return out or [_Part("", 0, None)]
 
     def read(self, partition):
-        with io.BufferedReader(Joined([partition.path]), 1 << 20) as file:
-            for member, size, content in members(partition.path, file, self.content):
-                yield (partition.path, member, size, content) if self.content else (partition.path, member, size)
+        path = partition.path
+        if not path:
+            return
+        with io.BufferedReader(Joined([path]), 1 << 16) as file:
+            if not path.lower().endswith((".tar", ".zip")):
+                found = ((m, n, data) for m, n, data in members(path, file, self.content) if self._keeps(member=m, size=n))
+            else:
+                entries = [*index_file(path, file, partition.begin, partition.end)] if path.lower().endswith(".zip") else index_file(path, Joined([path]), partition.begin, partition.end)
+                found = ((m, n, fetch(file, n, *place) if self.content else None) for m, n, *place in entries if self._keeps(member=m, size=n))
+            for member, size, data in found:
+                if not safe(member):
+                    raise ValueError(f"unsafe member {member!r}")
+                yield (path, member, size, data) if self.content else (path, member, size)
+
+
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters):
+        known = {EqualTo: "=", In: "in", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "has", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            names = getattr(f, "attribute", ())
+            if type(f) in known and len(names) == 1 and names[0] in ("archive", "member", "size"):
+                self.kept.append((names[0], known[type(f)], f.value))
+            else:
+                yield f
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("archive").option("paths", "a.tar,b.zip").load(): a partition for each archive; bytes are read only where the schema has data."""
+    """spark.read.format("archive").option("paths", "a.tar,b.zip").load(): partitions of about splitBytes of an archive; bytes are read only where the schema has data.
+
+    With the option pushFilters, for which spark.sql.python.filterPushdown.enabled must be set, filters on archive, member and size leave archives, and members' bytes, unread.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -114,4 +302,4 @@ class ArchiveSource(DataSource):
         return MEMBERS + (", data binary" if self.options.get("content", "false") == "true" else "")
 
     def reader(self, schema):
-        return _Reader(schema, self.options)
+        return (_FilteringReader if self.options.get("pushFilters", "false") == "true" else _Reader)(schema, self.options)
