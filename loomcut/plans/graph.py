@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, stored
+
 
 def edges(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """(source, target): for each parameter that a unit reads, the last earlier unit that writes it. Tables (unit, param)."""
@@ -14,28 +16,72 @@ def edges(reads: DataFrame, writes: DataFrame) -> DataFrame:
     return both.withColumn("source", last).where("w = 0 and source is not null").select("source", F.col("unit").alias("target")).distinct()
 
 
+def _kept(spark: SparkSession, schema: str, paths: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
-    """Units (unit) that follow from start along links, start included. A plan has few units; each step is one join."""
-    spark = links.sparkSession
-    seen = {r.unit for r in start.collect()}
-    step = seen
-    while step:
-        found = links.join(spark.createDataFrame([(x,) for x in step], "unit long"), F.col("source") == F.col("unit")).select("target").distinct().collect()
-        step = {r.target for r in found} - seen
-        seen |= step
-    return spark.createDataFrame([(x,) for x in sorted(seen)], "unit long")
+    """Units (unit) that follow from start along links (source, target), start included; links may form circles.
+
+    Each step joins the links with the units that the last one found, and leaves out those that are known: nothing but the answer whether any were new comes to the driver.
+    A step's units are written to the shared folder, so steps don't add up in the plan.
+    """
+    spark, paths = links.sparkSession, []
+    links = stored(links.select(F.col("source").cast("long"), F.col("target").cast("long")).where("source <> target").distinct(), "links")
+    new = start.select(F.col("unit").cast("long").alias("unit")).where("unit is not null").distinct()
+    while True:
+        path = new_path(spark, "reached")
+        new.write.parquet(path)
+        step = _kept(spark, "unit long", [path])
+        if step.isEmpty():
+            return _kept(spark, "unit long", paths)
+        paths.append(path)
+        found = links.join(step, F.col("source") == F.col("unit")).select(F.col("target").alias("unit")).distinct()
+        new = found.join(_kept(spark, "unit long", paths), "unit", "left_anti")
+
+
+def levels(units: DataFrame, links: DataFrame) -> DataFrame:
+    """(unit, level): 0 for units that no link leads to, else one more than the highest level among the sources of links to it; null on and behind circles. By (level, unit), sources come before targets.
+
+    A step takes the units whose sources all have levels: links of the last step's units are counted by target and added to what is counted so far, which is kept for
+    units with some, not all, of their sources done. Units of links that aren't in units count too.
+    """
+    spark, paths, level = units.sparkSession, [], 0
+    links = stored(links.select(F.col("source").cast("long"), F.col("target").cast("long")).distinct(), "links")
+    units = units.select(F.col("unit").cast("long").alias("unit")).union(links.select("source")).union(links.select("target")).where("unit is not null").distinct()
+    need = stored(links.groupBy(F.col("target").alias("unit")).agg(F.count("*").alias("need")), "sources")
+    counted = units.join(need, "unit", "left_anti").select("unit", F.lit(0).cast("long").alias("n"), F.lit(True).alias("done"))
+    while True:
+        path = new_path(spark, "level")
+        counted.withColumn("level", F.when(F.col("done"), level).cast("int")).write.parquet(path)
+        now = _kept(spark, "unit long, n long, done boolean, level int", [path])
+        step = now.where("done")
+        if step.isEmpty():
+            break
+        paths.append(path)
+        level += 1
+        more = links.join(step.select(F.col("unit").alias("source")), "source").select(F.col("target").alias("unit"), F.lit(1).cast("long").alias("n"))
+        sums = now.where("NOT done").select("unit", "n").union(more).groupBy("unit").agg(F.sum("n").alias("n"))
+        counted = sums.join(need, "unit").select("unit", "n", (F.col("n") == F.col("need")).alias("done"))
+    done = _kept(spark, "unit long, done boolean, level int", paths).where("done").select("unit", "level")
+    return units.join(done, "unit", "left")
 
 
 def split(reads: DataFrame, writes: DataFrame, direct: DataFrame) -> DataFrame:
-    """(unit, related) of all units: related ones use the model directly, follow from one that does, or later update a parameter that the first related reader of it also writes."""
-    links = edges(reads, writes)
-    related = direct.select("unit").distinct()
-    size = -1
-    while (n := related.count()) != size:
-        size = n
+    """(unit, related) of all units: related ones use the model directly, follow from one that does, or later update a parameter that the first related reader of it also writes.
+
+    Tables (unit, param) and (unit); params of several plans are told apart by the caller. The steps go on until no unit is added; a step's units are written.
+    """
+    links = stored(edges(reads, writes), "links")
+    reads, writes = stored(reads.select(F.col("unit").cast("long").alias("unit"), "param").distinct(), "reads"), stored(writes.select(F.col("unit").cast("long").alias("unit"), "param").distinct(), "writes")
+    related, size = direct.select(F.col("unit").cast("long").alias("unit")).distinct(), -1
+    while True:
         related = reachable(links, related)
         first = reads.join(related, "unit").groupBy("param").agg(F.min("unit").alias("first"))
         updates = writes.join(first, "param").join(writes.select(F.col("unit").alias("first"), "param"), ["param", "first"]).where("unit > first")
-        related = related.union(updates.select("unit")).distinct()
-    every = reads.select("unit").union(writes.select("unit")).union(direct.select("unit")).distinct()
+        related = stored(related.union(updates.select("unit")).distinct(), "related")
+        if (n := related.count()) == size:
+            break
+        size = n
+    every = reads.select("unit").union(writes.select("unit")).union(direct.select(F.col("unit").cast("long"))).distinct()
     return every.join(related.withColumn("related", F.lit(True)), "unit", "left").withColumn("related", F.coalesce("related", F.lit(False)))

@@ -652,12 +652,35 @@ def jn11_last_producer(spark, sf):
     return graph.edges(units.where("unit % 3 = 0"), units.where("unit % 3 <> 0"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, false), (1, false), (2, true), (3, true), (4, true), (5, false)) t(unit, related)")
+_GRAPH = "WITH RECURSIVE e AS (SELECT event_id AS unit, (SELECT max(event_id) FROM events) AS last FROM events), l AS (SELECT unit AS source, unnest([2 * unit + 3, 3 * unit + 1, unit + 1000]) AS target, last FROM e WHERE unit % 10 <> 4), links AS (SELECT source, target FROM l WHERE target <= last), "
+
+
+def _links(units):
+    return units.where("unit % 10 <> 4").select(F.col("unit").alias("source"), F.explode(F.array(2 * F.col("unit") + 3, 3 * F.col("unit") + 1, F.col("unit") + 1000)).alias("target")).join(units.withColumnRenamed("unit", "target"), "target", "left_semi")
+
+
+@query(_GRAPH + "r AS (SELECT unit FROM e WHERE unit % 700 = 5 UNION SELECT target FROM r JOIN links ON source = r.unit) SELECT unit FROM r")
+def jn12_reachable_events(spark, sf):
+    """JN12: everything that follows from some of all events."""
+    units = table(spark, sf, "events").select(F.col("event_id").alias("unit"))
+    return graph.reachable(_links(units), units.where("unit % 700 = 5"))
+
+
+@query(_GRAPH + "r AS (SELECT unit, 0 AS level FROM e UNION SELECT target, level + 1 FROM r JOIN links ON source = r.unit) SELECT unit, max(level) AS level FROM r GROUP BY unit")
+def tk14_unit_levels(spark, sf):
+    """TK14: an order of units in which sources come first."""
+    units = table(spark, sf, "events").select(F.col("event_id").alias("unit"))
+    return graph.levels(units, _links(units))
+
+
+@query()
 def o8_unit_graph_split(spark, sf):
-    """O8, JN11, JN12, SET4: units that depend on a model, and those that do not."""
-    reads = spark.createDataFrame([(0, "prompt"), (1, "image"), (2, "text"), (3, "latents"), (4, "noise"), (5, "image")], "unit long, param string")
-    writes = spark.createDataFrame([(0, "text"), (1, "size"), (2, "latents"), (3, "noise"), (4, "noise"), (5, "mask")], "unit long, param string")
-    return graph.split(reads, writes, spark.createDataFrame([(2,)], "unit long"))
+    """O8, JN11, JN12, SET4: each user's events as a plan of units, split into those that depend on a model and those that do not."""
+    units = table(spark, sf, "events").select(F.col("event_id").alias("unit"), "user_id")
+    named = lambda k: F.concat_ws(":", "user_id", k)
+    reads = units.select("unit", named(F.col("unit") % 4).alias("param"))
+    writes = units.select("unit", named(F.floor(F.col("unit") / 4) % 5).alias("param"))
+    return graph.split(reads, writes, units.where("unit % 40 = 7").select("unit"))
 
 
 @query("SELECT o_orderkey, CASE WHEN abs(o_orderkey % 3 * 8 + 8 - 16) < 0.01 THEN 'copy' ELSE 'encode' END AS action, o_orderkey % 3 * 8 + 8 < 16 AS upsampled FROM orders")
