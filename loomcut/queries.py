@@ -607,6 +607,17 @@ def wn9_threshold_reset(spark, sf):
     return out.select("user_id", F.col("i").cast("int").alias("i"), "go")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, CAST(round(value, 2) AS DECIMAL(18, 2)) AS v, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events),
+r AS (SELECT i, n, CAST(0 AS DECIMAL(18, 2)) AS acc, true AS go FROM e WHERE i = 1 UNION ALL
+      SELECT e.i, e.n, CASE WHEN e.i = e.n OR r.acc + e.v >= 120 THEN CAST(0 AS DECIMAL(18, 2)) ELSE CAST(r.acc + e.v AS DECIMAL(18, 2)) END, e.i = e.n OR r.acc + e.v >= 120 FROM r JOIN e ON e.i = r.i + 1)
+SELECT i, go FROM r""")
+def wn9_threshold_reset_one_key(spark, sf):
+    """WN9, ST6: a running sum that sets itself back, over all events as one key that no task holds."""
+    rows = table(spark, sf, "events").select(F.lit(1).alias("k"), "event_id", F.round("value", 2).cast("decimal(18,2)").alias("value"))
+    return state.threshold_resets(rows, "k", ["event_id"], "value", 120.0, most=0).select("i", "go")
+
+
 @query("SELECT user_id, window_no, count(*) AS n, sum(value) AS total FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS window_no FROM events) GROUP BY ALL")
 def st9_count_tumble(spark, sf):
     """ST9: windows by count."""

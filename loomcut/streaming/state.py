@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.rank import place_in_group
+from ..operators.rank import _dealt, place_in_group
+from ..sources.shared import stored
 
 BUFFER = "key string, seq long, slots string"
 
@@ -68,26 +70,100 @@ def threshold_reset(values: Column, limit: float) -> Column:
     return F.aggregate(values, start, step)["out"]
 
 
-def threshold_resets(df: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
-    """(key, i, go) for each row: its place from 1 within its key, and what threshold_reset() says of it. Rows go by in order; no list of a key's rows is made."""
-    w = Window.partitionBy(key).orderBy(*order)
+#: Rows of a key that one task goes through; longer keys are cut.
+LONG_KEY = 1_000_000
+
+
+def threshold_resets(df: DataFrame, key: str, order: list[str], value: str, limit: float, most: int = LONG_KEY) -> DataFrame:
+    """(key, i, go) for each row: its place from 1 within its key, and what threshold_reset() says of it. A null value counts as 0, a null key is a key; rows that tie in order come in any.
+
+    A key of up to `most` rows goes by in order in one task, sum after sum; longer ones, unless they have negative values, are done by _resets_by_pointers(). The latter compares sums
+    over all rows so far: exactly for decimals, for doubles up to their rounding.
+    """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, F.row_number().over(w).cast("long").alias("i"), F.col(value).cast("double").alias("v"), F.lead(F.lit(True)).over(w).isNull().alias("last"))
+    exact = df.schema[value].dataType.typeName() == "decimal"
+    zero = F.lit(0).cast(df.schema[value].dataType if exact else "double")
+    rows = df.select(key, *order, F.coalesce(F.col(value) if exact else F.col(value).cast("double"), zero).alias("v"))
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    cut = sizes.where((F.col("n") > most) & (F.col("least") >= 0) & (F.lit(limit) > 0)).select("_key")
+    if cut.isEmpty():
+        return _resets_in_order(rows, key, kind, order, limit)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return _resets_in_order(rows.join(cut, same, "left_anti"), key, kind, order, limit).union(_resets_by_pointers(rows.join(cut, same, "left_semi"), key, order, limit))
+
+
+def _resets_in_order(rows: DataFrame, key: str, kind: str, order: list[str], limit: float) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = rows.select(key, F.row_number().over(w).cast("long").alias("i"), F.col("v").cast("double").alias("v"), F.lead(F.lit(True)).over(w).isNull().alias("last"))
 
     def fold(batches):
         total = 0.0
         for batch in batches:
-            out = []
-            for i, v, last in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                total = v or 0.0 if i == 1 else total + (v or 0.0)
-                go = i == 1 or last or total >= limit
-                total = 0.0 if go else total
-                out.append(go)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], [key, "i", "go"])
+            v, go = batch.column(2).to_numpy(zero_copy_only=False), np.array(batch.column(3).to_numpy(zero_copy_only=False), bool)
+            firsts = np.flatnonzero(batch.column(1).to_numpy() == 1)
+            go[firsts] = True
+            for begin, end in zip(np.append(0, firsts), np.append(firsts, len(v))):
+                at = begin
+                if begin in firsts:
+                    total, at = 0.0, begin + 1
+                width = 64
+                while at < end:
+                    sums = np.cumsum(np.append(total, v[at : min(end, at + width)]))[1:]
+                    hit = np.flatnonzero(sums >= limit)[:1]
+                    if len(hit):
+                        at, total = at + int(hit[0]) + 1, 0.0
+                        go[at - 1] = True
+                    else:
+                        at, total, width = at + len(sums), float(sums[-1]), width * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(go)], [key, "i", "go"])
 
     return rows.mapInArrow(fold, f"`{key}` {kind}, i long, go boolean")
 
 
+def _resets_by_pointers(rows: DataFrame, key: str, order: list[str], limit: float) -> DataFrame:
+    """The same for keys of any length and values from 0 on, as no row needs what came of the rows before it.
+
+    Sums over all rows of a key so far never fall, so a reset at one row leads to the next at the first row whose sum is larger by limit: rows, and what they wait for, are sorted
+    together by ranges. These steps are chained by doubling: steps of 2, 4, 8, ... resets are joined from the last ones, and from the first row all resets are reached by
+    the longest steps first. What lies between is written; no key is in one task, and the number of joins grows with the logarithm of the resets.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = ["_part", "k"]
+    rows = rows.select(F.col(key).alias("k"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], "v")
+    by = [F.col(f"o{n}") for n in range(len(order))]
+    dealt = _dealt(rows, parts, [F.col("k"), *by])
+    inside = Window.partitionBy(*both).orderBy(*by)
+    total = dealt.groupBy(*both).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    earlier = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.sum("s").over(earlier).alias("s0"), F.sum("n").over(Window.partitionBy("k")).alias("rows"))
+    placed = dealt.select(*both, F.row_number().over(inside).alias("i"), F.sum("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    placed = placed.join(total, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
+    placed = stored(placed.select("k", (F.col("i") + F.col("n0")).cast("long").alias("i"), (F.col("s") + F.coalesce("s0", F.lit(0))).alias("s"), "rows"), "placed")
+    # Each row's next reset: what waits for a sum stands just before the first row that has it.
+    sums = placed.select("k", "i", F.col("s").alias("x"), F.lit(1).alias("kind"))
+    waits = placed.select("k", "i", (F.col("s") + F.lit(limit).cast(placed.schema["s"].dataType)).alias("x"), F.lit(0).alias("kind"))
+    mixed = _dealt(sums.union(waits), parts, [F.col(c) for c in ("k", "x", "kind", "i")])
+    found = F.when(F.col("kind") == 1, F.col("i"))
+    back = Window.partitionBy(*both).orderBy(*[F.col(c).desc() for c in ("x", "kind", "i")]).rowsBetween(Window.unboundedPreceding, -1)
+    least = mixed.groupBy(*both).agg(F.min(found).alias("first"))
+    later = Window.partitionBy("k").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.last("first", True).over(later).alias("later"))
+    step = mixed.withColumn("to", F.last(found, True).over(back)).where("kind = 0").join(least, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
+    steps = [stored(step.select("k", "i", F.coalesce("to", "later").alias("to")).where("to IS NOT NULL"), "steps")]
+    while not steps[-1].isEmpty():
+        one = steps[-1]
+        two = one.select(F.col("k").alias("_k"), F.col("i").alias("_i"), F.col("to").alias("_to"))
+        steps.append(stored(one.join(two, (F.col("to") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k"))).select("k", "i", F.col("_to").alias("to")), "steps"))
+    resets = stored(placed.where("i = 1").select("k", "i"), "resets")
+    for one in reversed(steps[:-1]):
+        two = one.select(F.col("k").alias("_k"), F.col("i").alias("_i"), "to")
+        more = resets.join(two, (F.col("i") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k"))).select("k", F.col("to").alias("i"))
+        resets = stored(resets.union(more), "resets")
+    hit = resets.select(F.col("k").alias("_k"), F.col("i").alias("_i"), F.lit(True).alias("hit"))
+    out = placed.join(hit, (F.col("i") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k")), "left")
+    return out.select(F.col("k").alias(key), "i", (F.coalesce("hit", F.lit(False)) | (F.col("i") == F.col("rows"))).alias("go"))
+
+
 def tumbling(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """df with the number of its count window of `size` rows within its key; a key with most rows is split."""
     placed = place_in_group(df, key, [F.col(c) for c in order.split(",")], "_place")
