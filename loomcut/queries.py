@@ -11,7 +11,7 @@ from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
 from .registry import ORACLE, QUERIES, query, table
 from .sources import shared
-from .streaming import state
+from .streaming import buffers, state
 
 
 # Ranking, fills and unions -------------------------------------------------------------------------------------------
@@ -642,6 +642,42 @@ def st1_bounded_buffer(spark, sf):
     return spark.read.parquet(f"{path}/rows").groupBy("key").agg(last).select("key", "r.*")
 
 
+_GOES = 4
+
+
+def _buffers(spark, sf):
+    """Events taken in by several goes of a stream, each begun anew from its checkpoint; where its buffers lie."""
+    events, path = table(spark, sf, "events"), shared.new_path(spark, "buffers")
+    rows = events.select("event_id", "event_type", "value", (F.col("event_id") % 3).cast("string").alias("shape"))
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for go in range(_GOES):
+        rows.where(F.floor(F.col("event_id") * _GOES / (last + 1)) == go).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        buffers.run(buffers.buffered(stream, "event_type", "event_id", "value", "shape", 16, 5), path)
+    return path
+
+
+_SLOTS = """
+WITH s AS (SELECT event_type AS key, event_id, value, event_id % 3 AS shape, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq FROM events),
+t AS (SELECT *, CASE WHEN seq < 16 THEN seq ELSE CAST('0x' || substr(md5('5:' || seq), 1, 8) AS BIGINT) % 16 END AS slot FROM s),
+slots AS (SELECT key, CAST(slot AS INTEGER) AS slot, max(event_id) AS o, max_by(value, event_id) AS v, max_by(shape, event_id) AS shape FROM t GROUP BY ALL) """
+
+
+@query(_SLOTS + "SELECT key, slot, o, v FROM slots")
+def st1_buffer_slots(spark, sf):
+    """ST1: bounded buffers in the state of a stream that is begun again three times; the slots themselves."""
+    return buffers.slots(spark, _buffers(spark, sf)).select("key", "slot", "o", "v")
+
+
+@query(_SLOTS + """, n AS (SELECT *, row_number() OVER (ORDER BY key, slot) - 1 AS pos FROM slots), z AS (SELECT key, count(*) AS own, min(pos) AS first FROM n GROUP BY key), total AS (SELECT count(*) AS total FROM n),
+r AS (SELECT e.event_id, e.event_id % 3 AS shape, own, first, CAST('0x' || substr(md5('9:' || e.event_id), 1, 8) AS BIGINT) % (total - own) AS i FROM events e JOIN z ON z.key = e.event_type, total)
+SELECT event_id, CASE WHEN n.shape = r.shape THEN n.o END AS drawn FROM r LEFT JOIN n ON n.pos = r.i + CASE WHEN r.i >= first THEN own ELSE 0 END""")
+def st2_draws_across_keys(spark, sf):
+    """ST2: for each event an entry of another key's buffer, a miss where its shape differs."""
+    requests = table(spark, sf, "events").select("event_id", F.col("event_type").alias("key"), (F.col("event_id") % 3).cast("string").alias("shape"))
+    return buffers.draws(requests, buffers.slots(spark, _buffers(spark, sf)), "key", "event_id", "shape", 9).select("event_id", F.col("drawn.o").alias("drawn"))
+
+
 # Plans ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +19,7 @@ BUFFER = "key string, seq long, slots string"
 
 
 def slot_of(seq: int, k: int, seed: int) -> int:
-    return xxhash.xxh64_intdigest(f"{seed}:{seq}") % k
+    return int(hashlib.md5(f"{seed}:{seq}".encode()).hexdigest()[:8], 16) % k
 
 
 def push(slots: list, seq: int, value, k: int, seed: int) -> None:
