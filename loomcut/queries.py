@@ -11,7 +11,7 @@ from .operators import cascade, combine, lookup, metrics, order, rank
 from .plans import graph, steps
 from .registry import ORACLE, QUERIES, query, table
 from .sources import shared
-from .streaming import buffers, state
+from .streaming import buffers, clips, state
 
 
 # Ranking, fills and unions -------------------------------------------------------------------------------------------
@@ -678,6 +678,29 @@ def st2_draws_across_keys(spark, sf):
     return buffers.draws(requests, buffers.slots(spark, _buffers(spark, sf)), "key", "event_id", "shape", 9).select("event_id", F.col("drawn.o").alias("drawn"))
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) * 1000 AS ms, value, event_id * 3 // ((SELECT max(event_id) FROM events) + 1) AS third FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)),
+g AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN least(third + 1, 2) ELSE third END AS go FROM e),
+w AS (SELECT go, max(max(ms)) OVER (ORDER BY go) - 86400000 AS mark FROM g GROUP BY go),
+r AS (SELECT g.*, w.mark IS NOT NULL AND g.ms <= w.mark AS late FROM g LEFT JOIN w ON w.go = g.go - 1),
+b AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) <= 14400000 AS same FROM r WHERE NOT late),
+c AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS clip FROM b),
+s AS (SELECT CAST(user_id AS VARCHAR) AS key, min(ms) AS "begin", max(ms) AS last, count(*) AS n, round(sum(value), 4) AS total FROM c GROUP BY user_id, clip)
+SELECT * FROM s WHERE last + 14400000 <= (SELECT max(mark) FROM w) UNION ALL SELECT 'late', 0, 0, count(*), NULL FROM r WHERE late""")
+def st5_clips_of_stream(spark, sf):
+    """ST5, ST9: clips of a stream that comes in three goes, ended by timers; and how many rows came after the watermark."""
+    events, path = table(spark, sf, "events"), shared.new_path(spark, "clips")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    third = F.floor(F.col("event_id") * 3 / (last + 1))
+    rows = events.select(F.date_trunc("second", "ts").alias("ts"), "user_id", "value", F.when(F.col("event_id") % 11 == 0, F.least(third + 1, F.lit(2))).otherwise(third).alias("go"))
+    late = 0
+    for go in range(3):
+        rows.where(F.col("go") == go).drop("go").write.mode("append").parquet(f"{path}/in")
+        late += clips.run(clips.ended(spark.readStream.schema(rows.drop("go").schema).parquet(f"{path}/in"), "user_id", "ts", "value", 4 * 3600, "1 day"), path)
+    out = clips.read(spark, path).select("key", "begin", "last", "n", F.round("total", 4).alias("total"))
+    return out.union(spark.range(1).select(F.lit("late"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(late).cast("long"), F.lit(None).cast("double")))
+
+
 # Plans ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ class _Buffer(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n long")
         self.slots = handle.getMapState("slots", "slot int", "o long, v double, shape string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, changed = (self.seen.get()[0] if self.seen.exists() else 0), {}
         for r in pd.concat([*rows]).sort_values("o").itertuples(index=False):
             changed[seen if seen < self.k else slot_of(seen, self.k, self.seed)] = (int(r.o), None if pd.isna(r.v) else float(r.v), r.shape)
