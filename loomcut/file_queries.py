@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import tarfile
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import options
 from .operators import cascade
 from .registry import query, table
-from .sources import archive, files, shared, sinks
+from .sources import archive, files, manifest, shared, sinks
 
 #: Suffixes of the files that stand for clips; the third is none of a video.
 _KINDS = ("mp4", "MKV", "txt", "mov")
@@ -164,6 +166,36 @@ def snk5_captions_resumed(spark, sf):
     return spark.read.schema("video_path string, caption string").json(path)
 
 
+def _breaks_down(path: str) -> str:
+    if path.endswith("77.mp4"):
+        raise MemoryError(path)
+    return _captioner(path)
+
+
+@query("SELECT '/v/' || c_custkey || '.mp4' AS video_path, CASE WHEN c_custkey % 10 <> 3 THEN 'caption of /v/' || c_custkey || '.mp4' END AS caption FROM customer")
+def snk5_captions_committed(spark, sf):
+    """SNK5, SNK15, ST7: captions in commits: of a third of the clips, then a go that breaks down and leaves files that no commit names, then of all that are left; each is there once."""
+    path = shared.new_path(spark, "committed")
+    videos = table(spark, sf, "customer").select("c_custkey", F.format_string("/v/%d.mp4", "c_custkey").alias("video_path")).repartition(4, "c_custkey")
+    manifest.commit_captions(videos.where("c_custkey % 3 = 0"), _captioner, path)
+    with contextlib.suppress(PySparkException):
+        manifest.commit_captions(videos, _breaks_down, path, fatal=MemoryError)
+    manifest.commit_captions(videos, _captioner, path)
+    return manifest.read(spark, path, "video_path string, caption string")
+
+
+@query("SELECT event_id, event_type AS kind, round(value, 6) AS value FROM events")
+def snk15_diagnostics_committed(spark, sf):
+    """SNK15, ST7: a stream's rows in commits by batch, over two goes, of which the second has new rows."""
+    path, events = shared.new_path(spark, "diagnostics"), table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), "value")
+    spark.dataSource.register(manifest.ManifestSource)
+    for go in (0, 1):
+        events.where(F.col("event_id") % 2 == go).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        stream.writeStream.format("manifest").option("path", f"{path}/log").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return manifest.read(spark, f"{path}/log", "event_id long, kind string, value double").withColumn("value", F.round("value", 6))
+
+
 @query("SELECT '/v/' || doc_id AS video, source || ', \"' || lang || '\" it''s' || chr(10) || 'two' AS prompt FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL AND source IS NOT NULL")
 def snk6_train_csv(spark, sf):
     """SNK6: training rows as CSV with quotes, commas and line breaks, read again."""
