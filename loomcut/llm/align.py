@@ -3,8 +3,8 @@
 A text is cut before runs of white space whose first character no entry of either vocabulary can join to what stands before it, which is looked up in
 the vocabularies. So tokens of a text are those of its segments, one after another, and a segment's end is the end of a token of both.
 
-Documents are packed into blocks (see blocks), each with its distinct segments and their counts. Counts are added up by segment; each distinct segment is tokenised, cut
-into groups and linked; links are counted by pair of ids, weighted by how often their segment occurs; and each block gets what was found for its segments.
+Documents are packed into blocks, each with its distinct segments, their counts, and its documents as numbers of segments. Counts are added up by segment; each distinct segment is
+tokenised, cut into groups and linked; links are counted by pair of ids, weighted by how often their segment occurs; and each block gets what was found for its segments.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
+import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from . import blocks as bl
 from .common import drop_stored, setting, stored, trim, trimmed
 
 #: More text in a block means fewer segments that several blocks share, and more memory for a task.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 _SHOWN = "▁"  # what stands for a space in pieces
 _OTHERS = "\n\t\r"
 
@@ -129,6 +131,47 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
+
+
+def _split(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight together, where they compress best."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _packed(batches):
+    """Rows (owner, i, n_a, n_best, count_sum, groups), sorted, as a row for each run of an owner within a batch."""
+    for batch in batches:
+        owner = batch.column(0).to_numpy()
+        edges = np.append(bl.starts(owner), len(owner))
+        numbers = [np.ascontiguousarray(batch.column(c).to_numpy(), "<i8") for c in range(1, 5)]
+        groups, data = batch.column(5).to_pylist(), []
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            columns = (np.diff(numbers[0][a:b], prepend=0), *(x[a:b] for x in numbers[1:]))
+            parts = [x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns]
+            data.append((b - a).to_bytes(8, "little") + zlib.compress(b"".join(parts) + "\n".join(groups[a:b]).encode(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(owner[edges[:-1]], pa.int64()), pa.array(data, pa.binary())], ["owner", "data"])
+
+
+def _unpacked(data: list[bytes]) -> tuple[dict[str, np.ndarray], list[str]]:
+    """(numbers of segments, their groups) in the order of i, from what _packed() made of one owner's rows."""
+    numbers, groups = [np.zeros((0, 4), np.int64)], []
+    for x in data:
+        n, raw = int.from_bytes(x[:8], "little"), zlib.decompress(x[8:])
+        part = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 32 * n).reshape(4, 8, n).transpose(0, 2, 1)).view("<i8").reshape(4, n)
+        numbers.append(np.stack([np.cumsum(part[0]), *part[1:]], 1))
+        groups += raw[32 * n :].decode().split("\n")
+    found = np.concatenate(numbers)
+    order = np.argsort(found[:, 0])
+    groups = [groups[k] for k in order.tolist()]
+    n_a, n_best, count_sum = found[order, 1:].T
+    n_groups, commas = (np.array([x.count(sign) + more for x in groups], np.int64) for sign, more in ((";", 1), (",", 0)))
+    return {"n_a": n_a, "n_b": commas + 2 * n_groups - n_a, "n_groups": n_groups, "n_best": n_best, "count_sum": count_sum}, groups
+
+
 def align_documents(docs: DataFrame, path_a: str, path_b: str, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256 string, and `groups` string if asked for.
 
@@ -142,15 +185,30 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc: str = "doc_i
     aligner(path_a, path_b)  # tells the wrong kind of file at once
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
-    def found(batch, _, text_at):
-        pair, counts, whole = aligner(path_a, path_b), Counter(), []
-        for x in batch.column(text_at).to_pylist():
-            whole.append(pair.has_tokens(x))
-            if whole[-1]:
-                counts.update(pair.segments(x))
-        return {"segments": pa.array([list(counts)], pa.list_(pa.string())), "counts": pa.array([list(counts.values())], pa.list_(pa.int64())), "whole": pa.array([bytes(whole)], pa.binary())}
+    def cut(batches):
+        pair, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 24
+        place: dict[str, int] = {}
+        docs, sizes, at, held = [], [], array("i"), 0
+
+        def flush():
+            found = np.frombuffer(at, np.int32)
+            one = {"block": pa.array([number]), "docs": pa.array([docs], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "data": pa.array([pa.compress(_split(found), "zstd", asbytes=True)], pa.binary()),
+                   "segments": pa.array([list(place)], pa.list_(pa.string())), "counts": pa.array([np.bincount(found, minlength=len(place))], pa.list_(pa.int64()))}
+            return pa.RecordBatch.from_arrays([*one.values()], [*one])
+
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = [place.setdefault(y, len(place)) for y in pair.segments(x)] if pair.has_tokens(x) else []
+                docs.append(doc), sizes.append(len(own)), at.extend(own)
+                held += len(x or "") + 16
+                if held >= block_bytes:
+                    yield flush()
+                    number, place, docs, sizes, at, held = number + 1, {}, [], [], array("i"), 0
+        if docs:
+            yield flush()
 
-    blocks, id_at, text_at = bl.pack(rows, "doc_id", "text", "blocks", found, "segments array<string>, counts array<long>, whole binary", block_bytes)
+    with setting(docs.sparkSession, bl.BATCH, "500"):  # rows are whole texts
+        blocks = stored(rows.mapInArrow(trimmed(cut), "block long, docs array<long>, sizes array<int>, data binary, segments array<string>, counts array<long>"), "blocks")
     uses = blocks.select(F.col("block").alias("owner"), F.posexplode(F.arrays_zip("segments", "counts")).alias("i", "s")).select("owner", "i", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
 
     def tokenise(batches):
@@ -166,33 +224,35 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc: str = "doc_i
     # Links by pair of ids; a pair's low half is its B id.
     links = aligned.select("id", "n", F.explode("links").alias("pair"))
     pairs = links.groupBy("pair").agg(F.sum("n").alias("count"))
-    pairs = stored(pairs.withColumn("b", F.col("pair").bitwiseAND((1 << 32) - 1)), "pairs")
-    most = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    pairs = pairs.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
+    counted = stored(pairs.withColumn("b", F.col("pair").bitwiseAND((1 << 32) - 1)), "pairs")
+    most = counted.groupBy("b").agg(F.max("count").alias("most"))
+    pairs = counted.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     sums = links.select("id", "pair").join(pairs, "pair").groupBy("id").agg(F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    aligned = aligned.select("id", "segment", "n_a", "groups").join(sums, "id")
-    answers = uses.select("owner", "i", "segment").join(aligned, "segment").select("owner", "i", "n_a", "n_best", "count_sum", "groups")
+    scored = stored(aligned.select("id", "segment", "n_a", "groups").join(sums, "id").drop("id"), "scored")
+    drop_stored(aligned, counted)
+    answers = uses.select("owner", "i", "segment").join(scored, "segment").select("owner", "i", "n_a", "n_best", "count_sum", "groups")
+    answers = stored(answers.sortWithinPartitions("owner", "i").mapInArrow(trimmed(_packed), "owner long, data binary"), "answers")
+    drop_stored(scored)
 
     def compose(block: pa.Table, answers: pa.Table) -> pa.Table:
-        pair, batch = aligner(path_a, path_b), bl.unpack(block["data"][0].as_buffer())
-        answers = answers.sort_by("i")
-        place = dict(zip(block["segments"][0].as_py(), range(answers.num_rows)))
-        groups = answers["groups"].to_pylist()
-        own = {"n_a": answers["n_a"].to_numpy(), "n_groups": np.array([x.count(";") + 1 for x in groups], np.int64), "n_best": answers["n_best"].to_numpy(), "count_sum": answers["count_sum"].to_numpy()}
-        own["n_b"] = np.array([x.count(",") for x in groups], np.int64) + 2 * own["n_groups"] - own["n_a"]
-        totals, digests, kept = {c: [] for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}, [], []
-        for x, whole in zip(batch.column(text_at), block["whole"][0].as_py()):
-            at = list(map(place.__getitem__, pair.segments(x.as_py()))) if whole else []
-            for c, into in totals.items():
-                into.append(int(own[c][at].sum()) if at else 0)
-            joined = ";".join(map(groups.__getitem__, at))
-            digests.append(hashlib.sha256(joined.encode()).hexdigest() if at else "")
+        sizes = np.array(block["sizes"][0].as_py(), np.int64)
+        ends = np.cumsum(sizes)
+        at = _whole(pa.decompress(block["data"][0].as_py(), 4 * int(sizes.sum()), "zstd", asbytes=True))
+        own, groups = _unpacked(answers["data"].to_pylist())
+        out = {"doc_id": pa.array(block["docs"][0].as_py(), pa.int64())}
+        for c, x in own.items():
+            sums = np.append(0, np.cumsum(x[at]))
+            out[c] = pa.array(sums[ends] - sums[ends - sizes])
+        digests, kept, at = [], [], at.tolist()
+        for n, end in zip(sizes.tolist(), ends.tolist()):
+            joined = ";".join(map(groups.__getitem__, at[end - n : end]))
+            digests.append(hashlib.sha256(joined.encode()).hexdigest() if n else "")
             if with_groups:
                 kept.append(joined)
-        out = {"doc_id": batch.column(id_at), **{c: pa.array(x, pa.int64()) for c, x in totals.items()}, "groups_sha256": pa.array(digests, pa.string())}
+        out["groups_sha256"] = pa.array(digests, pa.string())
         trim()
         return pa.table(out | ({"groups": pa.array(kept, pa.string())} if with_groups else {}))
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string" + (", groups string" if with_groups else "")
-    composed = blocks.select("block", "data", "segments", "whole").groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(compose, schema)
+    composed = blocks.select("block", "docs", "sizes", "data").groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(compose, schema)
     return composed.withColumn("n_links", F.col("n_groups")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else []))
