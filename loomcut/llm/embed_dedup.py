@@ -77,12 +77,14 @@ def _join_tile(x: np.ndarray, y: np.ndarray | None, times_x: np.ndarray, times_y
 def link_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block_rows: int | None = None, sample_values: int = 1 << 18, max_pivots: int = 2048) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links long (other rows with cosine >= least), component_id long (smallest vec_id reachable by links, itself included), kept boolean (vec_id = component_id).
 
-    A vector that is null, empty, zero or holds a null, NaN or infinite component links with nothing and is kept. Vectors of different
+    Components are floats or doubles; integers and decimals count as doubles. A vector that is null, empty, zero or holds a null, NaN or infinite component links with nothing and is kept. Vectors of different
     lengths don't link. Repeated rows are vectors of their own and link with their copies; a null vec_id isn't
     smallest unless a component has no other; other columns are not looked at. Empty table: no rows. sample_values and max_pivots bound what the driver
     holds to choose pivots from; beyond max_pivots cells are cut into more blocks. block_rows: vectors in a block; None: as many as have BLOCK_VALUES values.
     """
-    rows = vectors.select(F.col(f"`{vec}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e"))
+    kind = vectors.select(F.col(f"`{embedding}`")).schema[0].dataType.simpleString()
+    e = F.col(f"`{embedding}`") if kind == "array<float>" else F.col(f"`{embedding}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{vec}`").cast("long").alias("vec_id"), e.alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = F.coalesce(finite, F.lit(False))
     # Equal vectors are one node: two hashes of 64 bits tell vectors apart, a number names them.
