@@ -3,7 +3,7 @@
 The page's markup is read into a tree of elements. Parts that are never an article's text are cut out by their tag, role, class or id.
 Each block of text then passes points for its length and its commas to its parent, half of them to the grandparent and less to
 those above; a container's points are discounted by its link density. The best container is kept, with those of its
-siblings that have a good share of its points or are paragraphs of prose.
+siblings that have a good share of its points, are paragraphs of prose, or lists, tables, quotes and sections that aren't mostly links.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ _MILD = frozenset("discussion notice notices alert alerts disclaimer".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Headers are cut unless they are an article's own.
 _HEADER_WORDS = frozenset("header head".split())
-#: A class such as "with-sidebar" says what lies inside or is missing.
-_LAYOUT_WORDS = frozenset("with has no without layout".split())
+#: A name such as "with-sidebar" says what lies inside or is missing, not what the element is.
+_LAYOUT_WORDS = frozenset("with has no without".split())
+#: Parts of a text that need no container of their own beside its main one, if they are no lists of links.
+_FLOW = frozenset("ul ol dl table pre blockquote figure section".split())
 _OWN_WORDS = frozenset("article entry post story content main page title".split())
 _CONTENT_WORDS = frozenset("article body content entry hentry main story text post prose".split())
 #: An element of these ends an open one of the given tags within the nearest of the last.
@@ -72,7 +74,13 @@ class Node:
 
 
 def _parts(names: str) -> frozenset[str]:
-    return frozenset(w.lower() for w in _PART.findall(names))
+    """Words of the names in a class or id, but for names that tell of a layout."""
+    out = set()
+    for name in names.split():
+        words = [w.lower() for w in _PART.findall(name)]
+        if not (len(words) > 1 and words[0] in _LAYOUT_WORDS or "layout" in words):
+            out.update(words)
+    return frozenset(out)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -238,7 +246,7 @@ def _second_sign(n: Node) -> bool:
 
 def _is_worded(n: Node) -> bool:
     """Whether a word in the class or id says that the element is not an article's text. One in a longer name, as in "share-enabled", says less than a name such as "story"."""
-    if not n.words & _CUT_WORDS or n.words & _LAYOUT_WORDS:
+    if not n.words & _CUT_WORDS:
         return False
     names = {x.lower() for x in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split()}
     return not names & _CONTENT_WORDS or bool(names & _CUT_WORDS)
@@ -351,7 +359,7 @@ def _best(root: Node) -> list[Node]:
         if isinstance(c, str) or c.cut:
             continue
         prose = c.tag == "p" and c.length >= 80 and c.linked < 0.25 * c.length
-        alike = c.tag == best.tag and rank(c) >= limit
+        alike = c.tag == best.tag and rank(c) >= limit or c.tag in _FLOW and c.length and c.linked < 0.5 * c.length
         title = c.tag in ("h1", "h2") and c.length
         if c is best or prose or alike or (title and not any(isinstance(x, Node) and x.tag == "h1" for x in best.children)):
             out.append(c)
