@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,27 +189,37 @@ def _union(x: list[int], y: list[int]) -> list[int]:
     return out
 
 
+def item_blocks(wanted: DataFrame, most: int) -> tuple[Column, list[int]]:
+    """(a row's block by a hash of its item and text, the blocks that there are): blocks hold texts of `most` bytes at most, or one row. There are more of them until all do, so
+    rows that share an id, or have none, are dealt like others."""
+    sized = wanted.select(F.xxhash64("item", "text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    many = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // most))
+    while True:
+        found = sized.groupBy(F.pmod("h", F.lit(many)).alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        if found.where((F.col("size") > most) & (F.col("n") > 1)).isEmpty():
+            return F.pmod(F.xxhash64("item", "text"), F.lit(many)), sorted(r.b for r in found.select("b").collect())
+        many *= 2
+
+
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, max_index_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words and n_hit long, hit_spans array<struct<begin, end>> (word indexes, end exclusive, merged), item_ids array<string> (sorted), contaminated boolean.
 
     A word is hit if it lies inside any occurrence of a window of `window` words of an item (of all its words where
-    they are fewer). The items' texts are put in an index that is broadcast only up to max_index_bytes of text; a larger
-    benchmark is dealt by hash into blocks of about that size, one pass over docs each, the documents kept in
-    the shared folder between passes.
+    they are fewer). The items' texts are put in an index that is broadcast only up to max_index_bytes of text, or of one longer item; a larger
+    benchmark is dealt by hash into blocks of that size at most, two passes over docs each (one counts, one marks), the documents kept in
+    the shared folder between them.
     Null and empty texts have no words and no hits; an item without words hits nothing; a null item id counts as ''.
     Repeated items and documents are all answered. Columns of docs with the names of added ones are replaced.
     """
     added = ["n_words", "n_hit", "hit_spans", "item_ids", "contaminated"]
     out = docs.select(*[c for c in docs.columns if c.lower() not in added])
     names = fresh(out, "n_words", "spans", "items")
-    wanted = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // max_index_bytes))
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = [(r.item, r.text) for r in part.orderBy("item", "text").collect()]
-        out = _mark(out, text, item_windows(rows, window), shingle, names, b > 0)
-        out = stored(out, "marked") if b < blocks - 1 else out
+    wanted = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
+    key, blocks = item_blocks(wanted, max_index_bytes)
+    for i, b in enumerate(blocks or [0]):
+        rows = [(r.item, r.text) for r in wanted.where(key == b).orderBy("item", "text").collect()]
+        out = _mark(out, text, item_windows(rows, window), shingle, names, i > 0)
+        out = stored(out, "marked") if i < len(blocks) - 1 else out
     n, spans, items = (F.col(f"`{x}`") for x in names)
     base = [F.col(f"`{c}`") for c in out.columns if c not in names]
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(2)), lambda i: F.struct(F.try_element_at(spans, i).alias("begin"), F.try_element_at(spans, i + 1).alias("end")))
