@@ -5,31 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The checklist's third level and the second level that each belongs to, by first level.
-LEVELS = {
-    "Quality": {
-        "Realism": ["Physical Logic", "Material Texture"], "Detail": ["Noise", "Edge Clarity", "Naturalness"], "Resolution": ["Resolution"],
-    },
-    "Aesthetics": {
-        "Composition": ["Composition"], "Color Harmony": ["Color Harmony"], "Lighting": ["Lighting & Atmosphere"],
-        "Anatomical Portraiture": ["Anatomical Fidelity"], "Emotional Expression": ["Emotional Expression"], "Style Control": ["Style Control"],
-    },
-    "Alignment": {
-        "Attributes": ["Quantity", "Facial Expression", "Material Properties", "Color", "Shape", "Size"],
-        "Actions": ["Contact Interaction", "Non-contact Interaction", "Full-body Action"], "Layout": ["2D Space", "3D Space"],
-        "Relations": ["Composition Relationship", "Difference/Similarity", "Containment"], "Scene": ["Real-world Scene", "Virtual Scene"],
-    },
-    "Real-world Fidelity": {
-        "Fairness": ["Social Bias", "Cultural Fairness"], "Safety & Compliance": ["Safety & Compliance"],
-        "World Knowledge": ["Animals", "Objects", "Information Visualization", "Temporal Characteristics", "Cultural Elements"],
-    },
-    "Creative Generation": {
-        "Imagination": ["Imagination"], "Feature Matching": ["Feature Matching"], "Logical Resolution": ["Logical Resolution"],
-        "Text Rendering": ["Text Accuracy", "Text Layout", "Font", "Cross-lingual Generation"],
-        "Design Applications": ["Graphic Design", "Product Design", "Spatial Design", "Fashion Styling", "Game Design", "Art Design"],
-        "Visual Storytelling": ["Cinematic Style", "Camera / Lens Style", "Storyboard Creation", "Shot Sizes", "Composition", "Angles", "Comic Creation"],
-    },
-}
+# The checklist as rows of first level, third level, and the second level that the third belongs to.
+LEVELS = [
+    ("Quality", "Physical Logic", "Realism"),
+    ("Quality", "Material Texture", "Realism"),
+    ("Quality", "Noise", "Detail"),
+    ("Quality", "Edge Clarity", "Detail"),
+    ("Quality", "Naturalness", "Detail"),
+    ("Quality", "Resolution", "Resolution"),
+    ("Aesthetics", "Composition", "Composition"),
+    ("Aesthetics", "Color Harmony", "Color Harmony"),
+    ("Aesthetics", "Lighting & Atmosphere", "Lighting"),
+    ("Aesthetics", "Anatomical Fidelity", "Anatomical Portraiture"),
+    ("Aesthetics", "Emotional Expression", "Emotional Expression"),
+    ("Aesthetics", "Style Control", "Style Control"),
+    ("Alignment", "Quantity", "Attributes"),
+    ("Alignment", "Facial Expression", "Attributes"),
+    ("Alignment", "Material Properties", "Attributes"),
+    ("Alignment", "Color", "Attributes"),
+    ("Alignment", "Shape", "Attributes"),
+    ("Alignment", "Size", "Attributes"),
+    ("Alignment", "Contact Interaction", "Actions"),
+    ("Alignment", "Non-contact Interaction", "Actions"),
+    ("Alignment", "Full-body Action", "Actions"),
+    ("Alignment", "2D Space", "Layout"),
+    ("Alignment", "3D Space", "Layout"),
+    ("Alignment", "Composition Relationship", "Relations"),
+    ("Alignment", "Difference/Similarity", "Relations"),
+    ("Alignment", "Containment", "Relations"),
+    ("Alignment", "Real-world Scene", "Scene"),
+    ("Alignment", "Virtual Scene", "Scene"),
+    ("Real-world Fidelity", "Social Bias", "Fairness"),
+    ("Real-world Fidelity", "Cultural Fairness", "Fairness"),
+    ("Real-world Fidelity", "Safety & Compliance", "Safety & Compliance"),
+    ("Real-world Fidelity", "Animals", "World Knowledge"),
+    ("Real-world Fidelity", "Objects", "World Knowledge"),
+    ("Real-world Fidelity", "Information Visualization", "World Knowledge"),
+    ("Real-world Fidelity", "Temporal Characteristics", "World Knowledge"),
+    ("Real-world Fidelity", "Cultural Elements", "World Knowledge"),
+    ("Creative Generation", "Imagination", "Imagination"),
+    ("Creative Generation", "Feature Matching", "Feature Matching"),
+    ("Creative Generation", "Logical Resolution", "Logical Resolution"),
+    ("Creative Generation", "Text Accuracy", "Text Rendering"),
+    ("Creative Generation", "Text Layout", "Text Rendering"),
+    ("Creative Generation", "Font", "Text Rendering"),
+    ("Creative Generation", "Cross-lingual Generation", "Text Rendering"),
+    ("Creative Generation", "Graphic Design", "Design Applications"),
+    ("Creative Generation", "Product Design", "Design Applications"),
+    ("Creative Generation", "Spatial Design", "Design Applications"),
+    ("Creative Generation", "Fashion Styling", "Design Applications"),
+    ("Creative Generation", "Game Design", "Design Applications"),
+    ("Creative Generation", "Art Design", "Design Applications"),
+    ("Creative Generation", "Cinematic Style", "Visual Storytelling"),
+    ("Creative Generation", "Camera / Lens Style", "Visual Storytelling"),
+    ("Creative Generation", "Storyboard Creation", "Visual Storytelling"),
+    ("Creative Generation", "Shot Sizes", "Visual Storytelling"),
+    ("Creative Generation", "Composition", "Visual Storytelling"),
+    ("Creative Generation", "Angles", "Visual Storytelling"),
+    ("Creative Generation", "Comic Creation", "Visual Storytelling"),
+]
 RENAMED = {("Creative Generation", "Feature Mapping"): "Feature Matching"}
 SCORES = {0: 0.0, 1: 60.0, 2: 100.0}
 

@@ -30,13 +30,12 @@ def _each(work: Callable[..., tuple[np.ndarray, ...]], outs: tuple[str, ...]) ->
 
 
 def _orthogonal(x: np.ndarray, steps: int, eps: float) -> np.ndarray:
-    a, b, c = STEP
-    wide = x if x.shape[0] <= x.shape[1] else x.T
-    wide = wide / (np.sqrt((wide * wide).sum()) + eps)
+    """An odd polynomial of a matrix is that of its singular values, so these alone go through the steps."""
+    left, values, right = np.linalg.svd(x, full_matrices=False)
+    values = values / (np.linalg.norm(values) + eps)
     for _ in range(steps):
-        square = wide @ wide.T
-        wide = a * wide + (b * square + c * square @ square) @ wide
-    return wide if x.shape[0] <= x.shape[1] else wide.T
+        values = np.polyval([STEP[2], 0, STEP[1], 0, STEP[0], 0], values)
+    return left * values @ right
 
 
 def orthogonal(rows: Column, values: Column, steps: int = 5, eps: float = 1e-7) -> Column:

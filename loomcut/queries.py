@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -412,24 +414,33 @@ def mth10_nearest_rate(spark, sf):
 # Schedules ---------------------------------------------------------------------------------------------------------------
 
 
+_TEMPLATES = ("Wan", "Qwen-Image", "FLUX.1")
+
+
 @query("""
-WITH s AS (SELECT CAST(i AS BIGINT) AS step, 1 - i / 50.0::DOUBLE AS x FROM (SELECT unnest(range(0, 50)) AS i)), q AS (SELECT step, exp(0.8) / (exp(0.8) + (1 / x - 1)) AS y FROM s)
-SELECT 'Wan' AS template, step, 5 * x / (1 + 4 * x) AS sigma FROM s UNION ALL
+WITH s AS (SELECT CAST(i AS BIGINT) AS step, 1 - i / 50.0::DOUBLE AS x FROM (SELECT unnest(range(0, 50)) AS i)), q AS (SELECT step, exp(0.8) / (exp(0.8) + (1 / x - 1)) AS y FROM s),
+a AS (SELECT 'Wan' AS template, step, 5 * x / (1 + 4 * x) AS sigma FROM s UNION ALL
 SELECT 'Qwen-Image', step, 1 - (1 - y) * 0.98 / (1 - (SELECT y FROM q WHERE step = 49)) FROM q UNION ALL
-SELECT 'FLUX.1', step, 3 * z / (1 + 2 * z) FROM (SELECT step, 1 + (0.003 / 1.002 - 1) * step / 49.0::DOUBLE AS z FROM s)""")
+SELECT 'FLUX.1', step, 3 * z / (1 + 2 * z) FROM (SELECT step, 1 + (0.003 / 1.002 - 1) * step / 49.0::DOUBLE AS z FROM s))
+SELECT event_id, template, round((1 - sigma) * value + sigma * 2, 9) AS noised FROM events JOIN a ON step = event_id % 50 AND template = ['Wan', 'Qwen-Image', 'FLUX.1'][CAST(event_id % 3 + 1 AS INTEGER)]""")
 def mth11_sigma_schedule(spark, sf):
-    """MTH11: noise schedules in closed form."""
+    """MTH11, MTH13: each event's value with the noise of its step, by the schedule of its template."""
     one = lambda t: schedule.sigmas(spark, t, 50).select(F.lit(t).alias("template"), "step", "sigma")
-    return one("Wan").union(one("Qwen-Image")).union(one("FLUX.1"))
+    steps = functools.reduce(DataFrame.union, map(one, _TEMPLATES))  # as many rows as steps
+    name = F.element_at(F.array(*map(F.lit, _TEMPLATES)), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", "value", name.alias("template"), (F.col("event_id") % 50).alias("step")).join(F.broadcast(steps), ["template", "step"])
+    return rows.select("event_id", "template", F.round(schedule.add_noise(F.col("value"), F.lit(2.0), F.col("sigma")), 9).alias("noised"))
 
 
 @query("""
 WITH s AS (SELECT CAST(i AS BIGINT) AS step, 1 - i / 50.0::DOUBLE AS x FROM (SELECT unnest(range(0, 50)) AS i)), t AS (SELECT step, 5 * x / (1 + 4 * x) * 1000 AS t FROM s),
 y AS (SELECT step, exp(-2 * pow((t - 500) / 1000, 2)) AS y FROM t), z AS (SELECT step, y - (SELECT min(y) FROM y) AS z FROM y), w AS (SELECT step, z * (1000 / (SELECT sum(z) FROM z)) * (50 / 1000.0::DOUBLE) AS w FROM z)
-SELECT step, w + (SELECT w FROM w WHERE step = 1) AS weight FROM w""")
+SELECT event_id, round(pow(value - 2, 2) * (w + (SELECT w FROM w WHERE step = 1)), 6) AS loss FROM events JOIN w ON step = event_id % 50""")
 def mth12_training_weights(spark, sf):
-    """MTH12: weights of time steps in training."""
-    return schedule.training_weights(schedule.sigmas(spark, "Wan", 50)).select("step", "weight")
+    """MTH12, AG16: each event's squared error by the weight of its step."""
+    weights = schedule.training_weights(schedule.sigmas(spark, "Wan", 50)).select("step", "weight")
+    rows = table(spark, sf, "events").withColumn("step", F.col("event_id") % 50).join(F.broadcast(weights), "step")
+    return rows.select("event_id", F.round(F.pow(F.col("value") - 2, F.lit(2.0)) * F.col("weight"), 6).alias("loss"))
 
 
 @query("SELECT event_id, round(value + 2 * (0.3 - 0.7), 9) AS stepped, round((1 - 0.7) * value + 0.7 * 2, 9) AS noised, round(2 + 4.5 * (value - 2), 9) + 0 AS guided FROM events")
@@ -441,11 +452,15 @@ def mth13_euler_and_guidance(spark, sf):
 
 
 @query("""
-WITH b AS (SELECT CAST(i AS BIGINT) AS t, pow(sqrt(0.00085) + (sqrt(0.012) - sqrt(0.00085)) * i / 99.0::DOUBLE, 2) AS beta FROM (SELECT unnest(range(0, 100)) AS i))
-SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS alpha_bar FROM b""")
+WITH b AS (SELECT CAST(i AS BIGINT) AS t, pow(sqrt(0.00085) + (sqrt(0.012) - sqrt(0.00085)) * i / 99.0::DOUBLE, 2) AS beta FROM (SELECT unnest(range(0, 100)) AS i)),
+a AS (SELECT t, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS a FROM b), p AS (SELECT t, a, coalesce(lag(a) OVER (ORDER BY t), 1) AS b FROM a)
+SELECT event_id, round(sqrt(b) * (value - sqrt(1 - a) * 0.5) / sqrt(a) + sqrt(1 - b) * 0.5, 8) AS stepped FROM events JOIN p ON t = event_id % 100""")
 def mth14_ddim_alphas(spark, sf):
-    """MTH14, WN11: cumulative products."""
-    return schedule.ddim_alphas(spark, 100)
+    """MTH14, WN11: a step of each event's value by the cumulative products of a schedule."""
+    a = schedule.ddim_alphas(spark, 100)
+    steps = a.select("t", "alpha_bar").join(a.select((F.col("t") + 1).alias("t"), F.col("alpha_bar").alias("before")), "t", "left").na.fill(1.0, ["before"])
+    rows = table(spark, sf, "events").withColumn("t", F.col("event_id") % 100).join(F.broadcast(steps), "t")
+    return rows.select("event_id", F.round(schedule.ddim_step(F.col("value"), F.lit(0.5), F.col("alpha_bar"), F.col("before")), 8).alias("stepped"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 500 < 30 THEN 0.1 * ((o_orderkey % 500 + 1) / 30.0::DOUBLE) ELSE 0.1 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (o_orderkey % 500 - 30) / 370.0::DOUBLE)))) END AS rate FROM orders")
