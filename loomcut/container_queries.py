@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query, table
-from .sources import archive, containers, files, media, shared, sinks
+from .sources import archive, containers, files, media, shared, sinks, weights
 
 # A file for each document, a container of every kind; every ninth is cut in its middle.
 _RATES = (10, 12, 15, 20, 24, 25, 30, 50, 60)
@@ -165,3 +165,42 @@ def src15_archive_source(spark, sf):
         rows = spark.read.format("archive").option("paths", paths).option("content", "true").option("pushFilters", "true").option("splitBytes", 64 << 10).load()
         out = rows.where(F.col("member").endswith(".md") & (F.col("size") > 300)).select(_short(), "member", F.md5("data").alias("content"))
         return shared.stored(out, "members")
+
+
+# Weights: a file for 40 vectors each, and files that replace every third of them.
+
+
+def _weight_file(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("vec_id")
+    vectors = {f"v.{i}": np.array(x, np.float32) for i, x in zip(pdf["vec_id"], pdf["embedding"])}
+    new = {n: (x * 2).astype(np.float64).reshape(2, -1) for n, x in vectors.items() if int(n[2:]) % 3 == 0}
+    out = [(f"0/{key[0]}.safetensors", weights.write_weights(vectors, {"format": "np"})), (f"1/{key[0]}.safetensors", weights.write_weights(new))]
+    return pd.DataFrame(out, columns=["name", "data"])
+
+
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared.new_path(spark, "weights")
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 40).alias("block"))
+    sinks.write_files(rows.groupBy("block").applyInPandas(_weight_file, "name string, data binary"), root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
+    return weights.tensors(files.scan(spark, root, ("safetensors",)))
+
+
+@query("""
+WITH v AS (SELECT vec_id // 40 AS block, vec_id, len(embedding) AS d FROM embeddings),
+k AS (SELECT '0/' || block AS file, unnest(['v.' || vec_id || ':' || d, 'v.' || vec_id]) AS key FROM v UNION ALL
+      SELECT '1/' || block, unnest(['v.' || vec_id || ':2_' || d // 2, 'v.' || vec_id]) FROM v WHERE vec_id % 3 = 0)
+SELECT file, md5(string_agg(key, ',' ORDER BY key)) AS fingerprint FROM k GROUP BY file""")
+def src30_weight_fingerprints(spark, sf):
+    """SRC30, AG25, JN13: fingerprints of weight files from their headers alone."""
+    return weights.fingerprints(_weights(spark, sf)).select(F.regexp_extract("path", r"([01]/\d+)\.safetensors$", 1).alias("file"), "fingerprint")
+
+
+@query("""
+SELECT 'v.' || vec_id AS name, CASE WHEN vec_id % 3 = 0 THEN 'F64' ELSE 'F32' END AS dtype,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 4) + 0 AS total FROM embeddings""")
+def src30_later_weights_win(spark, sf):
+    """SRC30, SET5: tensors of two lists of files, those of the later one replacing others, read by their ranges in pieces."""
+    index = weights.later_wins(_weights(spark, sf), F.col("path"))
+    pieces = weights.values(index, 128).select("name", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    sums = pieces.groupBy("name").agg(F.sum("s").alias("s"))
+    return index.join(sums, "name").select("name", "dtype", (F.round("s", 4) + 0).alias("total"))
