@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import judge, mapping, pixels, text, vector
+from .functions import judge, mapping, pixels, repair, text, vector
 from .operators import metrics
 from .plans import units
 from .registry import query, table
@@ -253,6 +253,15 @@ def st2_pooled_sample(spark, sf):
 # Text and numbers -----------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id, md5(text) AS once, md5(text) AS twice, md5(text) AS sound FROM documents WHERE text IS NOT NULL")
+def str3_repaired_text(spark, sf):
+    """STR3: all documents read with a wrong encoding, once and twice, and put right; those that are sound stay as they are."""
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    out = {"once": wrong(F.col("text")), "twice": wrong(wrong(F.col("text"))), "sound": F.col("text")}
+    return docs.select("doc_id", *[F.md5(repair.undone(c)).alias(n) for n, c in out.items()])
+
+
 @query("SELECT doc_id, '<' || lang || '> & \"x\"' AS clean FROM documents WHERE lang IS NOT NULL")
 def str3_basic_clean(spark, sf):
     """STR3: character references undone twice, trimmed."""
