@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .rank import share_before
 
 
@@ -17,9 +18,16 @@ def lookup(left: DataFrame, right: DataFrame, on: str, key: str, value: str, ord
     return left.join(known, F.col(on).cast("string") == F.col("_key"), "left").drop("_key")
 
 
+#: Up to so many distinct values are put in order by one task.
+FEW = 100_000
+
+
 def _ordered_counts(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, before): the distinct known values, how often each is there and how many rows come before it in order; ordered by ranges."""
-    return share_before(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), [value], "n")
+    """(value, n, before): the distinct known values, how often each is there and how many rows come before it in order; ordered by ranges where there are more than FEW."""
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), "counts")
+    if counts.count() > FEW:
+        return share_before(counts, [value], "n")
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:

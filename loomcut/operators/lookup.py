@@ -15,7 +15,8 @@ def nearest(x: Column, grid: list[float], low: float | None = None, high: float
     at = x if low is None else F.greatest(F.lit(low), x)
     at = at if high is None else F.least(F.lit(high), at)
     grid_ = F.array(*[F.lit(float(g)) for g in grid])
-    return F.transform(F.slice(F.array_sort(F.transform(grid_, lambda g, i: F.struct(F.abs(g - at).alias("d"), i.alias("idx"), g.alias("value")))), 1, 1), lambda s: F.struct(s["idx"].alias("idx"), s["value"].alias("value")))[0]
+    near = F.array_min(F.transform(grid_, lambda g, i: F.struct(F.abs(g - at).alias("d"), i.alias("idx"), g.alias("value"))))
+    return F.struct(near["idx"].alias("idx"), near["value"].alias("value"))
 
 
 #: Grids of up to so many rows are sent to every task.

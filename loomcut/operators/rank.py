@@ -42,7 +42,7 @@ def _dealt(df: DataFrame, parts: int, keys: list[Column]) -> DataFrame:
 
 def place_in_group(df: DataFrame, group: str, order: list[Column], out: str, parts: int | None = None) -> DataFrame:
     """df with out: the row's place from 1 within its group. Rows are dealt by ranges of (group, order), and places within a part are moved
-    by the rows of the group in earlier parts, so a group that holds most rows is no single task.
+    by the rows of the group in earlier parts, so a group that holds most rows is no single task. All columns of df are dealt and written, so select those that are needed.
     """
     keys = [F.col(group).asc_nulls_first(), *order]
     dealt = _dealt(df, parts or _parts(df), keys)
@@ -69,7 +69,7 @@ def file_name(prefix: str, group: Column, rows: Column) -> Column:
 def share_before(df: DataFrame, order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """df with `before`: the sum of value over all rows before, and `row`: the place from 0, both in this order over the whole table.
 
-    Rows are dealt by ranges of the order; each part's sums are added up first, so no task gets all rows.
+    Rows are dealt by ranges of the order; each part's sums are added up first, so no task gets all rows. All columns of df are dealt and written, so select those that are needed.
     """
     key = [F.col(c) for c in order]
     dealt = _dealt(df, parts or _parts(df), key)

@@ -40,7 +40,7 @@ WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT source, doc_id, CAST(rk AS INTEGER) AS rank FROM n WHERE rk <= round_even(n * 0.25, 0)""")
 def tk1_keep_share(spark, sf):
     """TK1: a share of each group, halves to even."""
-    return rank.keep_share(table(spark, sf, "documents"), "source", F.col("n_chars"), ["doc_id"], 0.25).select("source", "doc_id", F.col("rank").cast("int").alias("rank"))
+    return rank.keep_share(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", F.col("n_chars"), ["doc_id"], 0.25).select("source", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT lang, 'clips_' || lang || '_' || CAST(floor(count(*) / 1000) + 1 AS BIGINT) || 'k.csv' AS name FROM documents GROUP BY lang")
@@ -57,7 +57,7 @@ SELECT doc_id, coalesce(len, med) AS len FROM j, m""")
 def jn1_length_join_fill(spark, sf):
     """JN1, AG5: left lookup of the last value by key, what is missing filled with the upper median."""
     labels = table(spark, sf, "labels").withColumn("v", F.when(F.col("quality") == 1, F.col("quality") + 0.5))
-    df = combine.lookup(table(spark, sf, "documents"), labels, "doc_id", "doc_id", "v", "toxic", "found")
+    df = combine.lookup(table(spark, sf, "documents").select("doc_id", "n_chars"), labels, "doc_id", "doc_id", "v", "toxic", "found")
     df = df.withColumn("len", F.when(F.col("found").isNotNull(), F.col("n_chars").cast("double")))
     return combine.fill_upper_median(df, "len").select("doc_id", "len")
 
@@ -578,7 +578,7 @@ s AS (SELECT gid, count(*) AS n FROM g GROUP BY gid), t AS (SELECT gid, row_numb
 SELECT doc_id, gid AS group_id, turn * 8 + place AS pos FROM g JOIN t USING (gid)""")
 def tk3_length_grouped_order(spark, sf):
     """TK3, TK4: a permutation in groups of like length."""
-    return order.length_grouped(table(spark, sf, "documents"), "doc_id", "n_chars", 8, 4).select("doc_id", "group_id", F.col("pos").cast("long").alias("pos"))
+    return order.length_grouped(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 8, 4).select("doc_id", "group_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("""
@@ -636,7 +636,7 @@ def wn9_threshold_reset_one_key(spark, sf):
 @query("SELECT user_id, window_no, count(*) AS n, sum(value) AS total FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS window_no FROM events) GROUP BY ALL")
 def st9_count_tumble(spark, sf):
     """ST9: windows by count."""
-    return state.tumbling(table(spark, sf, "events"), "user_id", "ts,event_id", 4).groupBy("user_id", "window_no").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return state.tumbling(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts,event_id", 4).groupBy("user_id", "window_no").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
