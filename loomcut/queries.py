@@ -527,6 +527,28 @@ def ag12_activation_stats(spark, sf):
     return out.select("label", (F.col("i") + 1).alias("dim"), "n", F.round("mean", 6).alias("mean"), F.round(F.col("cov")[F.col("i") * 65], 6).alias("var"))
 
 
+@query("""
+WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(coalesce(covar_samp(a.v, b.v), 0), 6) + 0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.i >= a.i GROUP BY ALL""")
+def ag12_covariance_tiles(spark, sf):
+    """AG12: covariances of all pairs of columns, by tiles of columns."""
+    tile = 24
+    tiles = metrics.covariance_tiles(table(spark, sf, "embeddings"), "label", "embedding", tile)
+    out = tiles.select("label", F.col("i").alias("a"), F.col("j").alias("b"), "n", F.size("y").alias("wide"), F.posexplode("p").alias("at", "s"))
+    i, j = F.col("a") * tile + F.floor(F.col("at") / F.col("wide")), F.col("b") * tile + F.col("at") % F.col("wide")
+    return out.select("label", i.cast("int").alias("i"), j.cast("int").alias("j"), (F.round(F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)), 6) + 0).alias("cov")).where("j >= i")
+
+
+@query("""
+WITH t AS (SELECT event_type, avg(value) AS m, var_samp(value) AS s FROM events GROUP BY event_type), n AS (SELECT *, lead(event_type) OVER (ORDER BY event_type) AS two FROM t)
+SELECT a.event_type AS one, b.event_type AS two, round(pow(a.m - b.m, 2) + pow(sqrt(a.s + 1e-6) - sqrt(b.s + 1e-6), 2), 6) AS distance FROM n a JOIN t b ON a.two = b.event_type""")
+def ag13_frechet_one_column(spark, sf):
+    """AG13: distances of distributions of one column, which have a closed form, of each type of event and the next one."""
+    stats = metrics.activation_stats(table(spark, sf, "events").select("event_type", F.array("value").alias("v")), "event_type", "v")
+    names = stats.select(F.col("event_type").alias("one"), F.lead("event_type").over(Window.orderBy("event_type")).alias("two"))  # a row for each type
+    return metrics.frechet_distances(stats, "event_type", names.where("two IS NOT NULL")).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def ag13_frechet(spark, sf):
     """AG13: distances of the distributions of each group and the next one."""
