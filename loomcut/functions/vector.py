@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,15 @@ def coherence(dx: Column, dy: Column, least: float = 0.5, pixels: int = 100, fal
     mean = lambda part: F.aggregate(moving, F.lit(0.0), lambda s, p: s + p[part] / p["m"]) / F.size(moving)
     x, y = mean("x"), mean("y")
     return F.when(F.size(moving) > pixels, F.sqrt(x * x + y * y)).otherwise(F.lit(float(fallback)))
+
+
+def softmax_rows(df: DataFrame, group: str, value: str, out: str = "p") -> DataFrame:
+    """df with out: exp(value) over its sum within the group. The largest value and the sum come from partial aggregates that are joined back, so a group that holds most rows is not gathered.
+
+    A null value gives null and counts for nothing; a null group is a group.
+    """
+    def joined(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        return rows.join(sums.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+    rows = joined(df, df.groupBy(group).agg(F.max(value).alias("_most"))).withColumn("_e", F.exp(F.col(value) - F.col("_most")))
+    return joined(rows, rows.groupBy(group).agg(F.sum("_e").alias("_all"))).withColumn(out, F.col("_e") / F.col("_all")).drop("_most", "_e", "_all")

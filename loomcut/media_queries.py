@@ -18,76 +18,81 @@ from .sources import files, media, shared, sinks
 def _clip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id")
     images = [np.frombuffer(d, np.uint8).reshape(8, 8, 3) for d in pdf["data"]]
-    return pd.DataFrame({"name": [f"{key[0]}.ppm"], "data": [media.write_ppm(images)]})
+    return pd.DataFrame({"name": [f"{key[0]}-{key[1]}.ppm"], "data": [media.write_ppm(images)]})
 
 
 def _clips(spark, sf) -> str:
+    """A file for each label and 40 vectors, so files stay as they are where the table grows."""
     root = shared.new_path(spark, "clips")
-    rows = _frames(spark, sf).select("label", "vec_id", "data").groupBy("label").applyInPandas(_clip, "name string, data binary")
+    rows = _frames(spark, sf).select("label", F.floor(F.col("vec_id") / 40).alias("clip"), "vec_id", "data").groupBy("label", "clip").applyInPandas(_clip, "name string, data binary")
     sinks.write_files(rows, root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
     return root
 
 
-_RANKED = _PIXELS + ", r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n, p FROM e) "
+def _label():
+    return F.regexp_extract("path", r"(\d+)-\d+\.ppm$", 1).cast("int").alias("label"), F.regexp_extract("path", r"(\d+)\.ppm$", 1).cast("long").alias("clip")
 
 
-@query(_RANKED + "SELECT label, CAST(idx AS INTEGER) AS idx, md5(list_aggregate(list_transform(p, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',')) AS pixels FROM r")
+_RANKED = _PIXELS + ", r AS (SELECT label, vec_id // 40 AS clip, row_number() OVER (PARTITION BY label, vec_id // 40 ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label, vec_id // 40) AS n, p FROM e) "
+
+
+@query(_RANKED + "SELECT label, clip, CAST(idx AS INTEGER) AS idx, md5(list_aggregate(list_transform(p, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',')) AS pixels FROM r")
 def src22_images(spark, sf):
     """SRC18, SRC19, SRC22, SNK14: images written, scanned and decoded."""
     out = media.frames(files.images(spark, _clips(spark, sf)))
     one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(F.hex("data"), i * 6 + 1, F.lit(2)), 16, 10))
-    return out.select(F.regexp_extract("path", r"(\d+)\.ppm$", 1).cast("int").alias("label"), "idx", F.md5(F.array_join(one, ",")).alias("pixels"))
+    return out.select(*_label(), "idx", F.md5(F.array_join(one, ",")).alias("pixels"))
 
 
-@query(_RANKED + "SELECT label, CAST(idx AS INTEGER) AS idx FROM r WHERE idx IN (0, n // 2, n - 1)")
+@query(_RANKED + "SELECT label, clip, CAST(idx AS INTEGER) AS idx FROM r WHERE idx IN (0, n // 2, n - 1)")
 def src23_sampled_frames(spark, sf):
     """SRC23, TK7: the frames that a plan picks from those a clip has."""
     out = media.frames(files.scan(spark, _clips(spark, sf), ("ppm",)), plan=lambda n: sorted({0, n // 2, n - 1}))
-    return out.select(F.regexp_extract("path", r"(\d+)\.ppm$", 1).cast("int").alias("label"), "idx")
+    return out.select(*_label(), "idx")
 
 
-@query(_RANKED + "SELECT label, CAST(idx AS INTEGER) AS idx FROM r WHERE idx < 5")
+@query(_RANKED + "SELECT label, clip, CAST(idx AS INTEGER) AS idx FROM r WHERE idx < 5")
 def src24_frame_cap(spark, sf):
     """SRC24: a clip's first frames, up to a number of them."""
     out = media.frames(files.scan(spark, _clips(spark, sf), ("ppm",)), most=5)
-    return out.select(F.regexp_extract("path", r"(\d+)\.ppm$", 1).cast("int").alias("label"), "idx")
+    return out.select(*_label(), "idx")
 
 
 def _wave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     x = pdf.sort_values("event_id")["pcm"].to_numpy() / 32767
-    return pd.DataFrame({"name": [f"{key[0]}.wav"], "data": [media.write_wav(np.stack([x, x / 3], 1), 8)]})
+    return pd.DataFrame({"name": [f"{key[0]}-{key[1]}.wav"], "data": [media.write_wav(np.stack([x, x / 3], 1), 8)]})
 
 
-_PCM = "WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, CAST(round(value * 100) AS BIGINT) % 30000 AS v FROM events), s AS (SELECT user_id, i, (v + CAST(trunc(v / 3.0::DOUBLE + 1e-9) AS BIGINT)) / 2.0::DOUBLE / 32767 AS x FROM e) "
+_PCM = "WITH e AS (SELECT user_id, event_id // 20000 AS part, row_number() OVER (PARTITION BY user_id, event_id // 20000 ORDER BY event_id) - 1 AS i, CAST(round(value * 100) AS BIGINT) % 30000 AS v FROM events), s AS (SELECT user_id, part, i, (v + CAST(trunc(v / 3.0::DOUBLE + 1e-9) AS BIGINT)) / 2.0::DOUBLE / 32767 AS x FROM e) "
 
 
 def _sounds(spark, sf):
     root = shared.new_path(spark, "sounds")
-    rows = table(spark, sf, "events").select("user_id", "event_id", (F.round(F.col("value") * 100).cast("long") % 30000).alias("pcm"))
-    sinks.write_files(rows.groupBy("user_id").applyInPandas(_wave, "name string, data binary"), root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
-    return files.scan(spark, root, ("wav",)).select("path", F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("user_id"))
+    rows = table(spark, sf, "events").select("user_id", F.floor(F.col("event_id") / 20000).alias("part"), "event_id", (F.round(F.col("value") * 100).cast("long") % 30000).alias("pcm"))
+    sinks.write_files(rows.groupBy("user_id", "part").applyInPandas(_wave, "name string, data binary"), root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
+    return files.scan(spark, root, ("wav",)).select("path", F.regexp_extract("path", r"(\d+)-\d+\.wav$", 1).cast("long").alias("user_id"), F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("part"))
 
 
-@query(_PCM + "SELECT user_id, count(*) AS n, round(sum(x), 2) AS total FROM s GROUP BY user_id")
+@query(_PCM + "SELECT user_id, part, count(*) AS n, round(sum(x), 2) AS total FROM s GROUP BY user_id, part")
 def src25_sound(spark, sf):
     """SRC25, SNK14, MTH9: sound written with two channels and decoded to one."""
     out = media.sound(_sounds(spark, sf))
-    return out.select("user_id", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return out.select("user_id", "part", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
-@query(_PCM + "SELECT user_id, 16 AS n, round(coalesce(sum(x) FILTER (i < 16), 0), 2) AS total FROM s GROUP BY user_id")
+@query(_PCM + "SELECT user_id, part, 16 AS n, round(coalesce(sum(x) FILTER (i < 16), 0), 2) AS total FROM s GROUP BY user_id, part")
 def src26_sound_of_length(spark, sf):
     """SRC26, SRC27, MTH8: sound cut or filled with silence to a length."""
     out = media.sound(_sounds(spark, sf), duration=F.lit(2.0))
-    return out.select("user_id", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return out.select("user_id", "part", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
-@query(_PCM + "SELECT user_id, CAST(least(8, greatest(0, count(*) - 4)) AS INTEGER) AS known, round(coalesce(sum(x) FILTER (i >= 4 AND i < 12), 0), 2) AS total FROM s GROUP BY user_id")
+@query(_PCM + "SELECT user_id, part, CAST(least(8, greatest(0, count(*) - 4)) AS INTEGER) AS known, round(coalesce(sum(x) FILTER (i >= 4 AND i < 12), 0), 2) AS total FROM s GROUP BY user_id, part")
 def src28_sound_range(spark, sf):
     """SRC28: a range of a file's sound."""
     out = media.sound(_sounds(spark, sf), start=F.lit(0.5))
     part = F.slice("samples", 1, 8)
-    return out.select("user_id", F.size(part).alias("known"), F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return out.select("user_id", "part", F.size(part).alias("known"), F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 # Motion: a user's events as frames of a pattern that moves by a few pixels from one to the next.

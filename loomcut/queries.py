@@ -511,9 +511,8 @@ def jn9_clip_score(spark, sf):
 @query("SELECT conv, i AS candidate, exp(v - m) / s AS p FROM (SELECT user_id AS conv, i, v, max(v) OVER (PARTITION BY user_id) AS m, sum(exp(v - mx)) OVER (PARTITION BY user_id) AS s FROM (SELECT user_id, event_id AS i, value / 10 AS v, max(value / 10) OVER (PARTITION BY user_id) AS mx FROM events))")
 def mth17_softmax_pick(spark, sf):
     """MTH17: softmax over candidates."""
-    c = table(spark, sf, "events").groupBy(F.col("user_id").alias("conv")).agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") / 10).alias("v")))).alias("a"))
-    p = F.arrays_zip(F.transform("a", lambda x: x["event_id"]).alias("candidate"), vector.softmax(F.transform("a", lambda x: x["v"])).alias("p"))
-    return c.select("conv", F.inline(p))
+    c = table(spark, sf, "events").select(F.col("user_id").alias("conv"), F.col("event_id").alias("candidate"), (F.col("value") / 10).alias("v"))
+    return vector.softmax_rows(c, "conv", "v").select("conv", "candidate", "p")
 
 
 @query("""
@@ -669,7 +668,7 @@ def st_event_windows(spark, sf):
 
 @query("SELECT event_type AS key, count(*) AS seen, CAST(least(8, count(*)) AS INTEGER) AS kept FROM events GROUP BY 1")
 def st1_bounded_buffer(spark, sf):
-    """ST1, ST2: a stream of events into bounded buffers by user."""
+    """ST1, ST2: a stream of events into bounded buffers by type: how many are seen and kept."""
     events, path = table(spark, sf, "events"), shared.new_path(spark, "buffers")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
     out = state.bounded_buffer(stream, "event_type", "event_id", "value", 8)

@@ -62,9 +62,8 @@ def prj17_required(spark, sf):
 @query("SELECT user_id, arg_min(value, (ts, event_id)) AS input_image, arg_max(value, (ts, event_id)) AS end_image FROM events GROUP BY 1")
 def prj19_ends(spark, sf):
     """PRJ19: the first and the last of a list."""
-    clips = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    first, last = mapping.ends(F.transform("v", lambda x: x["value"]))
-    return clips.select("user_id", first.alias("input_image"), last.alias("end_image"))
+    place = F.struct("ts", "event_id")
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("value", place).alias("input_image"), F.max_by("value", place).alias("end_image"))
 
 
 @query("SELECT event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS a, CAST(CAST(value / 3 AS FLOAT) AS DOUBLE) AS b, CAST(CAST(value / 7 AS FLOAT) AS DOUBLE) AS c, event_type AS d FROM events")

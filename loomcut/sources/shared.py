@@ -15,9 +15,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own, set for the session."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on this machine (tests), a folder of our own, set for the session."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = f"file://{tempfile.mkdtemp(prefix='loomcut-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
