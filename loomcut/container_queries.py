@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans import steps
 from .registry import query, table
 from .sources import archive, containers, files, media, shared, sinks, weights
 
@@ -100,6 +101,41 @@ def src21_sample_ranges(spark, sf):
     return containers.fetch_samples(asked).select("doc_id", "idx", F.col("data").cast("string").alias("data"))
 
 
+@query(_FILES + """
+SELECT doc_id, CASE WHEN NOT whole THEN 'failed' WHEN rate = 25 THEN 'copied' ELSE 'encoded' END AS done, CASE WHEN whole THEN CASE WHEN rate = 25 THEN n ELSE greatest(1, n * 25 // rate) END END AS frames,
+       CASE WHEN whole THEN 25.0::DOUBLE END AS fps FROM d WHERE kind < 2""")
+def snk4_encode_containers(spark, sf):
+    """SNK4, PRJ14, MTH6: movies of the wanted rate copied, others brought to it; what the files in the new folder say, and which ones failed."""
+    root, dest = _library(spark, sf), shared.new_path(spark, "encoded")
+    found = containers.probe_files(files.scan(spark, root, ("mp4", "mov")))
+    plan = steps.resample_plan(found.select("path", F.coalesce("fps", F.lit(0.0)).alias("fps")), 25.0)
+    tried = shared.stored(sinks.encode_stage(plan.select("path", "fps", "action"), dest, lambda data: containers.resampled(data, 25)), "tried")
+    made = containers.frame_counts(containers.probe_files(files.scan(spark, dest, ("mp4", "mov"))).select(F.col("path").alias("made"), F.col("fps").alias("new_fps"), "path")).select(_doc(), "frames", "new_fps")
+    done = F.when(F.col("error").isNotNull(), "failed").when(F.col("action") == "copy", "copied").otherwise("encoded")
+    return tried.select(_doc(), done.alias("done")).join(made, "doc_id", "left").select("doc_id", "done", "frames", F.round("new_fps", 6).alias("fps"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 0 AS flat, CAST(n_chars % 97 AS BIGINT) + 1 AS length FROM documents WHERE doc_id % 5 <> 0")
+def src19_flat_scan(spark, sf):
+    """SRC18, SRC19: images of a folder alone, and of all below it."""
+    root, k = shared.new_path(spark, "flat"), F.col("doc_id")
+    name = F.concat(F.when(k % 3 == 0, "deep/").otherwise(""), k, F.when(k % 5 == 0, ".txt").when(k % 2 == 0, ".JPG").otherwise(".png"))
+    sinks.write_files(table(spark, sf, "documents"), root, name, F.repeat(F.lit("x"), (F.col("n_chars") % 97 + 1).cast("int"))).write.format("noop").mode("overwrite").save()
+    flat = files.images(spark, root, recursive=False).select(_doc(), F.lit(True).alias("flat"))
+    return files.images(spark, root).select(_doc(), "length").join(flat, "doc_id", "left").na.fill(False, ["flat"])
+
+
+@query("SELECT doc_id, doc_id % 9 <> 4 AS copied, count(*) OVER (PARTITION BY doc_id // 2) > 1 AS collides FROM documents")
+def snk3_copy_documents(spark, sf):
+    """SNK3: a file for each document copied to one folder, those that aren't there and those whose names collide told apart."""
+    root, k = shared.new_path(spark, "copies"), F.col("doc_id")
+    name = F.concat(k % 2, F.lit("/"), F.floor(k / 2), F.lit(".bin"))
+    docs = table(spark, sf, "documents").select("doc_id")
+    sinks.write_files(docs.where(k % 9 != 4), f"{root}/from", name, k.cast("string")).write.format("noop").mode("overwrite").save()
+    out = sinks.copy_stage(docs.select("doc_id", F.concat(F.lit(f"{root}/from/"), name).alias("video_path")), f"{root}/to")
+    return out.select("doc_id", F.col("video_path").startswith(f"{root}/to/").alias("copied"), "collides")
+
+
 # Archives: those of each source in blocks of 500 documents, in turn tar, zip, compressed tar, and tar in two chunks.
 
 

@@ -28,10 +28,10 @@ _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
 
 
 class Ranges:
-    """A file that is read by ranges; fetched counts the bytes that were."""
+    """A file, or its bytes, read by ranges; fetched counts the bytes that were."""
 
-    def __init__(self, path: str):
-        self.file = open_file(path)
+    def __init__(self, source: str | bytes):
+        self.file = open_file(source) if isinstance(source, str) else pa.BufferReader(source)
         self.size, self.fetched = self.file.size(), 0
 
     def read(self, at: int, n: int) -> bytes:
@@ -109,9 +109,9 @@ def _mp4(f: Ranges) -> dict[str, Any]:
     return {"width": width >> 16, "height": height >> 16, "fps": count / duration if duration else None, "duration": duration, "codec": CODECS.get(code, code), "pix_fmt": AVC_FORMATS.get(entry[at + 5]) if at > 0 else None, "frames": count}
 
 
-def samples(path: str) -> list[tuple[int, int]]:
+def samples(source: str | bytes) -> list[tuple[int, int]]:
     """(place, size) of each sample of an MP4's video track, in order."""
-    f = Ranges(path)
+    f = Ranges(source)
     try:
         _, table = _video(f)
         a, b = table[b"stsz"][0]
@@ -128,7 +128,7 @@ def samples(path: str) -> list[tuple[int, int]]:
         f.close()
     out, i = [], 0
     for number, at in enumerate(chunks, 1):
-        for _ in range(next(many for first, many in reversed(runs) if first <= number)):
+        for _ in range(min(len(sizes) - i, next(many for first, many in reversed(runs) if first <= number))):
             out.append((at, sizes[i]))
             at, i = at + sizes[i], i + 1
     return out
@@ -362,6 +362,16 @@ def write_mp4(frames: list[bytes], width: int, height: int, units: int, step: in
     return head + (movie(before) if front else b"") + _box(b"mdat", *frames) + (b"" if front else movie(before))
 
 
+def resampled(data: bytes, rate: int) -> bytes:
+    """An MP4 of whole samples, as a codec of single frames has them, at another rate: frame i is what the first one shows at its time, so frames are left out or shown again; the last moment is kept, and one frame at least."""
+    f = Ranges(data)
+    head, places = describe(f), samples(data)
+    units = round(head["fps"] * 1000) if head["fps"] else 1
+    code = {"h264": b"avc1", "hevc": b"hvc1"}.get(head["codec"], head["codec"].encode()[:4].ljust(4))
+    chosen = [places[min(len(places) - 1, i * units // (rate * 1000))] for i in range(max(1, len(places) * rate * 1000 // units))] if places else []
+    return write_mp4([f.read(a, n) for a, n in chosen], head["width"], head["height"], rate * 100, 100, code)
+
+
 def _chunk(kind: bytes, *parts: bytes) -> bytes:
     data = b"".join(parts)
     return struct.pack("<4sI", kind, len(data)) + data + bytes(len(data) & 1)

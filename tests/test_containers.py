@@ -84,3 +84,14 @@ def test_errors_are_rows(spark):
     assert {r.path[-5:]: r.width for r in containers.probe_files(found).collect()} == {"a.mp4": 1920, "b.mp4": None, "c.mp4": None}
     missing = spark.createDataFrame([("/no/such/file.mp4",)], "path string")
     assert containers.frame_counts(missing).first().error.startswith("FileNotFoundError")
+
+
+def test_other_rates():
+    frames = [bytes([i]) * (i + 1) for i in range(60)]
+    data = containers.write_mp4(frames, 16, 32, 3000, 100, b"hvc1")
+    for rate, want in ((30, frames), (15, frames[::2]), (60, [x for x in frames for _ in (0, 1)])):
+        out = containers.resampled(data, rate)
+        head = containers.describe(containers.Ranges(out))
+        assert [out[a : a + n] for a, n in containers.samples(out)] == want and head["fps"] == rate and head["duration"] == 2 and head["codec"] == "hevc"
+    one = containers.resampled(containers.write_mp4(frames[:1], 16, 32, 3000, 100), 1)
+    assert len(containers.samples(one)) == 1 and containers.samples(containers.resampled(containers.write_mp4([], 16, 32, 3000, 100), 5)) == []
