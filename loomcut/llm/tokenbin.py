@@ -7,6 +7,7 @@ reader of some documents or of the metadata skip the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -55,7 +56,7 @@ class Encoder:
     units at white space, and where signs follow letters, as the pre-tokenizer would; a unit's ids are found once, by the library's model word by word, and kept
     in a hash table that numpy looks up for a whole piece of texts; what is found is compared byte by byte, and a unit that only has
     another's hash is encoded by itself. The table is emptied when it is full. A text with characters beyond Latin, or with a special token's
-    string, is encoded whole.
+    string, is encoded whole, and every text is where the file holds another kind of tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -63,6 +64,11 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        kind = json.loads(self.tokenizer.to_str())
+        words, model = kind["pre_tokenizer"] or {}, kind["model"]
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "unk_token"))
+        # Units are those of byte-level BPE; by any other kind whole texts are encoded.
+        self.cuts = plain and not kind["normalizer"] and words.get("type") == "ByteLevel" and not words.get("add_prefix_space") and bool(words.get("use_regex"))
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         # The byte-level alphabet, learned from the pre-tokenizer itself: a plain word's bytes are mapped to its characters.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -164,7 +170,7 @@ class Encoder:
         odd = ~_PLAIN[data]
         if n > 1:
             odd[:-1] |= (data[:-1] == 0xC2) & _ODD[data[1:]]
-        whole = np.diff(np.searchsorted(np.flatnonzero(odd), offsets)) > 0
+        whole = (np.diff(np.searchsorted(np.flatnonzero(odd), offsets)) > 0) | (not self.cuts)
         raw = data.tobytes()
         for s in self.special:
             at = raw.find(s)
