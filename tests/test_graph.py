@@ -84,3 +84,24 @@ def test_split_of_events(spark):
 def test_no_collected_sets(spark):
     chain = spark.range(30).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
     assert graph.reachable(chain, spark.range(1).withColumnRenamed("id", "unit")).count() == 31
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_blocks(spark, seed):
+    draw = random.Random(seed)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(330)] + [(400 + i, 401 + i) for i in range(40)]
+    start = [draw.randrange(300), 400, 430, 999]
+    got = graph.reachable(frame(spark, links, ["source", "target"]), frame(spark, [(x,) for x in start], ["unit"]), size=150)
+    assert sorted(r.unit for r in got.collect()) == sorted(closure(links, start))
+    ahead = [(min(e), max(e)) for e in links if e[0] % 17] + [(7, 7), (350, 351), (351, 350), (351, 352)]
+    got = graph.levels(frame(spark, [(500,)], ["unit"]), frame(spark, ahead, ["source", "target"]), size=150)
+    assert {r.unit: r.level for r in got.collect()} == plain_levels([500], ahead)
+
+
+def test_long_ways_take_few_steps(spark, monkeypatch):
+    made, given = [], graph.new_path
+    monkeypatch.setattr(graph, "new_path", lambda session, name: made.append(name) or given(session, name))
+    chain = spark.range(20_000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.reachable(chain, spark.range(1).withColumnRenamed("id", "unit")).count() == 20_001
+    found = graph.levels(spark.range(1).withColumnRenamed("id", "unit"), chain)
+    assert found.agg(F.count("*"), F.max("level")).first() == (20_001, 20_000) and len(made) < 12
