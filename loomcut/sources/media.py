@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.options import retried
 from ..functions.pixels import luma
-from .shared import read_bytes
+from .shared import PartReader, read_bytes
 
 FRAMES = "idx int, h int, w int, data binary, error string"
 Image = np.ndarray
@@ -94,16 +94,16 @@ def frames(files: DataFrame, plan: Callable[[int], list[int]] | None = None, dec
     return files.select(F.col(path).alias("path")).mapInArrow(run, f"path string, {FRAMES}")
 
 
-def sound(files: DataFrame, rate: int | None = None, start: Column | None = None, duration: Column | None = None, decoder: Callable[[bytes], tuple[np.ndarray, int]] = read_wav, path: str = "path") -> DataFrame:
+def sound(files: DataFrame, rate: int | None = None, start: Column | None = None, duration: Column | None = None, decoder: Callable[[bytes], tuple[np.ndarray, int]] = read_wav, path: str = "path", at: tuple[str, str] | None = None) -> DataFrame:
     """files with samples array<double>: the mean of the channels, from `start` seconds on, drawn at `rate` by linear interpolation, cut or filled with zeros to
-    `duration` seconds; and rate int. Both null where the file can't be read."""
+    `duration` seconds; and rate int. Both null where the file can't be read. at: columns with the place and length of a sound within its file, as sinks.write_packs() has them; else the file is one sound."""
     none = F.lit(None).cast("double")
-    rows = files.select("*", F.col(path).alias("_p"), (none if start is None else start.cast("double")).alias("_s"), (none if duration is None else duration.cast("double")).alias("_d"))
+    rows = files.select("*", F.col(path).alias("_p"), (none if start is None else start.cast("double")).alias("_s"), (none if duration is None else duration.cast("double")).alias("_d"), *[(F.lit(None) if c is None else F.col(c)).cast("long").alias(f"_{n}") for n, c in enumerate(at or (None, None))])
     names = files.columns
 
-    def one(name, begin, seconds):
+    def one(read, name, begin, seconds, *place):
         try:
-            x, own = decoder(read_bytes(name))
+            x, own = decoder(read(name, *place))
         except Exception:
             return None, None
         x, to = np.asarray(x, float), rate or own
@@ -117,8 +117,9 @@ def sound(files: DataFrame, rate: int | None = None, start: Column | None = None
         return x.tolist(), to
 
     def run(batches):
+        read = PartReader()
         for batch in batches:
-            found = [one(*given) for given in zip(*(c.to_pylist() for c in batch.columns[len(names) :]))]
+            found = [one(read, *given) for given in zip(*(c.to_pylist() for c in batch.columns[len(names) :]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([r for _, r in found], pa.int32())], [*names, "samples", "rate"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)

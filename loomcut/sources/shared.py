@@ -97,6 +97,24 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+class PartReader:
+    """Bytes of files, or of `length` bytes of them from `at` on; the last file stays open, as its parts are read one after another."""
+
+    def __init__(self):
+        self.path, self.file = None, None
+
+    def __call__(self, path: str, at: int | None = None, length: int | None = None) -> bytes:
+        if at is None:
+            return read_bytes(path)
+        if path != self.path:
+            self.file = open_file(path)
+            self.path = path
+        out = self.file.read_at(length, at)
+        if len(out) < length:
+            raise EOFError("the file is cut")
+        return out
+
+
 def write_bytes(path: str, data: bytes) -> None:
     """Writes a file whole: under another name first, so that a task that is run again or beside another leaves no half of it."""
     system, at = file_system(path)

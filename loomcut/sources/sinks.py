@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import basename
 from ..operators.rank import file_name
 from . import files
-from .shared import exists, read_bytes, write_bytes
+from .shared import exists, file_system, read_bytes, stored, write_bytes
 
 
 def write_files(df: DataFrame, root: str, name: Column, data: Column) -> DataFrame:
@@ -28,6 +29,41 @@ def write_files(df: DataFrame, root: str, name: Column, data: Column) -> DataFra
     return df.select(name.cast("string").alias("name"), data.cast("binary").alias("data")).mapInArrow(write, "path string, length long")
 
 
+def write_packs(df: DataFrame, root: str, name: Column, data: Column, most: int = 64 << 20) -> DataFrame:
+    """(name, path, at, length) of each row: its bytes lie at that place of a file below root, one after another in files of about `most` bytes. For rows too many to be files of their own.
+
+    The index is written too. A task that is run again begins new files, and the index names those of the one that went through.
+    """
+    kinds = {"name": pa.string(), "path": pa.string(), "at": pa.int64(), "length": pa.int64()}
+
+    def write(batches):
+        out, path, at = None, "", 0
+        try:
+            for batch in batches:
+                rows = []
+                for n, d in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    d = d.as_buffer() if d.is_valid else b""
+                    if out is None:
+                        path, at = f"{root}/{uuid.uuid4().hex}.pack", 0
+                        system, place = file_system(path)
+                        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                        out = system.open_output_stream(place)
+                    out.write(d)
+                    rows.append((n, path, at, len(d)))
+                    at += len(d)
+                    if at >= most:
+                        out.close()
+                        out = None
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], [*kinds])
+        finally:
+            if out is not None:
+                out.close()
+
+    rows = df.select(name.cast("string").alias("name"), data.cast("binary").alias("data"))
+    return stored(rows.mapInArrow(write, "name string, path string, at long, length long"), "packs")
+
+
 def _side_effect(df: DataFrame, path: Column, to: Column, work: Callable[[str], bytes]) -> DataFrame:
     """df with error: null where work(path), bytes, was written to `to`."""
     names = df.columns

@@ -68,3 +68,21 @@ def test_matrices(spark):
     u, sv, w = np.linalg.svd(m)
     assert np.allclose(np.reshape(got[0].f.up, (3, 2)) @ np.reshape(got[0].f.down, (2, 5)), u[:, :2] * sv[:2] @ w[:2])
     assert np.allclose(got[0].b, m.ravel())
+
+
+def test_sounds_in_packs(spark, tmp_path):
+    rows = [(i, bytearray(media.write_wav(np.full(i + 1, 0.5), 8))) for i in range(40)]
+    packs = sinks.write_packs(spark.createDataFrame(rows, "k int, d binary").repartition(2), str(tmp_path / "p"), F.col("k").cast("string"), F.col("d"), most=400)
+    assert packs.select("path").distinct().count() == len(list((tmp_path / "p").glob("*.pack"))) > 2
+    gone = packs.limit(1).select(F.lit("gone").alias("name"), F.lit(str(tmp_path / "no")).alias("path"), "at", "length")
+    got = {r.name: r for r in media.sound(packs.union(gone), at=("at", "length")).collect()}
+    assert got.pop("gone").samples is None and {int(k): len(r.samples) for k, r in got.items()} == {i: i + 1 for i in range(40)}
+
+
+def test_sounds_of_a_table_are_few_files(spark, monkeypatch):
+    from loomcut import media_queries
+
+    roots, given = [], sinks.write_packs
+    monkeypatch.setattr(sinks, "write_packs", lambda df, root, *a: roots.append(root) or given(df, root, *a))
+    n = media_queries.src25_sound(spark, "/root/testdata/sf0.001").count()
+    assert n > 10 and spark.read.format("binaryFile").load(roots[0]).count() <= 4
