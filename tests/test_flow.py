@@ -48,3 +48,25 @@ def test_clips(spark):
     assert all(got[c].error and got[c].motion_score == 0 for c in ("one", "gap"))
     assert flow.clip_motion(frames.where("clip = 'even'"), "clip", by="difference").select(F.col("motion_score") > 10).first()[0]
     assert flow.clip_motion(frames.where("false"), "clip").count() == 0
+
+
+def test_stacks_and_pictures_made_late(spark):
+    step = lambda i: (2 * i % 5, -i % 4)
+    one, two = (np.stack([np.roll(PLANE, step(i + d), (0, 1)) for i in range(9)]) for d in (0, 1))
+    many = np.stack(flow.motions(one, two, 8, 6, 1, 1.0), 1)
+    assert many == pytest.approx(np.array([flow.pair_motion(a, b, 8, 6, 1, 1.0) for a, b in zip(one, two)]))
+    rows = spark.range(30).select((F.col("id") % 2).alias("clip"), F.floor(F.col("id") / 2).alias("idx"), F.lit(96).alias("h"), F.lit(120).alias("w"))
+    make = lambda k: [None if i == 7 else np.roll(PLANE, step(i), (0, 1)).tobytes() for i in k]
+    made = flow.pairs(rows.withColumn("k", F.col("idx")), "clip", picture=make, given=("k",))
+    data = F.pandas_udf(lambda k: __import__("pandas").Series(make(k)), "binary")
+    late, early = ({(r.clip, r.idx): r.magnitude for r in df.collect()} for df in (made, flow.pairs(rows.withColumn("data", data("idx")), "clip")))
+    assert late == early and len(late) == 24
+    assert not {"Broadcast", "binary"} & set(made._jdf.queryExecution().executedPlan().toString().replace("<", " ").split())
+
+
+def test_frames_are_not_broadcast(spark):
+    from loomcut import media_queries
+
+    for name in ("flt5_frame_flow", "flt13_motion_from_frames"):
+        plan = getattr(media_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=merge)" in plan
