@@ -47,3 +47,10 @@ def test_columns(spark):
     rows = spark.createDataFrame([(None,), ("",), ("cafÃ©",), ("a\rb",)], "t string")
     assert [r.x for r in rows.select(repair.undone(F.col("t")).alias("x")).collect()] == [None, "", "café", "a\rb"]
     assert [r.x for r in rows.select(repair.fixed(F.col("t")).alias("x")).collect()] == [None, "", "café", "a\nb"]
+
+
+def test_batches_go_by_slices(spark):
+    texts = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("cafÃ© "), "id")).alias("t"))
+    got = texts.select("id", repair.undone(F.col("t")).alias("x"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and "pandas" not in repair.__dict__ and "pd" not in repair.__dict__
+    assert [r.x for r in got.orderBy("id").collect()] == [f"café {i}" if i % 5 else None for i in range(3000)]
