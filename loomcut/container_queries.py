@@ -139,7 +139,8 @@ def snk3_copy_documents(spark, sf):
 # Archives: those of each source in blocks of 500 documents, in turn tar, zip, compressed tar, and tar in two chunks.
 
 
-def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(root: str, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Writes an archive where its group is, so that no batch of rows holds many of them."""
     source, block = key
     kind, out = block % 4, io.BytesIO()
     names = [f"{d % 3}/{d}{'.md' if d % 2 else '.txt'}" for d in pdf["doc_id"]]
@@ -155,14 +156,15 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 t.addfile(info, io.BytesIO(data))
     name, data = f"{source}-{block}" + (".tar", ".zip", ".tar.gz", ".tar")[kind], out.getvalue()
     parts = [(name, data)] if kind < 3 else [(f"{name}.000", data[: len(data) // 2]), (f"{name}.001", data[len(data) // 2 :])]
-    return pd.DataFrame(parts, columns=["name", "data"])
+    for name, data in parts:
+        shared.write_bytes(f"{root}/{name}", data)
+    return pd.DataFrame([(name, len(data)) for name, data in parts], columns=["name", "length"])
 
 
 def _packed(spark: SparkSession, sf: str) -> str:
     root = shared.new_path(spark, "packed")
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("none")).alias("source"), F.floor(F.col("doc_id") / 500).alias("block"))
-    made = docs.groupBy("source", "block").applyInPandas(_pack, "name string, data binary")
-    sinks.write_files(made, root, F.col("name"), F.col("data")).write.format("noop").mode("overwrite").save()
+    docs.groupBy("source", "block").applyInPandas(lambda key, pdf: _pack(root, key, pdf), "name string, length long").write.format("noop").mode("overwrite").save()
     return root
 
 

@@ -117,3 +117,13 @@ def test_source(spark, tmp_path, pushed):
         listed = spark.read.format("archive").option("paths", paths).load()
         assert listed.columns == ["archive", "member", "size"] and listed.where("size < 100").count() == 4 * sum(len(d) < 100 for d in FILES.values())
     assert spark.read.format("archive").option("paths", "").load().count() == 0
+
+
+def test_archives_are_written_in_their_groups(spark, monkeypatch):
+    from loomcut import container_queries
+
+    def passed_on(*given):
+        raise AssertionError("archives go through a batch of rows")
+
+    monkeypatch.setattr(container_queries.sinks, "write_files", passed_on)
+    assert container_queries.src14_index_counts(spark, "/root/testdata/sf0.001").count() > 1
