@@ -11,11 +11,11 @@ from ..sources.shared import stored
 def relative_scores(df: DataFrame, group: str, scores: list[str], out: str = "avg_rel") -> DataFrame:
     """df with rel_<score>: (x - min) / (max - min) within the group, 0.5 where all are equal, and their mean, nulls skipped.
 
-    Rows with a null or NaN score should be dropped before. The extremes come from a partial aggregate, not from a window, so
-    a group that holds most rows is not gathered.
+    Rows with a null or NaN score should be dropped before. The extremes come from a partial aggregate, not from a window, and are
+    sent to the rows, so a group that holds most rows is not gathered.
     """
     ends = df.groupBy(group).agg(*[f(c).alias(f"_{n}_{c}") for c in scores for n, f in (("lo", F.min), ("hi", F.max))]).withColumnRenamed(group, "_group")
-    df = df.join(ends, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    df = df.join(_sent(ends, "ends"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     for c in scores:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         df = df.withColumn(f"rel_{c}", F.when(hi == lo, 0.5).otherwise((F.col(c) - lo) / (hi - lo))).drop(f"_lo_{c}", f"_hi_{c}")
@@ -25,10 +25,25 @@ def relative_scores(df: DataFrame, group: str, scores: list[str], out: str = "av
     return df.withColumn(out, F.try_divide(total, known))
 
 
+def _sent(sizes: DataFrame, name: str) -> DataFrame:
+    """A row for each group, written; broadcast up to 100,000 groups, as a join by group would gather each group's rows in one task."""
+    kept = stored(sizes, name)
+    return F.broadcast(kept) if kept.count() < 100_000 else kept
+
+
 def top_n(df: DataFrame, group: str, by: Column, ties: list[str], n: int, rank: str = "rank") -> DataFrame:
-    """The first n rows of each group by `by` descending, then by ties; the limit reaches below the exchange."""
-    order = Window.partitionBy(group).orderBy(by.desc(), *ties)
-    return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
+    """The first n rows of each group by `by` descending, then by ties.
+
+    Rows are dealt by a hash into 2n sets for each group; n of these have a greatest value that is no less than the n-th of them, so no row below that is among the first n. Only what is
+    left by then, some 1.4n rows without equals, is put in order, so no task sorts its part of the input.
+    """
+    rows = df.withColumn("_by", by)
+    most = rows.groupBy(group, (F.pmod(F.xxhash64(*ties), F.lit(2 * n))).alias("_set")).agg(F.max("_by").alias("_most"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("_most").desc()))
+    least = most.withColumn("_place", place).groupBy(F.col(group).alias("_group")).agg(F.max(F.when(F.col("_place") == n, F.col("_most"))).alias("_least"))
+    rows = rows.join(_sent(least, "least"), F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_least").isNull() | (F.col("_by") >= F.col("_least")))
+    order = Window.partitionBy(group).orderBy(F.col("_by").desc(), *ties)
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n).drop("_by", "_least", "_group")
 
 
 def _parts(df: DataFrame) -> int:
