@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from .files import VIDEO
-from .shared import Joined
+from .shared import Joined, listed
 
 SUFFIXES = (".tar", ".tar.gz", ".tgz", ".zip")
 MEMBERS = "archive string, member string, size long"
@@ -46,9 +46,8 @@ def members(name: str, file, content: bool) -> Iterator[tuple[str, int, bytes |
 
 def find_archives(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(archive, chunks): whole archives, and split ones (name.tar.000, ...) with their chunks in order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path")
     base = F.regexp_replace("path", r"\.\d{3,}$", "")
-    return files.withColumn("archive", base).where(F.lower("archive").rlike(r"\.(tar|tar\.gz|tgz|zip)$")).groupBy("archive").agg(F.sort_array(F.collect_list("path")).alias("chunks")).orderBy("archive")
+    return listed(spark, root, recursive).withColumn("archive", base).where(F.lower("archive").rlike(r"\.(tar|tar\.gz|tgz|zip)$")).groupBy("archive").agg(F.sort_array(F.collect_list("path")).alias("chunks")).orderBy("archive")
 
 
 def list_members(spark: SparkSession, root: str, content: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import extension, natural_key
+from .shared import listed
 
 # Suffixes by kind of media.
 VIDEO = ("mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "m4v", "mpeg", "mpg")
@@ -19,9 +20,8 @@ PROBE = "width int, height int, fps double, duration double, codec string, pix_f
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = VIDEO, recursive: bool = True) -> DataFrame:
-    """(path, length) of files with these suffixes in any case, by path. File contents are not read. Spark lists no empty files, so these are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length")
-    return found.where(extension(F.col("path")).isin(*suffixes)).orderBy("path")
+    """(path, length) of files with these suffixes in any case, by path. File contents are not read. Empty files are left out."""
+    return listed(spark, root, recursive).where(extension(F.col("path")).isin(*suffixes)).orderBy("path")
 
 
 def images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import io
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -77,6 +79,80 @@ def _remove_all() -> None:
             return
 
 
+def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, length) of the files below root, or of root where it is one; written. As in Spark's listing, patterns in root are followed, hidden and empty files are left out.
+
+    Spark lists a folder on the driver and packs 32 files at most into a task. Here folders are read by tasks, level by level, a folder's names as a stream, and lengths are asked for by many tasks.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    roots = [str(s.getPath().toString()) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+    if not roots:
+        raise FileNotFoundError(root)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def names(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                for path, below in _entries(folder):
+                    rows.append((path, below))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["path", "folder"])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["path", "folder"])
+
+    def lengths(batches):
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            sizes = [_length(p) for p in paths]
+            keep = [i for i, n in enumerate(sizes) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in keep], pa.string()), pa.array([sizes[i] for i in keep], pa.int64())], ["path", "length"])
+
+    folders, found = spark.createDataFrame([(r,) for r in roots], "path string").coalesce(1), None
+    while True:
+        level = stored(folders.mapInArrow(names, "path string, folder boolean"), "names")
+        files = level.where("not folder").select("path")
+        found = files if found is None else found.union(files)
+        folders = level.where("folder").select("path")
+        if not recursive or folders.isEmpty():
+            return stored(found.repartition(parts).mapInArrow(lengths, "path string, length long"), "listed")
+        folders = folders.repartition(parts)
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder, which may be a file itself; paths begin as the folder's does."""
+    from pyarrow import fs
+
+    system, at = file_system(folder)
+    if system.get_file_info(at).is_file:
+        yield folder, False
+    elif isinstance(system, fs.LocalFileSystem):
+        with os.scandir(at) as there:
+            for e in there:
+                if not _hidden(e.name):
+                    yield f"{folder.rstrip('/')}/{e.name}", e.is_dir()
+    else:
+        for e in system.get_file_info(fs.FileSelector(at)):
+            if not _hidden(e.base_name):
+                yield f"{folder.rstrip('/')}/{e.base_name}", e.type == fs.FileType.Directory
+
+
+def _length(path: str) -> int | None:
+    """A file's length; null where it is gone."""
+    if path.startswith(("/", "file:")):
+        try:
+            return os.stat(file_system(path)[1]).st_size
+        except FileNotFoundError:
+            return None
+    system, at = file_system(path)
+    return system.get_file_info(at).size
+
+
 def file_system(path: str):
     """(Arrow file system, path within it) of a path or URI; file:/x and file:///x are the same."""
     from pyarrow import fs
@@ -115,11 +191,30 @@ class PartReader:
         return out
 
 
-def write_bytes(path: str, data: bytes) -> None:
-    """Writes a file whole: under another name first, so that a task that is run again or beside another leaves no half of it."""
+@contextmanager
+def aside(root: str) -> Iterator[str | None]:
+    """A hidden folder below root for the files that one task has not written whole; tasks that begin files in one folder wait for one another. It is removed in the end.
+
+    None where it can't be made; what is written then says why for each file.
+    """
+    path = f"{root}/.{uuid.uuid4().hex}.part"
+    system, at = file_system(path)
+    try:
+        system.create_dir(at, recursive=True)
+    except OSError:
+        yield None
+        return
+    try:
+        yield path
+    finally:
+        system.delete_dir(at)
+
+
+def write_bytes(path: str, data: bytes, begun: str | None = None) -> None:
+    """Writes a file whole: under another name first, in the folder `begun` where one is given, so that a task that is run again or beside another leaves no half of it."""
     system, at = file_system(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    part = f"{at}.{uuid.uuid4().hex}.part"
+    part = f"{file_system(begun)[1] if begun else at}{'/' if begun else '.'}{uuid.uuid4().hex}.part"
     with system.open_output_stream(part) as f:
         f.write(data)
     system.move(part, at)

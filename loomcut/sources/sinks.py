@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.text import basename
 from ..operators.rank import file_name
 from . import files
-from .shared import exists, file_system, read_bytes, stored, write_bytes
+from .shared import aside, exists, file_system, read_bytes, stored, write_bytes
 
 
 def write_files(df: DataFrame, root: str, name: Column, data: Column) -> DataFrame:
     """(path, length) of a file for each row, named below root, with these bytes; a file of that name is replaced. Files are written when the result is used."""
 
     def write(batches):
-        for batch in batches:
-            names, sizes = [], []
-            for n, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                write_bytes(f"{root}/{n}", d or b"")
-                names.append(f"{root}/{n}"), sizes.append(len(d or b""))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "length"])
+        with aside(root) as begun:
+            for batch in batches:
+                names, sizes = [], []
+                for n, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    write_bytes(f"{root}/{n}", d or b"", begun)
+                    names.append(f"{root}/{n}"), sizes.append(len(d or b""))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "length"])
 
     return df.select(name.cast("string").alias("name"), data.cast("binary").alias("data")).mapInArrow(write, "path string, length long")
 
@@ -64,20 +65,21 @@ def write_packs(df: DataFrame, root: str, name: Column, data: Column, most: int
     return stored(rows.mapInArrow(write, "name string, path string, at long, length long"), "packs")
 
 
-def _side_effect(df: DataFrame, path: Column, to: Column, work: Callable[[str], bytes]) -> DataFrame:
-    """df with error: null where work(path), bytes, was written to `to`."""
+def _side_effect(df: DataFrame, path: Column, to: Column, work: Callable[[str], bytes], dest: str) -> DataFrame:
+    """df with error: null where work(path), bytes, was written to `to`, below dest."""
     names = df.columns
 
     def run(batches):
-        for batch in batches:
-            errors = []
-            for source, target in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-                try:
-                    write_bytes(target, work(source))
-                    errors.append(None)
-                except Exception as e:
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(errors, pa.string())], [*names, "error"])
+        with aside(dest.rstrip("/")) as begun:
+            for batch in batches:
+                errors = []
+                for source, target in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                    try:
+                        write_bytes(target, work(source), begun)
+                        errors.append(None)
+                    except Exception as e:
+                        errors.append(f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(errors, pa.string())], [*names, "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.select(*[F.col(f"`{c}`") for c in names], path.alias("_from"), to.alias("_target")).mapInArrow(run, f"{fields}, error string")
@@ -87,7 +89,7 @@ def copy_stage(records: DataFrame, dest: str, path: str = "video_path") -> DataF
     """All records, each file copied to dest/<base name>: path is the copy's where that went well, else as it was; error says why not; collides says
     whether another record's file has the same base name, in which case one of them stays."""
     target = F.concat(F.lit(dest.rstrip("/") + "/"), basename(F.col(path)))
-    copied = _side_effect(files.collisions(records, path).withColumn("_to", target), F.col(path), F.col("_to"), read_bytes)
+    copied = _side_effect(files.collisions(records, path).withColumn("_to", target), F.col(path), F.col("_to"), read_bytes, dest)
     return copied.withColumn(path, F.when(F.col("error").isNull(), F.col("_to")).otherwise(F.col(path))).drop("_to")
 
 
@@ -95,8 +97,8 @@ def encode_stage(plan: DataFrame, dest: str, encoder: Callable[[bytes], bytes],
     """Rows of steps.resample_plan() with dest_path and error: what is to be copied is, the rest goes through encoder."""
     target = F.concat(F.lit(dest.rstrip("/") + "/"), basename(F.col(path)))
     rows = plan.withColumn("dest_path", target)
-    done = _side_effect(rows.where("action = 'copy'"), F.col(path), F.col("dest_path"), read_bytes)
-    return done.union(_side_effect(rows.where("action <> 'copy'"), F.col(path), F.col("dest_path"), lambda p: encoder(read_bytes(p))))
+    done = _side_effect(rows.where("action = 'copy'"), F.col(path), F.col("dest_path"), read_bytes, dest)
+    return done.union(_side_effect(rows.where("action <> 'copy'"), F.col(path), F.col("dest_path"), lambda p: encoder(read_bytes(p)), dest))
 
 
 def append_captions(videos: DataFrame, captioner: Callable[[str], str], out: str, path: str = "video_path") -> None:
