@@ -198,9 +198,9 @@ def src15_archive_source(spark, sf):
     root = _packed(spark, sf)
     found = archive.find_archives(spark, root).where("size(chunks) = 1 AND archive NOT LIKE '%gz'")
     spark.dataSource.register(archive.ArchiveSource)
-    paths = ",".join(r.archive for r in found.collect())  # the names of the files, as any file source has them on the driver
+    ranges = archive.ranges(found, 64 << 10)  # by tasks; the driver has their places alone, as of any file source
     with shared.setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
-        rows = spark.read.format("archive").option("paths", paths).option("content", "true").option("pushFilters", "true").option("splitBytes", 64 << 10).load()
+        rows = spark.read.format("archive").option("ranges", ranges).option("content", "true").option("pushFilters", "true").option("packBytes", 8 << 20).load()
         out = rows.where(F.col("member").endswith(".md") & (F.col("size") > 300)).select(_short(), "member", F.md5("data").alias("content"))
         return shared.stored(out, "members")
 

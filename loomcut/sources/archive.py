@@ -10,12 +10,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from .files import VIDEO
-from .shared import Joined, listed
+from .shared import Joined, file_system, listed, new_path
 
 SUFFIXES = (".tar", ".tar.gz", ".tgz", ".zip")
 MEMBERS = "archive string, member string, size long"
@@ -86,6 +87,8 @@ def count_videos(spark: SparkSession, root: str) -> DataFrame:
 
 #: Bytes of an archive that one task reads.
 SPLIT_BYTES = 64 << 20
+#: Bytes that opening an archive counts for where ranges are packed.
+_OPEN = 4 << 10
 INDEX = "archive string, chunks array<string>, member string, size long, at long, held long, method string, crc long, error string"
 
 
@@ -129,6 +132,25 @@ def splits(name: str, file, split_bytes: int) -> list[tuple[int, int | None]]:
     return [*zip(out, [*out[1:], None])]
 
 
+def ranges(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> str:
+    """Where splits() of the archives (archive) lie, for the data source's option `ranges`: found by tasks, so that the driver opens no archive. (archive, begin, end, held)."""
+
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with Joined([path]) as file:
+                    size = file.size()
+                    found = [(0, None)] if size <= split_bytes else splits(path, file, split_bytes)
+                begins, ends = zip(*found)
+                held = [(size if end is None else end) - begin for begin, end in found]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(held, pa.int64())], ["archive", "begin", "end", "held"])
+
+    out = new_path(archives.sparkSession, "ranges")
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    archives.select("archive").repartition(parts).mapInArrow(read, "archive string, begin long, end long, held long").write.parquet(out)
+    return out
+
+
 def fetch(file, size: int, at: int, held: int, method: str, crc: int | None) -> bytes:
     """A member's bytes by its entry in the index; nothing else of the archive is read. Raises where the archive ends before, or the bytes have another CRC."""
 
@@ -234,41 +256,59 @@ def _wanted(file):
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        self.ranges = ranges
 
 
 class _Reader(DataSourceReader):
-    """Partitions by ranges of members, found from the headers."""
+    """Partitions of ranges of members, found from the headers."""
 
     def __init__(self, schema, options):
         self.content = "data" in schema.fieldNames()
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
+        self.ranges = options.get("ranges")
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
+        self.pack = int(options.get("packbytes", options.get("packBytes", 0)))
         self.kept: list[tuple[str, str, object]] = []
 
     def _keeps(self, **given) -> bool:
         tests = {"=": lambda x, v: x == v, "in": lambda x, v: x in v, "starts": str.startswith, "ends": str.endswith, "has": lambda x, v: v in x, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v}
         return all(tests[how](given[c], value) for c, how, value in self.kept if c in given)
 
-    def partitions(self):
-        out = []
+    def _found(self) -> Iterator[tuple[str, int, int | None, int]]:
+        if self.ranges:
+            system, at = file_system(self.ranges)
+            rows = dataset(at, filesystem=system, format="parquet").to_table().sort_by([("archive", "ascending"), ("begin", "ascending")])
+            for batch in rows.to_batches(10_000):
+                yield from (r for r in zip(*[c.to_pylist() for c in batch.columns]) if self._keeps(archive=r[0]))
+            return
         for path in self.paths:
             if self._keeps(archive=path):
                 with Joined([path]) as file:
-                    small = file.size() <= self.split
-                    out += [_Part(path, *x) for x in ([(0, None)] if small else splits(path, file, self.split))]
-        return out or [_Part("", 0, None)]
+                    size = file.size()
+                    for begin, end in [(0, None)] if size <= self.split else splits(path, file, self.split):
+                        yield path, begin, end, (size if end is None else end) - begin
+
+    def partitions(self):
+        out, held = [], 0
+        for *one, size in self._found():
+            if not out or held + size > self.pack:
+                out.append(_Part([]))
+                held = 0
+            out[-1].ranges.append(tuple(one))
+            held += size + _OPEN
+        return out or [_Part([])]
 
     def read(self, partition):
-        path = partition.path
-        if not path:
-            return
+        for path, begin, end in partition.ranges:
+            yield from self._members(path, begin, end)
+
+    def _members(self, path: str, begin: int, end: int | None):
         with io.BufferedReader(Joined([path]), 1 << 16) as file:
             if not path.lower().endswith((".tar", ".zip")):
                 found = ((m, n, data) for m, n, data in members(path, file, self.content) if self._keeps(member=m, size=n))
             else:
-                entries = [*index_file(path, file, partition.begin, partition.end)] if path.lower().endswith(".zip") else index_file(path, Joined([path]), partition.begin, partition.end)
+                entries = [*index_file(path, file, begin, end)] if path.lower().endswith(".zip") else index_file(path, Joined([path]), begin, end)
                 found = ((m, n, fetch(file, n, *place) if self.content else None) for m, n, *place in entries if self._keeps(member=m, size=n))
             for member, size, data in found:
                 if not safe(member):
@@ -290,6 +330,7 @@ class _FilteringReader(_Reader):
 class ArchiveSource(DataSource):
     """spark.read.format("archive").option("paths", "a.tar,b.zip").load(): partitions of about splitBytes of an archive; bytes are read only where the schema has data.
 
+    For many archives, the option `ranges` names what ranges() has found, in place of paths, and packBytes how many bytes of ranges one partition may hold; without it each range is one.
     With the option pushFilters, for which spark.sql.python.filterPushdown.enabled must be set, filters on archive, member and size leave archives, and members' bytes, unread.
     """
 
