@@ -47,10 +47,10 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: what depends on chance or on how rows were dealt is fixed from then on."""
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """df, written as Parquet (with these options) in the shared folder and read again: what depends on chance or on how rows were dealt is fixed from then on."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

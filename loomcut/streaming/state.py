@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
 import pandas as pd
@@ -72,24 +73,26 @@ def threshold_reset(values: Column, limit: float) -> Column:
 
 #: Rows of a key that one task goes through; longer keys are cut.
 LONG_KEY = 1_000_000
+#: Rows of a block of a longer key.
+BLOCK = 16_384
 
 
 def threshold_resets(df: DataFrame, key: str, order: list[str], value: str, limit: float, most: int = LONG_KEY) -> DataFrame:
     """(key, i, go) for each row: its place from 1 within its key, and what threshold_reset() says of it. A null value counts as 0, a null key is a key; rows that tie in order come in any.
 
-    A key of up to `most` rows goes by in order in one task, sum after sum; longer ones, unless they have negative values, are done by _resets_by_pointers(). The latter compares sums
-    over all rows so far: exactly for decimals, for doubles up to their rounding.
+    A key of up to `most` rows goes by in order in one task, sum after sum; longer ones, unless they have negative values or no finite sum, are done by _resets_by_blocks(). The latter
+    compares sums over more rows than those since a reset: exactly for decimals, for doubles up to their rounding.
     """
     kind = df.schema[key].dataType.simpleString()
     exact = df.schema[value].dataType.typeName() == "decimal"
     zero = F.lit(0).cast(df.schema[value].dataType if exact else "double")
     rows = df.select(key, *order, F.coalesce(F.col(value) if exact else F.col(value).cast("double"), zero).alias("v"))
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), F.min("v").alias("least"))
-    cut = sizes.where((F.col("n") > most) & (F.col("least") >= 0) & (F.lit(limit) > 0)).select("_key")
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.sum(F.col("v").cast("double")).alias("all"))
+    cut = sizes.where((F.col("n") > most) & (F.col("least") >= 0) & (F.col("all") < float("inf")) & (F.lit(limit) > 0)).select("_key")
     if cut.isEmpty():
         return _resets_in_order(rows, key, kind, order, limit)
     same = F.col(key).eqNullSafe(F.col("_key"))
-    return _resets_in_order(rows.join(cut, same, "left_anti"), key, kind, order, limit).union(_resets_by_pointers(rows.join(cut, same, "left_semi"), key, order, limit))
+    return _resets_in_order(rows.join(cut, same, "left_anti"), key, kind, order, limit).union(_resets_by_blocks(rows.join(cut, same, "left_semi"), key, order, limit))
 
 
 def _resets_in_order(rows: DataFrame, key: str, kind: str, order: list[str], limit: float) -> DataFrame:
@@ -109,7 +112,7 @@ def _resets_in_order(rows: DataFrame, key: str, kind: str, order: list[str], lim
                 width = 64
                 while at < end:
                     sums = np.cumsum(np.append(total, v[at : min(end, at + width)]))[1:]
-                    hit = np.flatnonzero(sums >= limit)[:1]
+                    hit = np.flatnonzero(~(sums < limit))[:1]  # Spark and SQL have NaN above all numbers
                     if len(hit):
                         at, total = at + int(hit[0]) + 1, 0.0
                         go[at - 1] = True
@@ -120,48 +123,137 @@ def _resets_in_order(rows: DataFrame, key: str, kind: str, order: list[str], lim
     return rows.mapInArrow(fold, f"`{key}` {kind}, i long, go boolean")
 
 
-def _resets_by_pointers(rows: DataFrame, key: str, order: list[str], limit: float) -> DataFrame:
-    """The same for keys of any length and values from 0 on, as no row needs what came of the rows before it.
+def _units(values: pa.Array) -> pa.Array:
+    """Decimals as whole numbers of their last place: the same 128 bits, read without a scale."""
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(values), values.buffers(), offset=values.offset)
 
-    Sums over all rows of a key so far never fall, so a reset at one row leads to the next at the first row whose sum is larger by limit: rows, and what they wait for, are sorted
-    together by ranges. These steps are chained by doubling: steps of 2, 4, 8, ... resets are joined from the last ones, and from the first row all resets are reached by
-    the longest steps first. What lies between is written; no key is in one task, and the number of joins grows with the logarithm of the resets.
+
+def _sums(values: pa.Array, limit: float) -> np.ndarray:
+    """Running sums; whole numbers are added up exactly, as Python's own where 64 bits might not do."""
+    if pa.types.is_floating(values.type):
+        return np.cumsum(values.to_numpy())
+    if pa.types.is_integer(values.type):
+        v = values.to_numpy()
+        if float(v.max()) * len(v) + limit < 2**62:
+            return np.cumsum(v)
+    return np.cumsum(np.array([int(v) for v in values.to_pylist()], object))
+
+
+def _jumps(sums: np.ndarray, limit: float) -> np.ndarray:
+    """For a reset at each row the row of the next one, len(sums) where that is not in the block."""
+    return np.maximum(np.searchsorted(sums, sums + limit), np.arange(1, len(sums) + 1))
+
+
+def _resets_by_blocks(rows: DataFrame, key: str, order: list[str], limit: float) -> DataFrame:
+    """The same for keys of any length and values from 0 on.
+
+    Rows are dealt by ranges of key and order, once, and packed into blocks of BLOCK rows; neighbouring keys are told apart by 64 bits of a hash. Which resets a block has depends on
+    its first one alone, and that is one of the few rows before which the block's sum is below limit. For each of these rows a block says which sum over the whole key is waited for
+    after the block's last reset; rows and what waits for them are sorted together by ranges, so each row leads to one in a later block. These steps are chained by doubling: steps of 2, 4, 8, ...
+    blocks are joined from the last ones, and from the first row of a key all entered blocks are reached by the longest steps first. Then each block goes through its rows.
+
+    All rows are exchanged once and written once. What is chained is a few rows of each block; only if limit is beyond the sums of whole blocks these are up to all rows, and
+    are joined as often as the logarithm of the number of blocks.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = ["_part", "k"]
+    spark, block = rows.sparkSession, BLOCK
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind, kind_of_v = rows.schema[key].dataType.simpleString(), rows.schema["v"].dataType
+    exact = kind_of_v.typeName() == "decimal"
+    whole = "decimal(38,0)" if exact else "double"
+    unit = whole if not exact or kind_of_v.precision > 18 else "long"
+    if exact:  # in units of the last place; sums that 38 digits hold never come to the greatest limit
+        limit = int(min(Decimal(str(limit)).scaleb(kind_of_v.scale), Decimal(10) ** 37).to_integral_value(ROUND_CEILING))
+
+    def totals(values: list) -> pa.Array:
+        return pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0)) if exact else pa.array(values, pa.float64())
+
+    def pack(batches):
+        held, n, number, last = [], 0, 0, None
+        for batch in filter(len, batches):
+            hashes, v = batch.column(1).to_numpy(), batch.column(3)
+            v = v if not exact else _units(v).cast(pa.int64()) if unit == "long" else _units(v)
+            changes = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+            for begin, end in zip([0, *changes], [*changes, len(hashes)]):
+                if n and hashes[begin] != last:
+                    yield flush(*named, number, held)
+                    held, n, number = [], 0, number + 1
+                last = hashes[begin]
+                while begin < end:
+                    took = min(end - begin, block - n)
+                    named = batch.column(0)[begin].as_py(), batch.column(2).slice(begin, 1)
+                    held, n, begin = [*held, v.slice(begin, took)], n + took, begin + took
+                    if n == block:
+                        yield flush(*named, number, held)
+                        held, n, number = [], 0, number + 1
+        if n:
+            yield flush(*named, number, held)
+
+    def flush(part, name, number, held):
+        v = pa.concat_arrays(held)
+        total = totals([_sums(v, 0)[-1]])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + number]), name, pa.array([len(v)]), total, pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)], ["b", "k", "n", "total", "v"])
+
+    by = [F.col("k"), *[F.col(f"o{n}") for n in range(len(order))]]
     rows = rows.select(F.col(key).alias("k"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], "v")
-    by = [F.col(f"o{n}") for n in range(len(order))]
-    dealt = _dealt(rows, parts, [F.col("k"), *by])
-    inside = Window.partitionBy(*both).orderBy(*by)
-    total = dealt.groupBy(*both).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    earlier = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.sum("s").over(earlier).alias("s0"), F.sum("n").over(Window.partitionBy("k")).alias("rows"))
-    placed = dealt.select(*both, F.row_number().over(inside).alias("i"), F.sum("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    placed = placed.join(total, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
-    placed = stored(placed.select("k", (F.col("i") + F.col("n0")).cast("long").alias("i"), (F.col("s") + F.coalesce("s0", F.lit(0))).alias("s"), "rows"), "placed")
-    # Each row's next reset: what waits for a sum stands just before the first row that has it.
-    sums = placed.select("k", "i", F.col("s").alias("x"), F.lit(1).alias("kind"))
-    waits = placed.select("k", "i", (F.col("s") + F.lit(limit).cast(placed.schema["s"].dataType)).alias("x"), F.lit(0).alias("kind"))
-    mixed = _dealt(sums.union(waits), parts, [F.col(c) for c in ("k", "x", "kind", "i")])
-    found = F.when(F.col("kind") == 1, F.col("i"))
-    back = Window.partitionBy(*both).orderBy(*[F.col(c).desc() for c in ("x", "kind", "i")]).rowsBetween(Window.unboundedPreceding, -1)
-    least = mixed.groupBy(*both).agg(F.min(found).alias("first"))
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(F.spark_partition_id().cast("long").alias("part"), F.xxhash64("k").alias("h"), "k", "v")
+    blocks = stored(rows.mapInArrow(pack, f"b long, k {kind}, n long, total {whole}, v array<{unit}>"), "blocks", **{"parquet.block.size": 16 << 20})
+    of_key = Window.partitionBy("k")
+    earlier = of_key.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast(whole)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.coalesce(F.sum("total").over(earlier), none)
+    places = stored(blocks.select("b", "k", before[0].alias("n0"), before[1].alias("s0"), F.sum("n").over(of_key).alias("rows"), "total"), "places")
+
+    def entries(batches):
+        for batch in batches:
+            for b, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                p = _sums(values.values, limit)
+                first = p[: int(np.searchsorted(p, limit)) + 1]
+                first = np.append(0, np.flatnonzero(first[1:] > first[:-1]) + 1)
+                to = _jumps(p, limit)
+                end = np.where(to < len(p), to, np.arange(len(p)))
+                while (end != end[end]).any():
+                    end = end[end]
+                end = end[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), b)), pa.array(b * block + first), totals(p[first]), totals(p[end] + limit)], ["b", "id", "s", "x"])
+
+    found = blocks.select("b", "v").mapInArrow(entries, f"b long, id long, s {whole}, x {whole}").join(places, "b")
+    found = found.where((F.col("id") > F.col("b") * block) | (F.col("s") > 0) | (F.col("n0") == 0)).select(
+        "k", "b", "id", (F.col("s0") + F.col("s")).alias("s"), F.greatest(F.col("s0") + F.col("x"), F.col("s0") + F.col("total")).alias("x"), (F.col("n0") == 0).alias("first")
+    )
+    found = stored(found, "entries")
+    # Each row's next block: what waits for a sum stands behind its own block and just before the first row that has it.
+    sums = found.select("k", F.col("s").alias("x"), "b", F.lit(0).alias("kind"), "id")
+    waits = found.select("k", "x", "b", F.lit(1).alias("kind"), "id")
+    mixed = _dealt(sums.union(waits), parts, [F.col(c) for c in ("k", "x", "b", "kind", "id")])
+    row = F.when(F.col("kind") == 0, F.col("id"))
+    back = Window.partitionBy("_part", "k").orderBy(*[F.col(c).desc() for c in ("x", "b", "kind", "id")]).rowsBetween(Window.unboundedPreceding, -1)
+    least = mixed.groupBy("_part", "k").agg(F.min(row).alias("first"))
     later = Window.partitionBy("k").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     least = least.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.last("first", True).over(later).alias("later"))
-    step = mixed.withColumn("to", F.last(found, True).over(back)).where("kind = 0").join(least, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
-    steps = [stored(step.select("k", "i", F.coalesce("to", "later").alias("to")).where("to IS NOT NULL"), "steps")]
+    step = mixed.withColumn("to", F.last(row, True).over(back)).where("kind = 1").join(least, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
+    steps = [stored(step.select("id", F.coalesce("to", "later").alias("to")).where("to IS NOT NULL"), "steps")]
     while not steps[-1].isEmpty():
         one = steps[-1]
-        two = one.select(F.col("k").alias("_k"), F.col("i").alias("_i"), F.col("to").alias("_to"))
-        steps.append(stored(one.join(two, (F.col("to") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k"))).select("k", "i", F.col("_to").alias("to")), "steps"))
-    resets = stored(placed.where("i = 1").select("k", "i"), "resets")
+        steps.append(stored(one.join(one.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")), "steps"))
+    entered = stored(found.where((F.col("id") == F.col("b") * block) & F.col("first")).select("id"), "entered")
     for one in reversed(steps[:-1]):
-        two = one.select(F.col("k").alias("_k"), F.col("i").alias("_i"), "to")
-        more = resets.join(two, (F.col("i") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k"))).select("k", F.col("to").alias("i"))
-        resets = stored(resets.union(more), "resets")
-    hit = resets.select(F.col("k").alias("_k"), F.col("i").alias("_i"), F.lit(True).alias("hit"))
-    out = placed.join(hit, (F.col("i") == F.col("_i")) & F.col("k").eqNullSafe(F.col("_k")), "left")
-    return out.select(F.col("k").alias(key), "i", (F.coalesce("hit", F.lit(False)) | (F.col("i") == F.col("rows"))).alias("go"))
+        entered = stored(entered.union(entered.join(one, "id").select("to")), "entered")
+    entered = entered.select(F.expr(f"id DIV {block}").alias("b"), (F.col("id") % block).alias("at"))
+    places = stored(places.join(entered, "b", "left").select("b", "n0", "rows", "at"), "places")
+
+    def answers(batches):
+        for batch in batches:
+            for r, (n0, last, at, values) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n0", "rows", "at")], batch.column("v"))):
+                p = _sums(values.values, limit)
+                i = np.arange(n0 + 1, n0 + len(p) + 1)
+                go = i == last
+                if at is not None:
+                    to = _jumps(p, limit).tolist()
+                    while at < len(p):
+                        go[at], at = True, to[at]
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(np.full(len(p), r))), pa.array(i), pa.array(go)], [key, "i", "go"])
+
+    return blocks.select("b", "k", "v").join(places, "b").mapInArrow(answers, f"`{key}` {kind}, i long, go boolean")
 
 
 def tumbling(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
