@@ -106,14 +106,16 @@ def pairs(frames: DataFrame, clip: str, block: int = 8, reach: int = 6, shrink:
     return both.select(clip, "idx", m.alias("m")).select(clip, "idx", "m.*").where("magnitude IS NOT NULL AND NOT isnan(magnitude)")
 
 
-def clip_motion(frames: DataFrame, clip: str, by: str = "magnitude", **options) -> DataFrame:
-    """(clip, motion_score, motion_jitter_score, flow_coherence, error) of each clip: the mean over its pairs of frames, the deviation over the mean, and the mean coherence, to four digits.
+def clip_motion(frames: DataFrame, clip: str, by: str = "magnitude", digits: int | None = 4, **options) -> DataFrame:
+    """(clip, motion_score, motion_jitter_score, flow_coherence, error) of each clip: the mean over its pairs of frames, the deviation over the mean, and the mean coherence, to so many digits.
 
-    by: `magnitude` of the vectors, or `difference` of the gray levels. A clip of fewer than two frames gets zeros and an error.
+    by: `magnitude` of the vectors, or `difference` of the gray levels. digits: None where limits are to be held against what was measured, as a score just past a limit may be rounded to it.
+    A clip of fewer than two frames gets zeros and an error.
     """
     found = pairs(frames, clip, **options)
     mean = F.avg(by)
-    out = found.groupBy(F.col(clip).alias("_clip")).agg(F.round(mean, 4).alias("motion_score"), F.round(F.stddev_pop(by) / (mean + EPS), 4).alias("motion_jitter_score"), F.round(F.avg("coherence"), 4).alias("flow_coherence"))
+    scores = {"motion_score": mean, "motion_jitter_score": F.stddev_pop(by) / (mean + EPS), "flow_coherence": F.avg("coherence")}
+    out = found.groupBy(F.col(clip).alias("_clip")).agg(*[(x if digits is None else F.round(x, digits)).alias(n) for n, x in scores.items()])
     clips = frames.select(clip).distinct()
     out = clips.join(out, clips[clip].eqNullSafe(out["_clip"]), "left").drop("_clip")
     error = F.when(F.col("motion_score").isNull(), "fewer than two frames")

@@ -70,3 +70,14 @@ def test_frames_are_not_broadcast(spark):
     for name in ("flt5_frame_flow", "flt13_motion_from_frames"):
         plan = getattr(media_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "rightHint=(strategy=merge)" in plan
+
+
+def test_limits_hold_before_rounding(spark, tmp_path):
+    """A jitter of 0.450045, told to four digits as 0.45, is over 0.45."""
+    from loomcut import media_queries
+
+    ids = [7, 10, 13, 20, 24, 26, 28, 31, 36, 38, 40, 43]
+    rows = [(i, 1, 1.0) for i in ids] + [(i, 2, 1.0) for i in (0, 6, 42, 48)] + [(99, 3, 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.motion_score, r.jitter, r.passed) for r in media_queries.flt13_motion_from_frames(spark, str(tmp_path)).collect()}
+    assert got[1] == (2.3811, 0.45, False) and got[2] == (4.2426, 0.0, True) and got[3] == (0.0, 0.0, False)
