@@ -97,6 +97,6 @@ def test_thirds_of_samples_stay_whole(spark, tmp_path):
     rows = [(12 * u + i, u, float(x) / 100) for u, x in enumerate(v) for i in range(12)]
     assert 1000 < len(v) and len(rows) < 20000
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    for name, n in (("src25_sound", 12),):
+    for name, n in (("src25_sound", 12), ("src26_sound_of_length", 12), ("src28_sound_range", 8)):
         got = {r.user_id: r.total for r in getattr(media_queries, name)(spark, str(tmp_path)).collect()}
         assert got == {u: round(n * (int(x) + int(x) // 3) / 65534, 2) for u, x in enumerate(v)}, name
